@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import text_checks
+from checks import ocr_checks, text_checks
 
-MODULES = [text_checks]
+MODULES = [text_checks, ocr_checks]
 
 
 def queries() -> dict:

@@ -132,7 +132,7 @@ ENGINE_RUNS = """engine_runs AS (
  SELECT doc_id, 'alpha' AS engine, 1 AS priority,
    CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'abc' ELSE text END AS full_text,
    0.1::DOUBLE * (doc_id % 17) AS duration_sec, CAST(NULL AS VARCHAR) AS error FROM documents
- UNION ALL SELECT doc_id, 'beta', 2, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE upper(text) END,
+ UNION ALL SELECT doc_id, 'beta', 2, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE replace(text, 'e', 'c') END,
    0.2::DOUBLE * (doc_id % 13), CASE WHEN doc_id % 10 = 0 THEN 'engine failed' END FROM documents
  UNION ALL SELECT doc_id, 'gamma', 3, CASE WHEN doc_id % 20 = 0 THEN '  ' ELSE text || chr(10) || 'gamma' END,
    0.05::DOUBLE * (doc_id % 11), NULL FROM documents)"""

@@ -268,7 +268,77 @@ def engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     runs = F.array(
         run("alpha", 1, F.when(i % 5 == 0, none).when(i % 5 == 1, "abc").otherwise(text), 0.1 * (i % 17), none),
-        run("beta", 2, F.when(i % 10 == 0, none).otherwise(F.upper(text)), 0.2 * (i % 13), err),
+        run("beta", 2, F.when(i % 10 == 0, none).otherwise(F.replace(text, F.lit("e"), F.lit("c"))), 0.2 * (i % 13), err),
         run("gamma", 3, F.when(i % 20 == 0, "  ").otherwise(F.concat(text, F.lit("\ngamma"))), 0.05 * (i % 11), none),
     )
     return d.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON responses of a page reader, one per document, built inside the row from the whole text.
+
+    ``doc_id % 6`` picks the shape: 0 paragraphs with words, 1 paragraphs with text only, 2 block lines
+    with words, 3 block lines with text only, 4 top-level paragraphs without pages, 5 blocks with text
+    only.  ``doc_id % 4`` picks the wrapper; the fourth is unusual, and ``doc_id % 24 = 23`` has no
+    annotation at all.  Words with ``word_no % 7 = 0`` carry only symbols, words with
+    ``word_no % 5 = 0`` no confidence, lines with ``line_no % 5 = 0`` a confidence of their own.
+    """
+    def box(x1: str, y1: str, x2: str, y2: str) -> str:
+        pts = ", ".join(f"struct({x} AS x, {y} AS y)" for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2)))
+        return f"struct(array({pts}) AS vertices)"
+
+    top = "(100 + 40 * i + (doc_id * 7 + i * 3 + j * 5) % 9)"
+    word_box = box("10 + 60 * j", top, "60 + 60 * j", f"{top} + 20 + (j * 3 + doc_id) % 7")
+    line_box = box("10", "100 + 40 * x.i", "60 + 60 * x.last", "130 + 40 * x.i")
+    d = documents(spark, sf_dir).withColumn(
+        "ls",
+        F.expr(f"""
+        filter(transform(split(text, '\n'), (l, i) -> struct(i AS i, l AS l, size(split(l, ' ')) - 1 AS last,
+          filter(transform(split(l, ' '), (w, j) -> struct(w AS w,
+             if(j % 7 <> 0, w, NULL) AS text,
+             if(j % 7 = 0, transform(filter(split(w, ''), c -> c <> ''), c -> struct(c AS text, 0.5D AS confidence)), NULL) AS symbols,
+             if(j % 5 <> 0, ((doc_id + j) % 100) / 100.0D, NULL) AS confidence,
+             {word_box} AS boundingBox)), t -> t.w <> '') AS toks)), x -> size(x.toks) > 0)"""),
+    )
+    words = "transform(x.toks, t -> struct(t.text AS text, t.symbols AS symbols, t.confidence AS confidence, t.boundingBox AS boundingBox))"
+    d = d.withColumn(
+        "ps",
+        F.expr(f"""
+        transform(ls, x -> struct(
+          if(doc_id % 6 IN (1, 3), x.l, NULL) AS text, if(x.i % 5 = 0, 0.9D, NULL) AS confidence,
+          if(doc_id % 6 IN (0, 2, 4), {words}, NULL) AS words, {line_box} AS boundingBox))"""),
+    )
+    d = d.withColumn(
+        "bs",
+        F.expr(f"""
+        transform(filter(sequence(0, size(split(text, '\n')) div 3), b -> exists(ls, x -> x.i div 3 = b)), b -> struct(
+          if(doc_id % 6 IN (0, 1), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS paragraphs,
+          if(doc_id % 6 IN (2, 3), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS lines,
+          if(doc_id % 6 = 5, concat('block ', b), NULL) AS text, {box('0', 'b * 120', '900', 'b * 120 + 119')} AS boundingBox))"""),
+    )
+    d = d.withColumn(
+        "fta",
+        F.expr("""struct(if(doc_id % 3 = 0, text, NULL) AS text,
+          if(doc_id % 6 <> 4, array(struct(bs AS blocks)), NULL) AS pages, if(doc_id % 6 = 4, ps, NULL) AS paragraphs)"""),
+    )
+    payload = F.expr("""CASE WHEN doc_id % 24 = 23 THEN '{"status": "failed"}' ELSE CASE doc_id % 4
+       WHEN 0 THEN to_json(struct(fta AS fullTextAnnotation)) WHEN 1 THEN to_json(struct(struct(fta AS fullTextAnnotation) AS data))
+       WHEN 2 THEN to_json(struct(array(struct(struct(array(struct(fta AS fullTextAnnotation)) AS responses) AS Data)) AS results))
+       ELSE to_json(struct(array(struct(fta AS odd)) AS items)) END END""")
+    return d.select("doc_id", payload.alias("payload"))
+
+
+def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel arrays of words, polygons and scores; polygons or scores may be short."""
+    d = documents(spark, sf_dir).withColumn("t", _token_arrays(F.col("text")))
+    poly = "array(array(x, y), array(x + 50, y), array(x + 50, y + h), array(x, y + h))"
+    return d.select(
+        "doc_id",
+        F.expr("transform(t, e -> concat(e.text, ' '))").alias("rec_texts"),
+        F.expr(
+            f"""transform(slice(t, 1, size(t) - if(doc_id % 3 = 0, 1, 0)), e -> transform(array(struct(
+              10.5D + 60 * e.word_no AS x, 100.5D + 40 * e.line_no AS y, 20.0D + doc_id % 7 AS h)), g ->
+              {poly.replace("x,", "g.x,").replace("x +", "g.x +").replace("y)", "g.y)").replace("y +", "g.y +").replace(" h)", " g.h)")})[0])"""
+        ).alias("rec_polys"),
+        F.expr("transform(slice(t, 1, size(t) - if(doc_id % 2 = 0, 1, 0)), e -> ((doc_id + e.word_no) % 100) / 100.0D)").alias("rec_scores"),
+    )

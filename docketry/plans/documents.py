@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
+from docketry import catalog as C
 from docketry.operators import classify as K
+from docketry.operators import ocr as O
 
 
 def assign_txn(files: DataFrame, run_id: str, digits: int = 12) -> DataFrame:
@@ -32,3 +34,35 @@ def type_report(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_docs"),
         *[F.count_if(F.col(f"numbers.{n}.found")).alias(f"n_{n}") for n in ("pan", "digit12", "voter", "account11")],
     )
+
+
+def stage_request(docs: DataFrame) -> DataFrame:
+    """Audit row per document.  Input: txn_id, path, modificationTime, text, best_type (null text = failed)."""
+    lines = T.match_lines(F.col("text"), split_short=False)
+    return docs.select(
+        "txn_id", F.date_format("modificationTime", "yyyyMMdd_HHmmss").alias("timestamp"), F.col("path").alias("filename"),
+        F.when(F.col("text").isNull(), "ERROR").otherwise(F.col("best_type")).alias("document_type"),
+        F.size(lines).alias("n_lines"), F.length("text").alias("n_chars"),
+        F.when(F.col("text").isNull(), "no text").alias("error"),
+    )
+
+
+def error_record(read: DataFrame, runs: DataFrame, types: DataFrame) -> DataFrame:
+    """A row for every document: its type, or ERROR and the reason when no engine gave text."""
+    reasons = runs.groupBy("doc_id").agg(F.max("error").alias("reason"))
+    df = read.join(reasons, "doc_id", "left").join(types, "doc_id", "left")
+    failed = F.col("engine").isNull()
+    return df.select(
+        "doc_id",
+        F.when(failed, "ERROR").otherwise(F.coalesce("best_type", F.lit(C.UNKNOWN))).alias("document_type"),
+        F.when(failed, F.coalesce("reason", F.lit("no engine returned text"))).alias("error"),
+    )
+
+
+def read_and_classify(runs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFrame:
+    """Engine runs -> best engine's text -> cleaned lines -> classification, failures kept as rows."""
+    read = O.engine_fallback(runs)
+    docs = read.filter("engine IS NOT NULL").select(
+        "doc_id", F.col("full_text").alias("text"), T.drop_ocr_noise(T.text_lines(F.col("full_text"))).alias("lines")
+    )
+    return K.classify(docs, threshold)
