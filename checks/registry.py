@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import ocr_checks, text_checks
+from checks import layout_checks, ocr_checks, text_checks
 
-MODULES = [text_checks, ocr_checks]
+MODULES = [text_checks, ocr_checks, layout_checks]
 
 
 def queries() -> dict:
