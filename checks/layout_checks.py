@@ -258,3 +258,8 @@ def s8(spark, sf):
     m = PL.manifests(PL.segment_pages(X.boxes(spark, sf), PAGE_W, PAGE_H))
     one = lambda s: F.concat_ws(":", s["id"].cast("string"), s["type"], F.array_join(F.transform(s["bbox"], lambda v: v.cast("string")), ","))
     return m.select("filename", "n_segments", F.array_join(F.transform("segments", one), ";").alias("segments"))
+
+
+@query("v2n_nms")
+def v2n(spark, sf):
+    return L.nms(X.boxes(spark, sf))

@@ -79,7 +79,7 @@ tsv AS (
  FROM word_cells)"""
 
 BOXES = """boxes AS (
- SELECT l_orderkey AS page_id, l_partkey * 1000 + l_linenumber AS box_no,
+ SELECT l_orderkey AS page_id, l_partkey * 10000000000 + l_suppkey * 10 + l_linenumber AS box_no,
   CAST((l_partkey * 13) % 600 AS INTEGER) AS x, CAST((l_suppkey * 29) % 800 AS INTEGER) AS y,
   CAST(40 + (l_partkey * 7) % 200 AS INTEGER) AS w, CAST(20 + (l_suppkey * 11) % 150 AS INTEGER) AS h,
   ['table', 'text_block', 'photo'][l_linenumber % 3 + 1] AS kind, CAST(l_quantity AS INTEGER) AS n_words,

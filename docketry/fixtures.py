@@ -157,7 +157,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     return t.select(
         F.col("l_orderkey").alias("page_id"),
-        (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("box_no"),
+        (F.col("l_partkey") * 10000000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box_no"),
         F.expr("CAST((l_partkey * 13) % 600 AS INT)").alias("x"),
         F.expr("CAST((l_suppkey * 29) % 800 AS INT)").alias("y"),
         F.expr("CAST(40 + (l_partkey * 7) % 200 AS INT)").alias("w"),

@@ -44,6 +44,7 @@ def ordered_scan(
     ``<carry>``         latest non-null value up to here
     ``<running_max>``   largest value before this row
     """
+    keep = df.columns
     runs, counts, carry, running_max = runs or {}, counts or {}, carry or {}, running_max or {}
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,7 +116,6 @@ def ordered_scan(
         result.append(F.coalesce(f"_lst_{name}", f"_lst_in_{name}").alias(name))
     for name in running_max:
         result.append(F.greatest(f"_max_{name}", f"_max_in_{name}").alias(name))
-    keep = [c for c in df.columns if not c.startswith("_")]
     return out.select(*keep, *result)
 
 
