@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import layout_checks, ocr_checks, text_checks, track_checks
+from checks import layout_checks, ocr_checks, stream_checks, text_checks, track_checks
 
-MODULES = [text_checks, ocr_checks, layout_checks, track_checks]
+MODULES = [text_checks, ocr_checks, layout_checks, track_checks, stream_checks]
 
 
 def queries() -> dict:

@@ -47,9 +47,20 @@ FROM (
 """
 
 
-def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scans_of(customer: DataFrame) -> DataFrame:
     """One scanned document per customer, six kinds, every fifth with OCR-like noise."""
-    return spark.sql(SCANS_SQL, customer=widen(table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
+    return customer.sparkSession.sql(SCANS_SQL, customer=customer)
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans_of(widen(table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
+
+
+def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents arriving as a stream."""
+    schema = table(spark, sf_dir, "customer").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    return scans_of(files.select("c_custkey", "c_name"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +230,10 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
         (w + 10).cast("int").alias("h"),
         (x + F.expr("(60 + event_id % 90) div 2")).cast("int").alias("cx"),
         (y + F.expr("(70 + event_id % 90) div 2")).cast("int").alias("cy"),
+        (F.expr("(event_id * 7919) % 400").cast("double") / 1000).alias("ear"),
+        (F.expr("(event_id * 104729) % 100").cast("double") / 160).alias("mouth_w_ratio"),
+        (F.expr("(event_id * 1299709) % 100").cast("double") / 250).alias("mouth_open_ratio"),
+        F.expr("(event_id * 613) % 1000 < 120").alias("is_fake"),
     )
 
 

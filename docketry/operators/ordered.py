@@ -31,8 +31,7 @@ def ordered_scan(
     prev: Sequence[str] = (),
     runs: dict[str, Column] | None = None,
     counts: dict[str, Column] | None = None,
-    carry: dict[str, Column] | None = None,
-    running_max: dict[str, Column] | None = None,
+    breaks: dict[str, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """Add order-dependent columns; ``chunk`` must not decrease along ``order`` within a key.
 
@@ -41,81 +40,79 @@ def ordered_scan(
     ``<run>_pos``       length of the run of true flags ending here (0 where the flag is false)
     ``<run>_before``    length of the run of true flags ending on the previous row
     ``<count>``         running count of true flags up to here
-    ``<carry>``         latest non-null value up to here
-    ``<running_max>``   largest value before this row
+    ``<break>``         running count of rows for which ``f(previous row, row)`` holds
+
+    Pass only the columns needed afterwards: both the rows and the chunk summaries are made from one
+    shuffle of them.
     """
     keep = df.columns
-    runs, counts, carry, running_max = runs or {}, counts or {}, carry or {}, running_max or {}
+    runs, counts, breaks = runs or {}, counts or {}, breaks or {}
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.struct(*keep)
 
-    prev_row = F.struct(*[F.col(c) for c in prev]) if prev else None
+    flags = [F.coalesce(f, F.lit(False)).alias(f"_flag_{n}") for n, f in {**runs, **counts}.items()]
+    df = df.select("*", F.coalesce(chunk.cast("bigint"), F.lit(-1).cast("bigint")).alias(_CHUNK), *flags)
     cols = [F.row_number().over(local).cast("bigint").alias("_rn")]
-    for name, flag in runs.items():
-        cols.append(F.coalesce(flag, F.lit(False)).alias(f"_flag_{name}"))
-    for name, value in running_max.items():
-        cols.append(value.alias(f"_val_{name}"))
-    df = df.withColumn(_CHUNK, chunk).select("*", *cols)
-
+    if prev or breaks:
+        cols.append(F.lag(whole).over(local).alias("_prev"))
+    for name in counts:
+        cols.append(F.sum(F.col(f"_flag_{name}").cast("bigint")).over(upto).alias(f"_cnt_{name}"))
+    df = df.select("*", *cols)
     cols = []
-    if prev:
-        cols.append(F.lag(prev_row).over(local).alias("_prev"))
     for name in runs:
         cols.append(F.max(F.when(~F.col(f"_flag_{name}"), F.col("_rn"))).over(before).alias(f"_gap_{name}"))
-    for name, flag in counts.items():
-        cols.append(F.sum(F.coalesce(flag, F.lit(False)).cast("bigint")).over(upto).alias(f"_cnt_{name}"))
-    for name, value in carry.items():
-        cols.append(F.last(value, ignorenulls=True).over(upto).alias(f"_lst_{name}"))
-    for name in running_max:
-        cols.append(F.max(f"_val_{name}").over(before).alias(f"_max_{name}"))
+    for name, test in breaks.items():
+        inner = F.coalesce(test(F.col("_prev"), whole) & F.col("_prev").isNotNull(), F.lit(False))
+        cols.append(F.sum(inner.cast("bigint")).over(upto).alias(f"_brk_{name}"))
     df = df.select("*", *cols)
 
     # one row per (key, chunk); already partitioned by exactly these columns, so no further shuffle
-    aggs = [F.max("_rn").alias("_n")]
-    if prev:
-        aggs.append(F.max_by(prev_row, "_rn").alias("_tail"))
+    aggs = [F.max("_rn").alias("_n"), F.max_by(whole, "_rn").alias("_tail")]
+    if breaks:
+        aggs.append(F.min_by(whole, "_rn").alias("_head"))
     for name in runs:
         aggs.append(F.max(F.when(~F.col(f"_flag_{name}"), F.col("_rn"))).alias(f"_gap_{name}"))
     for name in counts:
         aggs.append(F.max(f"_cnt_{name}").alias(f"_cnt_{name}"))
-    for name in carry:
-        aggs.append(F.max_by(f"_lst_{name}", "_rn").alias(f"_lst_{name}"))
-    for name in running_max:
-        aggs.append(F.max(f"_val_{name}").alias(f"_max_{name}"))
-    chunks = df.groupBy(*keys, _CHUNK).agg(*aggs)
-
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    carried = [F.col("_offset")]
-    if prev:
-        carried.append(F.last("_tail").over(earlier).alias("_prev_in"))
+    for name in breaks:
+        aggs.append(F.max(f"_brk_{name}").alias(f"_brk_{name}"))
+    # the filter is always true; it keeps whole rows in this branch, so that it can share the rows' shuffle
+    chunks = df.groupBy(*keys, _CHUNK).agg(*aggs).filter(F.col("_tail").isNotNull())
+
+    in_order = Window.partitionBy(*keys).orderBy(_CHUNK)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    chunks = chunks.withColumns(
+        {"_offset": F.coalesce(F.sum("_n").over(earlier), zero), "_before": F.lag("_tail").over(in_order)}
+    )
+    carried = [F.col("_offset"), F.col("_before")]
     for name in runs:
         carried.append(F.max(F.col("_offset") + F.col(f"_gap_{name}")).over(earlier).alias(f"_gap_in_{name}"))
     for name in counts:
-        carried.append(F.coalesce(F.sum(f"_cnt_{name}").over(earlier), F.lit(0)).alias(f"_cnt_in_{name}"))
-    for name in carry:
-        carried.append(F.last(f"_lst_{name}", ignorenulls=True).over(earlier).alias(f"_lst_in_{name}"))
-    for name in running_max:
-        carried.append(F.max(f"_max_{name}").over(earlier).alias(f"_max_in_{name}"))
+        carried.append(F.coalesce(F.sum(f"_cnt_{name}").over(earlier), zero).alias(f"_cnt_in_{name}"))
+    for name, test in breaks.items():
+        first = F.coalesce(test(F.col("_before"), F.col("_head")) & F.col("_before").isNotNull(), F.lit(False)).cast("bigint")
+        chunks = chunks.withColumn(f"_first_{name}", first)
+        total = F.sum(F.col(f"_brk_{name}") + F.col(f"_first_{name}")).over(earlier)
+        carried.append((F.coalesce(total, zero) + F.col(f"_first_{name}")).alias(f"_brk_in_{name}"))
     chunks = chunks.select(*keys, _CHUNK, *carried)
 
     out = df.join(chunks, [*keys, _CHUNK])
     row_no = F.col("_offset") + F.col("_rn")
     result = [row_no.alias("row_no")]
     for c in prev:
-        result.append(F.when(F.col("_rn") > 1, F.col("_prev")[c]).otherwise(F.col("_prev_in")[c]).alias(f"prev_{c}"))
+        result.append(F.when(F.col("_rn") > 1, F.col("_prev")[c]).otherwise(F.col("_before")[c]).alias(f"prev_{c}"))
     for name in runs:
-        gap = F.coalesce(F.col("_offset") + F.col(f"_gap_{name}"), F.col(f"_gap_in_{name}"), F.lit(0))
+        gap = F.coalesce(F.col("_offset") + F.col(f"_gap_{name}"), F.col(f"_gap_in_{name}"), zero)
         ended = row_no - 1 - gap
         result.append(ended.alias(f"{name}_before"))
-        result.append(F.when(F.col(f"_flag_{name}"), ended + 1).otherwise(F.lit(0).cast("bigint")).alias(f"{name}_pos"))
+        result.append(F.when(F.col(f"_flag_{name}"), ended + 1).otherwise(zero).alias(f"{name}_pos"))
     for name in counts:
         result.append((F.col(f"_cnt_in_{name}") + F.col(f"_cnt_{name}")).alias(name))
-    for name in carry:
-        result.append(F.coalesce(f"_lst_{name}", f"_lst_in_{name}").alias(name))
-    for name in running_max:
-        result.append(F.greatest(f"_max_{name}", f"_max_in_{name}").alias(name))
+    for name in breaks:
+        result.append((F.col(f"_brk_in_{name}") + F.col(f"_brk_{name}")).alias(name))
     return out.select(*keep, *result)
 
 

@@ -144,10 +144,10 @@ def track_faces(
     A camera is cut where more than ``timeout`` + 1 frames pass without any face: no track survives that,
     so the stretches are tracked in parallel and only their numbers of new tracks are added up.
     """
-    key, order = ["camera_id"], ["frame_idx", "det_no"]
-    df = ordered_scan(faces, key, order, frame_chunk(size=chunk_frames), prev=["frame_idx"]).drop("row_no")
-    quiet = F.col("frame_idx") - F.col("prev_frame_idx") > timeout + 1
-    df = ordered_scan(df.withColumn("_q", quiet), key, order, frame_chunk(size=chunk_frames), counts={"stretch": F.col("_q")})
+    order = ["frame_idx", "det_no"]
+    quiet = lambda last, now: now["frame_idx"] - last["frame_idx"] > timeout + 1
+    df = faces.select("camera_id", *order, "cx", "cy", "w")
+    df = ordered_scan(df, ["camera_id"], order, frame_chunk(size=chunk_frames), breaks={"stretch": quiet})
     placed = fold_sorted(
         df, ["camera_id", "stretch"], order, ["frame_idx", "det_no", "cx", "cy", "w"],
         lambda: Tracker(factor, floor, timeout),
@@ -245,7 +245,8 @@ def blink_events(frames: DataFrame, threshold: float = C.EAR_THRESHOLD, needed:
 
     ``moved`` names a boolean column that suppresses blinks on its frames.
     """
-    df = _scan(frames, chunk_frames, runs={"closed": is_closed(threshold)})
+    cols = [*TRACK, "frame_idx", is_closed(threshold).alias("closed"), *([moved] if moved else [])]
+    df = _scan(frames.select(*cols), chunk_frames, runs={"closed": F.col("closed")})
     hit = (F.col("closed_pos") == 0) & (F.col("closed_before") >= needed)
     if moved:
         hit = hit & ~F.col(moved)
@@ -262,13 +263,14 @@ def blink_counts(frames: DataFrame, events: DataFrame, chunk_frames: int = CHUNK
 
 def smile_events(frames: DataFrame, smiling: Column | None = None, needed: int = C.SMILE_FRAMES, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """Every ``needed``-th frame of a smile: the counter restarts after each event."""
-    df = _scan(frames, chunk_frames, runs={"smile": is_smiling() if smiling is None else smiling})
+    flag = is_smiling() if smiling is None else smiling
+    df = _scan(frames.select(*TRACK, "frame_idx", flag.alias("smile")), chunk_frames, runs={"smile": F.col("smile")})
     return df.filter((F.col("smile_pos") > 0) & (F.col("smile_pos") % needed == 0)).select(*TRACK, "frame_idx", "smile_pos")
 
 
 def motion_events(frames: DataFrame, ratio: float = C.MOVE_RATIO, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """Frames on which the centre moved more than a share of the face width."""
-    df = _scan(frames, chunk_frames, prev=["cx", "cy"])
+    df = _scan(frames.select(*TRACK, "frame_idx", "cx", "cy", "bw"), chunk_frames, prev=["cx", "cy"])
     return df.filter(has_moved(ratio)).select(*TRACK, "frame_idx", _shift().alias("distance"))
 
 
@@ -300,7 +302,8 @@ def adaptive_events(frames: DataFrame, flag: Column, needed: Column, chunk_frame
 
     A frame without the flag resets the count, so each run of flagged frames is folded on its own.
     """
-    df = _scan(frames.withColumn("_need", needed), chunk_frames, runs={"on": flag}).filter(F.col("on_pos") > 0)
+    df = frames.select(*TRACK, "frame_idx", needed.alias("_need"), flag.alias("on"))
+    df = _scan(df, chunk_frames, runs={"on": F.col("on")}).filter(F.col("on_pos") > 0)
     df = df.withColumn("run_start", F.col("row_no") - F.col("on_pos"))
     out = fold_sorted(df, [*TRACK, "run_start"], ["frame_idx"], ["frame_idx", "_need"], _Adaptive, _RUN_DDL)
     return out.drop("run_start")
@@ -340,7 +343,8 @@ def smile_events_teeth(frames: DataFrame, teeth: Column, fake: Column, needed: i
     Each frame that does not smile starts from zero, so a group is one such frame and the smiles after it.
     """
     smiling = F.coalesce(is_smiling(0.45, 0.28, fake=fake), F.lit(False))
-    df = frames.withColumns({"_s": smiling, "_t": F.coalesce(teeth, F.lit(False)) & (F.col("frame_idx") % every == 0)})
+    check = F.coalesce(teeth, F.lit(False)) & (F.col("frame_idx") % every == 0)
+    df = frames.select(*TRACK, "frame_idx", smiling.alias("_s"), check.alias("_t"))
     df = _scan(df, chunk_frames, counts={"run_start": ~F.col("_s")})
     out = fold_sorted(
         df, [*TRACK, "run_start"], ["frame_idx"], ["frame_idx", "_s", "_t"], lambda: _SmileWithTeeth(needed), _RUN_DDL
@@ -375,9 +379,8 @@ def cooldown(events: DataFrame, gap: int = C.COOLDOWN_FRAMES, blocked_start: boo
     An event more than ``gap`` frames after its predecessor is kept whatever was kept before, so tracks
     are cut there and the pieces are thinned independently.
     """
-    df = _scan(events, chunk_frames, prev=["frame_idx"]).drop("row_no")
-    free = F.col("frame_idx") - F.coalesce("prev_frame_idx", F.lit(0)) > gap
-    df = _scan(df.withColumn("_free", free), chunk_frames, counts={"piece": F.col("_free")})
+    apart = lambda last, now: now["frame_idx"] - last["frame_idx"] > gap
+    df = _scan(events.select(*TRACK, "frame_idx", "event_kind"), chunk_frames, breaks={"piece": apart})
     # a piece after the first starts beyond the gap, so the same rule fits every piece
     out = fold_sorted(
         df, [*TRACK, "piece"], ["frame_idx"], ["frame_idx", "event_kind"], lambda: _Cooldown(gap, blocked_start),
@@ -393,7 +396,10 @@ def event_candidates(frames: DataFrame, chunk_frames: int = CHUNK_FRAMES) -> Dat
     frame a fake face comes first, then a smile, then movement, which hides a blink.
     Input: camera_id, track_id, frame_idx, ear, cx, cy, bw, mouth_w_ratio, mouth_open_ratio, is_fake.
     """
-    df = _scan(frames, chunk_frames, prev=["cx", "cy"], runs={"closed": is_closed(), "smile": is_smiling()})
+    df = frames.select(
+        *TRACK, "frame_idx", "cx", "cy", "bw", "is_fake", is_closed().alias("closed"), is_smiling().alias("smile")
+    )
+    df = _scan(df, chunk_frames, prev=["cx", "cy"], runs={"closed": F.col("closed"), "smile": F.col("smile")})
     blink = (F.col("closed_pos") == 0) & (F.col("closed_before") >= C.EAR_FRAMES)
     smile = (F.col("smile_pos") > 0) & (F.col("smile_pos") % C.SMILE_FRAMES == 0)
     kind = (
@@ -402,9 +408,12 @@ def event_candidates(frames: DataFrame, chunk_frames: int = CHUNK_FRAMES) -> Dat
     return df.withColumns({"event_kind": kind, "is_blink": blink, "is_move": has_moved()}).filter("event_kind IS NOT NULL")
 
 
-def fused_events(frames: DataFrame, gap: int = C.COOLDOWN_FRAMES, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+def fused_events(
+    frames: DataFrame, gap: int = C.COOLDOWN_FRAMES, chunk_frames: int = CHUNK_FRAMES
+) -> DataFrame:
     """Reported events of all kinds under the shared cool-down: (camera_id, track_id, frame_idx, event_kind)."""
-    return cooldown(event_candidates(frames, chunk_frames).select(*TRACK, "frame_idx", "event_kind"), gap, True, chunk_frames)
+    found = event_candidates(frames, chunk_frames).select(*TRACK, "frame_idx", "event_kind")
+    return cooldown(found, gap, True, chunk_frames)
 
 
 def smile_label(teeth: Column, squint: Column) -> Column:

@@ -27,3 +27,14 @@ def camera_report(faces: DataFrame, screens: DataFrame) -> DataFrame:
         F.count("*").alias("n_detections"), F.count_if("is_new").alias("n_tracks"),
         F.count_if("in_screen").alias("n_in_screen"), F.count_if("is_small").alias("n_small"),
     )
+
+
+def track_and_report(faces: DataFrame) -> DataFrame:
+    """Detections with features -> tracks -> reported events, the batch form of the camera stream.
+
+    Two detections of a frame on one track count as one, the later.
+    """
+    feats = ["cx", "cy", "w", "ear", "mouth_w_ratio", "mouth_open_ratio", "is_fake"]
+    tracked = V.track_faces(faces)
+    one = tracked.groupBy(*V.TRACK, "frame_idx").agg(F.max_by(F.struct(*feats), "det_no").alias("f"))
+    return V.fused_events(one.select(*V.TRACK, "frame_idx", "f.*").withColumnRenamed("w", "bw"))

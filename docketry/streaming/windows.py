@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def event_windows(events: DataFrame, length: str, slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """(window_start, window_end, event_kind, n) for tumbling or sliding windows over ``ts``."""
     if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+        # a watermark needs an instant, not a zone-less time
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     counted = events.groupBy(F.window("ts", length, slide).alias("w"), "event_kind").agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_kind", "n")
 
@@ -17,6 +18,7 @@ def event_windows(events: DataFrame, length: str, slide: str | None = None, late
 def event_sessions(events: DataFrame, gap: str, lateness: str = "10 minutes") -> DataFrame:
     """(track_id, window_start, window_end, n): stretches of a track's events without a longer pause."""
     if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+        # a watermark needs an instant, not a zone-less time
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     counted = events.groupBy(F.session_window("ts", gap).alias("w"), "track_id").agg(F.count("*").alias("n"))
     return counted.select("track_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
