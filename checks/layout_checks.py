@@ -85,7 +85,7 @@ def l3a(spark, sf):
 
 
 _LT = "lt AS (SELECT doc_id, page, line_key, avg(y_center) AS center, trim(string_agg(text, ' ' ORDER BY {order}), ' ') AS text FROM {src} GROUP BY ALL)"
-_OUT = "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY center, line_key) AS INTEGER) AS line_ord, round(center, 6) AS center, text FROM lt"
+_OUT = "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY center, line_key) AS INTEGER) AS line_ord, center, text FROM lt"
 
 
 @query("l4_order_in_line", f"WITH {LINES}, {_LT.format(order='x_left, y_center, word_id', src='geo JOIN placed USING (doc_id, page, y_center)')} SELECT doc_id, page, line_key, text FROM lt")
@@ -101,7 +101,7 @@ g2 AS (SELECT *, coalesce(regr_slope(cy, cx) OVER w, 0) AS m, stddev_pop(cx) OVE
 g3 AS (SELECT *, CASE WHEN c < 2 OR sd <= 1e-8 THEN x_left ELSE (cx + m * cy) / sqrt(1 + m * m) END AS proj FROM g2),
 {_LT.format(order='proj, y_center, word_id', src='g3')} {_OUT}""")
 def l5(spark, sf):
-    return L.sorted_lines(L.group_lines(geo(spark, sf)), baseline=True).withColumn("center", F.round("center", 6))
+    return L.sorted_lines(L.group_lines(geo(spark, sf)), baseline=True)
 
 
 _SORTED = f"WITH {LINES}, {_LT.format(order='x_left, y_center, word_id', src='geo JOIN placed USING (doc_id, page, y_center)')}"
@@ -109,7 +109,7 @@ _SORTED = f"WITH {LINES}, {_LT.format(order='x_left, y_center, word_id', src='ge
 
 @query("l6_sorted_lines", f"{_SORTED} {_OUT}")
 def l6(spark, sf):
-    return L.sorted_lines(L.group_lines(geo(spark, sf))).withColumn("center", F.round("center", 6))
+    return L.sorted_lines(L.group_lines(geo(spark, sf)))
 
 
 @query("s6_sorted_text", f"{_SORTED} SELECT doc_id, string_agg(text, chr(10) ORDER BY center, line_key) AS content FROM lt GROUP BY doc_id")
@@ -139,14 +139,14 @@ def l7r(spark, sf):
 
 
 @query("l8_iou", f"""WITH {BOXES}, e AS (SELECT page_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM boxes GROUP BY 1)
-SELECT a.page_id, a.box_no, round({iou_sql('a.', 'e.')}, 6) AS iou FROM boxes a JOIN e USING (page_id)""")
+SELECT a.page_id, a.box_no, {iou_sql('a.', 'e.')} AS iou FROM boxes a JOIN e USING (page_id)""")
 def l8(spark, sf):
     """Each box against the extent of its page's boxes."""
     b = X.boxes(spark, sf).select("page_id", "box_no", *L.BOX)
     e = b.groupBy("page_id").agg(F.min("x").alias("e_x"), F.min("y").alias("e_y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("e_w"),
                                  (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("e_h"))
     j = b.join(e, "page_id")
-    return j.select("page_id", "box_no", F.round(G.iou(L._box(), L._box("e_")), 6).alias("iou"))
+    return j.select("page_id", "box_no", G.iou(L._box(), L._box("e_")).alias("iou"))
 
 
 # one growing box per step: the next box in order that overlaps it joins, else the first unused box becomes the next seed
@@ -172,9 +172,9 @@ def l9(spark, sf):
 
 
 @query("l9p_overlap_pairs", f"""WITH {BOXES}
-SELECT a.page_id, a.box_no AS a_box_no, b.box_no AS b_box_no, round({iou_sql('a.', 'b.')}, 6) AS iou FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_no < b.box_no WHERE {iou_sql('a.', 'b.')} > 0.1""")
+SELECT a.page_id, a.box_no AS a_box_no, b.box_no AS b_box_no, {iou_sql('a.', 'b.')} AS iou FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_no < b.box_no WHERE {iou_sql('a.', 'b.')} > 0.1""")
 def l9p(spark, sf):
-    return L.overlap_pairs(X.boxes(spark, sf)).withColumn("iou", F.round("iou", 6))
+    return L.overlap_pairs(X.boxes(spark, sf))
 
 
 ADJ = """o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, box_no) AS k, count(*) OVER (PARTITION BY page_id) AS c FROM boxes),
@@ -260,6 +260,16 @@ def s8(spark, sf):
     return m.select("filename", "n_segments", F.array_join(F.transform("segments", one), ";").alias("segments"))
 
 
-@query("v2n_nms")
+NMS = f"""o AS (SELECT page_id, kind, box_no, x, y, w, h, row_number() OVER (PARTITION BY page_id, kind ORDER BY score DESC, box_no) AS k FROM boxes),
+nm AS (
+ SELECT page_id, kind, k, [{{'box_no': box_no, 'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM o WHERE k = 1
+ UNION ALL
+ SELECT o.page_id, o.kind, o.k, CASE WHEN len(list_filter(kept, lambda b: {iou_sql('b.', 'o.')} > 0.7)) > 0 THEN kept
+   ELSE list_append(kept, {{'box_no': o.box_no, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) END
+ FROM nm JOIN o ON o.page_id = nm.page_id AND o.kind = nm.kind AND o.k = nm.k + 1),
+fin AS (SELECT page_id, kind, arg_max(kept, k) AS kept FROM nm GROUP BY ALL)"""
+
+
+@query("v2n_nms", f"WITH RECURSIVE {BOXES}, {NMS} SELECT page_id, kind, unnest(kept).box_no AS box_no FROM fin")
 def v2n(spark, sf):
     return L.nms(X.boxes(spark, sf))

@@ -85,12 +85,12 @@ def o8(spark, sf):
 
 @query("o9_paragraph_confidence", f"""WITH {_BLOCKS}, {_PNUM},
 wc AS (SELECT doc_id, line_no, CASE WHEN word_no % 5 <> 0 THEN 1 WHEN word_no % 7 = 0 THEN length(text) ELSE 0 END AS n,
-  CASE WHEN word_no % 5 <> 0 THEN confidence WHEN word_no % 7 = 0 THEN 0.5 * length(text) ELSE 0 END AS v FROM word_cells),
+  CASE WHEN word_no % 5 <> 0 THEN confidence WHEN word_no % 7 = 0 THEN 0.5::DOUBLE * length(text) ELSE 0 END AS v FROM word_cells),
 s AS (SELECT doc_id, line_no, sum(v) / nullif(sum(n), 0) AS c FROM wc GROUP BY ALL)
-SELECT pn.doc_id, seq, round(CASE WHEN pn.line_no % 5 = 0 THEN 0.9::DOUBLE WHEN shape IN (0, 4) THEN c END, 6) AS confidence
+SELECT pn.doc_id, seq, CASE WHEN pn.line_no % 5 = 0 THEN 0.9::DOUBLE WHEN shape IN (0, 4) THEN c END AS confidence
 FROM pn LEFT JOIN s ON s.doc_id = pn.doc_id AND s.line_no = pn.line_no""")
 def o9(spark, sf):
-    return O.explode_paragraphs(_fta(spark, sf)).select("doc_id", "seq", F.round(O.paragraph_confidence(F.col("para")), 6).alias("confidence"))
+    return O.explode_paragraphs(_fta(spark, sf)).select("doc_id", "seq", O.paragraph_confidence(F.col("para")).alias("confidence"))
 
 
 _LBOX = rect("10", "(100 + 40 * line_no)", "(60 + 60 * last)", "(130 + 40 * line_no)")
@@ -195,7 +195,7 @@ SELECT doc_id, CAST(block_num AS INTEGER) AS block_num, par_num, CAST(line_num A
  string_agg({strip('text')}, '{sep}' ORDER BY "left", word_no) AS text{extra} FROM tsv WHERE length({strip('text')}) > 0 GROUP BY doc_id, block_num, par_num, line_num"""
 
 
-_TSV_BOX = """, min("left") AS x1, min(top) AS y1, max("left" + width) AS x2, max(top + height) AS y2, round(avg(conf) FILTER (conf >= 0), 6) AS confidence"""
+_TSV_BOX = """, min("left") AS x1, min(top) AS y1, max("left" + width) AS x2, max(top + height) AS y2, avg(conf) FILTER (conf >= 0) AS confidence"""
 
 
 def _tsv(spark, sf):
@@ -204,7 +204,7 @@ def _tsv(spark, sf):
 
 @query("o6_group_tsv_lines", _tsv_sql(" ", _TSV_BOX))
 def o6(spark, sf):
-    return O.group_tsv_lines(_tsv(spark, sf), "ord").withColumn("confidence", F.round("confidence", 6))
+    return O.group_tsv_lines(_tsv(spark, sf), "ord")
 
 
 @query("o6v_group_tsv_text_only", _tsv_sql(" ", ""))
@@ -222,11 +222,10 @@ w AS (SELECT doc_id, count(*) AS n FROM word_cells GROUP BY 1),
 l AS (SELECT doc_id, text, list_filter([{strip('x')} for x in regexp_split_to_array(text, '[\\r\\n]+')], lambda y: y <> '') AS p FROM documents),
 k AS (SELECT doc_id, line, min(pos) AS pos FROM (SELECT doc_id, trim(regexp_replace(unnest(p), '\\s+', ' ', 'g')) AS line, generate_subscripts(p, 1) AS pos FROM l) GROUP BY ALL),
 kk AS (SELECT doc_id, sum(length(line)) + count(*) - 1 AS n FROM k GROUP BY 1)
-SELECT l.doc_id, CAST(len(p) AS INTEGER) AS n_lines, CAST(length(text) AS INTEGER) AS n_chars, round(coalesce(kk.n, 0)::DOUBLE / greatest(1, length(text)), 6) AS kept_share,
+SELECT l.doc_id, CAST(len(p) AS INTEGER) AS n_lines, CAST(length(text) AS INTEGER) AS n_chars, coalesce(kk.n, 0)::DOUBLE / greatest(1, length(text)) AS kept_share,
  coalesce(w.n, 0) AS n_words, coalesce(w.n, 0) AS n_boxes FROM l LEFT JOIN w USING (doc_id) LEFT JOIN kk USING (doc_id)""")
 def o14(spark, sf):
-    m = O.doc_metrics(X.documents(spark, sf), X.words(spark, sf))
-    return m.withColumn("kept_share", F.round("kept_share", 6))
+    return O.doc_metrics(X.documents(spark, sf), X.words(spark, sf))
 
 
 # --- polygons ----------------------------------------------------------------------------------

@@ -68,7 +68,7 @@ word_cells AS (
   CAST(10 + 60 * word_no AS INTEGER) AS "left",
   CAST(100 + 40 * line_no + (doc_id * 7 + line_no * 3 + word_no * 5) % 9 AS INTEGER) AS top,
   50 AS width, CAST(20 + (word_no * 3 + doc_id) % 7 AS INTEGER) AS height,
-  CAST((doc_id + word_no) % 100 AS DOUBLE) / 100.0 AS confidence,
+  CAST((doc_id + word_no) % 128 AS DOUBLE) / 128.0 AS confidence,
   CAST(line_no AS BIGINT) * 1000000 + word_no AS word_id
  FROM toks WHERE text <> '')"""
 
@@ -105,7 +105,9 @@ FACES = """numbered AS (
 faces AS (
  SELECT camera_id, step + (row_no - 1) // 80 * 14 + 1 AS frame_idx, CAST(det AS INTEGER) AS det_no, ts,
   CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(w + 10 AS INTEGER) AS h,
-  CAST(x + w // 2 AS INTEGER) AS cx, CAST(y + (w + 10) // 2 AS INTEGER) AS cy
+  CAST(x + w // 2 AS INTEGER) AS cx, CAST(y + (w + 10) // 2 AS INTEGER) AS cy,
+  CAST((event_id * 7919) % 400 AS DOUBLE) / 1000 AS ear, CAST((event_id * 104729) % 100 AS DOUBLE) / 160 AS mouth_w_ratio,
+  CAST((event_id * 1299709) % 100 AS DOUBLE) / 250 AS mouth_open_ratio, (event_id * 613) % 1000 < 120 AS is_fake
  FROM (SELECT *, 100 + 320 * det + (step * 3) % 60 + CASE WHEN event_id % 17 = 0 THEN 90 ELSE 0 END AS x,
               120 + (step * 5) % 80 + CASE WHEN event_id % 23 = 0 THEN 70 ELSE 0 END AS y,
               60 + event_id % 90 AS w

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.text_checks import SCORES
+from checks.track_checks import REPORTED
 from docketry import fixtures as X
 from docketry.plans import faces as PF
 from docketry.sources.readers import shared_folder
@@ -31,7 +32,7 @@ def t1(spark, sf):
     return spark.read.parquet(f"{base}/out").select("doc_id", "best_type")
 
 
-@query("t2_stream_tracks")
+@query("t2_stream_tracks", f"WITH {REPORTED} SELECT camera_id, track_id, frame_idx, event_kind FROM fused")
 def t2(spark, sf):
     """Detections are stored once and replayed as a stream."""
     base = shared_folder(spark, "t2")
@@ -47,7 +48,7 @@ def t2(spark, sf):
     return spark.read.schema(ST.EVENT_DDL).parquet(f"{base}/out")
 
 
-@query("t2_track_and_report_batch")
+@query("t2_track_and_report_batch", f"WITH {REPORTED} SELECT camera_id, track_id, frame_idx, event_kind FROM fused")
 def t2b(spark, sf):
     return PF.track_and_report(X.faces(spark, sf))
 

@@ -450,12 +450,12 @@ def e7(spark, sf):
 
 
 @query("c6_type_distribution", f"""WITH {SCORES}, j AS (SELECT c_mktsegment AS source, best_type, top_score FROM best JOIN customer ON c_custkey = doc_id)
-SELECT source, best_type, count(*) AS n_docs, count(*) FILTER (WHERE best_type = 'UNKNOWN') AS n_unknown, round(avg(top_score), 6) AS mean_score, CAST(grouping_id(source, best_type) AS INTEGER) AS level
+SELECT source, best_type, count(*) AS n_docs, count(*) FILTER (WHERE best_type = 'UNKNOWN') AS n_unknown, avg(top_score) AS mean_score, CAST(grouping_id(source, best_type) AS INTEGER) AS level
 FROM j GROUP BY ROLLUP (source, best_type)""")
 def c6(spark, sf):
     k = K.classify(X.scans(spark, sf)).select("doc_id", "best_type", "scores")
     c = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("source"))
-    return K.type_distribution(k.join(c, "doc_id"), "source").withColumn("mean_score", F.round("mean_score", 6))
+    return K.type_distribution(k.join(c, "doc_id"), "source")
 
 
 @query("c7_pdf_rollup", f"""WITH {SCORES}

@@ -125,13 +125,34 @@ def v6(spark, sf):
 
 # --- tracking ----------------------------------------------------------------------------------
 
-@query("v7_track_faces")
+def track_sql(factor: float, floor: int) -> str:
+    """One detection per step: tracks in trying order, the ids touched in this frame, the tracks born in it."""
+    return f"""fo AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_idx, det_no) AS k FROM faces),
+tr AS (
+ SELECT camera_id, k, frame_idx, det_no, []::STRUCT(id BIGINT, cx INTEGER, cy INTEGER, seen BIGINT)[] AS trk, [{{'id': 0::BIGINT, 'cx': cx, 'cy': cy, 'seen': frame_idx}}] AS born, [0::BIGINT] AS touched,
+  1::BIGINT AS next_id, 0::BIGINT AS track_id, true AS is_new, NULL::DOUBLE AS match_distance FROM fo WHERE k = 1
+ UNION ALL
+ SELECT camera_id, k, frame_idx, det_no,
+  CASE WHEN b IS NULL THEN ts0 ELSE list_transform(ts0, lambda t, i: CASE WHEN i = b.i THEN {{'id': t.id, 'cx': cx, 'cy': cy, 'seen': frame_idx}} ELSE t END) END,
+  CASE WHEN b IS NULL THEN list_append(born0, {{'id': next_id, 'cx': cx, 'cy': cy, 'seen': frame_idx}}) ELSE born0 END,
+  CASE WHEN b IS NULL THEN list_append(touched0, next_id) WHEN list_contains(touched0, ts0[b.i].id) THEN touched0 ELSE list_append(touched0, ts0[b.i].id) END,
+  CASE WHEN b IS NULL THEN next_id + 1 ELSE next_id END, CASE WHEN b IS NULL THEN next_id ELSE ts0[b.i].id END, b IS NULL, b.d
+ FROM (SELECT *, list_min(list_filter(list_transform(ts0, lambda t, i: {{'d': sqrt((power(t.cx - cx, 2) + power(t.cy - cy, 2))::DOUBLE), 'i': i}}), lambda z: z.d <= greatest({floor}, w * {factor}::DOUBLE))) AS b
+  FROM (SELECT f.camera_id, f.k, f.frame_idx, f.det_no, f.cx, f.cy, f.w, next_id,
+    CASE WHEN f.frame_idx = tr.frame_idx THEN trk ELSE list_filter(list_concat(
+       list_transform(touched, lambda id: coalesce(list_filter(born, lambda t: t.id = id)[1], list_filter(trk, lambda t: t.id = id)[1])),
+       list_filter(trk, lambda t: NOT list_contains(touched, t.id))), lambda t: f.frame_idx - 1 - t.seen <= 12) END AS ts0,
+    CASE WHEN f.frame_idx = tr.frame_idx THEN born ELSE [] END AS born0, CASE WHEN f.frame_idx = tr.frame_idx THEN touched ELSE [] END AS touched0
+   FROM tr JOIN fo f ON f.camera_id = tr.camera_id AND f.k = tr.k + 1)))"""
+
+
+@query("v7_track_faces", f"WITH RECURSIVE {FACES}, {track_sql(0.6, 20)} SELECT camera_id, frame_idx, det_no, track_id, is_new, round(match_distance, 6) AS match_distance FROM tr")
 def v7(spark, sf):
     t = V.track_faces(X.faces(spark, sf))
     return t.select("camera_id", "frame_idx", "det_no", "track_id", "is_new", F.round("match_distance", 6).alias("match_distance"))
 
 
-@query("v7_track_faces_half_width")
+@query("v7_track_faces_half_width", f"WITH RECURSIVE {FACES}, {track_sql(0.5, 0)} SELECT camera_id, frame_idx, det_no, track_id, is_new FROM tr")
 def v7h(spark, sf):
     t = V.track_faces(X.faces(spark, sf), factor=0.5, floor=0)
     return t.select("camera_id", "frame_idx", "det_no", "track_id", "is_new")
@@ -260,9 +281,10 @@ def v10t(spark, sf):
     return V.smile_events_teeth(f, V.teeth_flag(F.col("bright_px"), F.col("mouth_px")), F.col("is_fake"))
 
 
-_CAND = f"""{FRAMES}, {ISL}, {isl('closed', 'c')}, {isl('smiling', 's')},
+_CAND_OF = f"""{ISL}, {isl('closed', 'c')}, {isl('smiling', 's')},
 cand AS (SELECT camera_id, track_id, frame_idx, CASE WHEN is_fake THEN 'fake_face' WHEN s.pos > 0 AND s.pos % 3 = 0 THEN 'smile' WHEN moved THEN 'motion' WHEN NOT closed AND cb.before >= 3 THEN 'blink' END AS event_kind
   FROM cb JOIN (SELECT camera_id, track_id, frame_idx, pos FROM s) s USING (camera_id, track_id, frame_idx))"""
+_CAND = f"{FRAMES}, {_CAND_OF}"
 _THIN = """ev AS (SELECT * FROM cand WHERE event_kind IS NOT NULL),
 k AS (SELECT camera_id, track_id, min(frame_idx) AS frame_idx FROM ev WHERE frame_idx > 12 GROUP BY ALL
  UNION ALL SELECT k.camera_id, k.track_id, (SELECT min(ev.frame_idx) FROM ev WHERE ev.camera_id = k.camera_id AND ev.track_id = k.track_id AND ev.frame_idx > k.frame_idx + 12) FROM k
@@ -300,14 +322,25 @@ def v19(spark, sf):
 
 
 @query("v20_track_summary", f"""WITH RECURSIVE {_CAND}, {_THIN},
-life AS (SELECT camera_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames, round(avg(CAST(is_fake AS DOUBLE)), 6) AS fake_share FROM frames GROUP BY ALL)
+life AS (SELECT camera_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames, avg(CAST(is_fake AS DOUBLE)) AS fake_share FROM frames GROUP BY ALL)
 SELECT life.*, {', '.join(f"(SELECT count(*) FROM fused e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id AND event_kind = '{k}') AS n_{k}" for k in ('blink', 'smile', 'motion', 'fake_face'))} FROM life""")
 def v20(spark, sf):
     f = X.frames(spark, sf)
-    return V.track_summary(f, V.fused_events(f)).withColumn("fake_share", F.round("fake_share", 6))
+    return V.track_summary(f, V.fused_events(f))
 
 
-@query("v_camera_report")
+REPORTED = f"""RECURSIVE {FACES}, {track_sql(0.6, 20)},
+frames AS (SELECT camera_id, track_id, frame_idx, arg_max(cx, det_no) AS cx, arg_max(cy, det_no) AS cy, arg_max(w, det_no) AS bw, arg_max(ear, det_no) AS ear,
+  arg_max(mouth_w_ratio, det_no) AS mouth_w_ratio, arg_max(mouth_open_ratio, det_no) AS mouth_open_ratio, arg_max(is_fake, det_no) AS is_fake
+  FROM faces JOIN (SELECT camera_id, frame_idx, det_no, track_id FROM tr) USING (camera_id, frame_idx, det_no) GROUP BY ALL),
+{_CAND_OF}, {_THIN}"""
+
+
+@query("v_camera_report", f"""WITH RECURSIVE {FACES}, {_SCREENS}, {track_sql(0.6, 20)},
+fl AS (SELECT camera_id, frame_idx, det_no, EXISTS (SELECT 1 FROM screens s WHERE s.camera_id = f.camera_id AND s.frame_idx = f.frame_idx - f.frame_idx % 6
+  AND f.x >= s.x AND f.y >= s.y AND f.x + f.w <= s.x + s.w AND f.y + f.h <= s.y + s.h) AS in_screen, w < max(w) OVER (PARTITION BY camera_id, frame_idx) * 0.40::DOUBLE AS small FROM faces f)
+SELECT camera_id, count(*) AS n_detections, count(*) FILTER (is_new) AS n_tracks, count(*) FILTER (in_screen) AS n_in_screen, count(*) FILTER (small) AS n_small
+FROM tr JOIN fl USING (camera_id, frame_idx, det_no) GROUP BY 1""")
 def vcam(spark, sf):
     """Detections of every camera: screens, fake faces, tracks."""
     return PF.camera_report(X.faces(spark, sf), screens(spark, sf))

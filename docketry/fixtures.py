@@ -121,7 +121,7 @@ def word_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         (100 + 40 * ln + (d * 7 + ln * 3 + w * 5) % 9).cast("int").alias("top"),
         F.lit(50).alias("width"),
         (20 + (w * 3 + d) % 7).cast("int").alias("height"),
-        (((d + w) % 100) / F.lit(100.0)).alias("confidence"),
+        (((d + w) % 128) / F.lit(128.0)).alias("confidence"),
     )
 
 
@@ -312,7 +312,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
           filter(transform(split(l, ' '), (w, j) -> struct(w AS w,
              if(j % 7 <> 0, w, NULL) AS text,
              if(j % 7 = 0, transform(filter(split(w, ''), c -> c <> ''), c -> struct(c AS text, 0.5D AS confidence)), NULL) AS symbols,
-             if(j % 5 <> 0, ((doc_id + j) % 100) / 100.0D, NULL) AS confidence,
+             if(j % 5 <> 0, ((doc_id + j) % 128) / 128.0D, NULL) AS confidence,
              {word_box} AS boundingBox)), t -> t.w <> '') AS toks)), x -> size(x.toks) > 0)"""),
     )
     words = "transform(x.toks, t -> struct(t.text AS text, t.symbols AS symbols, t.confidence AS confidence, t.boundingBox AS boundingBox))"
@@ -355,5 +355,5 @@ def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
               10.5D + 60 * e.word_no AS x, 100.5D + 40 * e.line_no AS y, 20.0D + doc_id % 7 AS h)), g ->
               {poly.replace("x,", "g.x,").replace("x +", "g.x +").replace("y)", "g.y)").replace("y +", "g.y +").replace(" h)", " g.h)")})[0])"""
         ).alias("rec_polys"),
-        F.expr("transform(slice(t, 1, size(t) - if(doc_id % 2 = 0, 1, 0)), e -> ((doc_id + e.word_no) % 100) / 100.0D)").alias("rec_scores"),
+        F.expr("transform(slice(t, 1, size(t) - if(doc_id % 2 = 0, 1, 0)), e -> ((doc_id + e.word_no) % 128) / 128.0D)").alias("rec_scores"),
     )
