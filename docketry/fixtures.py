@@ -256,16 +256,12 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """468-point face meshes in normalised coordinates, one per event."""
-    ev = table(spark, sf_dir, "events")
-    return ev.select(
-        "event_id",
-        F.lit(640).alias("frame_w"),
-        F.lit(480).alias("frame_h"),
-        F.expr(
-            "transform(sequence(0, 467), i -> struct("
-            "(200 + (event_id * 7 + i * 37) % 240) / 640.0D AS x, (100 + (event_id * 5 + i * 53) % 280) / 480.0D AS y))"
-        ).alias("landmarks"),
+    ev = widen(table(spark, sf_dir, "events").select("event_id"))
+    mesh = F.expr(
+        "array(transform(sequence(0, 467), i -> struct("
+        "(200 + (event_id * 7 + i * 37) % 240) / 640.0D AS x, (100 + (event_id * 5 + i * 53) % 280) / 480.0D AS y)))"
     )
+    return ev.select("event_id", F.lit(640).alias("frame_w"), F.lit(480).alias("frame_h"), F.explode_outer(mesh).alias("landmarks"))
 
 
 def engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

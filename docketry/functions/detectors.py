@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import catalog as C
-from docketry.functions.patterns import WORD, first_match, found, unicode_regex
+from docketry.functions.patterns import WORD, first_match, found, found_after, may_hold, unicode_regex
 
 _NOT_WORD = rf"[^{WORD}]"
 
@@ -67,7 +67,8 @@ def detect_voter(text: Column, variant: str = "v2") -> Column:
     end = F.length(head)
     start = F.greatest(F.lit(0), end - C.VOTER_CONTEXT_CHARS)
     context = F.substring(text, start + 1, end + C.VOTER_CONTEXT_CHARS - start)
-    near = F.when(found(text, C.VOTER_PHRASE, True), first_match(context, C.VOTER_NEARBY, True))
+    phrase = may_hold(text, "elector", "election commission of india") & found(text, C.VOTER_PHRASE, True)
+    near = F.when(phrase, first_match(context, C.VOTER_NEARBY, True))
     hit = F.coalesce(strict, near)
     return _result(_upper_word(hit), hit)
 
@@ -95,10 +96,10 @@ def id_components(text: Column, compat: str = "d5") -> Column:
     ``d11`` is ``d5`` with that version's one-digit day in year-first dates.
     """
     number = detect_digit12(text)
-    word_male = found(text, C.MALE_WORD, True)
-    letter_male = found(text, C.MALE_LETTER, True)
+    word_male = found_after(text, ("male",), C.MALE_WORD)
+    letter_male = found_after(text, ("gender", "sex"), C.MALE_LETTER)
     male = word_male | letter_male
-    birth_word = found(text, C.DOB_WORD, True)
+    birth_word = found_after(text, ("date of birth", "dob"), C.DOB_WORD)
     named = rf"{C.DATE_MONTH_NAME}|{C.DATE_NUMERIC}"
     if compat == "d14":
         dob = birth_word | found(text, named, True)
@@ -118,9 +119,9 @@ def id_components(text: Column, compat: str = "d5") -> Column:
         F.when(word_male, F.lit("Male")).when(letter_male, F.lit("M")).alias("male_value"),
         dob.alias("dob_found"),
         dob_text.alias("dob_text"),
-        found(text, C.ISSUER, True).alias("issuer_found"),
-        found(text, C.AUTHORITY, True).alias("authority_found"),
-        found(text, C.ADDRESS, True).alias("address_found"),
+        found_after(text, ("government of india",), C.ISSUER).alias("issuer_found"),
+        found_after(text, ("unique identification authority", "uidai"), C.AUTHORITY).alias("authority_found"),
+        found_after(text, ("address",), C.ADDRESS).alias("address_found"),
         found(text, relation, True).alias("relation_found"),
     )
 

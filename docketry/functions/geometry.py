@@ -93,15 +93,15 @@ def polygons_from_string(s: Column) -> Column:
 
 def word_geometry(vertices: Column) -> Column:
     """struct(x_left, y_top, y_bottom, y_center, height, cx, cy) of a polygon."""
-    xs = F.transform(vertices, lambda p: p["x"].cast("double"))
-    ys = F.transform(vertices, lambda p: p["y"].cast("double"))
+    xs, ys = vertices["x"], vertices["y"]
 
     def mean(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+        return total / F.size(values)
 
-    top, bottom = F.array_min(ys), F.array_max(ys)
+    top, bottom = F.array_min(ys).cast("double"), F.array_max(ys).cast("double")
     return F.struct(
-        F.array_min(xs).alias("x_left"), top.alias("y_top"), bottom.alias("y_bottom"),
+        F.array_min(xs).cast("double").alias("x_left"), top.alias("y_top"), bottom.alias("y_bottom"),
         ((top + bottom) / 2).alias("y_center"), F.greatest(F.lit(1.0), bottom - top).alias("height"),
         mean(xs).alias("cx"), mean(ys).alias("cy"),
     )

@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from docketry.functions.patterns import WORD
+from docketry.functions.text import once
 
 
 def token_set(text: Column) -> Column:
@@ -63,11 +64,6 @@ def _pct(distance: Column, total: Column) -> Column:
     return F.lit(100.0) - F.lit(100.0) * distance / total
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _parts(a: Column, b: Column) -> Column:
     """What is known of a pair without its LCS, and whether the LCS can improve it."""
     def lengths(p: Column) -> Column:
@@ -91,7 +87,7 @@ def _parts(a: Column, b: Column) -> Column:
             p["s"].alias("s"), (na + nb).alias("total"), (nx + ny).alias("apart"), known.alias("known"), bound.alias("bound")
         )
 
-    return _let(_let(F.struct(F.array_intersect(a, b).alias("s")), lengths), bounds)
+    return once(once(F.struct(F.array_intersect(a, b).alias("s")), lengths), bounds)
 
 
 def with_similarity(

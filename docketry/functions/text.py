@@ -130,17 +130,20 @@ def alpha_ratio(c: Column) -> Column:
     return letters / F.greatest(F.lit(1), F.length(c))
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _noise_free(line: Column) -> Column:
     """The cleaned line, or null when it is only coordinates, a confidence, or bracket noise."""
+    def judge(p: Column) -> Column:
+        noise = (p == "") | p.rlike(unicode_regex(C.COORDINATES_ONLY)) | p.rlike(unicode_regex(C.CONFIDENCE_ONLY))
+        return F.when(~noise, p)
+
     bracketed = line.rlike(C.BRACKETS)
-    plain = F.when(bracketed, norm_space(F.regexp_replace(line, C.BRACKETS, " "))).otherwise(norm_space(line))
-    noise = (
-        (bracketed & (alpha_ratio(line) < C.MIN_ALPHA_RATIO))
-        | (plain == "")
-        | plain.rlike(unicode_regex(C.COORDINATES_ONLY))
-        | plain.rlike(unicode_regex(C.CONFIDENCE_ONLY))
-    )
-    return F.when(~noise, plain)
+    plain = once(norm_space(F.regexp_replace(line, C.BRACKETS, " ")), judge)
+    return F.when(~bracketed, once(norm_space(line), judge)).when(alpha_ratio(line) >= C.MIN_ALPHA_RATIO, plain)
 
 
 def drop_ocr_noise(lines: Column) -> Column:

@@ -24,14 +24,12 @@ from docketry.functions.detectors import (
     id_side,
     required_number,
 )
-from docketry.functions.patterns import unicode_regex
+from docketry.functions.patterns import may_hold, unicode_regex
 from docketry.functions.similarity import joined_length, token_set, with_similarity
 from docketry.functions.text import has_text, match_lines, norm_space, plain_pattern
 
 _FULL_TEXT = 2**31 - 1
 _DOCUMENT = -1
-# letters outside ASCII that equal an ASCII letter when case is ignored
-_ODD_CASE = "[\u017f\u212a\u0130\u0131]"
 _INFO = "array<struct<type_ord:int,doc_type:string,pattern_ord:int,pattern:string>>"
 
 
@@ -70,12 +68,11 @@ def regex_matches(text: Column, templates=C.TEMPLATES) -> Column:
 
     A plain phrase is looked up in the lower-cased text first, so the regex engine runs only on hits.
     """
-    low, odd = F.lower(text), text.rlike(_ODD_CASE)
     out = []
     for _, _, _, p in C.pattern_rows(templates):
         hit = F.nullif(F.regexp_extract(text, unicode_regex(p, True), 0), F.lit(""))
         plain = not re.search(r"[\\\[\](){}.*+?^$|]", p)
-        out.append(F.when(F.contains(low, F.lit(p.lower())) | odd, hit) if plain else hit)
+        out.append(F.when(may_hold(text, p), hit) if plain else hit)
     return F.array(*out)
 
 

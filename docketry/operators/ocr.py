@@ -73,7 +73,8 @@ def read_annotations(responses: DataFrame, payload: str = "payload") -> DataFram
     df = df.withColumn("_deep", _search_json(F.when(F.col("_usual").isNull(), F.col(payload))))
     text = F.coalesce("_usual.doc", "_deep")
     wrapper = F.coalesce("_usual.wrapper", F.when(F.col("_deep").isNotNull(), F.lit("search")))
-    return df.select(*responses.columns, wrapper.alias("wrapper"), F.from_json(text, ANNOTATION).alias("fta"))
+    fta = F.explode_outer(F.array(F.from_json(text, ANNOTATION)))
+    return df.select(*responses.columns, wrapper.alias("wrapper"), fta.alias("fta"))
 
 
 def rejected(annotations: DataFrame) -> DataFrame:
