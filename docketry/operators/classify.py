@@ -108,7 +108,10 @@ def _candidate_ords(tokens: Column, length: Column, threshold: float) -> Column:
 def _line_pieces(lines: Column, text: Column) -> Column:
     """(line_no, line) entries: the lines in order, then the white-space-normalised whole text."""
     return F.concat(
-        F.transform(lines, lambda s, i: F.struct(i.cast("int").alias("line_no"), s.alias("line"))),
+        F.transform(
+            F.coalesce(lines, F.array().cast("array<string>")),
+            lambda s, i: F.struct(i.cast("int").alias("line_no"), s.alias("line")),
+        ),
         F.array(F.struct(F.lit(_FULL_TEXT).alias("line_no"), norm_space(text).alias("line"))),
     )
 
