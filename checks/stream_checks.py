@@ -64,7 +64,8 @@ def t4(spark, sf):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    counted = SW.event_windows(ev, "10 minutes").select("window_start", "event_kind", "n")
+    counted = SW.event_windows(ev, "10 minutes")
+    counted = counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_kind", "n")
     (counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{base}/out")

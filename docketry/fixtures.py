@@ -80,7 +80,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.format_string("%s/Scan #%d (%s).v1%s", "source", "doc_id", "lang", ext)
     return table(spark, sf_dir, "documents").select(
         name.alias("path"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("modificationTime"),
+        F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("modificationTime"),
         F.col("n_chars").alias("length"),
         "doc_id",
         "lang",

@@ -90,22 +90,40 @@ def match_lines(text: Column, split_short: bool = True) -> Column:
     return F.array_distinct(F.filter(F.transform(lines, norm_space), lambda s: s != ""))
 
 
+def _windows_1252(n: int) -> str:
+    try:
+        return bytes([n]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(n)
+
+
+_C1 = [_windows_1252(n) for n in range(0x80, 0xA0)]
+
+
 def unescape(c: Column) -> Column:
     """Replace character references in one pass (the catalogue's names, and any number)."""
     names = F.create_map(*[F.lit(x) for kv in C.ENTITIES.items() for x in kv])
 
-    def code_point(number: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    def code_point(digits: Column, base: int) -> Column:
+        # more than seven digits is beyond Unicode in either base
+        n = F.conv(F.when(F.length(digits) <= 7, digits).otherwise("0"), base, 10).cast("bigint")
+        valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        # control and non-characters vanish, the C1 range is read as Windows-1252
+        silent = n.between(1, 8) | n.isin(0x0B, 0x7F) | n.between(0x0E, 0x1F) | n.between(0xFDD0, 0xFDEF)
+        silent = silent | (valid & (n % 0x10000).isin(0xFFFE, 0xFFFF))
+        western = F.element_at(F.array(*[F.lit(x) for x in _C1]), (n - 0x80 + 1).cast("int"))
+        return F.when(digits != "", F.when(silent, "").when(n.between(0x80, 0x9F), western).otherwise(char))
 
     def one(piece: Column, i: Column) -> Column:
         ref = F.regexp_extract(piece, r"^#?[A-Za-z0-9]{1,31};", 0)
-        decimal = F.regexp_extract(ref, r"^#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(ref, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        decimal = F.regexp_extract(ref, r"^#0*([0-9]+);", 1)
+        hexa = F.regexp_extract(ref, r"^#[xX]0*([0-9A-Fa-f]+);", 1)
         char = F.when(ref == "", F.lit(None).cast("string")).otherwise(
             F.coalesce(
                 F.element_at(names, F.concat(F.lit("&"), ref)),
-                F.when(decimal != "", code_point(decimal.cast("bigint"))),
-                F.when(hexa != "", code_point(F.conv(hexa, 16, 10).cast("bigint"))),
+                code_point(decimal, 10),
+                code_point(hexa, 16),
             )
         )
         rest = F.substring(piece, F.length(ref) + 1, F.length(piece))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,21 +191,28 @@ class _MergeOverlaps(Rule):
         return ()
 
     def finish(self):
-        left = self.boxes
-        while left:
-            seed, x1, y1, x2, y2 = left[0]
-            rest, n = [], 1
-            for b in left[1:]:
-                iw = min(x2, b[3]) - max(x1, b[1])
-                ih = min(y2, b[4]) - max(y1, b[2])
-                inter = iw * ih if iw > 0 and ih > 0 else 0
-                union = (x2 - x1) * (y2 - y1) + (b[3] - b[1]) * (b[4] - b[2]) - inter
-                if union > 0 and inter / union > self.threshold:
-                    x1, y1, x2, y2, n = min(x1, b[1]), min(y1, b[2]), max(x2, b[3]), max(y2, b[4]), n + 1
-                else:
-                    rest.append(b)
-            yield (seed, x1, y1, x2 - x1, y2 - y1, n)
-            left = rest
+        seeds = np.array([b[0] for b in self.boxes], dtype=np.int64)
+        x1, y1, x2, y2 = (np.array([b[i] for b in self.boxes], dtype=np.int64) for i in (1, 2, 3, 4))
+        areas = (x2 - x1) * (y2 - y1)
+        while len(seeds):
+            g, n, at = (x1[0], y1[0], x2[0], y2[0]), 1, 1
+            used = np.zeros(len(seeds), dtype=bool)
+            used[0] = True
+            while at < len(seeds):
+                # the next box in order that overlaps the region as it is now
+                iw = np.minimum(g[2], x2[at:]) - np.maximum(g[0], x1[at:])
+                ih = np.minimum(g[3], y2[at:]) - np.maximum(g[1], y1[at:])
+                inter = np.maximum(iw, 0) * np.maximum(ih, 0)
+                union = (g[2] - g[0]) * (g[3] - g[1]) + areas[at:] - inter
+                hit = (union > 0) & (inter / np.maximum(union, 1) > self.threshold)
+                if not hit.any():
+                    break
+                j = at + int(hit.argmax())
+                g = (min(g[0], x1[j]), min(g[1], y1[j]), max(g[2], x2[j]), max(g[3], y2[j]))
+                used[j], n, at = True, n + 1, j + 1
+            yield (int(seeds[0]), int(g[0]), int(g[1]), int(g[2] - g[0]), int(g[3] - g[1]), n)
+            left = ~used
+            seeds, x1, y1, x2, y2, areas = seeds[left], x1[left], y1[left], x2[left], y2[left], areas[left]
 
 
 def merge_overlaps(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFrame:
@@ -303,11 +311,12 @@ def _cells(boxes: DataFrame, cell: int) -> DataFrame:
     return boxes.select("*", F.explode(across).alias("_cx")).select("*", F.explode(down).alias("_cy"))
 
 
-def _touching(a: DataFrame, b: DataFrame, threshold: float, cell: int) -> DataFrame:
+def _touching(a: DataFrame, b: DataFrame, carry: Sequence[str], threshold: float, cell: int) -> DataFrame:
     """Pairs of one page above an IoU, each exactly once: in the cell of the intersection's corner."""
-    left = _cells(a.select("page_id", *[F.col(c).alias(f"a_{c}") for c in ("box_no", *BOX)], *BOX), cell).drop(*BOX)
-    right = _cells(b.select("page_id", *[F.col(c).alias(f"b_{c}") for c in ("box_no", *BOX)], *BOX), cell).drop(*BOX)
-    pairs = left.join(right, ["page_id", "_cx", "_cy"])
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return _cells(df.select("page_id", *[F.col(c).alias(p + c) for c in (*carry, *BOX)], *BOX), cell).drop(*BOX)
+
+    pairs = side(a, "a_").join(side(b, "b_"), ["page_id", "_cx", "_cy"])
     corner = (F.col("_cx") == F.floor(F.greatest("a_x", "b_x") / cell)) & (F.col("_cy") == F.floor(F.greatest("a_y", "b_y") / cell))
     pairs = pairs.filter(corner).withColumn("iou", G.iou(_box("a_"), _box("b_")))
     return pairs.filter(F.col("iou") > threshold).drop("_cx", "_cy")
@@ -315,14 +324,19 @@ def _touching(a: DataFrame, b: DataFrame, threshold: float, cell: int) -> DataFr
 
 def overlap_pairs(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int = _CELL) -> DataFrame:
     """(page_id, a_box_no, b_box_no, iou) of overlapping boxes; only boxes sharing a grid cell meet."""
-    near = _touching(boxes, boxes, threshold, cell).filter(F.col("a_box_no") < F.col("b_box_no"))
+    near = _touching(boxes, boxes, ["box_no"], threshold, cell).filter(F.col("a_box_no") < F.col("b_box_no"))
     return near.select("page_id", "a_box_no", "b_box_no", "iou")
 
 
 def suppress_overlaps(texts: DataFrame, tables: DataFrame, threshold: float = C.SUPPRESS_IOU, cell: int = _CELL) -> DataFrame:
-    """Text boxes that do not overlap any table box of their page."""
-    hit = _touching(texts, tables, threshold, cell).select("page_id", F.col("a_box_no").alias("box_no")).distinct()
-    return texts.join(hit, ["page_id", "box_no"], "left_anti")
+    """Text boxes that do not overlap any table box of their page.
+
+    Copies of a box share their fate, so each distinct rectangle is compared once.
+    """
+    shapes = lambda df: df.select("page_id", *BOX).distinct()
+    hit = _touching(shapes(texts), shapes(tables), [], threshold, cell)
+    hit = hit.select("page_id", *[F.col(f"a_{c}").alias(c) for c in BOX]).distinct()
+    return texts.join(hit, ["page_id", *BOX], "left_anti")
 
 
 def photo_rule(boxes: DataFrame, max_words: int = 5) -> DataFrame:

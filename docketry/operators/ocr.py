@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from docketry.functions import geometry as G
 from docketry.functions import text as T
-from docketry.schemas import ANNOTATION, PARAGRAPH, PIXEL, WRAPPERS
+from docketry.schemas import ANNOTATION, BLOCK, PARAGRAPH, PIXEL, WRAPPERS
 
 # --- responses ---------------------------------------------------------------------------------
 
@@ -126,28 +126,25 @@ def node_vertices(node: Column, compat: str | None = None) -> Column:
     return G.polygon_from_points(F.coalesce(some(box["vertices"]), some(box["normalizedVertices"])), compat)
 
 
-def explode_paragraphs(annotations: DataFrame) -> DataFrame:
-    """(doc_id, page_no, block_no, para_no, seq, para): numbered from 1, ``seq`` running over the document."""
+def _paragraph_array() -> Column:
+    """Paragraphs of ``fta`` in order, each with its page, block and paragraph number (from 1)."""
     def place(page: Column, block: Column, no: Column, para: Column) -> Column:
         return F.struct((page + 1).alias("page_no"), (block + 1).alias("block_no"), (no + 1).alias("para_no"), para.alias("para"))
 
     def in_block(block: Column, pi: Column, bi: Column) -> Column:
         return F.transform(_list(block["paragraphs"], PARAGRAPH), lambda q, qi: place(pi, bi, qi, q))
 
-    paged = F.flatten(
-        F.flatten(
-            F.transform(
-                F.col("fta.pages"),
-                lambda p, pi: F.transform(
-                    F.coalesce(p["blocks"], F.slice(p["blocks"], 1, 0)), lambda b, bi: in_block(b, pi, bi)
-                ),
-            )
-        )
-    )
+    def in_page(page: Column, pi: Column) -> Column:
+        return F.transform(_list(page["blocks"], BLOCK), lambda b, bi: in_block(b, pi, bi))
+
     zero = F.lit(0)
     direct = F.transform(_list(F.col("fta.paragraphs"), PARAGRAPH), lambda q, qi: place(zero, zero, qi, q))
-    every = F.when(F.size("fta.pages") > 0, paged).otherwise(direct)
-    rows = annotations.select("doc_id", F.posexplode(every).alias("pos", "e"))
+    return F.when(F.size("fta.pages") > 0, F.flatten(F.flatten(F.transform("fta.pages", in_page)))).otherwise(direct)
+
+
+def explode_paragraphs(annotations: DataFrame) -> DataFrame:
+    """(doc_id, page_no, block_no, para_no, seq, para): numbered from 1, ``seq`` running over the document."""
+    rows = annotations.select("doc_id", F.posexplode(_paragraph_array()).alias("pos", "e"))
     return rows.select("doc_id", "e.page_no", "e.block_no", "e.para_no", (F.col("pos") + 1).alias("seq"), "e.para")
 
 
@@ -220,19 +217,20 @@ def combined_text(annotations: DataFrame) -> DataFrame:
 
     ``full_text`` falls back to the paragraphs when the annotation has no text of its own.
     """
-    paras = explode_paragraphs(annotations).select(
-        "doc_id", "seq", "page_no", "block_no", paragraph_text(F.col("para")).alias("text")
-    )
-    head = F.format_string("--- paragraph_%03d (page %d block %d) ---\n", "seq", "page_no", "block_no")
-    parts = paras.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.concat(head, "text", F.lit("\n\n")).alias("headed"), "text"))).alias("p")
+    texts = F.transform(
+        _paragraph_array(),
+        lambda e: F.struct(e["page_no"].alias("page_no"), e["block_no"].alias("block_no"), paragraph_text(e["para"]).alias("text")),
     )
-    whole = annotations.select("doc_id", F.nullif("fta.text", F.lit("")).alias("own"))
-    df = whole.join(parts, "doc_id", "left")
+    df = annotations.select("doc_id", F.nullif("fta.text", F.lit("")).alias("own"), F.explode_outer(F.array(texts)).alias("p"))
+
+    def headed(e: Column, i: Column) -> Column:
+        head = F.format_string("--- paragraph_%03d (page %d block %d) ---\n", i + 1, e["page_no"], e["block_no"])
+        return F.concat(head, e["text"], F.lit("\n\n"))
+
     plain = F.array_join(F.transform("p", lambda e: F.concat(e["text"], F.lit("\n\n"))), "")
     return df.select(
         "doc_id", F.coalesce("own", plain, F.lit("")).alias("full_text"),
-        F.coalesce(F.array_join(F.transform("p", lambda e: e["headed"]), ""), F.lit("")).alias("transcript"),
+        F.coalesce(F.array_join(F.transform("p", headed), ""), F.lit("")).alias("transcript"),
     )
 
 

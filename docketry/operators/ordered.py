@@ -39,7 +39,7 @@ def ordered_scan(
     ``prev_<c>``        value of column ``c`` on the previous row
     ``<run>_pos``       length of the run of true flags ending here (0 where the flag is false)
     ``<run>_before``    length of the run of true flags ending on the previous row
-    ``<count>``         running count of true flags up to here
+    ``<count>``         running count of true flags, or sum of whole numbers, up to here
     ``<break>``         running count of rows for which ``f(previous row, row)`` holds
 
     Pass only the columns needed afterwards: both the rows and the chunk summaries are made from one
@@ -52,13 +52,14 @@ def ordered_scan(
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     whole = F.struct(*keep)
 
-    flags = [F.coalesce(f, F.lit(False)).alias(f"_flag_{n}") for n, f in {**runs, **counts}.items()]
+    flags = [F.coalesce(f, F.lit(False)).alias(f"_flag_{n}") for n, f in runs.items()]
+    flags += [F.coalesce(f.cast("bigint"), F.lit(0).cast("bigint")).alias(f"_flag_{n}") for n, f in counts.items()]
     df = df.select("*", F.coalesce(chunk.cast("bigint"), F.lit(-1).cast("bigint")).alias(_CHUNK), *flags)
     cols = [F.row_number().over(local).cast("bigint").alias("_rn")]
     if prev or breaks:
         cols.append(F.lag(whole).over(local).alias("_prev"))
     for name in counts:
-        cols.append(F.sum(F.col(f"_flag_{name}").cast("bigint")).over(upto).alias(f"_cnt_{name}"))
+        cols.append(F.sum(f"_flag_{name}").over(upto).alias(f"_cnt_{name}"))
     df = df.select("*", *cols)
     cols = []
     for name in runs:
@@ -75,7 +76,7 @@ def ordered_scan(
     for name in runs:
         aggs.append(F.max(F.when(~F.col(f"_flag_{name}"), F.col("_rn"))).alias(f"_gap_{name}"))
     for name in counts:
-        aggs.append(F.max(f"_cnt_{name}").alias(f"_cnt_{name}"))
+        aggs.append(F.sum(f"_flag_{name}").alias(f"_cnt_{name}"))
     for name in breaks:
         aggs.append(F.max(f"_brk_{name}").alias(f"_brk_{name}"))
     # the filter is always true; it keeps whole rows in this branch, so that it can share the rows' shuffle

@@ -154,8 +154,8 @@ def track_faces(
         "camera_id bigint, stretch bigint, frame_idx bigint, det_no int, local_id bigint, is_new boolean, match_distance double",
     )
     born = placed.groupBy("camera_id", "stretch").agg(F.count_if("is_new").alias("_n"))
-    before = Window.partitionBy("camera_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    born = born.select("camera_id", "stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    born = ordered_scan(born, ["camera_id"], ["stretch"], frame_chunk("stretch", chunk_frames), counts={"_upto": F.col("_n")})
+    born = born.select("camera_id", "stretch", (F.col("_upto") - F.col("_n")).alias("_first"))
     placed = placed.join(born, ["camera_id", "stretch"]).select(
         "camera_id", "frame_idx", "det_no", (F.col("_first") + F.col("local_id")).alias("track_id"), "is_new", "match_distance"
     )

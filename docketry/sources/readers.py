@@ -59,5 +59,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only when the session names none, as in local tests, is a temporary folder made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = tempfile.mkdtemp(prefix="docketry-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -138,6 +138,8 @@ def test_markup_and_entities(spark):
     got = one(spark, [raw], T.strip_markup)[0]
     assert got == ["a&lt; b é 😀 \"q\" &unknown; &", "c", "© d"]
     assert got[0] == html.unescape("a&amp;lt; b &#233; &#x1F600; &quot;q&quot; &unknown; &")
+    odd = "&#0; &#99999999999; &#xD800; &#x10FFFF; &#0065; &#x041; &#128; &#x81; &#7; &#11; &#13; &#xFDD0; &#xFFFE; &#x1F600;"
+    assert one(spark, [odd], T.unescape)[0] == html.unescape(odd)
     for name, char in C.ENTITIES.items():
         assert html.unescape(name) == char
 
