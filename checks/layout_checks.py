@@ -112,6 +112,13 @@ def l6(spark, sf):
     return L.sorted_lines(L.group_lines(geo(spark, sf)))
 
 
+@query("l6v_sorted_lines_by_top", f"""WITH {LINES}, lt AS (SELECT doc_id, page, line_key, avg(y_center) AS center, round_even(min(y_top), 0) AS top, trim(string_agg(text, ' ' ORDER BY x_left, y_center, word_id), ' ') AS text
+  FROM geo JOIN placed USING (doc_id, page, y_center) GROUP BY ALL)
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top, line_key) AS INTEGER) AS line_ord, center, text FROM lt""")
+def l6v(spark, sf):
+    return L.sorted_lines(L.group_lines(geo(spark, sf)), keep_empty=True, by="top")
+
+
 @query("s6_sorted_text", f"{_SORTED} SELECT doc_id, string_agg(text, chr(10) ORDER BY center, line_key) AS content FROM lt GROUP BY doc_id")
 def s6(spark, sf):
     return S.document_text(L.sorted_lines(L.group_lines(geo(spark, sf))))

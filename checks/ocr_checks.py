@@ -322,3 +322,24 @@ def s11(spark, sf):
     runs = X.engine_runs(spark, sf)
     types = K.classify(X.scans(spark, sf)).select("doc_id", "best_type")
     return P.error_record(O.engine_fallback(runs), runs, types)
+
+
+@query("m7_documents_from_lines", f"""WITH {OCR_LINES},
+k AS (SELECT doc_id, {strip('text')} AS t, min(line_no) AS n FROM ocr_lines WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]') GROUP BY ALL)
+SELECT doc_id, string_agg(t, chr(10) ORDER BY n) AS text, CAST(count(*) AS INTEGER) AS n_lines FROM k GROUP BY doc_id""")
+def m7(spark, sf):
+    d = P.documents_from_lines(X.ocr_lines(spark, sf))
+    return d.select("doc_id", "text", F.size("lines").alias("n_lines"))
+
+
+@query("c_classify_lines", f"WITH {SCORES} SELECT doc_id, best_type FROM best")
+def c_lines(spark, sf):
+    """The upload job: lines as an engine lists them, cleaned, joined and classified."""
+    lines = X.scans(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return P.classify_lines(lines).select("doc_id", "best_type")
+
+
+@query("c_read_and_classify", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN NULL ELSE 1 END AS ok FROM documents) SELECT doc_id FROM d WHERE ok = 1""")
+def c_read(spark, sf):
+    """Documents that some engine could read; every one is classified."""
+    return P.read_and_classify(X.engine_runs(spark, sf)).select("doc_id")

@@ -252,10 +252,10 @@ _DM = rf"\d{{1,2}}[\/\-\s](?:{_M}|[0-9]{{1,2}})[\/\-\s]\d{{2,4}}"
 
 
 def components_sql(t, compat):
-    son = "on of" if compat == "d14" else "son of"
-    yf = r"\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,1}" if compat == "d11" else r"\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,2}"
+    son = "on of" if compat == "v14" else "son of"
+    yf = r"\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,1}" if compat == "v11" else r"\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,2}"
     word = has_bounded(t, "Date of Birth|DOB", True)
-    if compat == "d14":
+    if compat == "v14":
         dob_text = bounded(t, f"{_DN}|{yf}|{_DM}", True)
     else:
         dob_text = f"CASE WHEN {word} THEN {bounded(t, f'{_DN}|{yf}')} ELSE {bounded(t, f'{_DM}|{_DN}', True)} END"
@@ -274,9 +274,9 @@ def _components(name, compat):
         return texts(spark, sf).select("src", "doc_id", D.id_components(F.col("text"), compat).alias("d")).select("src", "doc_id", "d.*")
 
 
-_components("e5_id_components", "d5")
-_components("e5v_id_components_d14", "d14")
-_components("e5v_id_components_d11", "d11")
+_components("e5_id_components", "v5")
+_components("e5v_id_components_v14", "v14")
+_components("e5v_id_components_v11", "v11")
 
 _SIDE = """, c AS (SELECT src, doc_id, CAST(number_found AS INT) + CAST(male_found AS INT) + CAST(dob_found AS INT) + CAST(issuer_found AS INT) AS front_count,
  CAST(authority_found AS INT) + CAST(address_found AS INT) + CAST(relation_found AS INT) AS back_count FROM p)
@@ -284,14 +284,14 @@ SELECT *, front_count >= 2 AS front, back_count >= 1 AS back, {both} AS "both" F
 
 
 def _side(name, compat, both):
-    @query(name, f"WITH {TEXTS}, p AS (SELECT src, doc_id, {components_sql('text', 'd5')} FROM texts)" + _SIDE.format(both=both))
+    @query(name, f"WITH {TEXTS}, p AS (SELECT src, doc_id, {components_sql('text', 'v5')} FROM texts)" + _SIDE.format(both=both))
     def run(spark, sf):
         d = texts(spark, sf).select("src", "doc_id", D.id_components(F.col("text")).alias("c"))
         return d.select("src", "doc_id", D.id_side(F.col("c"), compat).alias("s")).select("src", "doc_id", "s.*")
 
 
-_side("e6_id_side", "d5+", "front_count >= 2 AND back_count >= 1")
-_side("e6v_id_side_d5", "d5", "true")
+_side("e6_id_side", "strict", "front_count >= 2 AND back_count >= 1")
+_side("e6v_id_side_v5", "v5", "true")
 
 
 # --- template similarity ------------------------------------------------------------------------

@@ -132,7 +132,7 @@ ACCOUNT11 = (r"\b(\d{11})\b", r"\b(\d{3}[-\s]?\d{4}[-\s]?\d{4})\b", r"((?:\d{2,5
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATE_NUMERIC = r"\b\d{1,2}[\/\-\s]\d{1,2}[\/\-\s]\d{2,4}\b"
 DATE_YEAR_FIRST = r"\b\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,2}\b"
-DATE_YEAR_FIRST_D11 = r"\b\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,1}\b"
+DATE_YEAR_FIRST_V11 = r"\b\d{4}[\/\-\s]\d{1,2}[\/\-\s]\d{1,1}\b"
 DATE_MONTH_NAME = rf"\b\d{{1,2}}[\/\-\s](?:{MONTHS}|[0-9]{{1,2}})[\/\-\s]\d{{2,4}}\b"
 DOB_WORD = r"\bDate of Birth\b|\bDOB\b"
 MALE_WORD = r"\bMale\b"
@@ -141,7 +141,7 @@ ISSUER = r"Government of India"
 AUTHORITY = r"Unique Identification Authority|UIDAI"
 ADDRESS = r"\bAddress\b"
 RELATION = r"\bS\/O\b|\bSO\b|\bD\/O\b|\bDO\b|\bW\/O\b|\bWO\b|\bson of\b|\bwife of\b|\bdaughter of\b"
-RELATION_D14 = r"\bS\/O\b|\bSO\b|\bD\/O\b|\bDO\b|\bW\/O\b|\bWO\b|\bon of\b|\bwife of\b|\bdaughter of\b"
+RELATION_V14 = r"\bS\/O\b|\bSO\b|\bD\/O\b|\bDO\b|\bW\/O\b|\bWO\b|\bon of\b|\bwife of\b|\bdaughter of\b"
 
 # --- fixed values: OCR noise ----------------------------------------------------------------------
 BRACKETS = r"[\{\}\[\]\(\)]"

@@ -88,12 +88,12 @@ def detect_account11(text: Column) -> Column:
     return _result(_digits(hit), hit)
 
 
-def id_components(text: Column, compat: str = "d5") -> Column:
+def id_components(text: Column, compat: str = "v5") -> Column:
     """Seven identity-card flags and their values.
 
-    ``compat``: ``d5`` reads a birth date in numeric form when a birth-date word is present and with a
-    month name otherwise; ``d14`` reads either form always and keeps that version's relation words;
-    ``d11`` is ``d5`` with that version's one-digit day in year-first dates.
+    ``compat``: ``v5`` reads a birth date in numeric form when a birth-date word is present and with a
+    month name otherwise; ``v14`` reads either form always and keeps that version's relation words;
+    ``v11`` is ``v5`` with that version's one-digit day in year-first dates.
     """
     number = detect_digit12(text)
     word_male = found_after(text, ("male",), C.MALE_WORD)
@@ -101,12 +101,12 @@ def id_components(text: Column, compat: str = "d5") -> Column:
     male = word_male | letter_male
     birth_word = found_after(text, ("date of birth", "dob"), C.DOB_WORD)
     named = rf"{C.DATE_MONTH_NAME}|{C.DATE_NUMERIC}"
-    if compat == "d14":
+    if compat == "v14":
         dob = birth_word | found(text, named, True)
         dob_text = first_match(text, f"({C.DATE_NUMERIC}|{C.DATE_YEAR_FIRST}|{C.DATE_MONTH_NAME})", True)
-        relation = C.RELATION_D14
+        relation = C.RELATION_V14
     else:
-        year_first = C.DATE_YEAR_FIRST_D11 if compat == "d11" else C.DATE_YEAR_FIRST
+        year_first = C.DATE_YEAR_FIRST_V11 if compat == "v11" else C.DATE_YEAR_FIRST
         dob = birth_word | found(text, named, True)
         dob_text = F.when(birth_word, first_match(text, f"({C.DATE_NUMERIC}|{year_first})")).otherwise(
             first_match(text, f"({named})", True)
@@ -126,8 +126,8 @@ def id_components(text: Column, compat: str = "d5") -> Column:
     )
 
 
-def id_side(parts: Column, compat: str = "d5+") -> Column:
-    """Which side of an identity card the text shows.  ``compat='d5'`` reports both sides always."""
+def id_side(parts: Column, compat: str = "strict") -> Column:
+    """Which side of an identity card the text shows.  ``compat='v5'`` reports both sides always."""
     def count(*names: str) -> Column:
         total = F.lit(0)
         for n in names:
@@ -136,7 +136,7 @@ def id_side(parts: Column, compat: str = "d5+") -> Column:
 
     front = count("number_found", "male_found", "dob_found", "issuer_found")
     back = count("authority_found", "address_found", "relation_found")
-    both = F.lit(True) if compat == "d5" else (front >= 2) & (back >= 1)
+    both = F.lit(True) if compat == "v5" else (front >= 2) & (back >= 1)
     return F.struct(
         front.alias("front_count"),
         back.alias("back_count"),

@@ -109,35 +109,34 @@ def line_agreement(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     return pair.groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), same.alias("n_same"))
 
 
-def sorted_lines(grouped: DataFrame, baseline: bool = False, keep_empty: bool = False) -> DataFrame:
+def sorted_lines(grouped: DataFrame, baseline: bool = False, keep_empty: bool = False, by: str = "center") -> DataFrame:
     """(doc_id, page, line_ord, center, text): lines top to bottom, words left to right.
 
-    With ``baseline``, words are ordered by their projection on the line fitted through their centroids.
+    ``by`` orders lines by their mean centre or, as ``top``, by their rounded upper edge.  With
+    ``baseline``, words are ordered by their projection on the line fitted through their centroids.
     """
-    word = F.struct("x_left", "y_center", "word_id", "text", "cx", "cy")
-    lines = grouped.groupBy("doc_id", "page", "line_key").agg(
-        F.avg("y_center").alias("center"), F.array_sort(F.collect_list(word)).alias("ws"),
-        F.coalesce(F.regr_slope("cy", "cx"), F.lit(0.0)).alias("m"), F.stddev_pop("cx").alias("spread"),
-    )
+    word = F.struct("x_left", "y_center", "word_id", "text", *(["cx", "cy"] if baseline else []))
+    aggs = [F.avg("y_center").alias("center"), F.array_sort(F.collect_list(word)).alias("ws")]
+    if by == "top":
+        aggs.append(F.bround(F.min("y_top")).alias("top"))
+    if baseline:
+        aggs += [F.coalesce(F.regr_slope("cy", "cx"), F.lit(0.0)).alias("m"), F.stddev_pop("cx").alias("spread")]
+    lines = grouped.groupBy("doc_id", "page", "line_key").agg(*aggs)
+    texts = F.transform("ws", lambda w: w["text"])
     if baseline:
         norm = F.sqrt(1 + F.col("m") * F.col("m"))
-        by_proj = F.array_sort(
-            F.transform(
-                "ws",
-                lambda w: F.struct(
-                    ((w["cx"] + F.col("m") * w["cy"]) / norm).alias("proj"), w["y_center"].alias("y_center"),
-                    w["word_id"].alias("word_id"), w["text"].alias("text"),
-                ),
-            )
-        )
+
+        def along(w: Column) -> Column:
+            proj = (w["cx"] + F.col("m") * w["cy"]) / norm
+            return F.struct(proj.alias("proj"), w["y_center"].alias("y_center"), w["word_id"].alias("word_id"), w["text"].alias("text"))
+
         flat = (F.size("ws") < 2) | (F.col("spread") <= 1e-8)
-        texts = F.when(flat, F.transform("ws", lambda w: w["text"])).otherwise(F.transform(by_proj, lambda w: w["text"]))
-    else:
-        texts = F.transform("ws", lambda w: w["text"])
-    lines = lines.select("doc_id", "page", "line_key", "center", F.trim(F.array_join(texts, " ")).alias("text"))
+        sloped = F.transform(F.array_sort(F.transform("ws", along)), lambda w: w["text"])
+        texts = F.when(flat, texts).otherwise(sloped)
+    lines = lines.select("doc_id", "page", "line_key", "center", F.col(by).alias("_by"), F.trim(F.array_join(texts, " ")).alias("text"))
     # lines of a page are bounded by its height, so the page is a fair window
-    by_center = Window.partitionBy("doc_id", "page").orderBy("center", "line_key")
-    lines = lines.withColumn("line_ord", F.row_number().over(by_center))
+    in_order = Window.partitionBy("doc_id", "page").orderBy("_by", "line_key")
+    lines = lines.withColumn("line_ord", F.row_number().over(in_order))
     lines = lines if keep_empty else lines.filter(F.col("text") != "")
     return lines.select("doc_id", "page", "line_ord", "center", "text")
 
@@ -191,6 +190,10 @@ class _MergeOverlaps(Rule):
         return ()
 
     def finish(self):
+        if len(self.boxes) == 1:
+            seed, x1, y1, x2, y2 = self.boxes[0]
+            yield (seed, x1, y1, x2 - x1, y2 - y1, 1)
+            return
         seeds = np.array([b[0] for b in self.boxes], dtype=np.int64)
         x1, y1, x2, y2 = (np.array([b[i] for b in self.boxes], dtype=np.int64) for i in (1, 2, 3, 4))
         areas = (x2 - x1) * (y2 - y1)

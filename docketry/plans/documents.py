@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as T
 from docketry import catalog as C
 from docketry.operators import classify as K
+from docketry.operators import lines as L
 from docketry.operators import ocr as O
 
 
@@ -59,6 +60,23 @@ def error_record(read: DataFrame, runs: DataFrame, types: DataFrame) -> DataFram
     )
 
 
+def documents_from_lines(lines: DataFrame) -> DataFrame:
+    """OCR lines (doc_id, line_no, text) -> (doc_id, lines, text): textual lines once each, in order, and joined.
+
+    Repeats are dropped before lines of a document meet.
+    """
+    kept = K.text_filter(lines).select("doc_id", "line_no", T.strip(F.col("text")).alias("text"))
+    kept = L.dedup_keep_first(kept, ["doc_id"], "text", "line_no")
+    docs = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    docs = docs.select("doc_id", F.transform("l", lambda e: e["text"]).alias("lines"))
+    return docs.withColumn("text", F.array_join("lines", "\n"))
+
+
+def classify_lines(lines: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFrame:
+    """OCR lines -> classification of their documents."""
+    return K.classify(documents_from_lines(lines), threshold)
+
+
 def read_and_classify(runs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFrame:
     """Engine runs -> best engine's text -> cleaned lines -> classification, failures kept as rows."""
     read = O.engine_fallback(runs)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators import tracks as V
+from docketry.sources.readers import stored
 
 
 def labelled_events(frames: DataFrame) -> DataFrame:
@@ -32,9 +33,11 @@ def camera_report(faces: DataFrame, screens: DataFrame) -> DataFrame:
 def track_and_report(faces: DataFrame) -> DataFrame:
     """Detections with features -> tracks -> reported events, the batch form of the camera stream.
 
-    Two detections of a frame on one track count as one, the later.
+    Two detections of a frame on one track count as one, the later.  The tracked frames are stored, since
+    finding events passes over them more than once.
     """
     feats = ["cx", "cy", "w", "ear", "mouth_w_ratio", "mouth_open_ratio", "is_fake"]
     tracked = V.track_faces(faces)
     one = tracked.groupBy(*V.TRACK, "frame_idx").agg(F.max_by(F.struct(*feats), "det_no").alias("f"))
-    return V.fused_events(one.select(*V.TRACK, "frame_idx", "f.*").withColumnRenamed("w", "bw"))
+    one = one.select(*V.TRACK, "frame_idx", "f.*").withColumnRenamed("w", "bw")
+    return V.fused_events(stored(one, "tracked-frames"))

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from docketry.operators import layout as L
 from docketry.sources import sinks as S
+from docketry.sources.readers import stored
 
 
 def segment_pages(boxes: DataFrame, page_w: int, page_h: int) -> DataFrame:
     """Boxes with ``kind`` -> (page_id, id, type, x, y, w, h).
 
     Text boxes are filtered, merged and dropped where a table covers them; photo candidates are tested.
+    The merged text boxes are stored, since dropping covered ones reads them twice.
     """
     tables = boxes.filter("kind = 'table'")
     text = L.box_filter(boxes.filter("kind = 'text_block'"), page_w, page_h, min_area=300)
-    text = L.suppress_overlaps(L.merge_overlaps(text).drop("n_merged"), tables)
+    merged = stored(L.merge_overlaps(text).drop("n_merged"), "merged-text")
+    text = L.suppress_overlaps(merged, tables)
     photos = L.photo_rule(boxes.filter((F.col("kind") == "photo") & (F.col("w") * F.col("h") >= 1000)))
     parts = [
         df.select("page_id", "box_no", *L.BOX, F.lit(t).alias("type"))

@@ -104,13 +104,13 @@ def test_components(spark, text, field, value):
 
 
 def test_component_versions(spark):
-    d14 = lambda c: D.id_components(c, "d14")
-    d11 = lambda c: D.id_components(c, "d11")
-    assert one(spark, ["on of x"], d14)[0]["relation_found"] is True
-    assert one(spark, ["son of x"], d14)[0]["relation_found"] is False
-    assert one(spark, ["DOB 12-Jul-1985"], d14)[0]["dob_text"] == "12-Jul-1985"
-    assert one(spark, ["DOB 1985-07-12"], d11)[0]["dob_text"] is None
-    assert one(spark, ["DOB 1985-07-2"], d11)[0]["dob_text"] == "1985-07-2"
+    v14 = lambda c: D.id_components(c, "v14")
+    v11 = lambda c: D.id_components(c, "v11")
+    assert one(spark, ["on of x"], v14)[0]["relation_found"] is True
+    assert one(spark, ["son of x"], v14)[0]["relation_found"] is False
+    assert one(spark, ["DOB 12-Jul-1985"], v14)[0]["dob_text"] == "12-Jul-1985"
+    assert one(spark, ["DOB 1985-07-12"], v11)[0]["dob_text"] is None
+    assert one(spark, ["DOB 1985-07-2"], v11)[0]["dob_text"] == "1985-07-2"
 
 
 def test_side(spark):
@@ -119,7 +119,7 @@ def test_side(spark):
     assert [(r["front"], r["back"], r["both"]) for r in rows] == [
         (False, False, False), (True, False, False), (True, True, True), (False, True, False), (False, False, False)
     ]
-    always = lambda c: D.id_side(D.id_components(c), "d5")
+    always = lambda c: D.id_side(D.id_components(c), "v5")
     assert one(spark, [""], always)[0]["both"] is True
 
 
