@@ -11,9 +11,9 @@ Two facts keep the order-dependent rules parallel and exact.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,46 +176,69 @@ def split_strips(boxes: DataFrame, keys: Sequence[str], low: str, size: str, out
     return boxes.join(ends, [*keys, low])
 
 
+def _covered(x1: int, y1: int, x2: int, y2: int, cell: int):
+    """Grid cells a rectangle touches."""
+    for cx in range(x1 // cell, max(x1, x2 - 1) // cell + 1):
+        for cy in range(y1 // cell, max(y1, y2 - 1) // cell + 1):
+            yield cx, cy
+
+
+def _overlap(a, b) -> float:
+    """IoU of two (x1, y1, x2, y2)."""
+    iw, ih = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if iw <= 0 or ih <= 0:
+        return 0.0
+    inter = iw * ih
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
 class _MergeOverlaps(Rule):
-    """Boxes in order; each unused one absorbs later unused boxes that overlap what it has grown into."""
+    """Boxes in order; each unused one absorbs later unused boxes that overlap what it has grown into.
+
+    Only boxes in grid cells the region touches are tried, in box order; growing brings in more cells.
+    """
 
     def __init__(self, threshold):
         self.threshold = threshold
 
     def start(self):
-        self.boxes = []
+        self.ids, self.boxes = [], []
 
     def row(self, box_no, x, y, w, h):
-        self.boxes.append((box_no, x, y, x + w, y + h))
+        self.ids.append(box_no)
+        self.boxes.append((x, y, x + w, y + h))
         return ()
 
     def finish(self):
-        if len(self.boxes) == 1:
-            seed, x1, y1, x2, y2 = self.boxes[0]
-            yield (seed, x1, y1, x2 - x1, y2 - y1, 1)
-            return
-        seeds = np.array([b[0] for b in self.boxes], dtype=np.int64)
-        x1, y1, x2, y2 = (np.array([b[i] for b in self.boxes], dtype=np.int64) for i in (1, 2, 3, 4))
-        areas = (x2 - x1) * (y2 - y1)
-        while len(seeds):
-            g, n, at = (x1[0], y1[0], x2[0], y2[0]), 1, 1
-            used = np.zeros(len(seeds), dtype=bool)
-            used[0] = True
-            while at < len(seeds):
-                # the next box in order that overlaps the region as it is now
-                iw = np.minimum(g[2], x2[at:]) - np.maximum(g[0], x1[at:])
-                ih = np.minimum(g[3], y2[at:]) - np.maximum(g[1], y1[at:])
-                inter = np.maximum(iw, 0) * np.maximum(ih, 0)
-                union = (g[2] - g[0]) * (g[3] - g[1]) + areas[at:] - inter
-                hit = (union > 0) & (inter / np.maximum(union, 1) > self.threshold)
-                if not hit.any():
-                    break
-                j = at + int(hit.argmax())
-                g = (min(g[0], x1[j]), min(g[1], y1[j]), max(g[2], x2[j]), max(g[3], y2[j]))
-                used[j], n, at = True, n + 1, j + 1
-            yield (int(seeds[0]), int(g[0]), int(g[1]), int(g[2] - g[0]), int(g[3] - g[1]), n)
-            left = ~used
-            seeds, x1, y1, x2, y2, areas = seeds[left], x1[left], y1[left], x2[left], y2[left], areas[left]
+        boxes, grid = self.boxes, {}
+        cell = max(16, sum(b[2] - b[0] + b[3] - b[1] for b in boxes) // (2 * len(boxes)))
+        if len(boxes) > 1:
+            for j, b in enumerate(boxes):
+                for c in _covered(*b, cell):
+                    grid.setdefault(c, []).append(j)
+        used = bytearray(len(boxes))
+        for i, region in enumerate(boxes):
+            if used[i]:
+                continue
+            n, at, waiting, known, cells = 1, i, [], set(), set()
+            fresh = True
+            while fresh or waiting:
+                if fresh:
+                    for c in _covered(*region, cell):
+                        if c not in cells:
+                            cells.add(c)
+                            for j in grid.get(c, ()):
+                                if j > at and not used[j] and j not in known:
+                                    known.add(j)
+                                    heapq.heappush(waiting, j)
+                    fresh = False
+                    continue
+                at = heapq.heappop(waiting)
+                b = boxes[at]
+                if _overlap(region, b) > self.threshold:
+                    region = (min(region[0], b[0]), min(region[1], b[1]), max(region[2], b[2]), max(region[3], b[3]))
+                    used[at], n, fresh = 1, n + 1, True
+            yield (self.ids[i], region[0], region[1], region[2] - region[0], region[3] - region[1], n)
 
 
 def merge_overlaps(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFrame:
@@ -269,23 +292,30 @@ def merge_adjacent(boxes: DataFrame, gap: int = C.ADJACENT_GAP) -> DataFrame:
 
 
 class _Suppress(Rule):
-    """Boxes by falling score; one that overlaps a kept box too much goes.  Holds the kept boxes only."""
+    """Boxes by falling score; one that overlaps a kept box too much goes.  Holds the kept boxes only.
+
+    Two boxes with an IoU above one half contain each other's centre, so then one grid cell is enough.
+    """
+
+    CELL = 64
 
     def __init__(self, threshold):
         self.threshold = threshold
 
     def start(self):
-        self.kept = []
+        self.grid = {}
 
     def row(self, box_no, x, y, w, h):
-        for kx, ky, kw, kh in self.kept:
-            iw = min(kx + kw, x + w) - max(kx, x)
-            ih = min(ky + kh, y + h) - max(ky, y)
-            if iw > 0 and ih > 0:
-                inter = iw * ih
-                if inter / (kw * kh + w * h - inter) > self.threshold:
-                    return ()
-        self.kept.append((x, y, w, h))
+        box = (x, y, x + w, y + h)
+        if self.threshold >= 0.5:
+            cells = [((2 * x + w) // 2 // self.CELL, (2 * y + h) // 2 // self.CELL)]
+        else:
+            cells = _covered(*box, self.CELL)
+        for c in cells:
+            if any(_overlap(k, box) > self.threshold for k in self.grid.get(c, ())):
+                return ()
+        for c in _covered(*box, self.CELL):
+            self.grid.setdefault(c, []).append(box)
         return [(box_no,)]
 
 

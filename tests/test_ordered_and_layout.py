@@ -209,12 +209,13 @@ def test_merge_adjacent(spark, pages):
     assert by_page(L.merge_adjacent(page_df(spark, pages)).collect()) == {p: naive_adjacent(b) for p, b in pages.items()}
 
 
-def test_nms(spark, pages):
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.7])
+def test_nms(spark, pages, threshold):
     got = {}
-    for r in L.nms(page_df(spark, pages)).collect():
+    for r in L.nms(page_df(spark, pages), threshold=threshold).collect():
         got.setdefault(r["page_id"], []).append(r["box_no"])
     scores = {n: ((n * 7919) % 11) / 11.0 for n in range(60)}
-    assert {p: sorted(v) for p, v in got.items()} == {p: naive_nms(b, scores) for p, b in pages.items()}
+    assert {p: sorted(v) for p, v in got.items()} == {p: naive_nms(b, scores, threshold) for p, b in pages.items()}
 
 
 @pytest.mark.parametrize("cell", [16, 128, 4000])
