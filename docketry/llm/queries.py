@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, line_dedup, mixing, quality_rules
+import public_tokenizers
+
+from docketry.llm import bpe, chat, language, line_dedup, mixing, quality_rules
+from docketry.llm.common import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +68,22 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op6_quality_rules, op8_chat)}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", language.predict(F.col("text"), language.fit(docs)).alias("p"))
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), RANKS).alias("e"))
+    out = out.select("doc_id", "e.ids", bpe.decode(F.col("e.ids"), F.col("e.offsets"), RANKS).alias("decoded"))
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
