@@ -108,4 +108,18 @@ SELECT conv_id, count(*) AS n_turns,
   '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|/?SYS>|</?SYS>>)', '\1\\\2\3', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-SQL = {"op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op6_quality_rules": quality(), "op8_chat": CHAT}
+NGRAM_JOIN = f"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+shingles AS (
+ SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+ SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+ WHERE CAST(shared.n AS DOUBLE) / (x.n + y.n - shared.n) >= 0.8),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = c.doc_id) AS n_links, class_id = doc_id AS kept FROM classes c"""
+
+SQL = {"op1_ngram_join": NGRAM_JOIN, "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op6_quality_rules": quality(), "op8_chat": CHAT}

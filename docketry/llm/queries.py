@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docketry.llm import bpe, chat, language, line_dedup, mixing, quality_rules
+from docketry.llm import bpe, chat, language, line_dedup, mixing, ngram_join, quality_rules
 from docketry.llm.common import held_out
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).withColumn("kept", F.col("class_id") == F.col("doc_id"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "emptied", F.sha2("text", 256).alias("text_sha256"))
@@ -86,4 +90,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
