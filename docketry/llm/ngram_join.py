@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.cells import BUCKET, cells, column, matrix, neighbours, pairs_of
 from docketry.llm.common import components, stored
 from docketry.llm.hashing import Powers, chunks, mixed, shingle_sets
 
@@ -19,8 +19,6 @@ THRESHOLD = 0.8
 #: Share of the pairs at the threshold that the runs must meet, and how often a run may split.
 TARGET = 0.99999
 DEPTH = 3
-#: Sets in a bucket that are compared with each other.
-BUCKET = 128
 #: One-byte minhash lanes for a first estimate; five standard errors below the threshold are let through.
 LANES = 128
 
@@ -87,78 +85,27 @@ def buckets(sets: DataFrame, runs: int, depth: int = DEPTH, most: int = BUCKET)
     return found
 
 
-def cells(leaves: DataFrame, most: int = BUCKET) -> DataFrame:
-    """Adds ``cell``, ``side`` and ``both``: a leaf as it is, or the pairs of parts of one that stayed large.
-
-    A large leaf is dealt into parts by a hash; two parts meet in one cell, where only pairs across them are compared.
-    """
-    parts = F.ceil(F.col("n") / most).cast("int")
-    mine = F.pmod(F.xxhash64("idx", "leaf"), parts).cast("int")
-    split = leaves.withColumn("parts", parts).withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    cell = F.when(F.col("parts") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", lo, hi))
-    return split.select("idx", "run", cell.alias("cell"), F.col("mine").alias("side"), (F.col("mine") != F.col("other")).alias("cross"), lo.alias("lo"), hi.alias("hi"))
-
-
 def likely_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """(cell, a, b) for the pairs in a cell whose lanes agree enough and that met in no earlier run.
 
-    ``members`` has idx, run, cell, side, cross, lanes and ways (a set's bucket of each run).  Cells arrive sorted; all cells of
-    a batch are compared together, row against the row k places on.
+    ``members`` has idx, run, cell, side, cross, lanes and ways (a set's bucket of each run).
     """
     least = math.floor(LANES * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / LANES)))
 
-    def compare(cell, idx, run, side, cross, lanes, ways):
-        a_out, b_out, c_out = [], [], []
-        where = np.arange(len(cell))
-        k = 0
-        while True:
-            k += 1
-            where = where[where + k < len(cell)]
-            where = where[cell[where] == cell[where + k]]
-            if not len(where):
-                break
-            for part in np.array_split(where, max(1, len(where) // 65536)):
-                i, j = part, part + k
-                ok = ~cross[i] | (side[i] != side[j])
-                i, j = i[ok], j[ok]
-                ok = (lanes[i] == lanes[j]).sum(1) >= least
-                i, j = i[ok], j[ok]
-                # only the first run that brings two sets together reports them
-                met = (ways[i] == ways[j]) & (ways[i] != 0)
-                ok = met.argmax(1) == run[i]
-                i, j = i[ok], j[ok]
-                a_out.append(np.minimum(idx[i], idx[j]))
-                b_out.append(np.maximum(idx[i], idx[j]))
-                c_out.append(cell[i])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return cat(c_out), cat(a_out), cat(b_out)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def run_on(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            col = lambda n: table.column(n).to_numpy()
-            wide = lambda n, kind: np.frombuffer(b"".join(table.column(n).to_pylist()), kind).reshape(len(table), -1)
-            got = compare(col("cell"), col("idx"), col("run"), col("side"), col("cross"), wide("lanes", np.uint8), wide("ways", np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["cell", "a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = batch.column("cell").to_numpy()
-            cut = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
-            if cut or (held and held[-1].column("cell")[-1].as_py() != cell[0]):
-                yield run_on(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield run_on(pa.Table.from_batches(held))
-
-    keyed = members.repartition(F.col("cell")).sortWithinPartitions("cell")
-    return keyed.mapInArrow(pairs, "cell long, a long, b long")
+    def compare(table):
+        cell, idx, run = (column(table, n) for n in ("cell", "idx", "run"))
+        lanes, ways = matrix(table, "lanes", np.uint8), matrix(table, "ways", np.int32)
+        found = []
+        for i, j in neighbours(cell, column(table, "side"), column(table, "cross")):
+            ok = (lanes[i] == lanes[j]).sum(1) >= least
+            i, j = i[ok], j[ok]
+            # only the first run that brings two sets together reports them
+            ok = ((ways[i] == ways[j]) & (ways[i] != 0)).argmax(1) == run[i]
+            i, j = i[ok], j[ok]
+            found.append((cell[i], np.minimum(idx[i], idx[j]), np.maximum(idx[i], idx[j])))
+        return found
+
+    return pairs_of(members, compare)
 
 
 def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:

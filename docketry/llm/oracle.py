@@ -122,4 +122,16 @@ reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b
 classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a)
 SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = c.doc_id) AS n_links, class_id = doc_id AS kept FROM classes c"""
 
-SQL = {"op1_ngram_join": NGRAM_JOIN, "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op6_quality_rules": quality(), "op8_chat": CHAT}
+EMBEDDINGS = """WITH RECURSIVE
+v AS (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+ SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = p.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM parts p"""
+
+SQL = {"op1_ngram_join": NGRAM_JOIN, "op4_embedding_dedup": EMBEDDINGS, "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op6_quality_rules": quality(), "op8_chat": CHAT}
