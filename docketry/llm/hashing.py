@@ -36,9 +36,16 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(x))
 
 
-def word_hashes(texts: list[str], powers: Powers, is_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def alphanumeric() -> np.ndarray:
+    """By code point: whether it is a letter or a digit."""
+    return np.array([chr(i).isalnum() for i in range(0x110000)])
+
+
+def word_hashes(texts: list[str], powers: Powers, is_word: np.ndarray | None = None, stem: int = 0) -> tuple[np.ndarray, ...]:
     """Hashes of all words in order, and where each text's words begin (one more entry at the end).
 
+    With ``stem``, also hashes of the words' first ``stem`` characters (0 for words no longer than that).
+
     A word is a run of characters that are not ASCII white space, or of those that ``is_word`` (by code point) marks.  Its
     hash is a difference of prefix sums, so no word is looked at by itself.
     """
@@ -60,7 +67,12 @@ def word_hashes(texts: list[str], powers: Powers, is_word: np.ndarray | None = N
     values ^= values >> np.uint64(29)
     np.cumsum(values * powers.up[:len(points)], out=total[1:])
     hashes = mixed((total[stop] - total[start]) * powers.down[start] + (stop - start).astype(np.uint64))
-    return hashes, np.concatenate([[0], np.searchsorted(start, ends)])
+    first = np.concatenate([[0], np.searchsorted(start, ends)])
+    if not stem:
+        return hashes, first
+    cut = np.minimum(start + stem, stop)
+    stems = mixed((total[cut] - total[start]) * powers.down[start], 5)
+    return hashes, first, np.where(stop - start > stem, stems, np.uint64(0))
 
 
 def shingle_sets(texts: list[str], size: int, powers: Powers) -> list[np.ndarray]:

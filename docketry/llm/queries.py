@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_rules
+from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_rules, toxicity
 from docketry.llm.common import held_out
 
 
@@ -24,6 +24,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "emptied", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", toxicity.score(F.col("text"), toxicity.fit(docs, table(spark, sf_dir, "labels"))).alias("score"))
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
@@ -94,4 +101,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
