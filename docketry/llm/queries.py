@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_rules, toxicity
+from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity
 from docketry.llm.common import held_out
 
 
@@ -101,4 +101,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe)}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", quality_model.score(F.col("text"), quality_model.fit(docs)).alias("score"))
+    return out.withColumn("kept", F.col("score") >= quality_model.KEEP)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe, op10_quality_model)}

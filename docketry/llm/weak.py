@@ -38,8 +38,8 @@ def _maximise(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
     return tables / tables.sum(1, keepdims=True)
 
 
-def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True) -> tuple[LabelModel, np.ndarray]:
-    """Expectation-maximisation over the labellers' vote tables, started from the sign of the summed votes.
+def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True, start: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
+    """Expectation-maximisation over the labellers' vote tables, started from ``start`` or the sign of the summed votes.
 
     With ``correlated``, what labellers share beyond the class (the correlation of their votes' residuals) shrinks their
     weights, so that several that say the same thing count about once, and the estimation runs again.
@@ -47,7 +47,7 @@ def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True) -> tupl
     n, m = votes.shape
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     weights, share = np.ones(m), np.eye(m)
-    p = np.clip(0.5 + 0.4 * np.sign(votes.sum(1) + 1e-9 * (prior - 0.5)), 0.02, 0.98)
+    p = np.clip(0.5 + 0.4 * np.sign(votes.sum(1) + 1e-9 * (prior - 0.5)), 0.02, 0.98) if start is None else start
     tables = _maximise(votes, p)
     for outer in range(2 if correlated else 1):
         for _ in range(ROUNDS):
