@@ -46,7 +46,7 @@ paras AS (SELECT doc_id, line_no, line, last, line_no // 3 AS b, doc_id % 6 AS s
 
 
 @query("s2_read_annotations", f"""WITH {_BLOCKS}, n AS (SELECT doc_id, count(DISTINCT b) AS n_blocks, count(*) AS n_paras FROM paras GROUP BY ALL)
-SELECT d.doc_id, CASE WHEN d.doc_id % 24 = 23 THEN NULL ELSE ['fullTextAnnotation', 'data', 'results.Data.responses', 'search'][d.doc_id % 4 + 1] END AS wrapper,
+SELECT d.doc_id, CASE WHEN d.doc_id % 24 = 23 THEN NULL WHEN d.doc_id % 48 = 7 THEN 'search' ELSE ['fullTextAnnotation', 'data', 'results.Data.responses', 'search'][d.doc_id % 4 + 1] END AS wrapper,
  CASE WHEN d.doc_id % 24 <> 23 AND d.doc_id % 3 = 0 THEN length(text) END AS text_chars,
  CAST(CASE WHEN d.doc_id % 24 <> 23 AND d.doc_id % 6 <> 4 THEN coalesce(n_blocks, 0) END AS INTEGER) AS n_blocks,
  CAST(CASE WHEN d.doc_id % 24 <> 23 AND d.doc_id % 6 = 4 THEN coalesce(n_paras, 0) END AS INTEGER) AS n_top
@@ -109,7 +109,7 @@ def o10(spark, sf):
 
 @query("o11_simplified_paragraphs", f"""WITH {_BLOCKS},
 e AS (SELECT doc_id, line_no, CASE WHEN shape IN (1, 3) THEN line ELSE regexp_replace(trim(line, ' '), ' +', ' ', 'g') END AS text, {_LBOX} AS box FROM paras WHERE shape <> 5
-  UNION ALL SELECT DISTINCT doc_id, b, 'block ' || b, {rect('0', '(b * 120)', '900', '(b * 120 + 119)')} FROM paras WHERE shape = 5)
+  UNION ALL SELECT doc_id, b, string_agg(line, chr(10) ORDER BY line_no), {rect('0', '(b * 120)', '900', '(b * 120 + 119)')} FROM paras WHERE shape = 5 GROUP BY doc_id, b)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS seq, text, box FROM e""")
 def o11(spark, sf):
     return O.simplified_paragraphs(_fta(spark, sf)).select("doc_id", "seq", "text", poly(F.col("bounding_box")).alias("box"))
@@ -251,13 +251,17 @@ def o12(spark, sf):
 
 
 @query("o13_parse_polygon_string", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
- CASE WHEN l_linenumber % 2 = 0 THEN l_partkey || ',' || l_suppkey || ' ' || (l_partkey + 9) || ',' || (-l_suppkey)
-   ELSE l_partkey || ',1 2,3 4,5 6,' || l_suppkey END AS polys, CAST(1 AS INTEGER) AS n FROM lineitem""")
+ CASE l_linenumber % 4 WHEN 0 THEN l_partkey || ',' || l_suppkey || ' ' || (l_partkey + 9) || ',' || (-l_suppkey)
+   WHEN 1 THEN l_partkey || ',1 2,3 4,5 6,' || l_suppkey WHEN 2 THEN l_partkey || ',2;' || l_suppkey || ',4'
+   ELSE l_partkey::VARCHAR END AS polys, CAST(CASE WHEN l_linenumber % 4 = 2 THEN 2 ELSE 1 END AS INTEGER) AS n FROM lineitem""")
 def o13(spark, sf):
-    """Even rows: two points on consecutive lines.  Odd rows: four groups set apart by empty lines."""
+    """Two points on consecutive lines; four groups set apart by empty lines; two polygons; a number too long for a coordinate."""
     t = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    s = F.when(F.col("l_linenumber") % 2 == 0, F.format_string("[%d %d]\n[%d, -%d]", "l_partkey", "l_suppkey", F.col("l_partkey") + 9, "l_suppkey"))
-    s = s.otherwise(F.format_string("[%d 1]\n\n[2 3]\n\n[4 5]\n\n[6 %d]", "l_partkey", "l_suppkey"))
+    k = F.col("l_linenumber") % 4
+    s = F.when(k == 0, F.format_string("[%d %d]\n[%d, -%d]", "l_partkey", "l_suppkey", F.col("l_partkey") + 9, "l_suppkey"))
+    s = s.when(k == 1, F.format_string("[%d 1]\n\n[2 3]\n\n[4 5]\n\n[6 %d]", "l_partkey", "l_suppkey"))
+    s = s.when(k == 2, F.format_string("[[%d 2]]\n\n[[%d 4]]", "l_partkey", "l_suppkey"))
+    s = s.otherwise(F.format_string("[%d 99999999999%d]", "l_partkey", "l_suppkey"))
     p = G.polygons_from_string(s)
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform(p, poly), ";").alias("polys"), F.size(p).alias("n"))
 
@@ -339,7 +343,18 @@ def c_lines(spark, sf):
     return P.classify_lines(lines).select("doc_id", "best_type")
 
 
-@query("c_read_and_classify", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN NULL ELSE 1 END AS ok FROM documents) SELECT doc_id FROM d WHERE ok = 1""")
+@query("c_read_and_classify", f"""WITH {SCORES},
+st AS (SELECT doc_id, string_agg(doc_type || '=' || score, ',' ORDER BY type_ord) AS scores FROM scores GROUP BY doc_id)
+SELECT doc_id, best_type, st.scores FROM best JOIN st USING (doc_id) WHERE doc_id % 20 <> 0""")
 def c_read(spark, sf):
-    """Documents that some engine could read; every one is classified."""
-    return P.read_and_classify(X.engine_runs(spark, sf)).select("doc_id")
+    """Scans that one of two engines could read, classified."""
+    i, text = F.col("doc_id"), F.col("text")
+
+    def run(engine, priority, full_text):
+        return F.struct(F.lit(engine).alias("engine"), F.lit(priority).alias("priority"), full_text.alias("full_text"),
+                        F.lit(0.1).alias("duration_sec"), F.lit(None).cast("string").alias("error"))
+
+    runs = F.array(run("alpha", 1, F.when(i % 10 != 0, text)), run("gamma", 2, F.when(i % 20 == 0, "  ").otherwise(text)))
+    d = X.scans(spark, sf).select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
+    s = F.transform("scores", lambda s: F.concat_ws("=", s["doc_type"], s["score"].cast("string")))
+    return P.read_and_classify(d).select("doc_id", "best_type", F.array_join(s, ",").alias("scores"))

@@ -71,17 +71,31 @@ def p4(spark, sf):
     return L.dedup_keep_first(X.ocr_lines(spark, sf), ["doc_id"], "text", "line_no").select("doc_id", "text", "line_no")
 
 
+#: What the pages' references stand for, and references written behind each page with what they stand for.
+_SEEN = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&reg;": "\u00ae", "&middot;": "\u00b7",
+    "&bull;": "\u2022", "&hellip;": "\u2026", "&ndash;": "\u2013", "&mdash;": "\u2014", "&lsquo;": "\u2018", "&rsquo;": "\u2019",
+    "&ldquo;": "\u201c", "&rdquo;": "\u201d", "&laquo;": "\u00ab", "&raquo;": "\u00bb", "&euro;": "\u20ac", "&pound;": "\u00a3",
+    "&times;": "\u00d7", "&deg;": "\u00b0", "&#39;": "'", "&#x27;": "'", "&amp;": "&",
+}
+_WRITTEN = "<br>caf&eacute; &Auml;x &hearts; it&#39 s &amp x &#x41 &notit; &notin; &copyright &unknown; &zz &NotEqualTilde; &lt"
+_READ = "caf\u00e9 \u00c4x \u2665 it' s & x A \u00acit; \u2209 \u00a9right &unknown; &zz \u2242\u0338 <"
 _ENT = "s2"
-for _k, _v in [(k, v) for k, v in C.ENTITIES.items() if k != "&amp;"] + [("&amp;", "&")]:
+for _k, _v in _SEEN.items():
     _ENT = f"replace({_ENT}, {q(_k)}, {q(_v)})"
+_ENT = f"{_ENT} || chr(10) || {q(_READ)}"
+
+
+def pages(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(_WRITTEN)).alias("html"))
 
 
 @query("p5_strip_markup", f"""WITH a AS (
- SELECT page_id, regexp_replace(regexp_replace(html, '<br{SP}*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS s2 FROM pages),
+ SELECT page_id, regexp_replace(regexp_replace(html, '<br{SP}*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS s2 FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)),
 b AS (SELECT page_id, list_filter([{strip('x')} for x in regexp_split_to_array({_ENT}, '[\\r\\n]+')], lambda y: y <> '') AS p FROM a)
 SELECT page_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS line_no, unnest(p) AS line FROM b""")
 def p5(spark, sf):
-    d = X.widen(X.table(spark, sf, "pages").select("page_id", "html"))
+    d = pages(spark, sf)
     return d.select("page_id", F.posexplode(T.strip_markup(F.col("html"))).alias("line_no", "line"))
 
 
@@ -98,32 +112,30 @@ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER)
 
 
 @query("p6_drop_ocr_noise", f"""WITH {OCR_LINES},
-raw AS (SELECT doc_id AS id, line_no AS pos,
-  CASE line_no % 4 WHEN 1 THEN '[' || doc_id || ', ' || line_no || '] (0.5)' WHEN 2 THEN '(' || text || ')'
-   WHEN 3 THEN 'conf: 0.' || (doc_id % 100) ELSE text END AS s FROM ocr_lines),""" + _NOISE_SQL)
+raw AS (SELECT doc_id AS id, 4 * line_no AS pos, CASE WHEN line_no % 4 = 2 THEN '(' || text || ')' ELSE text END AS s FROM ocr_lines
+ UNION ALL SELECT doc_id, 4 * line_no + 1, '[' || doc_id || ', ' || line_no || '] (0.5)' FROM ocr_lines
+ UNION ALL SELECT doc_id, 4 * line_no + 2, 'conf: 0.' || (doc_id % 100) FROM ocr_lines),""" + _NOISE_SQL)
 def p6(spark, sf):
-    """Document lines with every second one replaced or wrapped the way OCR noise looks."""
-    i, ln, s = F.col("doc_id"), F.col("n"), F.col("s")
+    """Document lines, some in brackets, each followed by coordinates and a confidence such as engines print."""
+    i = F.col("doc_id")
 
     def noisy(s, n):
-        return (
-            F.when(n % 4 == 1, F.concat(F.lit("["), i.cast("string"), F.lit(", "), n.cast("string"), F.lit("] (0.5)")))
-            .when(n % 4 == 2, F.concat(F.lit("("), s, F.lit(")")))
-            .when(n % 4 == 3, F.concat(F.lit("conf: 0."), (i % 100).cast("string")))
-            .otherwise(s)
-        )
-
-    lines = F.transform(F.split("text", "\n"), noisy)
+        return F.array(
+            F.when(n % 4 == 2, F.concat(F.lit("("), s, F.lit(")"))).otherwise(s),
+            F.concat(F.lit("["), i.cast("string"), F.lit(", "), n.cast("string"), F.lit("] (0.5)")),
+            F.concat(F.lit("conf: 0."), (i % 100).cast("string")))
+
+    lines = F.flatten(F.transform(F.split("text", "\n"), noisy))
     d = X.documents(spark, sf).select(i.alias("id"), T.drop_ocr_noise(lines).alias("lines"))
     return d.select("id", F.posexplode("lines").alias("line_no", "line"))
 
 
 @query("p6_drop_ocr_noise_html", f"""WITH a AS (
- SELECT page_id, regexp_replace(regexp_replace(html, '<br{SP}*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS s2 FROM pages),
+ SELECT page_id, regexp_replace(regexp_replace(html, '<br{SP}*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS s2 FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)),
 b AS (SELECT page_id, list_filter([{strip('x')} for x in regexp_split_to_array({_ENT}, '[\\r\\n]+')], lambda y: y <> '') AS p FROM a),
 raw AS (SELECT page_id AS id, generate_subscripts(p, 1) AS pos, unnest(p) AS s FROM b),""" + _NOISE_SQL)
 def p6h(spark, sf):
-    d = X.widen(X.table(spark, sf, "pages").select("page_id", "html"))
+    d = pages(spark, sf)
     d = d.select(F.col("page_id").alias("id"), T.drop_ocr_noise(F.array("html")).alias("lines"))
     return d.select("id", F.posexplode("lines").alias("line_no", "line"))
 
@@ -174,13 +186,12 @@ def p10(spark, sf):
     return j.select("pattern_ord", "plain", F.coalesce("count", F.lit(0).cast("bigint")).alias("n_docs"))
 
 
-@query("p11_first_text", """SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN text END), ''),
-  nullif(trim(CASE WHEN doc_id % 3 = 1 THEN '  ' ELSE lang END), ''), nullif(trim(source), '')) AS first_text FROM documents""")
+@query("p11_first_text", """SELECT doc_id, coalesce(nullif(trim(CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '  ' END), ''),
+  nullif(trim(text), ''), nullif(trim(lang), '')) AS first_text FROM documents""")
 def p11(spark, sf):
-    d = X.documents(spark, sf)
     i = F.col("doc_id") % 3
-    return d.select("doc_id", T.first_text(
-        F.when(i == 0, F.col("text")), F.when(i == 1, "  ").otherwise(F.col("lang")), F.col("source")).alias("first_text"))
+    return X.documents(spark, sf).select("doc_id", T.first_text(
+        F.when(i == 0, F.col("source")).when(i == 1, "  "), F.col("text"), F.col("lang")).alias("first_text"))
 
 
 @query("p12_preview", """SELECT doc_id, array_to_string(string_split(text, chr(10))[1:20], chr(10)) AS preview,
@@ -382,10 +393,16 @@ def f2(spark, sf):
     return h.select("doc_id", "pattern_ord", "hit.line_no", "hit.line", F.round("hit.similarity", 6).alias("sim"))
 
 
-@query("f3_full_text_fallback", f"""WITH {fuzzy_ctes(_SPLIT, True)}
+_BROKEN = SCANS.replace("scans AS", "whole AS", 1) + """, scans AS (SELECT doc_id, replace(text, ' ', ' quixotic rigmarole' || chr(10) || 'zanzibar ') AS text FROM whole)"""
+
+
+@query("f3_full_text_fallback", f"""WITH {fuzzy_ctes(_SPLIT, True).replace(SCANS, _BROKEN)}
 SELECT doc_id, CAST(pattern_ord AS INTEGER) AS pattern_ord, line, round(sim, 6) AS sim FROM fz WHERE line_no = 2147483647""")
 def f3(spark, sf):
-    h = _all_fuzzy(spark, sf).filter("hit.line_no = 2147483647")
+    """Scans whose phrases are broken over lines, amid other words, so that only the whole text has them."""
+    d = X.scans(spark, sf).select("doc_id", F.replace("text", F.lit(" "), F.lit(" quixotic rigmarole\nzanzibar ")).alias("text"))
+    h = K.fuzzy_hits(d.select("doc_id", "text", T.match_lines(F.col("text"), True).alias("lines"), K._every_pattern().alias("todo")))
+    h = h.filter("hit.line_no = 2147483647")
     return h.select("doc_id", "pattern_ord", "hit.line", F.round("hit.similarity", 6).alias("sim"))
 
 
@@ -484,13 +501,16 @@ def c1(spark, sf):
 
 @query("c3_select_argmax", f"""WITH {_v1_sql()},
 b AS (SELECT doc_id, arg_max(doc_type, score * 10 - type_ord) AS t, max(score) AS score FROM v1 GROUP BY doc_id)
-SELECT doc_id, CASE WHEN score >= CASE t WHEN 'BANK_STATEMENT' THEN 4 ELSE 3 END THEN t ELSE 'UNKNOWN' END AS best_type, score FROM b""")
+SELECT doc_id, CASE WHEN score >= CASE t WHEN 'BANK_STATEMENT' THEN 1 ELSE 3 END THEN t ELSE 'UNKNOWN' END AS best_type, score FROM b""")
 def c3(spark, sf):
     return K.select_argmax(K.score_v1(X.scans(spark, sf)))
 
 
-@query("f6_relevant_lines", f"""WITH {_hits_ctes('a0')},
-pl AS (SELECT DISTINCT doc_id, lower(plain) AS p FROM hits JOIN pats USING (pattern_ord) JOIN (SELECT * FROM (VALUES {", ".join(f"({n}, {q(K.plain_words(p))})" for _, _, n, p in C.pattern_rows())}) t(pattern_ord, plain)) USING (pattern_ord)),
+@query("f6_relevant_lines", f"""WITH {SCORES},
+top AS (SELECT doc_id, arg_max(type_ord, score * 10 - type_ord) AS type_ord FROM scores GROUP BY doc_id),
+pl AS (SELECT DISTINCT doc_id, lower(plain) AS p FROM hits JOIN pats USING (pattern_ord) JOIN top USING (doc_id, type_ord) JOIN (SELECT * FROM (VALUES {", ".join(f"({n}, {q(K.plain_words(p))})" for _, _, n, p in C.pattern_rows())}) t(pattern_ord, plain)) USING (pattern_ord)
+ UNION SELECT doc_id, CASE chk WHEN 'pan' THEN 'pan number' WHEN 'digit12' THEN '12 digit number' WHEN 'voter' THEN 'voterid number' ELSE '11 digit account number' END
+  FROM nums JOIN top USING (doc_id) JOIN types USING (type_ord) WHERE bonus > 0 AND {_FOUND}),
 raw AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, trim(unnest(a)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM scans)),
 pp AS (SELECT raw.doc_id, line_no, line, p, {tokens_sql('p')} AS a, {tokens_sql('line')} AS b FROM raw JOIN pl USING (doc_id) WHERE line <> ''),
 {ratio_ctes('pp', 'doc_id, line_no, line', 75, 'k')},

@@ -110,7 +110,21 @@ RULES = {
     "VOTER_ID": (3, "voter"),
     "BANK_STATEMENT": (4, "account11"),
 }
+#: The first rules know no bank statements, so one match is enough there.
+RULES_V1 = {
+    "AADHAAR_CARD": (3, "digit12"),
+    "PAN_CARD": (3, "pan"),
+    "DRIVING_LICENSE": (3, None),
+    "VOTER_ID": (3, "voter"),
+}
 UNKNOWN = "UNKNOWN"
+# --- fixed values: phrases that stand for a detector's hit among the matched keywords ----------------
+DETECTOR_PHRASES = {
+    "PAN_NUMBER": "pan number",
+    "AADHAAR_NUMBER": "12 digit number",
+    "VOTERID_NUMBER": "voterid number",
+    "ACCOUNT11_NUMBER": "11 digit account number",
+}
 FUZZY_THRESHOLD = 75
 
 # --- fixed values: identity-number patterns ------------------------------------------------------
@@ -153,16 +167,6 @@ MIN_ENGINE_TEXT = 4
 # --- fixed values: files ---------------------------------------------------------------------------
 SCAN_EXTENSIONS = ("png", "jpg", "jpeg", "tiff", "bmp", "pdf")
 
-# --- fixed values: HTML character references that appear in OCR markup ----------------------------
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
-    "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·",
-    "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
-    "&times;": "×", "&deg;": "°", "&amp;": "&",
-}
-
 # --- fixed values: layout ---------------------------------------------------------------------------
 LINE_TOLERANCE_MULTIPLIER = 0.6
 MIN_LINE_TOLERANCE = 10

@@ -15,12 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer partitions than cores; larger inputs are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 SCANS_SQL = """
 SELECT doc_id, src_key,
        CASE WHEN k % 5 = 0 THEN replace(replace(replace(replace(replace(replace(t, 'OF', '0F'), 'Account', 'Acount'), 'Customer', 'Custmer'), 'Permanent', 'Permanant'), 'DRIVING', 'DRVING'), 'IDENTITY', 'IDENTTY') ELSE t END AS text
@@ -53,7 +47,7 @@ def scans_of(customer: DataFrame) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans_of(widen(table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
+    return scans_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
 
 
 def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +58,7 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return widen(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +250,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """468-point face meshes in normalised coordinates, one per event."""
-    ev = widen(table(spark, sf_dir, "events").select("event_id"))
+    ev = table(spark, sf_dir, "events").select("event_id")
     mesh = F.expr(
         "array(transform(sequence(0, 467), i -> struct("
         "(200 + (event_id * 7 + i * 37) % 240) / 640.0D AS x, (100 + (event_id * 5 + i * 53) % 280) / 480.0D AS y)))"
@@ -291,7 +285,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``doc_id % 6`` picks the shape: 0 paragraphs with words, 1 paragraphs with text only, 2 block lines
     with words, 3 block lines with text only, 4 top-level paragraphs without pages, 5 blocks with text
     only.  ``doc_id % 4`` picks the wrapper; the fourth is unusual, and ``doc_id % 24 = 23`` has no
-    annotation at all.  Words with ``word_no % 7 = 0`` carry only symbols, words with
+    annotation at all: none in the response, a response cut off, or one nested 60,000 deep.  ``doc_id % 48 = 7`` has a list as wrapper, whose first item only looks like one.  Words with ``word_no % 7 = 0`` carry only symbols, words with
     ``word_no % 5 = 0`` no confidence, lines with ``line_no % 5 = 0`` a confidence of their own.
     """
     def box(x1: str, y1: str, x2: str, y2: str) -> str:
@@ -325,14 +319,17 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         transform(filter(sequence(0, size(split(text, '\n')) div 3), b -> exists(ls, x -> x.i div 3 = b)), b -> struct(
           if(doc_id % 6 IN (0, 1), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS paragraphs,
           if(doc_id % 6 IN (2, 3), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS lines,
-          if(doc_id % 6 = 5, concat('block ', b), NULL) AS text, {box('0', 'b * 120', '900', 'b * 120 + 119')} AS boundingBox))"""),
+          if(doc_id % 6 = 5, array_join(transform(filter(ls, x -> x.i div 3 = b), x -> x.l), '\n'), NULL) AS text, {box('0', 'b * 120', '900', 'b * 120 + 119')} AS boundingBox))"""),
     )
     d = d.withColumn(
         "fta",
         F.expr("""struct(if(doc_id % 3 = 0, text, NULL) AS text,
           if(doc_id % 6 <> 4, array(struct(bs AS blocks)), NULL) AS pages, if(doc_id % 6 = 4, ps, NULL) AS paragraphs)"""),
     )
-    payload = F.expr("""CASE WHEN doc_id % 24 = 23 THEN '{"status": "failed"}' ELSE CASE doc_id % 4
+    payload = F.expr("""CASE WHEN doc_id % 24 = 23 THEN CASE doc_id % 72 WHEN 23 THEN '{"status": "failed"}'
+         WHEN 47 THEN concat('{"data": ', to_json(struct(substring(text, 1, 0) AS t)), ', "cut": "', substring(to_json(struct(text)), 2))
+         ELSE concat(repeat('[', 60000), repeat(']', 60000)) END
+       WHEN doc_id % 48 = 7 THEN concat('{"data": [{"note": {"text": "x"}}, ', to_json(struct(fta AS fullTextAnnotation)), ']}') ELSE CASE doc_id % 4
        WHEN 0 THEN to_json(struct(fta AS fullTextAnnotation)) WHEN 1 THEN to_json(struct(struct(fta AS fullTextAnnotation) AS data))
        WHEN 2 THEN to_json(struct(array(struct(struct(array(struct(fta AS fullTextAnnotation)) AS responses) AS Data)) AS results))
        ELSE to_json(struct(array(struct(fta AS odd)) AS items)) END END""")

@@ -62,12 +62,12 @@ def polygon_from_points(points: Column, compat: str | None = None) -> Column:
 
 
 def points_from_string(s: Column) -> Column:
-    """``[x y]`` groups of a string -> points (first two integers of each group)."""
+    """``[x y]`` groups of a string -> points (first two integers of each group); a number beyond an int is null."""
     groups = F.regexp_extract_all(s, F.lit(r"\[[^\]]+\]"), F.lit(0))
     nums = F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"-?[0-9]+"), F.lit(0)))
     return F.transform(
         F.filter(nums, lambda n: F.size(n) >= 2),
-        lambda n: F.struct(F.get(n, F.lit(0)).cast("int").alias("x"), F.get(n, F.lit(1)).cast("int").alias("y")),
+        lambda n: F.struct(F.get(n, F.lit(0)).try_cast("int").alias("x"), F.get(n, F.lit(1)).try_cast("int").alias("y")),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,9 +103,24 @@ def _windows_1252(n: int) -> str:
 _C1 = [_windows_1252(n) for n in range(0x80, 0xA0)]
 
 
+def _reference_names() -> Column:
+    """First letter -> name -> characters, from the standard table; names with and without their semicolon."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        by_letter.setdefault(name[0], {})[name] = chars
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
+#: Names that count without a semicolon, longest first, so that a match is the longest one.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def unescape(c: Column) -> Column:
-    """Replace character references in one pass (the catalogue's names, and any number)."""
-    names = F.create_map(*[F.lit(x) for kv in C.ENTITIES.items() for x in kv])
+    """Replace character references in one pass: all standard names, and any number.
+
+    A name without its semicolon counts if the standard lists it so, and then also as the beginning of a longer word.
+    """
+    names = _reference_names()
 
     def code_point(digits: Column, base: int) -> Column:
         # more than seven digits is beyond Unicode in either base
@@ -115,17 +133,19 @@ def unescape(c: Column) -> Column:
         western = F.element_at(F.array(*[F.lit(x) for x in _C1]), (n - 0x80 + 1).cast("int"))
         return F.when(digits != "", F.when(silent, "").when(n.between(0x80, 0x9F), western).otherwise(char))
 
+    def named(name: Column) -> Column:
+        return F.element_at(F.element_at(names, F.substring(name, 1, 1)), name)
+
     def one(piece: Column, i: Column) -> Column:
-        ref = F.regexp_extract(piece, r"^#?[A-Za-z0-9]{1,31};", 0)
-        decimal = F.regexp_extract(ref, r"^#0*([0-9]+);", 1)
-        hexa = F.regexp_extract(ref, r"^#[xX]0*([0-9A-Fa-f]+);", 1)
-        char = F.when(ref == "", F.lit(None).cast("string")).otherwise(
-            F.coalesce(
-                F.element_at(names, F.concat(F.lit("&"), ref)),
-                code_point(decimal, 10),
-                code_point(hexa, 16),
-            )
-        )
+        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0)
+        decimal = F.regexp_extract(number, r"^#0*([0-9]+)", 1)
+        hexa = F.regexp_extract(number, r"^#[xX]0*([0-9A-Fa-f]+)", 1)
+        whole = F.regexp_extract(piece, "^[^\t\n\f <&#;]{1,32};?", 0)
+        start = F.regexp_extract(piece, f"^(?:{_OPEN_NAMES})", 0)
+        zero = F.when(number.rlike("^#(?:0+|[xX]0+);?$"), F.lit("\ufffd"))
+        ref = F.when(number != "", number).when(named(whole).isNotNull(), whole).otherwise(start)
+        char = F.when(number != "", F.coalesce(zero, code_point(decimal, 10), code_point(hexa, 16))).otherwise(
+            F.coalesce(named(whole), named(start)))
         rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
         return F.when(i == 0, piece).when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
@@ -175,11 +195,8 @@ def drop_ocr_noise(lines: Column) -> Column:
 
 
 def plain_pattern(c: Column) -> Column:
-    """Readable words of a regex pattern, for fuzzy comparison."""
-    s = F.regexp_replace(c, r"\\b", " ")
-    s = F.regexp_replace(s, r"[\^\$\.\*\+\?\(\)\[\]\{\}\\|]", " ")
-    s = F.regexp_replace(s, r"[^A-Za-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(s, " +", " "))
+    """Readable words of a regex pattern, for fuzzy comparison: its runs of ASCII letters and digits, word-boundary marks apart."""
+    return F.array_join(F.regexp_extract_all(F.replace(c, F.lit(r"\b"), F.lit(" ")), F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")
 
 
 def preview(lines: Column, n: int = 20) -> Column:

@@ -89,10 +89,13 @@ def _candidate_ords(tokens: Column, length: Column, threshold: float) -> Column:
             postings.setdefault(w, []).append(n)
     lengths = [len(" ".join(words)) for words in tokens_of]
     slack = (1 - threshold / 100) + 1e-9
-    longest = int(max(lengths) * (200 - threshold) / max(threshold, 1)) + 1
+    # below a threshold of 1 no length rules a pattern out, so one entry serves all lengths
+    longest = int(max(lengths) * (200 - threshold) / threshold) + 1 if threshold >= 1 else 0
     by_length = [
-        [n for n, a in enumerate(lengths) if abs(a - b) <= slack * (a + b)] for b in range(longest + 1)
+        [n for n, a in enumerate(lengths) if threshold < 1 or abs(a - b) <= slack * (a + b)] for b in range(longest + 1)
     ]
+    if threshold < 1:
+        length = F.lit(0)
 
     def ints(xs: list[int]) -> str:
         return f"CAST(array({', '.join(map(str, xs))}) AS ARRAY<INT>)"
@@ -204,12 +207,12 @@ def score_v1(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.explode(scores).alias("s")).select("doc_id", "s.type_ord", "s.doc_type", "s.score")
 
 
-def select_argmax(scores: DataFrame, keep_zero: bool = True) -> DataFrame:
-    """Highest score, earliest type on ties; UNKNOWN below the type's minimum score."""
+def select_argmax(scores: DataFrame, rules: dict[str, tuple[int, str | None]] = C.RULES_V1) -> DataFrame:
+    """Highest score, earliest type on ties; UNKNOWN below the type's minimum score, which is 1 for a type without a rule."""
     top = F.max(F.struct(F.col("score"), (-F.col("type_ord")).alias("o"), F.col("doc_type")))
     best = scores.groupBy("doc_id").agg(top.alias("t")).select("doc_id", "t.doc_type", "t.score")
     need = F.lit(1)
-    for doc_type, (min_score, _) in C.RULES.items():
+    for doc_type, (min_score, _) in rules.items():
         need = F.when(F.col("doc_type") == doc_type, F.lit(min_score)).otherwise(need)
     return best.select(
         "doc_id", F.when(F.col("score") >= need, F.col("doc_type")).otherwise(C.UNKNOWN).alias("best_type"), "score"
@@ -374,11 +377,19 @@ def phrase_ords(low_text: Column) -> Column:
 
 
 def matched_plains(classified: DataFrame) -> DataFrame:
-    """Distinct lower-case phrases of each document's matched patterns: (doc_id, plains)."""
+    """Distinct lower-case phrases of what matched for each document's best-scoring type, a detector's by its own phrase.
+
+    The best-scoring type is the first with the highest score, accepted or not.  Output: (doc_id, plains).
+    """
     plains = F.expr("array(" + ", ".join(_sql_text(plain_words(p).lower()) for _, _, _, p in C.pattern_rows()) + ")")
-    rows = F.filter("matched", lambda m: m["method"] != "detector")
-    return classified.select(
-        "doc_id", F.array_distinct(F.transform(rows, lambda m: F.get(plains, m["pattern_ord"]))).alias("plains")
+    phrases = F.create_map(*[F.lit(x) for pair in C.DETECTOR_PHRASES.items() for x in pair])
+    ranked = F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["type_ord"]).alias("o")))
+    best = -F.array_max(ranked)["o"]
+    return classified.withColumn("_best", best).select(
+        "doc_id", F.array_distinct(F.transform(
+            F.filter("matched", lambda m: m["type_ord"] == F.col("_best")),
+            lambda m: F.when(m["method"] == "detector", F.element_at(phrases, m["pattern"])).otherwise(F.get(plains, m["pattern_ord"])),
+        )).alias("plains")
     )
 
 

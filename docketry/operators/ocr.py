@@ -21,17 +21,30 @@ from docketry.schemas import ANNOTATION, BLOCK, PARAGRAPH, PIXEL, WRAPPERS
 # --- responses ---------------------------------------------------------------------------------
 
 
-def _search(node):
-    """First node, depth first, that has a page list or a text."""
-    if isinstance(node, dict):
-        if isinstance(node.get("pages"), list) or "text" in node:
-            return node
-        node = list(node.values())
-    if isinstance(node, list):
-        for child in node:
-            found = _search(child)
-            if found:
-                return found
+_WRAPPER_KEYS = ("data", "response", "result", "payload", "results", "Data")
+
+
+def _wrapped(doc):
+    """The annotation of the first wrapper that holds one, itself or in one of its items."""
+    for key in _WRAPPER_KEYS if isinstance(doc, dict) else ():
+        held = doc.get(key)
+        for item in held if isinstance(held, list) else [held]:
+            if isinstance(item, dict) and "fullTextAnnotation" in item:
+                return item["fullTextAnnotation"]
+    return None
+
+
+def _first_readable(doc):
+    """First node, in document order, that has a page list or a text; depth is bounded by memory only."""
+    ahead = [doc]
+    while ahead:
+        node = ahead.pop()
+        if isinstance(node, dict):
+            if "text" in node or isinstance(node.get("pages"), list):
+                return node
+            node = list(node.values())
+        if isinstance(node, list):
+            ahead.extend(reversed(node))
     return None
 
 
@@ -39,10 +52,11 @@ def _search(node):
 def _search_json(payload: pd.Series) -> pd.Series:
     def one(s):
         try:
-            found = _search(json.loads(s)) if s is not None else None
-        except ValueError:
+            doc = json.loads(s) if s is not None else None
+            found = _wrapped(doc) or _first_readable(doc)
+            return json.dumps(found, ensure_ascii=False) if found else None
+        except (ValueError, RecursionError):  # cut off, malformed, or nested beyond what the parser takes
             return None
-        return json.dumps(found, ensure_ascii=False) if found else None
 
     return payload.map(one).astype(object)
 

@@ -28,10 +28,10 @@ def scan_files(
     extensions: Sequence[str] = C.SCAN_EXTENSIONS, content: bool = True,
 ) -> DataFrame:
     """Files of a folder as rows.  Without ``content`` only metadata is read."""
-    both = [e for x in extensions for e in (x.lower(), x.upper(), x.capitalize())]
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions]
     df = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", "*.{" + ",".join(both) + "}").load(folder)
+        .option("pathGlobFilter", "*.{" + ",".join(any_case) + "}").load(folder)
     )
     df = allowed_files(df, extensions)
     return df if content else df.drop("content")

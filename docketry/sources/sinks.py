@@ -1,14 +1,23 @@
-"""Writers.  Each run writes its own ``run_id`` partition, so nothing is overwritten and retries are safe."""
+"""Writers.  Each run has its own ``run_id`` folder: repeating a run replaces it, other runs are not touched."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import catalog as C
 from docketry.functions import text as T
 
 
+def _run(path: str, run_id: str) -> str:
+    return f"{path.rstrip('/')}/run_id={run_id}"
+
+
+def bucket_of(name: Column, buckets: int = 64) -> Column:
+    """A folder number, so that many names share few folders."""
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+
 def with_top_score(classified: DataFrame) -> DataFrame:
     """Adds the chosen type's score, 0 for unknown documents."""
     chosen = F.filter("scores", lambda s: s["doc_type"] == F.col("best_type"))
@@ -21,7 +30,7 @@ def results_to_write(classified: DataFrame) -> DataFrame:
 
 
 def write_results_json(classified: DataFrame, path: str, run_id: str) -> None:
-    results_to_write(classified).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    results_to_write(classified).write.mode("overwrite").json(_run(path, run_id))
 
 
 def route_results(results: DataFrame) -> DataFrame:
@@ -40,8 +49,7 @@ def route_results(results: DataFrame) -> DataFrame:
 
 
 def write_routed(results: DataFrame, path: str, run_id: str) -> None:
-    routed = route_results(results).withColumn("run_id", F.lit(run_id))
-    routed.write.mode("append").partitionBy("run_id", "route").json(path)
+    route_results(results).write.mode("overwrite").partitionBy("route").json(_run(path, run_id))
 
 
 def document_text(lines: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -56,21 +64,20 @@ def write_sorted_text(lines: DataFrame, path: str, run_id: str, keep_empty: bool
     documents in order and a very large document may span several files."""
     rows = lines if keep_empty else lines.filter(F.length(T.strip(F.col("text"))) > 0)
     rows = rows.repartitionByRange("doc_id", "line_ord").sortWithinPartitions("doc_id", "line_ord")
-    rows.select("doc_id", "line_ord", "text", F.lit(run_id).alias("run_id")).write.mode("append").partitionBy(
-        "run_id"
-    ).option("sep", "\t").csv(path)
+    rows.select("doc_id", "line_ord", "text").write.mode("overwrite").option("sep", "\t").csv(_run(path, run_id))
 
 
-def write_text_files(documents: DataFrame, path: str) -> None:
-    """One folder of text per document; for runs small enough to want a file each."""
-    documents.select("doc_id", "content").write.mode("append").partitionBy("doc_id").text(path)
+def write_text_files(documents: DataFrame, path: str, run_id: str) -> None:
+    """Texts with their ids as JSON lines, in folders by a hash of the id."""
+    rows = documents.select("doc_id", "content", bucket_of(F.col("doc_id")).alias("bucket"))
+    rows.write.mode("overwrite").partitionBy("bucket").json(_run(path, run_id))
 
 
 def write_tables_csv(rows: DataFrame, path: str, run_id: str) -> None:
-    """Table rows (filename, segment, row) as CSV; tables without rows leave nothing."""
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "filename").option(
+    """Table rows (filename, segment, row) as CSV in folders by a hash of the file name; tables without rows leave nothing."""
+    rows.withColumn("bucket", bucket_of(F.col("filename"))).write.mode("overwrite").partitionBy("bucket").option(
         "header", True
-    ).csv(path)
+    ).csv(_run(path, run_id))
 
 
 def build_manifest(segments: DataFrame) -> DataFrame:
@@ -82,9 +89,9 @@ def build_manifest(segments: DataFrame) -> DataFrame:
 
 
 def write_manifest(segments: DataFrame, path: str, run_id: str) -> None:
-    build_manifest(segments).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    build_manifest(segments).write.mode("overwrite").json(_run(path, run_id))
 
 
 def write_events(events: DataFrame, path: str, run_id: str) -> None:
     """Face events in one folder per kind (already routed, see ``tracks.route_events``)."""
-    events.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "event_kind").json(path)
+    events.write.mode("overwrite").partitionBy("event_kind").json(_run(path, run_id))

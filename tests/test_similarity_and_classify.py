@@ -136,9 +136,20 @@ def test_selection_rules(spark):
     best = {r[0]: r[1] for r in K.select_eligible(df).collect()}
     assert best == {1: "PAN_CARD", 2: "VOTER_ID", 3: "UNKNOWN"}
     top = {r["doc_id"]: r["best_type"] for r in K.select_argmax(df).collect()}
+    assert top == {1: "PAN_CARD", 2: "PAN_CARD", 3: "BANK_STATEMENT"}
+    top = {r["doc_id"]: r["best_type"] for r in K.select_argmax(df, C.RULES).collect()}
     assert top == {1: "PAN_CARD", 2: "PAN_CARD", 3: "UNKNOWN"}
 
 
+def test_relevant_lines_of_the_best_type(spark):
+    text = "INCOME TAX DEPARTMENT\nPermanent Account Number Card\nABCPK1234L\nDate of Birth\nGovernment of India\nmy pan number here"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    plains = K.matched_plains(K.classify(docs))
+    assert "pan number" in plains.first()["plains"] and "government of india" not in plains.first()["plains"]
+    got = [r["line"] for r in K.relevant_lines(docs.select("doc_id", F.split("text", "\n").alias("lines")), plains).orderBy("line_no").collect()]
+    assert "Government of India" not in got and "my pan number here" in got
+
+
 def test_scans_get_their_types(spark):
     docs = X.scans(spark, SF)
     got = K.classify(docs).join(docs.select("doc_id", "src_key"), "doc_id")

@@ -16,12 +16,12 @@ SF = "/root/testdata/sf0.001"
 
 def test_scan_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    for name in ("a.png", "b.PNG", "c.Pdf", "d.txt", "sub/e.jpg", "noext"):
+    for name in ("a.png", "b.PnG", "c.Pdf", "d.txt", "sub/e.jpg", "noext", "f.jPeG"):
         (tmp_path / name).write_bytes(b"x" * 10)
     names = lambda df: sorted(os.path.basename(r["path"]) for r in df.select("path").collect())
     flat = R.scan_files(spark, str(tmp_path), content=False)
-    assert names(flat) == ["a.png", "b.PNG", "c.Pdf"] and "content" not in flat.columns
-    assert names(R.scan_files(spark, str(tmp_path), recursive=True)) == ["a.png", "b.PNG", "c.Pdf", "e.jpg"]
+    assert names(flat) == ["a.png", "b.PnG", "c.Pdf", "f.jPeG"] and "content" not in flat.columns
+    assert names(R.scan_files(spark, str(tmp_path), recursive=True)) == ["a.png", "b.PnG", "c.Pdf", "e.jpg", "f.jPeG"]
     assert R.scan_files(spark, str(tmp_path)).first()["content"] == bytearray(b"x" * 10)
 
 
@@ -38,10 +38,10 @@ def test_read_responses(spark, tmp_path):
     assert r["wrapper"] == "data" and r["fta"]["text"] == "t"
 
 
-def test_results_are_never_overwritten(spark, tmp_path):
+def test_a_run_replaces_itself_only(spark, tmp_path):
     c = K.classify(X.scans(spark, SF))
     out = str(tmp_path / "out")
-    for run in ("r1", "r2"):
+    for run in ("r1", "r2", "r1"):
         S.write_results_json(c, out, run)
     back = spark.read.json(out)
     n = c.filter("best_type <> 'UNKNOWN'").count()
@@ -61,8 +61,9 @@ def test_sorted_text_in_order(spark, tmp_path):
     S.write_sorted_text(lines, str(tmp_path / "t"), "r1")
     got = spark.read.option("sep", "\t").schema("doc_id bigint, line_ord int, text string").csv(str(tmp_path / "t" / "run_id=r1"))
     assert got.count() == lines.count()
-    S.write_text_files(S.document_text(lines.filter("doc_id < 3")), str(tmp_path / "f"))
-    assert sorted(d for d in os.listdir(tmp_path / "f") if d.startswith("doc_id")) == ["doc_id=0", "doc_id=1", "doc_id=2"]
+    for _ in range(2):
+        S.write_text_files(S.document_text(lines.filter("doc_id < 3")), str(tmp_path / "f"), "r1")
+    assert sorted(r["doc_id"] for r in spark.read.json(str(tmp_path / "f")).collect()) == [0, 1, 2]
 
 
 def test_empty_lines_kept_or_skipped(spark):
