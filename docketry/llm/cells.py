@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import components
+
 #: Rows of a bucket that are compared with each other in one cell.
 BUCKET = 128
 
@@ -58,16 +60,54 @@ def neighbours(cell: np.ndarray, side: np.ndarray, cross: np.ndarray, step: int
             yield i[ok], j[ok]
 
 
-def pairs_of(members: DataFrame, compare: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(cell, a, b) that ``compare`` finds in tables of whole cells; cells are spread by hash and sorted."""
+def in_cells(members: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on tables of whole cells; cells are spread by hash and sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
-            found = compare(table)
-            got = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (list(zip(*found)) or [[]] * 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["cell", "a", "b"])
+            yield from work(table).to_batches()
+
+    return members.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, schema)
+
+
+LINKED = "idx long, root long, others long"
+
+
+def linked(idx: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """(idx, root, others) for the rows that the links (i, j) touch.
 
-    return members.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "cell long, a long, b long")
+    ``others`` is the number of documents a row links to (sizes of the classes it links to), ``root`` the least idx that
+    these links reach; so a group of n rows gives n rows, not its n * n / 2 links.
+    """
+    others = np.bincount(i, size[j], len(idx)) + np.bincount(j, size[i], len(idx))
+    root = idx.copy()
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        if (root == before).all():
+            break
+    at = np.flatnonzero(others)
+    return pa.table({"idx": pa.array(idx[at], pa.int64()), "root": pa.array(root[at], pa.int64()), "others": pa.array(others[at].astype(np.int64))})
+
+
+def resolved(links: DataFrame, members: DataFrame, classes: DataFrame, every: DataFrame) -> DataFrame:
+    """(key, class_id, n_links) of all keys in ``every`` from the links of classes.
+
+    ``links``: idx, root, others.  ``members``: key, idx.  ``classes``: idx, first (least key), size (keys).
+    """
+    first = classes.select("idx", "first")
+    total = links.groupBy("idx").agg(F.sum("others").alias("others"))
+    edges = links.filter("idx <> root").select("idx", "root").distinct()
+    edges = edges.join(first, "idx").select("root", F.col("first").alias("u")).join(
+        first.select(F.col("idx").alias("root"), F.col("first").alias("v")), "root")
+    root = components(edges, "u", "v")
+    placed = classes.join(total, "idx", "left").join(root, F.col("first") == F.col("node"), "left").select(
+        "idx", F.coalesce("root", "first").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    placed = members.join(placed, "idx").groupBy("key").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+    return every.select("key").filter("key IS NOT NULL").distinct().join(placed, "key", "left").select(
+        "key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def column(table: pa.Table, name: str) -> np.ndarray:

@@ -7,11 +7,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.cells import cells, column, matrix, neighbours, pairs_of
-from docketry.llm.common import components, stored
+from docketry.llm.cells import LINKED, cells, column, in_cells, linked, matrix, neighbours, resolved
+from docketry.llm.common import stored
 
 THRESHOLD = 0.93
 #: Tables, hashes a table, and buckets probed a table.  At the default threshold a table misses a pair with probability
@@ -83,22 +84,20 @@ def hashed(vector: Column) -> Column:
     return udf(vector)
 
 
-def close_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """(cell, a, b) with a cosine at the threshold or above, each pair once: at the first shared probe."""
+def close(members: DataFrame, threshold: float) -> DataFrame:
+    """(idx, root, others) of the links with a cosine at the threshold or above, each counted at its first shared probe."""
 
-    def compare(table):
-        cell, idx, run = (column(table, n) for n in ("cell", "idx", "run"))
+    def work(table: pa.Table) -> pa.Table:
+        cell, idx, run, many = (column(table, n) for n in ("cell", "idx", "run", "size"))
         side, cross = column(table, "side"), column(table, "cross")
-        size = np.array([len(x) for x in table.column("raw").to_pylist()])
-        found = []
-        for length in np.unique(size):
-            at = np.flatnonzero(size == length)
+        length = np.array([len(x) for x in table.column("raw").to_pylist()])
+        left, right = [], []
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
             own = table.take(at)
-            x, ways = matrix(own, "raw", np.float64), matrix(own, "ways", np.int32)
-            scale = np.abs(x).max(1, keepdims=True)
-            x = x / scale
+            x, ways = matrix(own, "raw", np.float64), matrix(own, "ways", np.int32).reshape(len(at), TABLES, PROBES)
+            x = x / np.abs(x).max(1, keepdims=True)
             norm = np.sqrt((x * x).sum(1))
-            ways = ways.reshape(len(at), TABLES, PROBES)
             for i, j in neighbours(cell[at], side[at], cross[at], 16384):
                 ok = (x[i] * x[j]).sum(1) / (norm[i] * norm[j]) >= threshold
                 i, j = i[ok], j[ok]
@@ -107,11 +106,12 @@ def close_pairs(members: DataFrame, threshold: float) -> DataFrame:
                 # of the probes of the lower one, in order, the first that the other has in the same table too
                 first = (ways[i][:, :, :, None] == ways[j][:, :, None, :]).any(3).reshape(len(i), TABLES * PROBES).argmax(1)
                 ok = first == run[at[i]]
-                i, j = at[i[ok]], at[j[ok]]
-                found.append((cell[i], idx[i], idx[j]))
-        return found
+                left.append(at[i[ok]])
+                right.append(at[j[ok]])
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return linked(idx, many, cat(left), cat(right))
 
-    return pairs_of(members, compare)
+    return in_cells(members, work, LINKED)
 
 
 def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -146,21 +146,8 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     leaves = place.join(sizes, "leaf").select("idx", F.col("pos").alias("run"), "leaf", "n")
     ways = F.unhex(F.array_join(F.transform("codes", lambda c: F.right(F.concat(F.lit("0000000"), F.hex(c)), F.lit(8))), ""))
     known = one.select("idx", "raw", ways.alias("ways"))
-    pairs = stored(close_pairs(cells(leaves).join(known, "idx"), threshold), "vector-pairs")
-
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size_of = classes.select("idx", "size", "first")
-    linked = both.join(size_of.select(F.col("idx").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    first = size_of.select("idx", "first")
-    root = components(
-        pairs.join(first.select(F.col("idx").alias("a"), F.col("first").alias("u")), "a")
-        .join(first.select(F.col("idx").alias("b"), F.col("first").alias("v")), "b"), "u", "v")
-    placed = size_of.join(linked, F.col("idx") == F.col("a"), "left").join(root, F.col("first") == F.col("node"), "left").select(
-        "idx", F.coalesce("root", "first").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    placed = members.select("key", "idx").distinct().join(placed, "idx").groupBy("key").agg(
-        F.min("component").alias("component"), F.sum("links").alias("links"))
-    every = vectors.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct().join(placed, "key", "left")
-    component = F.coalesce("component", "key")
-    return every.select(
-        F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        (F.col("key") == component).alias("kept"))
+    compared = cells(leaves).join(known, "idx").join(classes.select("idx", "size"), "idx")
+    found = stored(close(compared, threshold), "vector-links")
+    out = resolved(found, members.select("key", "idx").distinct(), classes, vectors.select(F.col(key).alias("key")))
+    return out.select(
+        F.col("key").alias(key), "n_links", F.col("class_id").alias("component_id"), (F.col("key") == F.col("class_id")).alias("kept"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.cells import BUCKET, cells, column, matrix, neighbours, pairs_of
-from docketry.llm.common import components, stored
+from docketry.llm.cells import BUCKET, LINKED, cells, column, in_cells, linked, matrix, neighbours, resolved
+from docketry.llm.common import stored
 from docketry.llm.hashing import Powers, chunks, mixed, shingle_sets
 
 SIZE = 5
@@ -85,77 +86,101 @@ def buckets(sets: DataFrame, runs: int, depth: int = DEPTH, most: int = BUCKET)
     return found
 
 
-def likely_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """(cell, a, b) for the pairs in a cell whose lanes agree enough and that met in no earlier run.
+MEMBER = "idx long, run int, cell long, side int, cross boolean, ways binary"
 
-    ``members`` has idx, run, cell, side, cross, lanes and ways (a set's bucket of each run).
+
+def likely(members: DataFrame, threshold: float) -> DataFrame:
+    """The rows (idx, run, cell, side, cross, ways) whose lanes agree enough with those of another row of their cell, one that no
+    earlier run brought together with it.
+
+    ``members`` has lanes besides; ``ways`` holds a set's bucket of each run.
     """
     least = math.floor(LANES * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / LANES)))
 
-    def compare(table):
-        cell, idx, run = (column(table, n) for n in ("cell", "idx", "run"))
+    def work(table: pa.Table) -> pa.Table:
+        cell, run = column(table, "cell"), column(table, "run")
         lanes, ways = matrix(table, "lanes", np.uint8), matrix(table, "ways", np.int32)
-        found = []
+        near = np.zeros(len(cell), bool)
         for i, j in neighbours(cell, column(table, "side"), column(table, "cross")):
             ok = (lanes[i] == lanes[j]).sum(1) >= least
             i, j = i[ok], j[ok]
-            # only the first run that brings two sets together reports them
-            ok = ((ways[i] == ways[j]) & (ways[i] != 0)).argmax(1) == run[i]
-            i, j = i[ok], j[ok]
-            found.append((cell[i], np.minimum(idx[i], idx[j]), np.maximum(idx[i], idx[j])))
-        return found
-
-    return pairs_of(members, compare)
+            ok = first_way(ways, i, j) == run[i]
+            near[i[ok]] = near[j[ok]] = True
+        return table.drop_columns(["lanes"]).filter(pa.array(near))
+
+    return in_cells(members.select("idx", "run", "cell", "side", "cross", "ways", "lanes"), work, MEMBER)
+
+
+def first_way(ways: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first run that brings rows i and j together."""
+    return ((ways[i] == ways[j]) & (ways[i] != 0)).argmax(1)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a cell, from the incidence of the tokens that two or more of them hold."""
+    n = len(sets)
+    every, where = np.unique(np.concatenate(sets), return_inverse=True)
+    keep = np.bincount(where) > 1
+    place = np.cumsum(keep) - 1
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    ok = keep[where]
+    row, column_ = row[ok], place[where[ok]]
+    out, width = np.zeros((n, n)), max(1, min(1 << 14, int(keep.sum())))
+    order = np.argsort(column_, kind="stable")
+    row, column_ = row[order], column_[order]
+    for at in range(0, int(keep.sum()), width):
+        a, z = np.searchsorted(column_, (at, at + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[a:z], column_[a:z] - at] = 1
+        out += part @ part.T
+    return out
 
 
 def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(a, b) with Jaccard similarity of the whole shingle sets at the threshold or above.
+    """(idx, root, others) of the links at the threshold or above, by the whole shingle sets of the texts in a cell."""
+
+    def work(table: pa.Table) -> pa.Table:
+        powers, texts, sets = Powers(), table.column("text").to_pylist(), []
+        for _, part in chunks(texts):
+            sets += shingle_sets(part, size, powers)
+        cell, idx, run, many = (column(table, n) for n in ("cell", "idx", "run", "size"))
+        side, cross, ways = column(table, "side"), column(table, "cross"), matrix(table, "ways", np.int32)
+        own = np.array([[mixed(x, k).sum(dtype=np.uint64) for k in (3, 4)] for x in sets], np.uint64).astype(np.int64)
+        # the texts of a key that has several, and repeated rows, are told apart by the hash of the set
+        good = np.flatnonzero((own[:, 0] == column(table, "h1")) & (own[:, 1] == column(table, "h2")))
+        _, once = np.unique(np.stack([cell[good], idx[good]]), axis=1, return_index=True)
+        good = np.sort(good[once])
+        left, right = [], []
+        for at in np.split(good, np.flatnonzero(np.diff(cell[good])) + 1):
+            if len(at) < 2:
+                continue
+            mine = [sets[k] for k in at]
+            both = shared_counts(mine)
+            n = np.array([len(x) for x in mine])
+            i, j = np.nonzero(np.triu(both / (n[:, None] + n[None] - both) >= threshold, 1))
+            i, j = at[i], at[j]
+            ok = (~cross[i] | (side[i] != side[j])) & (first_way(ways, i, j) == run[i])
+            left.append(i[ok])
+            right.append(j[ok])
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return linked(idx, many, cat(left), cat(right))
+
+    return in_cells(rows, work, LINKED)
 
-    ``rows`` has for each cell its sets (idx, h1, h2, text) and its pairs (a, b); what a row lacks is negative, so sets come
-    first, and a set is built once a cell.
-    """
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, cell, sets = Powers(), None, {}
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            is_set = batch["a"].to_numpy() < 0
-            built: dict[int, np.ndarray] = {}
-            at = np.flatnonzero(is_set)
-            texts = batch["text"].to_numpy()[at].tolist()
-            for first, part in chunks(texts):
-                for k, x in enumerate(shingle_sets(part, size, powers)):
-                    built[int(at[first + k])] = x
-            for row, (c, i, h, g, a, b) in enumerate(zip(batch["cell"], batch["idx"], batch["h1"], batch["h2"], batch["a"], batch["b"])):
-                if c != cell:
-                    cell, sets = c, {}
-                if is_set[row]:
-                    x = built[row]
-                    own = (mixed(x, 3).sum(dtype=np.uint64), mixed(x, 4).sum(dtype=np.uint64))
-                    if tuple(np.array(own, np.uint64).astype(np.int64).tolist()) == (h, g):
-                        sets[i] = x
-                else:
-                    x, y = sets[a], sets[b]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if len(x) < threshold * len(y):
-                        continue
-                    near = y.searchsorted(x)
-                    near[near == len(y)] = 0
-                    both = int((y[near] == x).sum())
-                    if both / (len(x) + len(y) - both) >= threshold:
-                        out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    keyed = rows.repartition(F.col("cell")).sortWithinPartitions("cell", F.col("a"))
-    return keyed.mapInPandas(check, "a long, b long")
-
-
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
-          target: float = TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, pairs): who has which set, the distinct sets, and the pairs of sets at the threshold.
-
-    ``members``: key, idx.  ``classes``: idx, first (least key), size (keys).  ``pairs``: a, b with a < b, both idx.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
+         target: float = TARGET) -> DataFrame:
+    """(key, class_id, n_links): for each key the least key that links reach, and how many other documents it links to directly.
+
+    Two documents link if the Jaccard similarity of their sets of ``size``-word shingles (words between ASCII white space,
+    case kept) is ``threshold`` or more.  Equal sets are joined once as a class and counted with their number.  Runs of
+    random splits bring a pair at the threshold together with probability ``target``.  In a cell, rows with a likely
+    partner by their sketches are kept; their whole sets then decide.  A bucket that stays large is compared in full, part
+    against part.  What leaves a cell is a row a set, with its links counted, however many links there are.
+
+    Edge cases: a text of fewer words than ``size`` has one shingle of all of them; null and empty texts have none and link
+    with nothing; rows without a key are left out; rows that repeat a key count once; an empty table gives no rows; columns
+    other than the two named are not looked at.
     """
     runs = runs_needed(threshold, DEPTH, target)
     seen = docs.select(F.col(key).alias("key"), summaries(F.col(text), size, runs * DEPTH).alias("s"))
@@ -177,41 +202,9 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     ways = ways.select("idx", F.unhex(F.array_join(digits, "")).alias("ways"))
     known = sets.select("idx", "lanes").join(ways, "idx")
     compared = cells(leaves).select("idx", "run", "cell", "side", "cross").join(known, "idx")
-    likely = stored(likely_pairs(compared, threshold), "likely-pairs")
+    near = stored(likely(compared, threshold), "likely")
 
-    wanted = likely.select("cell", F.explode(F.array("a", "b")).alias("idx")).distinct()
-    named = wanted.join(classes.select("idx", "h1", "h2", "first"), "idx")
+    named = near.join(classes.select("idx", "h1", "h2", "first", "size"), "idx")
     whole = docs.select(F.col(key).alias("first"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    no_id, no_hash = F.lit(-1).cast("long"), F.lit(0).cast("long")
-    of_set = whole.join(named, "first").select("cell", "idx", "h1", "h2", "text", no_id.alias("a"), no_id.alias("b"))
-    of_pair = likely.select("cell", no_id.alias("idx"), no_hash.alias("h1"), no_hash.alias("h2"), F.lit("").alias("text"), "a", "b")
-    pairs = stored(verified(of_set.unionByName(of_pair), size, threshold), "pairs")
-    return members, classes, pairs
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
-         target: float = TARGET) -> DataFrame:
-    """(key, class_id, n_links): for each key the least key that links reach, and how many other documents it links to directly.
-
-    Two documents link if the Jaccard similarity of their sets of ``size``-word shingles (words between ASCII white space,
-    case kept) is ``threshold`` or more.  Equal sets are joined once as a class and counted with their number.  Runs of
-    random splits bring a pair at the threshold together with probability ``target``; every pair found is verified on its
-    whole sets, and a bucket that stays large is compared in full, part against part.
-
-    Edge cases: a text of fewer words than ``size`` has one shingle of all of them; null and empty texts have none and link
-    with nothing; rows without a key are left out; rows that repeat a key count once; an empty table gives no rows.
-    """
-    members, classes, pairs = links(docs, key, text, size, threshold, target)
-    size_of = classes.select("idx", "size", "first")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(size_of.select(F.col("idx").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    first = size_of.select("idx", "first")
-    by_key = pairs.join(first.select(F.col("idx").alias("a"), F.col("first").alias("u")), "a").join(
-        first.select(F.col("idx").alias("b"), F.col("first").alias("v")), "b")
-    root = components(by_key, "u", "v")
-    classes = size_of.join(linked, F.col("idx") == F.col("a"), "left").join(root, F.col("first") == F.col("node"), "left").select(
-        "idx", F.coalesce("root", "first").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    placed = members.join(classes, "idx").groupBy("key").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
-    every = docs.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
-    return every.join(placed, "key", "left").select(
-        F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = stored(verified(whole.join(named, "first").drop("first"), size, threshold), "links")
+    return resolved(found, members, classes, docs.select(F.col(key).alias("key"))).withColumnRenamed("key", key)
