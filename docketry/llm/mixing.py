@@ -73,7 +73,7 @@ def cuts(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) ->
     nearer = F.col("before") + F.col("upto") <= 2 * F.col("rest")
     edge = edge.select("source", F.when(nearer, F.col("bucket")).otherwise(F.col("bucket") - 1).alias("cut"))
     return targets.alias("t").join(edge.alias("c"), F.expr("t.source <=> c.source"), "left").select(
-        "t.source", "source_size", "target", "each", "cut")
+        "t.source", "source_size", "target", "each", F.when(F.col("each") < most, F.col("cut")).alias("cut"))
 
 
 def _copies(place: Column) -> Column:
