@@ -1,9 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.llm import bpe, language, line_dedup, mixing, ngram_join
+from docketry.llm.common import bounded_batches, stored
+from docketry.llm.queries import RANKS
+
+#: A document goes if no language reaches this mean probability over its windows.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is clear; null and letterless texts go.  Columns and repeated rows stay as they are."""
+    bounded_batches(spark)
+    said = docs.select(F.struct("*").alias("row"), language.predict(F.col("text"), language.fit(docs)).alias("said"))
+    return said.filter((F.col("said.lang") != language.UNKNOWN) & (F.col("said.score") >= LEAST_SCORE)).select("row.*")
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many sites share (but for the first copy); documents left without a line go."""
+    clean = line_dedup.clean_lines(docs).filter("NOT emptied")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates, and all that are in none; rows without an id stay."""
+    bounded_batches(spark)
+    out = ngram_join.join(docs).filter("class_id <> doc_id").select("doc_id")
+    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, as packed little-endian unsigned 32-bit integers, and a digest of the text they decode to."""
+    bounded_batches(spark)
+    out = docs.select("doc_id", bpe.encode(F.col("text"), RANKS).alias("e"))
+    out = out.select("doc_id", "e.ids", bpe.decode(F.col("e.ids"), F.col("e.offsets"), RANKS).alias("decoded"))
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", drop_shared_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode_text),
+]
+
+#: A trained network decides the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
