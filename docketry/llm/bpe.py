@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 ENCODED = "ids binary, offsets binary"
 #: Code points scanned at once; a longer text is scanned alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLOCK = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 SHORT = 48
 
 # --- codepoint classes, symbols and states of the pre-token automaton -----------------------------------
@@ -30,11 +30,11 @@ def class_table() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    point = lambda i: i if i < 0xD800 else i + 0x800
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            table[point(m.start()):point(m.end() - 1) + 1] = kind
+    for low, high in ((0, 0xD800), (0xE000, 0x40000), (0xE0000, 0xF0000)):  # the planes between and above hold no letters
+        every = np.arange(low, high, dtype="<u4").tobytes().decode("utf-32-le")
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                table[low + m.start():low + m.end()] = kind
     table[WHITE_SPACE] = SPACE
     return table
 
@@ -115,24 +115,51 @@ def boundaries(symbol: np.ndarray, to: np.ndarray, begins: np.ndarray) -> np.nda
     return np.flatnonzero(found.T.ravel()[:n])
 
 
+class Decoder:
+    """Bytes of every id, side by side."""
+
+    def __init__(self, lines: list[bytes]):
+        pairs = [(int(b), b64decode(a)) for a, b in map(bytes.split, filter(None, lines))]
+        tokens = [b""] * (max(pairs, default=(-1, b""))[0] + 1)
+        for rank, token in pairs:
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def offsets(self, packed: bytes) -> bytes:
+        """Byte offset of each token in its text, packed like the ids."""
+        size = self.lengths[np.frombuffer(packed, "<u4")]
+        return (np.cumsum(size) - size).astype("<u4").tobytes()
+
+    def decode(self, packed: bytes, offsets: bytes) -> bytes:
+        """Bytes of the ids, each written at its offset."""
+        ids, at = np.frombuffer(packed, "<u4"), np.frombuffer(offsets, "<u4").astype(np.int64)
+        size = self.lengths[ids]
+        total = int(at[-1] + size[-1]) if len(ids) else 0
+        return self.flat[np.repeat(self.starts[ids] - at, size) + np.arange(total)].tobytes()
+
+
 class Encoder(dict):
-    """Ranks of byte strings, and a cache from pre-token to its ids, packed as little-endian unsigned 32-bit integers."""
+    """Ranks of byte strings, and a cache from pre-token to its ids, packed as little-endian unsigned 32-bit integers.
+
+    A full cache becomes the old one, from which what is met again moves back; what isn't goes with the next change.
+    """
 
     def __init__(self, lines: list[bytes]):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.ranks = {b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
         self.table = class_table()
         self.to, self.begins = transitions()
-        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
+        if (packed := self.old.get(piece)) is not None:
+            self[piece] = packed
+            return packed
         raw = piece.encode()
         known = self.ranks.get(raw)
         ids = [known] if known is not None else self.short(raw) if len(raw) <= SHORT else self.merged(raw)
@@ -193,18 +220,6 @@ class Encoder(dict):
             first = stop + 1
         return out
 
-    def offsets(self, packed: bytes) -> bytes:
-        """Byte offset of each token in its text, packed like the ids."""
-        size = self.lengths[np.frombuffer(packed, "<u4")]
-        return (np.cumsum(size) - size).astype("<u4").tobytes()
-
-    def decode(self, packed: bytes, offsets: bytes) -> bytes:
-        """Bytes of the ids, each written at its offset."""
-        ids, at = np.frombuffer(packed, "<u4"), np.frombuffer(offsets, "<u4").astype(np.int64)
-        size = self.lengths[ids]
-        total = int(at[-1] + size[-1]) if len(ids) else 0
-        return self.flat[np.repeat(self.starts[ids] - at, size) + np.arange(total)].tobytes()
-
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
@@ -232,10 +247,11 @@ def encode(text: Column, path: str) -> Column:
 
     @F.pandas_udf(ENCODED)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(rank_lines(path))
+        lines = rank_lines(path)
+        encoder, decoder = Encoder(lines), Decoder(lines)
         for s in batches:
             ids = [x for part in chunks(s.fillna("").tolist()) for x in encoder.encode(part)]
-            yield pd.DataFrame({"ids": ids, "offsets": [encoder.offsets(x) for x in ids]})
+            yield pd.DataFrame({"ids": ids, "offsets": [decoder.offsets(x) for x in ids]})
 
     return udf(text)
 
@@ -245,8 +261,8 @@ def decode(ids: Column, offsets: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(rank_lines(path))
+        decoder = Decoder(rank_lines(path))
         for a, b in batches:
-            yield pd.Series([None if x is None else encoder.decode(x, y) for x, y in zip(a, b)], dtype=object)
+            yield pd.Series([None if x is None else decoder.decode(x, y) for x, y in zip(a, b)], dtype=object)
 
     return udf(ids, offsets)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity
-from docketry.llm.common import held_out
+from docketry.llm.common import bounded_batches, held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
