@@ -317,6 +317,42 @@ def s10(spark, sf):
     return P.stage_request(d).select("txn_id", "timestamp", "filename", "document_type", "n_lines", "n_chars", "error")
 
 
+def _staged(spark, sf):
+    f = P.assign_txn(X.files(spark, sf), "run-1")
+    return X.scans(spark, sf).join(f, "doc_id")
+
+
+_NAMED = f"""n0 AS (SELECT *, substr(sha256(path || '#' || length || '#run-1'), 1, 12) AS txn_id,
+  regexp_replace(regexp_extract(path, '[^/]*$'), '[^A-Za-z0-9_.-]', '_', 'g') AS clean FROM files),
+n1 AS (SELECT *, CASE WHEN regexp_matches(clean, '^\\.*[^.].*\\.[^.]*$') THEN regexp_extract(clean, '^(.*)\\.[^.]*$', 1) ELSE clean END AS stem FROM n0),
+named AS (SELECT n1.*, sc.text, stem || '_' || txn_id AS base_dir, stem || '_' || strftime(modificationTime, '%Y%m%d_%H%M%S') AS stamped
+  FROM n1 JOIN scans sc USING (doc_id))"""
+
+
+@query("s10_detection", f"""WITH {SCANS}, {FILES}, {_NAMED}
+SELECT txn_id, strftime(modificationTime, '%Y%m%d_%H%M%S') AS "timestamp", path AS filename,
+ CASE WHEN doc_id % 9 = 0 THEN 0 ELSE len(w) END AS words_count, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE len(w) - (len(w) + 6) // 7 END AS boxes_count,
+ base_dir || '/OCR_IMAGE/' || stamped || '.png' AS annotated_image_path, base_dir || '/OCR_SORTED/' || stamped || '.txt' AS sorted_text_path
+FROM (SELECT *, string_split(replace(text, chr(10), ' '), ' ') AS w FROM named)""")
+def s10d(spark, sf):
+    """Scans with a word per token, every seventh without a box, and no words for some scans."""
+    d = _staged(spark, sf)
+    box = F.array(F.struct(F.lit(1).alias("x"), F.lit(2).alias("y")))
+    w = d.filter("doc_id % 9 <> 0").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("pos", "word"))
+    return P.stage_detection(d, w.select("doc_id", F.when(F.col("pos") % 7 != 0, box).alias("vertices")))
+
+
+@query("s10_response", f"""WITH {SCORES}, {FILES}, {_NAMED},
+raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM named),
+unique_lines AS (SELECT doc_id, regexp_replace(trim(l), ' +', ' ', 'g') AS l, min(i) AS i FROM raw_lines GROUP BY ALL)
+SELECT txn_id, best_type AS document_type, string_agg(l, chr(10) ORDER BY i) AS detected_text, any_value(base_dir) || '/OCR_SORTED/' || any_value(stamped) || '.txt' AS sorted_text_path
+FROM named JOIN best USING (doc_id) JOIN unique_lines USING (doc_id) GROUP BY txn_id, best_type""")
+def s10r(spark, sf):
+    d = _staged(spark, sf)
+    d = d.join(K.classify(d.select("doc_id", "text")).select("doc_id", "best_type"), "doc_id")
+    return P.stage_response(d).withColumn("detected_text", F.array_join("detected_text", "\n"))
+
+
 @query("s11_error_record", f"""WITH {ENGINE_RUNS}, {SCORES},
 o AS (SELECT d.doc_id, (SELECT arg_min(engine, priority) FROM engine_runs e WHERE e.doc_id = d.doc_id AND length({strip('full_text')}) >= 4) AS engine,
   (SELECT max(error) FROM engine_runs e WHERE e.doc_id = d.doc_id) AS err FROM documents d)

@@ -476,10 +476,27 @@ def c6(spark, sf):
 
 
 @query("c7_pdf_rollup", f"""WITH {SCORES}
-SELECT doc_id // 4 AS parent, count(*) AS n_children, count(*) FILTER (WHERE best_type <> 'UNKNOWN') AS n_known, 'PDF_CONTAINS_DOCUMENTS' AS document_type FROM best GROUP BY 1""")
+SELECT doc_id // 4 AS parent, count(*) AS n_children, count(*) FILTER (WHERE best_type <> 'UNKNOWN') AS n_known, 'PDF_CONTAINS_DOCUMENTS' AS document_type,
+ string_agg(doc_id % 4 || ':' || best_type, ',' ORDER BY doc_id) AS children FROM best GROUP BY 1
+UNION ALL SELECT DISTINCT -1 - doc_id // 4, 0, 0, 'ERROR', '' FROM best""")
 def c7(spark, sf):
-    k = K.classify(X.scans(spark, sf)).select(F.expr("doc_id div 4").alias("parent"), "best_type")
-    return K.pdf_rollup(k)
+    """Four documents a PDF, and as many PDFs without any."""
+    children, parents = _pdfs(spark, sf)
+    c = F.transform("children", lambda c: F.concat_ws(":", c["child_no"].cast("string"), c["best_type"]))
+    return K.pdf_rollup(children, parents).withColumn("children", F.array_join(c, ","))
+
+
+def _pdfs(spark, sf):
+    parent = F.expr("doc_id div 4")
+    children = K.classify(X.scans(spark, sf)).select(parent.alias("parent"), (F.col("doc_id") % 4).alias("child_no"), "best_type")
+    return children, X.scans(spark, sf).select(F.explode(F.array(parent, -1 - parent)).alias("parent"))
+
+
+@query("c7_pdf_children", f"""WITH {SCORES}
+SELECT doc_id // 4 AS parent, doc_id % 4 AS child_no, best_type AS document_type FROM best
+UNION ALL SELECT DISTINCT -1 - doc_id // 4, CAST(NULL AS BIGINT), 'ERROR' FROM best""")
+def c7c(spark, sf):
+    return K.pdf_results(*_pdfs(spark, sf))
 
 
 def _v1_sql():

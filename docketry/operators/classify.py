@@ -393,15 +393,28 @@ def matched_plains(classified: DataFrame) -> DataFrame:
     )
 
 
-def pdf_rollup(children: DataFrame) -> DataFrame:
-    """Documents found inside one PDF -> one row per PDF.  Input: parent, child_no, best_type."""
-    return children.groupBy("parent").agg(
+def pdf_rollup(children: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Documents found inside one PDF -> one row per PDF, with its children in order.
+
+    ``children``: parent, child_no, best_type.  ``parents`` (parent) adds the PDFs in which nothing was found, as ERROR.
+    A PDF's children are kept in its row; they are as many as documents on its pages.
+    """
+    rows = children if parents is None else parents.select("parent").distinct().join(children, "parent", "left")
+    child = F.when(F.col("best_type").isNotNull(), F.struct("child_no", "best_type"))
+    return rows.groupBy("parent").agg(
         F.count("best_type").alias("n_children"),
         F.count_if(F.col("best_type") != C.UNKNOWN).alias("n_known"),
         F.when(F.count("best_type") > 0, F.lit("PDF_CONTAINS_DOCUMENTS")).otherwise("ERROR").alias("document_type"),
+        F.array_sort(F.collect_list(child)).alias("children"),
     )
 
 
+def pdf_results(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(parent, child_no, document_type): a result for each child, and one for a PDF without any."""
+    rows = parents.select("parent").distinct().join(children, "parent", "left")
+    return rows.select("parent", "child_no", F.coalesce("best_type", F.lit("ERROR")).alias("document_type"))
+
+
 def text_filter(lines: DataFrame, column: str = "text") -> DataFrame:
     """Keep lines that hold a letter or digit."""
     return lines.filter(has_text(F.col(column)))

@@ -48,6 +48,30 @@ def stage_request(docs: DataFrame) -> DataFrame:
     )
 
 
+def stage_detection(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Audit row of what was detected: words, words with a box, and where the drawn page and the sorted text go.
+
+    ``docs``: doc_id, txn_id, path, modificationTime, base_dir, stamped.  ``words``: doc_id, vertices.
+    """
+    counts = words.groupBy("doc_id").agg(F.count("*").alias("words_count"), F.count_if(F.size("vertices") > 0).alias("boxes_count"))
+    none = F.lit(0).cast("long")
+    return docs.join(counts, "doc_id", "left").select(
+        "txn_id", F.date_format("modificationTime", "yyyyMMdd_HHmmss").alias("timestamp"), F.col("path").alias("filename"),
+        F.coalesce("words_count", none).alias("words_count"), F.coalesce("boxes_count", none).alias("boxes_count"),
+        F.concat_ws("/", "base_dir", F.lit("OCR_IMAGE"), F.concat("stamped", F.lit(".png"))).alias("annotated_image_path"),
+        F.concat_ws("/", "base_dir", F.lit("OCR_SORTED"), F.concat("stamped", F.lit(".txt"))).alias("sorted_text_path"),
+    )
+
+
+def stage_response(docs: DataFrame) -> DataFrame:
+    """Audit row of what is answered.  Input: txn_id, text, best_type, base_dir, stamped."""
+    return docs.select(
+        "txn_id", F.when(F.col("text").isNull(), "ERROR").otherwise(F.col("best_type")).alias("document_type"),
+        F.coalesce(T.match_lines(F.col("text"), split_short=False), F.array().cast("array<string>")).alias("detected_text"),
+        F.concat_ws("/", "base_dir", F.lit("OCR_SORTED"), F.concat("stamped", F.lit(".txt"))).alias("sorted_text_path"),
+    )
+
+
 def error_record(read: DataFrame, runs: DataFrame, types: DataFrame) -> DataFrame:
     """A row for every document: its type, or ERROR and the reason when no engine gave text."""
     reasons = runs.groupBy("doc_id").agg(F.max("error").alias("reason"))
