@@ -183,8 +183,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     other than the two named are not looked at.
     """
     runs = runs_needed(threshold, DEPTH, target)
-    seen = docs.select(F.col(key).alias("key"), summaries(F.col(text), size, runs * DEPTH).alias("s"))
-    seen = stored(seen.filter("key IS NOT NULL AND s.n > 0").select("key", "s.*"), "sets")
+    seen = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), summaries(F.col(text), size, runs * DEPTH).alias("s"))
+    seen = stored(seen.select("key", "s.*"), "sets").filter("n > 0")
     classes = seen.groupBy("h1", "h2").agg(
         F.min("key").alias("first"), F.count_distinct("key").alias("size")).withColumn("idx", F.monotonically_increasing_id())
     classes = stored(classes, "classes")

@@ -7,6 +7,7 @@ from typing import NamedTuple
 import numpy as np
 
 ROUNDS = 30
+PASSES = 5
 VOTES = (-1, 0, 1)
 
 
@@ -42,27 +43,30 @@ def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True, start:
     """Expectation-maximisation over the labellers' vote tables, started from ``start`` or the sign of the summed votes.
 
     With ``correlated``, what labellers share beyond the class (the correlation of their votes' residuals) shrinks their
-    weights, so that several that say the same thing count about once, and the estimation runs again.
+    weights, so that several that say the same thing count about once; the estimation then starts again from the weighted
+    votes, ``PASSES`` times in all.
     """
     n, m = votes.shape
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     weights, share = np.ones(m), np.eye(m)
-    p = np.clip(0.5 + 0.4 * np.sign(votes.sum(1) + 1e-9 * (prior - 0.5)), 0.02, 0.98) if start is None else start
-    tables = _maximise(votes, p)
-    for outer in range(2 if correlated else 1):
+    for outer in range(PASSES if correlated else 1):
+        lean = np.sign(votes @ weights + 1e-9 * (prior - 0.5))
+        p = np.clip(0.5 + 0.4 * lean, 0.02, 0.98) if start is None else start
+        tables = _maximise(votes, p)
         for _ in range(ROUNDS):
             p = posterior(votes, prior, tables, weights)
             tables = _maximise(votes, p)
             prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-        if correlated and outer == 0:
+        if correlated:
             mean = np.einsum("jvc,v->jc", tables, np.array(VOTES))
             residual = votes - (p[:, None] * mean[:, 1] + (1 - p[:, None]) * mean[:, 0])
             spread = residual.std(0)
             spread[spread < 1e-9] = 1
             share = residual.T @ residual / n / np.outer(spread, spread)
             np.fill_diagonal(share, 1)
-            weights = 1 / np.abs(np.where(np.abs(share) > 0.1, share, 0)).sum(1).clip(1)
-    return LabelModel(prior, tables, weights, share), posterior(votes, prior, tables, weights)
+            if outer < PASSES - 1:
+                weights = 1 / np.where(share > 0.1, share, 0).sum(1)
+    return LabelModel(prior, tables, weights, share), p
 
 
 class Linear(NamedTuple):
