@@ -46,6 +46,7 @@ def test_bpe_round_trip(spark, encoding):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     out = df.select("i", bpe.encode(F.col("text"), RANKS).alias("e")).select("i", "e.*")
     out = out.withColumn("back", bpe.decode(F.col("ids"), F.col("offsets"), RANKS))
+    assert out.collect() == df.select("i", bpe.recode(F.col("text"), RANKS).alias("e")).select("i", "e.*").collect()
     for r in out.collect():
         raw = (texts[r.i] or "").encode()
         ids = np.frombuffer(r.ids, "<u4")
