@@ -199,9 +199,13 @@ def v8v(spark, sf):
     return V.blink_events(X.frames(spark, sf), threshold=0.21)
 
 
-@query("v8_blink_events_unmoved", f"WITH {FRAMES}, {ISL}, {isl('closed', 'c')} SELECT camera_id, track_id, frame_idx, before AS run_length FROM cb WHERE NOT closed AND before >= 3 AND NOT is_fake")
+@query("v8_blink_events_unmoved", f"WITH {FRAMES}, {ISL}, {isl('closed', 'c')} SELECT camera_id, track_id, frame_idx, before AS run_length FROM cb WHERE NOT closed AND before >= 3 AND NOT coalesce(shift > bw * 2.0::DOUBLE, false)")
 def v8m(spark, sf):
-    return V.blink_events(X.frames(spark, sf), moved="is_fake")
+    """Movement of more than two face widths hides a blink; by the usual share hardly a frame stands still."""
+    f = X.frames(spark, sf)
+    key = ["camera_id", "track_id", "frame_idx"]
+    moved = V.motion_events(f, 2.0).select(*key, F.lit(True).alias("moved"))
+    return V.blink_events(f.join(moved, key, "left").withColumn("moved", F.coalesce("moved", F.lit(False))), moved="moved")
 
 
 @query("v8_blink_counts", f"""WITH {FRAMES}, {ISL}, {isl('closed', 'c')}
@@ -297,6 +301,19 @@ def v13(spark, sf):
     return V.fused_events(X.frames(spark, sf))
 
 
+_COUNTED = """counted AS (SELECT cb.camera_id, cb.track_id, cb.frame_idx FROM cb
+  LEFT JOIN fused e ON e.camera_id = cb.camera_id AND e.track_id = cb.track_id AND e.frame_idx = cb.frame_idx AND e.event_kind IN ('smile', 'motion')
+  WHERE NOT closed AND cb.before >= 3 AND NOT (moved AND e.frame_idx IS NOT NULL))"""
+
+
+@query("v8_blink_counts_coupled", f"""WITH RECURSIVE {_CAND}, {_THIN}, {_COUNTED}
+SELECT camera_id, track_id, frame_idx, CAST(count(c.frame_idx) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx) AS BIGINT) AS blink_count
+FROM frames LEFT JOIN counted c USING (camera_id, track_id, frame_idx)""")
+def v8cc(spark, sf):
+    f = X.frames(spark, sf)
+    return V.blink_counts(f, V.coupled_blinks(f))
+
+
 @query("v17_smile_label", f"""WITH {FRAMES} SELECT camera_id, track_id, frame_idx, CASE WHEN {_TEETH} THEN 'REAL_SMILE' WHEN ear < 0.25 THEN 'FAKE_SMILE' ELSE 'REAL_SMILE' END AS label,
  CASE WHEN is_fake THEN 'FAKE_SMILE' ELSE 'REAL_SMILE' END AS label_by_face FROM frames""")
 def v17(spark, sf):
@@ -321,9 +338,9 @@ def v19(spark, sf):
     return V.route_events(PF.labelled_events(X.frames(spark, sf)))
 
 
-@query("v20_track_summary", f"""WITH RECURSIVE {_CAND}, {_THIN},
+@query("v20_track_summary", f"""WITH RECURSIVE {_CAND}, {_THIN}, {_COUNTED},
 life AS (SELECT camera_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames, avg(CAST(is_fake AS DOUBLE)) AS fake_share FROM frames GROUP BY ALL)
-SELECT life.*, {', '.join(f"(SELECT count(*) FROM fused e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id AND event_kind = '{k}') AS n_{k}" for k in ('blink', 'smile', 'motion', 'fake_face'))} FROM life""")
+SELECT life.*, (SELECT count(*) FROM counted e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id) AS blink_count, {', '.join(f"(SELECT count(*) FROM fused e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id AND event_kind = '{k}') AS n_{k}" for k in ('blink', 'smile', 'motion', 'fake_face'))} FROM life""")
 def v20(spark, sf):
     f = X.frames(spark, sf)
     return V.track_summary(f, V.fused_events(f))

@@ -416,6 +416,19 @@ def fused_events(
     return cooldown(found, gap, True, chunk_frames)
 
 
+def coupled_blinks(frames: DataFrame, gap: int = C.COOLDOWN_FRAMES, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+    """Blinks that count, reported or not: (camera_id, track_id, frame_idx).
+
+    Movement hides a blink only on a frame where the cool-down would let the movement through; that is a frame whose kept
+    event is the movement itself or a smile.  A fake face reported first keeps movement back.
+    """
+    found = event_candidates(frames, chunk_frames)
+    kept = cooldown(found.select(*TRACK, "frame_idx", "event_kind"), gap, True, chunk_frames)
+    kept = kept.filter(F.col("event_kind").isin("motion", "smile")).select(*TRACK, "frame_idx", F.lit(True).alias("_through"))
+    rows = found.filter("is_blink").select(*TRACK, "frame_idx", "is_move").join(kept, [*TRACK, "frame_idx"], "left")
+    return rows.filter(~(F.col("is_move") & F.coalesce("_through", F.lit(False)))).select(*TRACK, "frame_idx")
+
+
 def smile_label(teeth: Column, squint: Column) -> Column:
     """Visible teeth are real; hidden teeth with squinting eyes are fake; anything else is real."""
     return F.when(teeth, "REAL_SMILE").when(squint, "FAKE_SMILE").otherwise("REAL_SMILE")
@@ -436,7 +449,7 @@ def route_events(events: DataFrame) -> DataFrame:
 
 
 def track_summary(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per track: life span, frames seen, events of each kind, share of fake frames."""
+    """One row per track: life span, frames seen, events of each kind, share of fake frames, and all blinks that count."""
     seen = frames.groupBy(*TRACK).agg(
         F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("n_frames"),
         F.avg(F.col("is_fake").cast("double")).alias("fake_share"),
@@ -444,8 +457,9 @@ def track_summary(frames: DataFrame, events: DataFrame) -> DataFrame:
     kinds = events.groupBy(*TRACK).agg(
         *[F.count_if(F.col("event_kind") == k).alias(f"n_{k}") for k in ("blink", "smile", "motion", "fake_face")]
     )
+    blinks = coupled_blinks(frames).groupBy(*TRACK).agg(F.count("*").alias("_blinks"))
     zero = F.lit(0).cast("bigint")
-    return seen.join(kinds, list(TRACK), "left").select(
-        *TRACK, "first_frame", "last_frame", "n_frames", "fake_share",
+    return seen.join(kinds, list(TRACK), "left").join(blinks, list(TRACK), "left").select(
+        *TRACK, "first_frame", "last_frame", "n_frames", "fake_share", F.coalesce("_blinks", zero).alias("blink_count"),
         *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in ("blink", "smile", "motion", "fake_face")],
     )
