@@ -87,7 +87,7 @@ _ENT = f"{_ENT} || chr(10) || {q(_READ)}"
 
 
 def pages(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(_WRITTEN)).alias("html"))
+    return X.widen(X.table(spark, sf, "pages")).select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(_WRITTEN)).alias("html"))
 
 
 @query("p5_strip_markup", f"""WITH a AS (

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer partitions than cores, such as a file of one row group, which no split size divides."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 SCANS_SQL = """
 SELECT doc_id, src_key,
        CASE WHEN k % 5 = 0 THEN replace(replace(replace(replace(replace(replace(t, 'OF', '0F'), 'Account', 'Acount'), 'Customer', 'Custmer'), 'Permanent', 'Permanant'), 'DRIVING', 'DRVING'), 'IDENTITY', 'IDENTTY') ELSE t END AS text
@@ -47,7 +53,7 @@ def scans_of(customer: DataFrame) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    return scans_of(widen(table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
 
 
 def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return widen(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +256,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """468-point face meshes in normalised coordinates, one per event."""
-    ev = table(spark, sf_dir, "events").select("event_id")
+    ev = widen(table(spark, sf_dir, "events").select("event_id"))
     mesh = F.expr(
         "array(transform(sequence(0, 467), i -> struct("
         "(200 + (event_id * 7 + i * 37) % 240) / 640.0D AS x, (100 + (event_id * 5 + i * 53) % 280) / 480.0D AS y)))"
