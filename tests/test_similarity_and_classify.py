@@ -162,3 +162,29 @@ def test_python_only_for_pairs_that_need_it(spark):
     assert "ArrowEvalPython" not in plan and "Exchange hashpartitioning" not in plan
     plan = K.classify(X.scans(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_pdf_children(spark):
+    children = spark.createDataFrame([(1, 2, "PAN_CARD"), (1, 1, "UNKNOWN")], "parent int, child_no int, best_type string")
+    parents = spark.createDataFrame([(1,), (2,), (2,)], "parent int")
+    got = {r["parent"]: (r["n_children"], r["n_known"], r["document_type"], [tuple(c) for c in r["children"]]) for r in K.pdf_rollup(children, parents).collect()}
+    assert got == {1: (2, 1, "PDF_CONTAINS_DOCUMENTS", [(1, "UNKNOWN"), (2, "PAN_CARD")]), 2: (0, 0, "ERROR", [])}
+    flat = sorted((r[0], r[1] or 0, r[2]) for r in K.pdf_results(children, parents).collect())
+    assert flat == [(1, 1, "UNKNOWN"), (1, 2, "PAN_CARD"), (2, 0, "ERROR")]
+
+
+def test_medians_and_bad_responses(spark):
+    import statistics
+    from docketry.functions import geometry as G
+    from docketry.operators import ocr as O
+    rng = random.Random(2)
+    runs = [("a", rng.choice([0.05, 0.5, rng.random() * 9]), "x") for _ in range(301)] + [("b", 1.0, "y"), ("b", 2.0, None), ("c", None, "z")]
+    got = {r["engine"]: r["median_sec"] for r in O.engine_durations(spark.createDataFrame(runs, "engine string, duration_sec double, full_text string")).collect()}
+    assert got["a"] == pytest.approx(statistics.median(d for e, d, _ in runs if e == "a")) and got["b"] == 1.5 and got["c"] is None
+    payloads = ["[" * 60_000 + "]" * 60_000, '{"data": [{"note": {"text": "x"}}, {"fullTextAnnotation": {"text": "real"}}]}', '{"data": ', None,
+                '{"a": [{"b": {"text": "first"}}, {"text": "second"}]}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string")
+    texts = {r["i"]: r["fta"]["text"] if r["fta"] else None for r in O.read_annotations(df).collect()}
+    assert texts == {0: None, 1: "real", 2: None, 3: None, 4: "first"}
+    point = spark.createDataFrame([("[99999999999 1]",)], "s string").select(G.points_from_string(F.col("s")).alias("p")).first()["p"][0]
+    assert (point["x"], point["y"]) == (None, 1)

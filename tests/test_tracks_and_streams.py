@@ -203,3 +203,38 @@ def test_windows_of_a_stream_close_behind_the_watermark(spark):
     got = sorted((r["window_start"].minute, r["n"]) for r in spark.read.parquet(f"{base}/out").collect())
     # minute 3 came after its window had closed; the window of minute 90 is still open
     assert got == [(0, 2), (10, 1), (40, 1)]
+
+
+def test_sessions_of_a_hot_track(spark):
+    import datetime as dt
+    import random
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1 if rng.random() < 0.9 else rng.randrange(2, 6), t0 + dt.timedelta(minutes=rng.choice([1, 29, 30, 31]) * rng.randrange(400))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "track_id int, ts timestamp_ntz")
+    want = []
+    for k in {r[0] for r in rows}:
+        times = sorted(t for i, t in rows if i == k)
+        start, last, n = times[0], times[0], 0
+        for t in [*times, None]:
+            if t is None or t - last >= dt.timedelta(minutes=30):
+                want.append((k, start, last + dt.timedelta(minutes=30), n))
+                start, n = t, 0
+            last, n = t, n + 1
+    got = [tuple(r) for r in SW.event_sessions(df, "30 minutes").select("track_id", "window_start", "window_end", "n").collect()]
+    assert sorted(got) == sorted(want)
+    assert SW.event_sessions(df.limit(0), "30 minutes").count() == 0
+
+
+def test_blinks_hidden_by_movement_that_gets_through(spark):
+    # eyes closed on three frames, open on the fourth; the face jumps on every frame
+    rows = [(1, 1, f, 0.1 if f % 4 else 0.9, 100 * f, 0, 50, 0.0, 1.0, False) for f in range(1, 61)]
+    df = spark.createDataFrame(rows, "camera_id bigint, track_id bigint, frame_idx bigint, ear double, cx int, cy int, bw int, mouth_w_ratio double, mouth_open_ratio double, is_fake boolean")
+    last, want = 0, []
+    for f in range(1, 61):
+        moved = f > 1 and f - last > 12
+        if f % 4 == 0 and not moved:
+            want.append(f)
+        if moved:
+            last = f
+    assert sorted(r["frame_idx"] for r in V.coupled_blinks(df).collect()) == want and 0 < len(want) < 15
