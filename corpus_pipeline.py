@@ -41,8 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, as packed little-endian unsigned 32-bit integers, and a digest of the text they decode to."""
     bounded_batches(spark)
-    out = docs.select("doc_id", bpe.encode(F.col("text"), RANKS).alias("e"))
-    out = out.select("doc_id", "e.ids", bpe.decode(F.col("e.ids"), F.col("e.offsets"), RANKS).alias("decoded"))
+    out = docs.select("doc_id", bpe.recode(F.col("text"), RANKS).alias("e")).select("doc_id", "e.ids", "e.decoded")
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -266,3 +266,21 @@ def decode(ids: Column, offsets: Column, path: str) -> Column:
             yield pd.Series([None if x is None else decoder.decode(x, y) for x, y in zip(a, b)], dtype=object)
 
     return udf(ids, offsets)
+
+
+def recode(text: Column, path: str) -> Column:
+    """struct of ``ids`` and ``offsets`` as ``encode`` gives them, and ``decoded``, the bytes that ``decode`` makes of them.
+
+    Both in one worker, so that a round trip holds a batch once.
+    """
+
+    @F.pandas_udf(ENCODED + ", decoded binary")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lines = rank_lines(path)
+        encoder, decoder = Encoder(lines), Decoder(lines)
+        for s in batches:
+            ids = [x for part in chunks(s.fillna("").tolist()) for x in encoder.encode(part)]
+            offsets = [decoder.offsets(x) for x in ids]
+            yield pd.DataFrame({"ids": ids, "offsets": offsets, "decoded": [decoder.decode(x, y) for x, y in zip(ids, offsets)]})
+
+    return udf(text)

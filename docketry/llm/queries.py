@@ -95,8 +95,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), RANKS).alias("e"))
-    out = out.select("doc_id", "e.ids", bpe.decode(F.col("e.ids"), F.col("e.offsets"), RANKS).alias("decoded"))
+    out = table(spark, sf_dir, "documents").select("doc_id", bpe.recode(F.col("text"), RANKS).alias("e")).select("doc_id", "e.ids", "e.decoded")
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
