@@ -72,8 +72,9 @@ def cuts(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) ->
             "source", "m.rest", "m.bucket", (F.col("m.upto") - F.col("m.size")).alias("before"), "m.upto")
     nearer = F.col("before") + F.col("upto") <= 2 * F.col("rest")
     edge = edge.select("source", F.when(nearer, F.col("bucket")).otherwise(F.col("bucket") - 1).alias("cut"))
-    return targets.alias("t").join(edge.alias("c"), F.expr("t.source <=> c.source"), "left").select(
-        "t.source", "source_size", "target", "each", F.when(F.col("each") < most, F.col("cut")).alias("cut"))
+    # a stored table has a known size, so that a small one is sent to the documents and not they to it
+    return stored(targets.alias("t").join(edge.alias("c"), F.expr("t.source <=> c.source"), "left").select(
+        "t.source", "source_size", "target", "each", F.when(F.col("each") < most, F.col("cut")).alias("cut")), "cuts")
 
 
 def _copies(place: Column) -> Column:
