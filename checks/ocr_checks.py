@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.sqlbase import ENGINE_RUNS, FILES, OCR_LINES, SCANS, TSV, WORD_CELLS, strip
-from checks.text_checks import SCORES
+from checks.text_checks import SCORES, shown
 from docketry import fixtures as X
 from docketry.functions import geometry as G
 from docketry.functions import text as T
@@ -394,3 +394,13 @@ def c_read(spark, sf):
     d = X.scans(spark, sf).select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
     s = F.transform("scores", lambda s: F.concat_ws("=", s["doc_type"], s["score"].cast("string")))
     return P.read_and_classify(d).select("doc_id", "best_type", F.array_join(s, ",").alias("scores"))
+
+
+@query("c_read_and_classify_texts")
+def c_read_texts(spark, sf):
+    """Documents (even ids) as their engines read them, and scans (odd ids) that one engine read."""
+    runs = X.engine_runs(spark, sf).withColumn("doc_id", 2 * F.col("doc_id"))
+    scans = X.scans(spark, sf).select(
+        (2 * F.col("doc_id") + 1).alias("doc_id"), F.lit("alpha").alias("engine"), F.lit(1).alias("priority"),
+        F.col("text").alias("full_text"), F.lit(0.1).alias("duration_sec"), F.lit(None).cast("string").alias("error"))
+    return shown(P.read_and_classify(runs.unionByName(scans)))

@@ -450,12 +450,73 @@ m AS (SELECT doc_id, string_agg(pattern || '|' || method || '|' || match || '|'
 s AS (SELECT doc_id, string_agg(doc_type || '=' || score, ',' ORDER BY type_ord) AS scores FROM scores GROUP BY doc_id)
 SELECT doc_id, best_type, s.scores, m.matched FROM best JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def c5(spark, sf):
-    k = K.classify(X.scans(spark, sf))
+    return shown(K.classify(X.scans(spark, sf)))
+
+
+def shown(k):
+    """Scores and matched patterns as text, for comparison."""
     m = F.transform("matched", lambda m: F.concat_ws("|", m["pattern"], m["method"], m["match"], F.coalesce(m["score"].cast("string"), F.lit(""))))
     s = F.transform("scores", lambda s: F.concat_ws("=", s["doc_type"], s["score"].cast("string")))
     return k.select("doc_id", "best_type", F.array_join(s, ",").alias("scores"), F.nullif(F.array_join(m, "\n"), F.lit("")).alias("matched"))
 
 
+# --- the same over scans and whole documents -----------------------------------------------------
+
+_TEXTS = SCANS.replace("scans AS", "whole AS", 1) + """, scans AS (SELECT 2 * doc_id + 1 AS doc_id, text FROM whole UNION ALL SELECT 2 * doc_id, text FROM documents)"""
+_BROKEN_TEXTS = _TEXTS.replace("+ 1 AS doc_id, text", "+ 1 AS doc_id, replace(text, ' ', ' quixotic rigmarole' || chr(10) || 'zanzibar ') AS text")
+
+
+def classified_texts(spark, sf):
+    """Scans (odd ids) and whole documents (even ids)."""
+    n = F.when(F.col("src") == "scan", 1).otherwise(0)
+    return texts(spark, sf).select((2 * F.col("doc_id") + n).alias("doc_id"), "text")
+
+
+def _over_texts(name, run, scans_name):
+    """A query over scans again, its SQL with the documents added to the scans."""
+    query(name, SQL[scans_name].replace(SCANS, _TEXTS))(run)
+
+
+def f2_texts(spark, sf):
+    d = classified_texts(spark, sf)
+    h = K.fuzzy_hits(d.select("doc_id", "text", T.match_lines(F.col("text"), True).alias("lines"), K._every_pattern().alias("todo")))
+    h = h.filter("hit.line_no < 2147483647")
+    return h.select("doc_id", "pattern_ord", "hit.line_no", "hit.line", F.round("hit.similarity", 6).alias("sim"))
+
+
+def f3_texts(spark, sf):
+    """Scans with broken phrases, as in f3_full_text_fallback, and whole documents as they are."""
+    broken = F.replace("text", F.lit(" "), F.lit(" quixotic rigmarole\nzanzibar "))
+    d = classified_texts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 2 == 1, broken).otherwise(F.col("text")))
+    h = K.fuzzy_hits(d.select("doc_id", "text", T.match_lines(F.col("text"), True).alias("lines"), K._every_pattern().alias("todo")))
+    h = h.filter("hit.line_no = 2147483647")
+    return h.select("doc_id", "pattern_ord", "hit.line", F.round("hit.similarity", 6).alias("sim"))
+
+
+def f4_texts(spark, sf):
+    return K.pattern_hits(classified_texts(spark, sf))
+
+
+def c2_texts(spark, sf):
+    return K.score_v2(classified_texts(spark, sf))
+
+
+def c4_texts(spark, sf):
+    return K.select_eligible(K.score_v2(classified_texts(spark, sf)))
+
+
+def c5_texts(spark, sf):
+    return shown(K.classify(classified_texts(spark, sf)))
+
+
+_over_texts("f2_first_line_match_texts", f2_texts, "f2_first_line_match")
+query("f3_full_text_fallback_texts", SQL["f3_full_text_fallback"].replace(_BROKEN, _BROKEN_TEXTS))(f3_texts)
+_over_texts("f4_pattern_hit_texts", f4_texts, "f4_pattern_hit")
+_over_texts("c2_score_v2_texts", c2_texts, "c2_score_v2")
+_over_texts("c4_select_eligible_texts", c4_texts, "c4_select_eligible")
+_over_texts("c5_classification_struct_texts", c5_texts, "c5_classification_struct")
+
+
 @query("e7_id_numbers", f"""WITH {SCORES},
 n2 AS (SELECT nums.*, best_type FROM nums JOIN best USING (doc_id))
 SELECT doc_id, best_type, pan, digit12, voter, account11,

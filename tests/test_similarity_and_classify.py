@@ -7,6 +7,7 @@ from docketry import catalog as C
 from docketry import fixtures as X
 from docketry.functions.similarity import _lcs, token_set, with_similarity
 from docketry.operators import classify as K
+from docketry.plans import documents as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,3 +189,34 @@ def test_medians_and_bad_responses(spark):
     assert texts == {0: None, 1: "real", 2: None, 3: None, 4: "first"}
     point = spark.createDataFrame([("[99999999999 1]",)], "s string").select(G.points_from_string(F.col("s")).alias("p")).first()["p"][0]
     assert (point["x"], point["y"]) == (None, 1)
+
+
+def test_whole_documents_are_classified(spark):
+    """The queries over texts hold every document, and long documents as engines read them match by brute force."""
+    from pyspark.sql import types as Y
+
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    n_docs = X.documents(spark, SF).count()
+    for name in ("c4_select_eligible_texts", "c5_classification_struct_texts", "c_read_and_classify_texts"):
+        got = {r.doc_id for r in queries[name](spark, SF).select("doc_id").collect()}
+        unread = {40 * i for i in range(n_docs)} if name.startswith("c_read") else set()
+        assert {i for i in got if i % 2 == 0} == {2 * i for i in range(n_docs)} - unread
+        assert {i for i in got if i % 2} == {2 * r.doc_id + 1 for r in X.scans(spark, SF).collect()}
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    lines = [" ".join(rng.choices(words, k=12)) for _ in range(1500)]
+    lines[1400:1400] = ["Acount Numbr", "Date of Brth"]
+    filler = "\n".join(" ".join(rng.choices(words, k=40)) for _ in range(400))
+    docs = [(1, "\n".join(lines)), (2, filler + "\nAcount\nStatemnt"), (3, filler)]
+    engines = [(i, e, k, t if e != "alpha" else None, 0.1, None) for i, t in docs for k, e in enumerate(("alpha", "beta"))]
+    schema = Y.StructType.fromDDL("doc_id bigint, engine string, priority int, full_text string, duration_sec double, error string")
+    rows = {r.doc_id: r for r in P.read_and_classify(spark.createDataFrame(engines, schema)).collect()}
+    patterns = [(n, p) for _, _, n, p in C.pattern_rows() if "\\" not in p]
+    for i, text in docs:
+        seen = list(dict.fromkeys(text.split("\n")))
+        want = naive_hits(seen, text, patterns)
+        assert {m["pattern_ord"]: (m["match"], m["score"]) for m in rows[i]["matched"] if m["method"] == "fuzzy"} == want
+    assert len([m for m in rows[1]["matched"] if m["method"] == "fuzzy"]) >= 2 and rows[3]["best_type"] == C.UNKNOWN
