@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import weak
+from docketry.llm.common import stored
 from docketry.llm.hashing import SPACES, Powers, chunks, mixed, word_hashes
 
-#: The bound of the training sample: the documents with the least hash of their key.
+#: The bound of the scorer's training sample: texts with the least hashes of each pattern of votes.
 MAX_ROWS = 8_000
 #: Hashed features: word shapes and pairs of neighbouring shapes.
 WIDTH = 2048
@@ -41,8 +42,8 @@ class Model(NamedTuple):
     linear: weak.Linear
 
 
-def observe(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Labellers' votes (1 high, -1 low quality) and hashed shape shares, a row a text."""
+def observe(texts: list[str], powers: Powers, shapes: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Labellers' votes (1 high, -1 low quality) and hashed shape shares (None without ``shapes``), a row a text."""
     n = len(texts)
     words, first = word_hashes(texts, powers)
     size = np.diff(first)
@@ -80,6 +81,8 @@ def observe(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     for j, (name, low, high) in enumerate(LABELLERS):
         x = measures[name]
         votes[:, j] = np.where((x >= low[0]) & (x <= low[1]), -1, np.where((x >= high[0]) & (x <= high[1]), 1, 0) if high else 0)
+    if not shapes:
+        return votes, None
     kind = lambda p: np.where(p >= 0x80, 3, np.where((p | 32) - 97 < 26, np.where(p & 32, 1, 2), p)).astype(np.uint64)
     if len(words):
         shape = np.minimum(stop - start, 15).astype(np.uint64) | kind(points[start]) << np.uint64(4) | kind(last) << np.uint64(12)
@@ -94,38 +97,79 @@ def observe(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     return votes, np.sqrt(shares).astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model | None:
-    """Labeller accuracies and a scorer from a bounded sample of the documents with text; None if there are none.
+def quotas(distinct: np.ndarray, most: int) -> np.ndarray:
+    """How many of each group's members to take: all of the small groups, an equal part of the others, at least one, ``most`` in all.
 
-    No labels are read: expectation-maximisation over the labellers' votes gives each its accuracy and each document a
-    posterior, on which the scorer is trained.
+    More groups than ``most`` give one member each.
     """
-    able = docs.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(MAX_ROWS)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(able), "key")
+    low, high = 1, max(int(distinct.max(initial=1)), 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(distinct, middle).sum() <= most else (low, middle - 1)
+    return np.minimum(np.maximum(distinct, 1), low)
+
+
+def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> Model | None:
+    """Labeller accuracies from all documents with text, and a scorer from a sample of them; None if there are none.
+
+    No labels are read.  All documents' votes are counted, a row a pattern of votes (at most 3 ** labellers, in practice
+    about a hundred), and expectation-maximisation over these counts gives each labeller its accuracy and each pattern its
+    posterior.  Repeated and null keys do not matter: every row votes.
+
+    The scorer is trained on about ``max_rows`` distinct texts (more only if there are more patterns), drawn by the hash of
+    the text within each pattern: all of a rare one, equally many of the others.  Half of the loss belongs to the patterns
+    by their documents, half by their rows in the sample, so that neither the class prior nor a rare kind of text is lost.
+    """
+    able = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash")).filter("text IS NOT NULL")
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
+        for b in batches:
+            for at, part in chunks(b["text"].tolist(), 1 << 18):
+                votes, _ = observe(part, powers, shapes=False)
+                yield pd.DataFrame({"hash": b["hash"].to_numpy()[at:at + len(part)], "votes": [x.tobytes() for x in votes]})
+
+    said = stored(able.mapInPandas(vote, "hash long, votes binary"), "votes")
+    seen = said.groupBy("votes").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).toPandas()
+    if not len(seen):
+        return None
+    seen = seen.sort_values("votes", kind="stable").reset_index(drop=True)
+    patterns = np.frombuffer(b"".join(seen["votes"]), np.int8).reshape(len(seen), len(LABELLERS)).astype(int)
+    counts = seen["n"].to_numpy().astype(float)
+    # a text that any labeller puts down starts as likely bad: each sees its own kind of bad text
+    labels, target = weak.fit_labels(
+        patterns, PRIOR, correlated=False, start=np.where((patterns < 0).any(1), 0.1, 0.95), counts=counts)
+
+    texts = seen["texts"].to_numpy()
+    take = quotas(texts, max_rows)
+    # hashes are even over the 64 bits, so a pattern's least ones are its quota's share of them
+    most = [2**63 - 1 if k >= t else int((k / t) * 2**64) - 2**63 for k, t in zip(take.tolist(), texts.tolist())]
+    limits = docs.sparkSession.createDataFrame(
+        list(zip(map(bytearray, seen["votes"]), range(len(seen)), most)), "votes binary, pattern int, most long")
+    chosen = said.join(limits, "votes").filter("hash <= most").groupBy("hash").agg(F.min("pattern").alias("pattern"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for b in batches:
             for at, part in chunks(b["text"].tolist(), 1 << 18):
-                votes, shares = observe(part, powers)
+                _, shares = observe(part, powers)
                 full = [np.flatnonzero(x) for x in shares]
                 yield pd.DataFrame({
-                    "key": b["key"].to_numpy()[at:at + len(part)], "votes": [x.tobytes() for x in votes],
+                    "hash": b["hash"].to_numpy()[at:at + len(part)], "pattern": b["pattern"].to_numpy()[at:at + len(part)],
                     "columns": [f.astype(np.int32).tobytes() for f in full],
                     "shares": [x[f].tobytes() for x, f in zip(shares, full)]})
 
-    # at most MAX_ROWS rows (of repeated keys, their texts), each with at most WIDTH features, reach the driver
-    seen = rows.mapInPandas(look, "key long, votes binary, columns binary, shares binary").toPandas()
-    if not len(seen):
-        return None
-    seen = seen.sort_values(["key", "columns", "shares"], kind="stable")
-    votes = np.frombuffer(b"".join(seen["votes"]), np.int8).reshape(len(seen), len(LABELLERS)).astype(int)
-    # a text that any labeller puts down starts as likely bad: each sees its own kind of bad text
-    labels, target = weak.fit_labels(votes, PRIOR, correlated=False, start=np.where((votes < 0).any(1), 0.1, 0.95))
-    row = np.repeat(np.arange(len(seen)), [len(x) // 4 for x in seen["columns"]])
-    column = np.frombuffer(b"".join(seen["columns"]), np.int32).astype(int)
-    value = np.frombuffer(b"".join(seen["shares"]), np.float32).astype(float)
-    return Model(labels, weak.fit_linear(row, column, value, target, WIDTH, steps=200))
+    # about max_rows distinct texts, each with at most WIDTH features, reach the driver
+    drawn = able.join(F.broadcast(chosen), "hash").mapInPandas(look, "hash long, pattern int, columns binary, shares binary")
+    drawn = drawn.dropDuplicates(["hash"]).toPandas().sort_values("hash", kind="stable")
+    group = drawn["pattern"].to_numpy()
+    size = np.bincount(group, minlength=len(seen))
+    by_documents = (counts / np.maximum(size, 1))[group]
+    share = 0.5 * by_documents / by_documents.sum() + 0.5 / len(drawn)
+    row = np.repeat(np.arange(len(drawn)), [len(x) // 4 for x in drawn["columns"]])
+    column = np.frombuffer(b"".join(drawn["columns"]), np.int32).astype(int)
+    value = np.frombuffer(b"".join(drawn["shares"]), np.float32).astype(float)
+    return Model(labels, weak.fit_linear(row, column, value, target[group], WIDTH, steps=200, share=share))
 
 
 def score(text: Column, model: Model | None) -> Column:

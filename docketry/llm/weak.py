@@ -29,40 +29,46 @@ def posterior(votes: np.ndarray, prior: float, tables: np.ndarray, weights: np.n
     return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def _maximise(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _maximise(votes: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     tables = np.empty((votes.shape[1], 3, 2))
     for k, v in enumerate(VOTES):
         hit = votes == v
-        tables[:, k, 1] = hit.T @ p
-        tables[:, k, 0] = hit.T @ (1 - p)
+        tables[:, k, 1] = hit.T @ (p * counts)
+        tables[:, k, 0] = hit.T @ ((1 - p) * counts)
     tables += 1.0
     return tables / tables.sum(1, keepdims=True)
 
 
-def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True, start: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
+def fit_labels(votes: np.ndarray, prior: float, correlated: bool = True, start: np.ndarray | None = None,
+               counts: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
     """Expectation-maximisation over the labellers' vote tables, started from ``start`` or the sign of the summed votes.
 
+    A row of votes stands for ``counts`` documents, one if not given.
+
     With ``correlated``, what labellers share beyond the class (the correlation of their votes' residuals) shrinks their
     weights, so that several that say the same thing count about once; the estimation then starts again from the weighted
     votes, ``PASSES`` times in all.
     """
-    n, m = votes.shape
+    m = votes.shape[1]
+    counts = np.ones(len(votes)) if counts is None else np.asarray(counts, float)
+    n = counts.sum()
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     weights, share = np.ones(m), np.eye(m)
     for outer in range(PASSES if correlated else 1):
         lean = np.sign(votes @ weights + 1e-9 * (prior - 0.5))
         p = np.clip(0.5 + 0.4 * lean, 0.02, 0.98) if start is None else start
-        tables = _maximise(votes, p)
+        tables = _maximise(votes, p, counts)
         for _ in range(ROUNDS):
             p = posterior(votes, prior, tables, weights)
-            tables = _maximise(votes, p)
-            prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+            tables = _maximise(votes, p, counts)
+            prior = float(np.clip(p @ counts / n, 1e-3, 1 - 1e-3))
         if correlated:
             mean = np.einsum("jvc,v->jc", tables, np.array(VOTES))
             residual = votes - (p[:, None] * mean[:, 1] + (1 - p[:, None]) * mean[:, 0])
-            spread = residual.std(0)
+            centre = counts @ residual / n
+            spread = np.sqrt(counts @ (residual - centre) ** 2 / n)
             spread[spread < 1e-9] = 1
-            share = residual.T @ residual / n / np.outer(spread, spread)
+            share = (residual * counts[:, None]).T @ residual / n / np.outer(spread, spread)
             np.fill_diagonal(share, 1)
             if outer < PASSES - 1:
                 weights = 1 / np.where(share > 0.1, share, 0).sum(1)
@@ -79,13 +85,14 @@ def sums(row: np.ndarray, column: np.ndarray, value: np.ndarray, weights: np.nda
 
 
 def fit_linear(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, width: int, steps: int = 300,
-               penalty: float = 1e-4, rate: float = 0.1) -> Linear:
-    """Logistic regression on soft targets over sparse features (row, column, value)."""
+               penalty: float = 1e-4, rate: float = 0.1, share: np.ndarray | None = None) -> Linear:
+    """Logistic regression on soft targets over sparse features (row, column, value); ``share`` is each row's part of the loss."""
     w, n = np.zeros(width + 1), len(target)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    share = np.full(n, 1 / max(n, 1)) if share is None else share
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(sums(row, column, value, w, n) + w[-1], -50, 50)))
-        d = (p - target) / max(n, 1)
+        d = (p - target) * share
         g = np.append(np.bincount(column, value * d[row], width), d.sum())
         g[:-1] += penalty * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g

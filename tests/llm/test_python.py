@@ -204,6 +204,27 @@ def test_quality_model(spark):
     assert quality_model.fit(odd.limit(0)) is None
 
 
+def test_quality_model_counts_all_documents(spark):
+    """Votes of every document count, and a rare kind of text reaches the scorer's sample whatever the rows' order or bound."""
+    assert quality_model.quotas(np.array([1, 5, 900, 900]), 206).tolist() == [1, 5, 100, 100]
+    assert quality_model.quotas(np.array([3, 4, 5]), 2).tolist() == [1, 1, 1]
+
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(["the", "river", "stone", "walked", "Later", "green."]) for _ in range(80)) + "." for _ in range(600)]
+    rare = ["| cell | cell " * 30 + str(i) for i in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + rare)], "doc_id long, text string")
+    model = quality_model.fit(docs, max_rows=40)
+    # the tables hold all 603 documents, so the least probability is that of one in so many
+    votes = np.concatenate([quality_model.observe([t], hashing.Powers())[0] for t in good + rare])
+    u, n = np.unique(votes, axis=0, return_counts=True)
+    start = np.where((u < 0).any(1), 0.1, 0.95)
+    whole, _ = weak.fit_labels(u.astype(int), quality_model.PRIOR, correlated=False, start=start, counts=n)
+    each, _ = weak.fit_labels(votes.astype(int), quality_model.PRIOR, correlated=False, start=np.where((votes < 0).any(1), 0.1, 0.95))
+    assert np.allclose(model.labels.tables, whole.tables) and np.allclose(model.labels.tables, each.tables)
+    s = [r.s for r in docs.orderBy("doc_id").select(quality_model.score(F.col("text"), model).alias("s")).collect()]
+    assert min(s[:600]) >= 0.5 and max(s[600:]) < 0.5
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
