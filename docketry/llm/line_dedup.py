@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import let, stored, stripped
 
-MIN_SITES = 10
+#: Boilerplate of a young or rare kind stands on few sites; fewer than these happen to share short lines.
+MIN_SITES = 5
 LOG_K = 12
 #: Six standard errors of a sketch with 2 ** LOG_K cells; an estimate farther than that from the threshold decides.
 MARGIN = 0.1

@@ -62,6 +62,13 @@ def test_line_dedup_counts_near_the_threshold(spark):
     assert got == {0: "seven\nsix"} | {i: "six" for i in range(1, 6)} | {6: ""}
 
 
+def test_line_dedup_default_catches_few_sites(spark):
+    """A line on five sites goes from all but its first document, one on four stays."""
+    rows = [(i, f"own {i}\nReleased under a license." + ("\nfour" if i < 4 else ""), "s%d" % i) for i in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(docs_of(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: f"own {i}" + ("\nfour" if i < 4 else "") for i in range(1, 5)}
+
+
 def reference_mix(rows, weights=(5, 2, 1), most=3):
     sizes = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
     total = Counter()
