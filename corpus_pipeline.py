@@ -27,10 +27,23 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates, and all that are in none; rows without an id stay."""
+    """One row of each group of near duplicates, that of the least id, and all documents that are in none.
+
+    Rows that repeat an id and text are one document, of which one row stays.  A row without an id is known by a hash of its
+    text, above all other ids: it goes if a row with an id is its near duplicate, and of several without one a single row
+    stays (of rows without id and with equal texts too).  Rows that repeat an id with different texts stay or go together.
+    """
     bounded_batches(spark)
-    out = ngram_join.join(docs).filter("class_id <> doc_id").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    ident = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = docs.select(F.struct("*").alias("row"), ident.alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    out = ngram_join.join(rows.select("id", "row.text"), key="id").filter("class_id <> id").select("id")
+    kept = rows.join(out, "id", "left_anti")
+    same = ["id", "h1", "h2"]
+    twice = stored(rows.groupBy(*same).count().filter("count > 1").select(*same), "repeated-rows")
+    if not twice.isEmpty():
+        one = kept.join(twice, same, "left_semi").dropDuplicates(same)
+        kept = kept.join(twice, same, "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

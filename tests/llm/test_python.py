@@ -241,3 +241,17 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, sf).collect()
     digests = {hashlib.sha256(r.text.encode()).hexdigest() for r in held.collect()}
     assert got and {r.decoded_sha256 for r in got} == digests and all(len(r.ids) == 4 * r.n_tokens for r in got)
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """One row stays of each document that repeats an id and text, and of each group among rows without an id."""
+    text = lambda k, n=200: " ".join(f"w{k}-{i}" for i in range(n))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (2, text(2)), (3, text(1) + " end"), (None, text(2) + " end"),
+            (None, text(4)), (None, text(4)), (None, text(4) + " end"), (None, text(5)), (6, text(6)), (7, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted((i, t) for i, t in got if i) == [(1, text(1)), (2, text(2)), (6, text(6)), (7, ""), (8, "")]
+    unnamed = [t for i, t in got if i is None]
+    assert len(unnamed) == 2 and text(5) in unnamed and ({text(4), text(4) + " end"} & set(unnamed))
