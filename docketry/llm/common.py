@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; without this a worker that is used again keeps its largest size."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: larger arrays are mapped by themselves and go when they are freed
+        libc.malloc_trim(0)
+
+
+def lean(batches: Iterator) -> Iterator:
+    """The batches of a Python worker, which starts and ends without memory that earlier work has left."""
+    give_back()
+    yield from batches
+    give_back()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body or a lambda in it refers to it."""
     return F.transform(F.array(value), body)[0]

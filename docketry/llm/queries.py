@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docketry.llm import bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity
+from docketry.llm import alignment, bpe, chat, embedding_dedup, language, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, whitening
 from docketry.llm.common import bounded_batches, held_out
 
 
@@ -108,4 +108,28 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("score") >= quality_model.KEEP)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe, op10_quality_model)}
+BYTE_PAIRS = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_PAIRS, carry=[F.crc32("ids").alias("ids_crc32")])
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES, carry=[told])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    n, shares, error = (fit.n, fit.explained.tolist(), fit.identity_error) if fit else (0, [], 0.0)
+    shares = F.array(*map(F.lit, shares)) if shares else F.array().cast("array<double>")
+    out = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("pos", "whitened"))
+    return out.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("pos")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_quality_rules, op7_language, op8_chat, op9_bpe, op10_quality_model, op11_packing,
+    op12_alignment, op13_whitening)}
