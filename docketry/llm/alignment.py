@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import lean, stored
-from docketry.llm.subwords import BLOCK, BytePairs, Flat, Pieces, blocks, cut_words
+from docketry.llm.subwords import BLOCK, BytePairs, Flat, Pieces, blocks, parts
 
 #: Id pairs whose counts every worker gets, the most frequent ones; all others meet their counts in a join.
 HEAVY = 1 << 20
@@ -86,51 +86,48 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = BytePairs(a_path, plain=True), Pieces(b_path)
-        self.flat_a, self.flat_b = Flat(self.a.token_bytes()), Flat(self.b.token_bytes())
+        self.flat_a, self.flat_b = Flat(self.a.bytes), Flat(self.b.bytes)
         self.width = len(self.flat_b.size)
         self.kind = "<u4" if len(self.flat_a.size) * self.width < 1 << 32 else "<u8"
 
     def rows(self, texts: list[str]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, codes, times) of each text.
 
-        Words begin new groups, so a long text is aligned part by part.
+        Parts begin new groups, so a long text is aligned part by part.
         """
-        for _, part in blocks(texts):
-            parts, first = [], [0]
-            for t in part:
-                words = cut_words(t) if t else []
-                if len(t) <= BLOCK:
-                    parts.append(words)
+        cut = [parts(t) for t in texts]
+        done = iter([])
+        queue = blocks([p for own in cut for p in own], BLOCK, lambda p: len(p or ""))
+        for own in cut:
+            rows = []
+            while len(rows) < len(own):
+                row = next(done, None)
+                if row is None:
+                    done = self.align(next(queue)[1])
                 else:
-                    parts.extend(x for _, x in blocks(words))
-                first.append(len(parts))
-            done = []
-            for _, some in blocks(parts, size=lambda w: sum(map(len, w)) + len(w)):
-                done.extend(self.align(some))
-            for a, z in zip(first, first[1:]):
-                yield self.whole(done[a:z])
-
-    def whole(self, parts: list[tuple]) -> tuple:
+                    rows.append(row)
+            yield self.whole(rows)
+
+    def whole(self, rows: list[tuple]) -> tuple:
         """One row from those of a text's parts; a text of which a part has no tokens has none."""
-        if len(parts) == 1:
-            return parts[0]
-        if not all(p[0] for p in parts):
+        if len(rows) == 1:
+            return rows[0]
+        if not all(r[0] for r in rows):
             return 0, 0, 0, 0, "", b"", b""
-        code = np.concatenate([np.frombuffer(p[5], self.kind) for p in parts]).astype(np.int64)
-        code, times = summed(code, np.concatenate([np.frombuffer(p[6], "<u4") for p in parts]).astype(np.int64))
-        return (*(sum(p[k] for p in parts) for k in range(4)), ";".join([p[4] for p in parts]),
+        code = np.concatenate([np.frombuffer(r[5], self.kind) for r in rows]).astype(np.int64)
+        code, times = summed(code, np.concatenate([np.frombuffer(r[6], "<u4") for r in rows]).astype(np.int64))
+        return (*(sum(r[k] for r in rows) for k in range(4)), ";".join([r[4] for r in rows]),
                 code.astype(self.kind).tobytes(), times.astype("<u4").tobytes())
 
-    def align(self, words: list[list[str]]) -> Iterator[tuple]:
-        """The same for texts, or parts of texts, given by their words."""
-        texts = [" ".join(["", *w]) for w in words]
-        flat = [x for w in words for x in w]
-        ids, ends = [], []
-        for model in (self.a, self.b):
-            packed = model.packed(flat)
-            size = np.cumsum([0, *map(len, packed)]) // 4
-            ids.append(np.frombuffer(b"".join(packed), "<u4").astype(np.int64))
-            ends.append(size[np.cumsum([0, *map(len, words)])])  # where each text's tokens begin
+    def align(self, some: list[str | None]) -> Iterator[tuple]:
+        """The same for texts or parts of texts."""
+        texts = ["" if t is None else " " + t for t in some]
+        own = [self.a.encode(t) for t in texts]
+        other = iter(self.b.encode([t for t in some if t is not None]))
+        other = [np.array([] if t is None else next(other), np.int64) for t in some]
+        none = np.zeros(0, np.int64)
+        ids = [np.concatenate([none, *x]).astype(np.int64) for x in (own, other)]
+        ends = [np.cumsum([0, *map(len, x)]) for x in (own, other)]  # where each text's tokens begin
         encoded = [t.encode() for t in texts]
         raw, length = [np.frombuffer(b"".join(encoded), np.uint8)], np.array([len(t) for t in encoded])
         for flat_bytes, own in zip((self.flat_a, self.flat_b), ids):
@@ -228,9 +225,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 
     Edge cases: a text that is null, empty, or not what its tokens' bytes join to (U+2581 in it, say) has no tokens, zeros
     and empty groups; special tokens' strings are plain text; rows that repeat a key, also null, are rows of their own and
-    each counts; an empty table gives no rows; other columns are not looked at.  Very long texts are aligned whole.
+    each counts; an empty table gives no rows; other columns are not looked at; a very long text is encoded in parts.
     """
-    a_size, b_size = BytePairs(a_path, plain=True).model.get_vocab_size(), len(Pieces(b_path).bytes)
+    a_size, b_size = len(BytePairs(a_path, plain=True).bytes), len(Pieces(b_path).bytes)
     kind = "<u4" if a_size * b_size < 1 << 32 else "<u8"
     rows = docs.select(F.col(key).alias("key"), aligned(F.col(text), a_path, b_path).alias("_a")).select("key", "_a.*")
     numbers = ["n_a", "n_b", "n_groups", "n_links"]

@@ -179,22 +179,21 @@ def pieces(docs: DataFrame, path: str, key: str, text: str, capacity: int = CAPA
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = BytePairs(path, plain=False), np.array([END], "<u4").tobytes()
+        model = BytePairs(path, plain=False)
         for batch in lean(batches):
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for at, part in blocks(texts):
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, packed in enumerate(model.encode(part), at):
-                    packed += end
-                    a, total, k = 0, len(packed) // 4, 0
-                    while a < total:
-                        z = a + ((total - 1) % capacity + 1 if a == 0 else capacity)
+                for i, t in enumerate(part, at):
+                    all_ids = np.append(model.encode(t), END).astype("<u4")
+                    first = (len(all_ids) - 1) % capacity + 1
+                    for k, a in enumerate([0, *range(first, len(all_ids), capacity)]):
+                        own = all_ids[a:first if k == 0 else a + capacity]
                         row.append(i)
                         piece.append(k)
                         start.append(a)
-                        length.append(z - a)
-                        ids.append(packed[4 * a:4 * z])
-                        a, k = z, k + 1
+                        length.append(len(own))
+                        ids.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["key", "piece", "start", "length", "ids"])

@@ -31,18 +31,28 @@ def library():
     return Tokenizer.from_file(A), plain, sentencepiece.SentencePieceProcessor(model_file=B)
 
 
-def test_words_give_the_ids_of_whole_texts(library, monkeypatch):
-    monkeypatch.setattr(subwords, "CACHE_ENTRIES", 300)
+def test_ids_are_those_of_the_libraries(library):
     some = texts(3000)
     special, plain, pieces = library
-    for got, want in zip(subwords.BytePairs(A, plain=False).encode(some), special.encode_batch(some, add_special_tokens=False)):
-        assert np.frombuffer(got, "<u4").tolist() == want.ids
-    a, b = subwords.BytePairs(A, plain=True), subwords.Pieces(B)
+    a, b = subwords.BytePairs(A, plain=False), subwords.Pieces(B)
+    for t, want in zip(some, special.encode_batch(some, add_special_tokens=False)):
+        assert a.encode(t).tolist() == want.ids
+    a = subwords.BytePairs(A, plain=True)
     for t in filter(None, some):
-        words = subwords.cut_words(t)
-        assert np.frombuffer(b"".join(a.packed(words)), "<u4").tolist() == plain.encode(" " + t, add_special_tokens=False).ids
-        got = np.frombuffer(b"".join(b.packed(words)), "<u4").tolist()
-        assert subwords.BLANK in t or got == pieces.encode(t)
+        want = plain.encode(" " + t, add_special_tokens=False).ids
+        cut = subwords.parts(t, 5)
+        assert " ".join(cut) == t
+        assert a.encode(" " + t).tolist() == want == [i for w in cut for i in a.encode(" " + w).tolist()]
+        assert subwords.BLANK in t or sum(b.encode(cut), []) == pieces.encode(t)
+    assert a.bytes[plain.encode(" x").ids[0]] == b" x"
+
+
+def test_ids_of_every_code_point(library):
+    a = subwords.BytePairs(A, plain=False)
+    points = [*range(0, 0xD800), *range(0xE000, 0x33000), *range(0xE0000, 0xE0200), 0x10FFFF]
+    some = ["a%ca1%c1 %c.%c\n%c" % (p, p, p, p, p) for p in points]
+    for t, want in zip(some, library[0].encode_batch(some, add_special_tokens=False)):
+        assert a.encode(t).tolist() == want.ids
 
 
 # --- packing ----------------------------------------------------------------------------------------------
@@ -122,7 +132,7 @@ def brute_alignment(some, plain, pieces):
     """Tokens, groups and links of each text, in plain Python."""
     names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     b_bytes = [bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    a_bytes = subwords.BytePairs(A, plain=True).token_bytes()
+    a_bytes = subwords.BytePairs(A, plain=True).bytes
     out = []
     for t in some:
         a = plain.encode(" " + t, add_special_tokens=False).ids if t else []
@@ -174,7 +184,6 @@ def test_align_parts_and_large_groups(spark, library, monkeypatch):
     whole = list(both.rows(long))
     monkeypatch.setattr(subwords, "BLOCK", 64)
     monkeypatch.setattr(alignment, "BLOCK", 64)
-    monkeypatch.setattr(alignment.blocks, "__defaults__", (64, len))
     monkeypatch.setattr(alignment, "PLAIN", 2)
     assert list(both.rows(long)) == whole
     assert whole[1][:4] == (0, 0, 0, 0)
