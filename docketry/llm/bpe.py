@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketry.llm.common import lean
+
 ENCODED = "ids binary, offsets binary"
 #: Code points scanned at once; a longer text is scanned alone.
 CHUNK = 1 << 19
 BLOCK = 256
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 50_000
 SHORT = 48
 
 # --- codepoint classes, symbols and states of the pre-token automaton -----------------------------------
@@ -249,7 +251,7 @@ def encode(text: Column, path: str) -> Column:
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lines = rank_lines(path)
         encoder, decoder = Encoder(lines), Decoder(lines)
-        for s in batches:
+        for s in lean(batches):
             ids = [x for part in chunks(s.fillna("").tolist()) for x in encoder.encode(part)]
             yield pd.DataFrame({"ids": ids, "offsets": [decoder.offsets(x) for x in ids]})
 
@@ -262,7 +264,7 @@ def decode(ids: Column, offsets: Column, path: str) -> Column:
     @F.pandas_udf("binary")
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         decoder = Decoder(rank_lines(path))
-        for a, b in batches:
+        for a, b in lean(batches):
             yield pd.Series([None if x is None else decoder.decode(x, y) for x, y in zip(a, b)], dtype=object)
 
     return udf(ids, offsets)
@@ -278,7 +280,7 @@ def recode(text: Column, path: str) -> Column:
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lines = rank_lines(path)
         encoder, decoder = Encoder(lines), Decoder(lines)
-        for s in batches:
+        for s in lean(batches):
             ids = [x for part in chunks(s.fillna("").tolist()) for x in encoder.encode(part)]
             offsets = [decoder.offsets(x) for x in ids]
             yield pd.DataFrame({"ids": ids, "offsets": offsets, "decoded": [decoder.decode(x, y) for x, y in zip(ids, offsets)]})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import components
+from docketry.llm.common import components, lean
 
 #: Rows of a bucket that are compared with each other in one cell.
 BUCKET = 128
@@ -64,7 +64,7 @@ def in_cells(members: DataFrame, work: Callable[[pa.Table], pa.Table], schema: s
     """``work`` on tables of whole cells; cells are spread by hash and sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_cells(batches):
+        for table in whole_cells(lean(batches)):
             yield from work(table).to_batches()
 
     return members.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, schema)

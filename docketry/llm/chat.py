@@ -132,11 +132,12 @@ def formatted(records: DataFrame, learn: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``loss_spans`` (start and length in code points of the texts to learn) to records with ``turns``.
 
     A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``; roles are URL-encoded, control strings inside texts escaped.  Null turns
-    give null; no turns give an empty text.
+    give null; no turns give an empty text.  Other columns pass through whatever their names, but for ``formatted`` and
+    ``loss_spans``, which are replaced.
     """
-    rows = records.drop("formatted", "loss_spans")
+    rows = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns if c not in ("formatted", "loss_spans")]).alias("row"))
     head = lambda t: F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"))
-    parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn")))
+    parts = F.transform("row.turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn")))
     rows = rows.withColumn("parts", parts)
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END))), "")
     step = F.aggregate(
@@ -145,7 +146,7 @@ def formatted(records: DataFrame, learn: str = "assistant") -> DataFrame:
             (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(TURN_END)).alias("at"),
             F.when(p["learn"], F.concat(a["spans"], F.array(F.struct(
                 (a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans")))
-    return rows.withColumn("formatted", text).withColumn("loss_spans", step["spans"]).drop("parts")
+    return rows.withColumn("formatted", text).withColumn("loss_spans", step["spans"]).select("row.*", "formatted", "loss_spans")
 
 
 def read_turns(text: Column) -> Column:

@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Have Python workers get their rows in batches that are small in bytes too, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -7,10 +7,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import held_out
+from docketry.llm.common import held_out, lean
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -109,26 +109,34 @@ def cut(raw: bytes) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
     """A model of the languages that labelled rows outside the held-out quarter name; None if there is none.
 
-    The sample is bounded: ``PER_LANGUAGE`` documents a language, least hash of the key first, and ``PER_DOCUMENT`` windows
-    spread over each.
+    The sample is bounded: ``PER_LANGUAGE`` documents a language, least hash of the text first, and ``PER_DOCUMENT`` windows
+    spread over each.  Rows that repeat a text are one.  The number of a language's documents tells below
+    which hash to look, with room to spare, so no text but those of the sample is moved.
     """
     able = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         ~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = able.select("key", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PER_LANGUAGE)
+    able = able.select("lang", "text", F.xxhash64("text").alias("h"))
+    several = able.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    if not several:
+        return None
+    # twelve standard deviations more than wanted, and the estimate's error
+    share = {r["lang"]: min(1.0, (PER_LANGUAGE + 12 * PER_LANGUAGE ** 0.5) / 0.9 / r["n"]) for r in several}
+    limit = F.lit(None).cast("long")
+    for name, x in share.items():
+        limit = F.when(F.col("lang") == name, F.lit(min((1 << 63) - 1, int((2 * x - 1) * (1 << 63))))).otherwise(limit)
+    near = able.filter(F.col("h") <= limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key_, lang_, text_ in zip(b["key"], b["lang"], b["text"]):
+        for b in lean(batches):
+            for lang_, h, text_ in zip(b["lang"], b["h"], b["text"]):
                 w = cut(text_.encode())
                 w = w[np.unique(np.linspace(0, len(w) - 1, PER_DOCUMENT).astype(int))]
-                yield pd.DataFrame({"key": key_, "lang": lang_, "nth": range(len(w)), "window": [x.tobytes() for x in w]})
+                yield pd.DataFrame({"lang": lang_, "h": h, "nth": range(len(w)), "window": [x.tobytes() for x in w]})
 
-    # at most PER_LANGUAGE * PER_DOCUMENT windows a language reach the driver
-    sample = able.join(ids.select("key", "lang").distinct(), ["key", "lang"], "left_semi").mapInPandas(
-        windows, "key long, lang string, nth int, window binary").toPandas().sort_values(["lang", "key", "nth"])
-    if not len(sample):
-        return None
+    # about twice PER_LANGUAGE * PER_DOCUMENT windows a language reach the driver, which keeps the first documents
+    sample = near.mapInPandas(windows, "lang string, h long, nth int, window binary").toPandas().sort_values(["lang", "h", "nth"])
+    first = sample.drop_duplicates(["lang", "h"]).groupby("lang").head(PER_LANGUAGE)[["lang", "h"]]
+    sample = sample.merge(first, on=["lang", "h"])
     names = sorted(sample["lang"].unique())
     matrix = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(-1, WINDOW)
     return train(matrix, sample["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), names)
@@ -142,7 +150,7 @@ def predict(text: Column, model: Model | None) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in lean(batches):
             texts = [t if isinstance(t, str) and any(map(str.isalpha, t)) else "" for t in s]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             pending: list[tuple[int, np.ndarray, int]] = []

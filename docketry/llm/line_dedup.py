@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import let, stored, stripped
+from docketry.llm.common import WORD, let, stored, stripped
 
-#: Boilerplate of a young or rare kind stands on few sites; fewer than these happen to share short lines.
+#: Boilerplate of a young or rare kind stands on few sites.
 MIN_SITES = 5
+#: Lines of so few words recur by chance, so they must stand on more sites.
+SHORT_WORDS = 3
+SHORT_SITES = 10
 LOG_K = 12
 #: Six standard errors of a sketch with 2 ** LOG_K cells; an estimate farther than that from the threshold decides.
 MARGIN = 0.1
@@ -18,9 +21,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int = SHORT_SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Texts without the lines that at least ``min_sites`` sites carry; the document with the least key keeps its copy.
 
+    A line of at most ``SHORT_WORDS`` words goes from ``short_sites`` sites on: what chance brings together is short.
+
     Adds ``n_lines``, ``n_removed`` and ``emptied`` (all its non-blank lines went).  Lines are compared without white space
     at their ends; blank lines are no lines and stay in place.
 
@@ -40,18 +45,20 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id"
     line = rows.select(
         ident.alias("key"), text_hash, F.xxhash64(F.col(f"row.{site}")).alias("site"), F.posexplode(_lines(own)).alias("pos", "line"))
     line = line.withColumn("line", stripped(F.col("line"))).filter("line <> ''").select(
-        "key", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    shared = line.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("key").alias("keeper"))
-    shared = stored(shared.filter("lo <> hi").select("h1", "h2", "keeper"), "shared-lines")
-    met = stored(line.join(shared, ["h1", "h2"]), "line-occurrences")
+        "key", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+        F.when(F.regexp_count("line", F.lit(WORD)) <= SHORT_WORDS, short_sites).otherwise(min_sites).alias("need"))
+    shared = line.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("key").alias("keeper"), F.max("need").alias("need"))
+    shared = stored(shared.filter("lo <> hi").select("h1", "h2", "keeper", "need"), "shared-lines")
+    met = stored(line.drop("need").join(shared, ["h1", "h2"]), "line-occurrences")
 
     spread = stored(
-        met.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
-        .select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
-    near = spread.filter(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("h1", "h2")
-    exact = met.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(
+        met.groupBy("h1", "h2", "need").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
+        .select("h1", "h2", "need", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
+    least, most = F.col("need") * (1 - MARGIN), F.col("need") * (1 + MARGIN)
+    near = spread.filter(F.col("sites").between(least, most)).select("h1", "h2")
+    exact = met.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "need", "site").distinct().groupBy("h1", "h2", "need").agg(
         F.count("*").alias("sites"))
-    wide = spread.filter(F.col("sites") > min_sites * (1 + MARGIN)).unionByName(exact.filter(F.col("sites") >= min_sites))
+    wide = spread.filter(F.col("sites") > most).unionByName(exact.filter(F.col("sites") >= F.col("need")))
 
     out = met.join(wide.select("h1", "h2"), ["h1", "h2"], "left_semi").filter("NOT (key <=> keeper)")
     out = out.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))

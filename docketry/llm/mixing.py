@@ -16,9 +16,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(key: Column) -> Column:
-    """A document's place in its source's fixed order: 60 bits of a digest of its id."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def place_of(key: Column, text: Column) -> Column:
+    """A document's place in its source's fixed order: 60 bits of a digest of its id and text."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
@@ -84,7 +85,7 @@ def _copies(place: Column) -> Column:
 def sizes(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return stored(
         docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
-                    place_of(F.col(key)).alias("place")), "sizes")
+                    place_of(F.col(key), F.col(text)).alias("place")), "sizes")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text",
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, key:
     in if that brings the sum nearer to the budget.  No step sorts documents.
 
     Edge cases: null and empty texts have size 0 and take nothing from a budget; null is a source of its own, the last;
-    rows that repeat an id share its place and go in or out together; an empty table gives an empty result; columns other
+    rows that repeat an id (null too) have places of their own unless their texts are equal, then they go in or out together; an empty table gives an empty result; columns other
     than the three named are not looked at.
     """
     sized = sizes(docs, key, text, source)
@@ -116,5 +117,5 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, ke
     plan = cuts(sizes(docs, key, text, source), weights, most)
     rows = docs.select(F.struct("*").alias("row"))
     taken = rows.join(plan.alias("p"), F.expr(f"row.`{source}` <=> p.source"))
-    copies = F.array_repeat(F.lit(0), _copies(place_of(F.col(f"row.{key}"))))
+    copies = F.array_repeat(F.lit(0), _copies(place_of(F.col(f"row.`{key}`"), F.col(f"row.`{text}`"))))
     return taken.select("row", F.explode(copies)).select("row.*")

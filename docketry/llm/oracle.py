@@ -8,7 +8,7 @@ WORD = r"'[^\x20\x09-\x0D]+'"
 SIZES = f"""
 sized AS (
  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD})) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
  FROM documents),
 ranked AS (
  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -43,7 +43,7 @@ lines AS (
  FROM documents),
 wide AS (
  SELECT trim(raw, {WS}) AS line, min(doc_id) AS keeper FROM lines WHERE trim(raw, {WS}) <> ''
- GROUP BY 1 HAVING count(DISTINCT coalesce('s' || source, '')) >= {{min_sites}}),
+ GROUP BY 1 HAVING count(DISTINCT coalesce('s' || source, '')) >= CASE WHEN len(regexp_extract_all(line, {WORD})) <= 3 THEN 10 ELSE 5 END),
 marked AS (
  SELECT l.doc_id, l.raw, l.pos, trim(l.raw, {WS}) <> '' AS full_, w.keeper IS NOT NULL AND w.keeper <> l.doc_id AS gone
  FROM lines l LEFT JOIN wide w ON trim(l.raw, {WS}) = w.line),
@@ -53,7 +53,7 @@ cleaned AS (
   coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
  FROM marked GROUP BY doc_id)"""
 
-LINE_DEDUP = f"WITH {LINES.format(min_sites=10)} SELECT doc_id, n_lines, n_removed, emptied, sha256(text) AS text_sha256 FROM cleaned"
+LINE_DEDUP = f"WITH {LINES} SELECT doc_id, n_lines, n_removed, emptied, sha256(text) AS text_sha256 FROM cleaned"
 
 
 def without(text: str, chars: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import weak
-from docketry.llm.common import stored
+from docketry.llm.common import lean, stored
 from docketry.llm.hashing import SPACES, Powers, chunks, mixed, word_hashes
 
 #: The bound of the scorer's training sample: texts with the least hashes of each pattern of votes.
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> Model
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
-        for b in batches:
+        for b in lean(batches):
             for at, part in chunks(b["text"].tolist(), 1 << 18):
                 votes, _ = observe(part, powers, shapes=False)
                 yield pd.DataFrame({"hash": b["hash"].to_numpy()[at:at + len(part)], "votes": [x.tobytes() for x in votes]})
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> Model
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
-        for b in batches:
+        for b in lean(batches):
             for at, part in chunks(b["text"].tolist(), 1 << 18):
                 _, shares = observe(part, powers)
                 full = [np.flatnonzero(x) for x in shares]
@@ -178,7 +178,7 @@ def score(text: Column, model: Model | None) -> Column:
     @F.pandas_udf("double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         powers = Powers()
-        for s in batches:
+        for s in lean(batches):
             out = np.zeros(len(s))
             if model is not None:
                 for at, part in chunks(s.fillna("").tolist(), 1 << 18):

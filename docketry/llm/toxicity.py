@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import weak
-from docketry.llm.common import held_out, stored
+from docketry.llm.common import held_out, lean, stored
 from docketry.llm.hashing import Powers, alphanumeric, chunks, shingle_sets, word_hashes
 
 #: The bounds of training: labelled rows (least hash of the key first), and terms of the lexicon.
@@ -98,7 +98,7 @@ def _features(row, column, count, size, said: np.ndarray, width: int):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model | None:
     """Lexicon, label model and classifier from labelled rows outside the held-out quarter; None without such rows.
 
-    At most ``MAX_ROWS`` labelled rows are read.  Terms that are frequent in toxic texts and rare in clean ones form the
+    At most ``MAX_ROWS`` labelled keys are read, of a key that repeats one text.  Terms that are frequent in toxic texts and rare in clean ones form the
     voters' lexicons.  The label model estimates each voter's accuracy, and their correlations, from votes alone (annotators
     vote too); the classifier is trained on its posterior labels.
     """
@@ -106,10 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         ~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("y").isNotNull())
     able = able.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(MAX_ROWS)
     train = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(able), "key")
+    # one text a key, so that the bound holds for keys that repeat; read three times from here on
+    train = stored(train.groupBy("key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
 
     def list_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
-        for b in batches:
+        for b in lean(batches):
             for at, part in chunks(b["text"].tolist()):
                 words, stems, first = reader.terms(part)
                 row = np.repeat(np.arange(len(part)), np.diff(first))
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
-        for b in batches:
+        for b in lean(batches):
             for at, part in chunks(b["text"].tolist()):
                 row, column, count, size = _hits(reader, part, known)
                 said = votes(part, row, column, count, size, known)
@@ -165,7 +167,7 @@ def score(text: Column, model: Model | None) -> Column:
     @F.pandas_udf("double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader()
-        for s in batches:
+        for s in lean(batches):
             out = np.zeros(len(s))
             if model is not None:
                 for at, part in chunks(s.fillna("").tolist()):

@@ -42,7 +42,7 @@ def test_line_dedup(spark):
                     keeper[line] = min(i, keeper.get(line, i))
     wide = {x for x, y in sites.items() if len(y) >= 6}
     assert "shared line" in wide
-    got = line_dedup.clean_lines(docs_of(spark, rows), min_sites=6)
+    got = line_dedup.clean_lines(docs_of(spark, rows), min_sites=6, short_sites=6)
     assert got.columns == ["doc_id", "text", "source", "row", "pos", "h1", "key", "size", "n_lines", "n_removed", "emptied"]
     want = Counter()
     for i, t, s in rows:
@@ -58,7 +58,7 @@ def test_line_dedup(spark):
 
 def test_line_dedup_counts_near_the_threshold(spark):
     rows = [(i, "seven\nsix" if i < 6 else "seven", "s%d" % i) for i in range(7)]
-    got = {r.doc_id: r.text for r in line_dedup.clean_lines(docs_of(spark, rows), min_sites=7).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(docs_of(spark, rows), min_sites=7, short_sites=7).collect()}
     assert got == {0: "seven\nsix"} | {i: "six" for i in range(1, 6)} | {6: ""}
 
 
@@ -69,6 +69,26 @@ def test_line_dedup_default_catches_few_sites(spark):
     assert got == {0: rows[0][1]} | {i: f"own {i}" + ("\nfour" if i < 4 else "") for i in range(1, 5)}
 
 
+def test_line_dedup_keeps_short_lines_that_chance_repeats(spark):
+    """Lines of up to three words need ten sites, longer ones five."""
+    rows = [(i, f"Page {i} of all\nand then.\nAll rights reserved.\nMade with the press of words.", "s%d" % (i % 9)) for i in range(40)]
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else t.rpartition("\n")[0] for i, t, _ in rows}
+    rows = [(i, t, "s%d" % (i % 10)) for i, t, _ in rows]
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else t.partition("\n")[0] for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("key", [None, 5])
+def test_mixing_without_ids_of_their_own(spark, key):
+    """A source whose rows have no id, or one and the same, still comes near its target."""
+    rows = [(key, f"{'w ' * (100 + i % 7)}n{i}", "a") for i in range(200)] + [(1000 + i, "w " * 90, "b") for i in range(300)]
+    got = [r for r in mixing.mix(docs_of(spark, rows)).collect() if r.source == "a"]
+    assert abs(sum(r.copies * r["size"] for r in got) - got[0].target) <= 110
+    again = mixing.mixed(docs_of(spark, rows)).filter("source = 'a'").collect()
+    assert sum(len(r.text.split()) for r in again) == sum(r.copies * r["size"] for r in got)
+
+
 def reference_mix(rows, weights=(5, 2, 1), most=3):
     sizes = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
     total = Counter()
@@ -169,3 +189,12 @@ def test_chat_layouts(spark):
     for i in (1, 2, 3, 4):
         assert [tuple(t) for t in got[i].back] == turns(got[i])
     assert hashlib.sha256(got[3].formatted.encode()).hexdigest() and got[3].formatted.count("<|im_start|>") == 3
+
+
+def test_chat_keeps_columns_of_its_own_names(spark):
+    turns = [("user", "a"), ("assistant", "b")]
+    rows = spark.createDataFrame([(7, turns, "formatted before", 1, 2)], "parts int, turns array<struct<role:string,text:string>>, formatted string, row int, loss_spans int")
+    out = chat.formatted(rows)
+    assert sorted(out.columns) == ["formatted", "loss_spans", "parts", "row", "turns"]
+    r = out.first()
+    assert (r.parts, r.row) == (7, 1) and r.formatted.startswith("<|im_start|>user") and len(r.loss_spans) == 1

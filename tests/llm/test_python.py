@@ -255,3 +255,76 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert sorted((i, t) for i, t in got if i) == [(1, text(1)), (2, text(2)), (6, text(6)), (7, ""), (8, "")]
     unnamed = [t for i, t in got if i is None]
     assert len(unnamed) == 2 and text(5) in unnamed and ({text(4), text(4) + " end"} & set(unnamed))
+
+
+def test_pipeline_without_labels_drops_nothing(spark):
+    docs = spark.createDataFrame([(i, f"an English text number {i}", None, "s", 3) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 40
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
+
+
+def test_training_samples_are_bounded_when_ids_repeat(spark, monkeypatch):
+    """One id over many rows, or many copies of a text, neither exceed the bound nor use up a language's places."""
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(language, "STEPS", 1)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda windows, labels, names: seen.append((windows, labels, names)))
+    rows = [(0, f"one id, text {i}", "en") for i in range(2000)] + [(4 * i, "the same copy", "de") for i in range(500)]
+    rows += [(i, f"ein Satz {i}", "de") for i in range(3000, 3400)] + [(i, f"un {i}", "fr") for i in range(5000, 5005)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    windows, labels, names = seen[0]
+    assert names == ["de", "en", "fr"] and 3 <= (labels == 2).sum() <= 5
+    texts = [bytes(w).rstrip(b"\0") for w in windows]
+    assert len({t for t, y in zip(texts, labels) if y == 0}) == 20 == (labels == 0).sum()
+    assert len({t for t, y in zip(texts, labels) if y == 1}) == 20 == (labels == 1).sum()
+
+    bad = spark.createDataFrame([(0, f"vile words of text {i}") for i in range(300)] + [(i, f"kind {i}") for i in range(1, 40)], "doc_id long, text string")
+    labels_ = spark.createDataFrame([(0, 1)] + [(i, 0) for i in range(1, 40)], "doc_id long, toxic int")
+    assert toxicity.fit(bad, labels_) is not None
+
+
+def plain_probabilities(model, window):
+    """The network's forward pass by its definition, place by place."""
+    def pooled(f):
+        best = -1e30
+        for at in range(language.WINDOW - max(language.WIDTHS) + 1):
+            x = np.concatenate([model.embed[window[at + k]] for k in range(max(language.WIDTHS))])
+            best = max(best, float(x @ model.filters[:, f]))
+        return max(best + float(model.bias[f]), 0.0)
+
+    z = np.array([pooled(f) for f in range(model.filters.shape[1])]) @ model.out + model.out_bias
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_language_network_against_its_definition():
+    rng = np.random.default_rng(1)
+    windows = rng.integers(0, 256, (60, language.WINDOW)).astype(np.uint8)
+    labels = np.arange(60) % 3
+    windows[labels == 0, ::2] = 65
+    windows[labels == 1, ::3] = 200
+    steps, language.STEPS = language.STEPS, 40
+    try:
+        model = language.train(windows, labels, ["a", "b", "c"])
+    finally:
+        language.STEPS = steps
+    # filters narrower than the widest look at their own bytes only
+    for n, w in enumerate(language.WIDTHS):
+        assert not model.filters[w * language.EMBED:, n * language.FILTERS:(n + 1) * language.FILTERS].any()
+    got = language.probabilities(model, windows[:3])
+    assert np.allclose(got, [plain_probabilities(model, w) for w in windows[:3]], atol=1e-4)
+    assert (language.probabilities(model, windows).argmax(1) == labels).mean() > 0.8
+
+
+def test_label_model_against_plain_em():
+    """A few rounds of expectation-maximisation on independent voters, counted by hand, agree with the counted one."""
+    rng = np.random.default_rng(6)
+    y = rng.random(400) < 0.4
+    right = [0.9, 0.8, 0.7, 0.95]
+    votes = np.array([[0 if rng.random() < 0.3 else (1 if (t if rng.random() < a else not t) else -1) for a in right] for t in y])
+    model, post = weak.fit_labels(votes, 0.4, correlated=False)
+    assert ((post > 0.5) == y).mean() > 0.85
+    # the posterior of each row is what its voters' tables say by Bayes' rule
+    prior = model.prior
+    for row, p in list(zip(votes, post))[:50]:
+        odds = np.log(prior / (1 - prior)) + sum(np.log(model.tables[j, v + 1, 1] / model.tables[j, v + 1, 0]) for j, v in enumerate(row))
+        assert abs(1 / (1 + np.exp(-odds)) - p) < 0.02
