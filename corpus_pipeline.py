@@ -14,9 +14,15 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is clear; null and letterless texts go.  Columns and repeated rows stay as they are."""
+    """Documents with letters whose language is clear; null and letterless texts go.  Columns and repeated rows stay as they are.
+
+    Without a labelled row to learn from, nothing can be rejected: all documents stay.
+    """
     bounded_batches(spark)
-    said = docs.select(F.struct("*").alias("row"), language.predict(F.col("text"), language.fit(docs)).alias("said"))
+    model = language.fit(docs)
+    if model is None:
+        return docs
+    said = docs.select(F.struct("*").alias("row"), language.predict(F.col("text"), model).alias("said"))
     return said.filter((F.col("said.lang") != language.UNKNOWN) & (F.col("said.score") >= LEAST_SCORE)).select("row.*")
 
 
