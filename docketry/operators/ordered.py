@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CHUNK = "_chunk"
 
@@ -145,7 +146,7 @@ def fold_sorted(
     ``schema`` is the DDL of the whole output, keys first.
     """
     keys, order, inputs = list(keys), list(order), list(inputs)
-    names = [f.split()[0] for f in _split_ddl(schema)]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, current = rule(), None
@@ -171,7 +172,3 @@ def fold_sorted(
     parts = df.select(*needed).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return parts.mapInPandas(run, schema)
 
-
-def _split_ddl(schema: str) -> list[str]:
-    """Top-level fields of a flat DDL string."""
-    return [f.strip() for f in schema.split(",")]

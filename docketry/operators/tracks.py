@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docketry import catalog as C
 from docketry.functions import geometry as G
 from docketry.operators.ordered import Rule, fold_sorted, ordered_scan
+from docketry.sources.readers import stored
 
 TRACK = ("camera_id", "track_id")
 CHUNK_FRAMES = 4096
@@ -136,30 +137,122 @@ class Tracker(Rule):
         return [(frame, det, best[0], born, best_d)]
 
 
+SEED, WARM, REAL = range(3)
+_PLACED = ("camera_id bigint, chunk bigint, frame_idx bigint, det_no int, ref bigint, is_new boolean, match_distance double, "
+           "before array<struct<cx:int,cy:int,seen:bigint>>, after array<struct<cx:int,cy:int,seen:bigint,ref:bigint>>")
+
+
+class _TrackChunk(Rule):
+    """Tracks one chunk of a camera from a state that is given (SEED rows) or guessed from the frames before it (WARM rows).
+
+    A track the chunk starts with is called -1 - its place, one born in it by its number, so decisions need no ids from
+    elsewhere.  The last output row (``det_no`` -1) holds the state assumed before the chunk's first frame, the state after
+    its last one, and the number of births.
+    """
+
+    def __init__(self, factor: float, floor: int, timeout: int):
+        self.tracker = Tracker(factor, floor, timeout)
+
+    def start(self):
+        self.tracker.start()
+        self.first = None
+
+    def row(self, kind, frame, det, cx, cy, w):
+        t = self.tracker
+        if kind == SEED:
+            t.tracks.append([0, cx, cy, frame])
+            return ()
+        if kind == REAL and self.first is None:
+            t.end_frame()
+            t.tracks = [[-1 - i, *x[1:]] for i, x in enumerate(x for x in t.tracks if frame - 1 - x[3] <= t.timeout)]
+            self.before = [{"cx": x[1], "cy": x[2], "seen": x[3]} for x in t.tracks]
+            self.first, t.next_id = frame, 0
+        (_, _, ref, born, distance), = t.row(frame, det, cx, cy, w)
+        return [(frame, det, ref, born, distance, None, None)] if kind == REAL else ()
+
+    def finish(self):
+        if self.first is None:
+            return []
+        self.tracker.end_frame()
+        after = [{"cx": x[1], "cy": x[2], "seen": x[3], "ref": x[0]} for x in self.tracker.tracks]
+        return [(self.first, -1, self.tracker.next_id, False, None, self.before, after)]
+
+
+class _ChunkIds(Rule):
+    """Ids of the tracks each chunk of a camera starts with, and the first id born in it."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def start(self):
+        self.born, self.last = 0, []
+
+    def row(self, chunk, first, births, seen, refs):
+        slots = [i for i, s in self.last if first - 1 - s <= self.timeout]
+        self.last = [(self.born + r if r >= 0 else slots[-1 - r], s) for r, s in zip(refs, seen)]
+        out = [(chunk, self.born, slots)]
+        self.born += births
+        return out
+
+
+def _expected(timeout: int) -> Column:
+    """What a chunk should have started from: the state its camera's chunk before ended with, but for what had timed out."""
+    last = F.lag("after").over(Window.partitionBy("camera_id").orderBy("chunk"))
+    alive = F.filter(last, lambda t: F.col("frame_idx") - 1 - t["seen"] <= timeout)
+    states = F.transform(alive, lambda t: F.struct(t["cx"], t["cy"], t["seen"]))
+    return F.coalesce(states, F.array().cast("array<struct<cx:int,cy:int,seen:bigint>>"))
+
+
 def track_faces(
     faces: DataFrame, factor: float = 0.6, floor: int = 20, timeout: int = C.TRACK_TIMEOUT, chunk_frames: int = CHUNK_FRAMES
 ) -> DataFrame:
     """Adds ``track_id``, ``is_new`` and ``match_distance`` to detections.
 
-    A camera is cut where more than ``timeout`` + 1 frames pass without any face: no track survives that,
-    so the stretches are tracked in parallel and only their numbers of new tracks are added up.
+    A camera is tracked in chunks of ``chunk_frames`` frames, all at once.  A chunk starts from a guess, the state that the
+    frames before it (twice as many as a track survives unseen) lead to from nothing.  What tracks are there and where
+    decides everything else, so if the guess is the state in which the chunk before ended, the chunk is right.  Chunks with
+    a wrong guess are tracked again from the state they should have had, until none is left; every round settles at least
+    the first of them, and usually all.  Then ids follow from the chunks' numbers of births, one small row a chunk.
     """
-    order = ["frame_idx", "det_no"]
-    quiet = lambda last, now: now["frame_idx"] - last["frame_idx"] > timeout + 1
-    df = faces.select("camera_id", *order, "cx", "cy", "w")
-    df = ordered_scan(df, ["camera_id"], order, frame_chunk(size=chunk_frames), breaks={"stretch": quiet})
-    placed = fold_sorted(
-        df, ["camera_id", "stretch"], order, ["frame_idx", "det_no", "cx", "cy", "w"],
-        lambda: Tracker(factor, floor, timeout),
-        "camera_id bigint, stretch bigint, frame_idx bigint, det_no int, local_id bigint, is_new boolean, match_distance double",
-    )
-    born = placed.groupBy("camera_id", "stretch").agg(F.count_if("is_new").alias("_n"))
-    born = ordered_scan(born, ["camera_id"], ["stretch"], frame_chunk("stretch", chunk_frames), counts={"_upto": F.col("_n")})
-    born = born.select("camera_id", "stretch", (F.col("_upto") - F.col("_n")).alias("_first"))
-    placed = placed.join(born, ["camera_id", "stretch"]).select(
-        "camera_id", "frame_idx", "det_no", (F.col("_first") + F.col("local_id")).alias("track_id"), "is_new", "match_distance"
-    )
-    return faces.join(placed, ["camera_id", "frame_idx", "det_no"])
+    rows = faces.select("camera_id", "frame_idx", "det_no", "cx", "cy", "w")
+    reach = 2 * (timeout + 2)
+    at = F.expr(f"frame_idx div {chunk_frames}")
+    later = F.expr(f"sequence(frame_idx div {chunk_frames}, (frame_idx + {reach}) div {chunk_frames})")
+    order, inputs = ["step", "det_no"], ["kind", "frame_idx", "det_no", "cx", "cy", "w"]
+
+    def run(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("step", F.when(F.col("kind") != SEED, F.col("frame_idx")))  # null, so before all frames, for a seed
+        return stored(fold_sorted(df, ["camera_id", "chunk"], order, inputs, lambda: _TrackChunk(factor, floor, timeout), _PLACED), name)
+
+    warm = rows.select("*", F.explode(later).alias("chunk")).withColumn("kind", F.when(F.col("chunk") == at, REAL).otherwise(WARM))
+    placed = [run(warm, "tracked-chunks")]
+    ends = placed[0].filter("det_no = -1")
+    while True:
+        judged = ends.withColumn("due", _expected(timeout))
+        wrong = stored(judged.filter("NOT (before <=> due)").select("camera_id", "chunk", "due"), "wrong-starts")
+        if wrong.isEmpty():
+            break
+        # a state's order is that in which its tracks are tried
+        seeds = wrong.select("camera_id", "chunk", F.posexplode("due").alias("det_no", "t")).select(
+            "camera_id", F.col("t.seen").alias("frame_idx"), "det_no", "t.cx", "t.cy", F.lit(0).alias("w"), "chunk", F.lit(SEED).alias("kind"))
+        again = rows.withColumn("chunk", at).join(wrong.select("camera_id", "chunk"), ["camera_id", "chunk"], "left_semi")
+        again = again.select("camera_id", "frame_idx", "det_no", "cx", "cy", "w", "chunk", F.lit(REAL).alias("kind"))
+        keys = wrong.select("camera_id", "chunk")
+        placed = [p.join(keys, ["camera_id", "chunk"], "left_anti") for p in placed]
+        placed.append(run(again.unionByName(seeds), "tracked-chunks"))
+        ends = ends.join(keys, ["camera_id", "chunk"], "left_anti").unionByName(placed[-1].filter("det_no = -1"))
+    ids = fold_sorted(
+        ends.select("camera_id", "chunk", F.col("frame_idx").alias("first"), F.col("ref").alias("births"), "after.seen", F.col("after.ref").alias("refs")),
+        ["camera_id"], ["chunk"], ["chunk", "first", "births", "seen", "refs"], lambda: _ChunkIds(timeout),
+        "camera_id bigint, chunk bigint, born bigint, slots array<bigint>")
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    every = every.filter("det_no >= 0").join(stored(ids, "chunk-ids"), ["camera_id", "chunk"]).select(
+        "camera_id", "frame_idx", "det_no",
+        F.when(F.col("ref") >= 0, F.col("born") + F.col("ref")).otherwise(F.get("slots", (-1 - F.col("ref")).cast("int"))).alias("track_id"),
+        "is_new", "match_distance")
+    return faces.join(every, ["camera_id", "frame_idx", "det_no"])
 
 
 def nearest_candidates(faces: DataFrame, factor: float = 0.6, floor: int = 20) -> DataFrame:

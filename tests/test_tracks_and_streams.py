@@ -238,3 +238,70 @@ def test_blinks_hidden_by_movement_that_gets_through(spark):
         if moved:
             last = f
     assert sorted(r["frame_idx"] for r in V.coupled_blinks(df).collect()) == want and 0 < len(want) < 15
+
+
+def crowded(rng, n_frames):
+    """An unbroken camera with crossing, jumping and alternating faces, so that some chunks start from a wrong guess."""
+    rows = []
+    for f in range(1, n_frames):
+        for d in range(rng.randint(1, 3)):
+            rows.append((f, d, rng.choice([0, 25, 50, 75, 100, 300]), rng.choice([0, 30, 60]), rng.choice([20, 60, 120])))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [3, 20, 64])
+def test_unbroken_camera_in_chunks(spark, chunk):
+    """Speculative chunks give the rows of one tracker over the whole camera, ids and distances included."""
+    rows = crowded(random.Random(chunk), 500)
+    t = V.Tracker()
+    t.start()
+    want = [tuple(o) for r in rows for o in t.row(*r)]
+    df = spark.createDataFrame([(k, *r) for k in (1, 2) for r in rows], FACE)
+    got = V.track_faces(df, chunk_frames=chunk).orderBy("frame_idx", "det_no")
+    for k in (1, 2):
+        mine = got.filter(F.col("camera_id") == k).collect()
+        assert [(r.frame_idx, r.det_no, r.track_id, r.is_new, r.match_distance) for r in mine] == want
+
+
+def test_wrong_guesses_are_tracked_again(spark, monkeypatch):
+    """A face that stays out of sight of the warm-up frames: the chunk after must not take it for a new one."""
+    runs = []
+    monkeypatch.setattr(V, "stored", lambda df, name, real=V.stored: (runs.append(name), real(df, name))[1])
+    # two faces alternate so that each is seen every tenth frame only; which one took a sighting depends on all before
+    rows = [(f, 0, 0 if f % 2 else 50 * (f % 3), 0, 60) for f in range(1, 400)]
+    t = V.Tracker()
+    t.start()
+    want = [o[2] for r in rows for o in t.row(*r)]
+    assert tracked(spark, rows, chunk_frames=16, timeout=12) == want
+    rows = crowded(random.Random(5), 400)
+    t.start()
+    want = [o[2] for r in rows for o in t.row(*r)]
+    runs.clear()
+    assert tracked(spark, rows, chunk_frames=8) == want
+    assert 2 <= runs.count("tracked-chunks") < 12  # some guesses were wrong, and were set right in a few rounds
+
+
+def test_an_unbroken_camera_runs_in_many_tasks(spark):
+    df = spark.range(40_000).select(
+        F.lit(1).cast("bigint").alias("camera_id"), (F.col("id") + 1).alias("frame_idx"), F.lit(0).alias("det_no"),
+        (F.col("id") % 7).cast("int").alias("cx"), F.lit(0).alias("cy"), F.lit(60).alias("w"))
+    out = V.track_faces(df, chunk_frames=512)
+    assert out.agg(F.count("*"), F.count_distinct("track_id")).first() == (40_000, 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would share a task here
+    tasks = V.fold_sorted(
+        df.withColumn("chunk", F.expr("frame_idx div 512")), ["camera_id", "chunk"], ["frame_idx"], ["frame_idx"], _Task, "camera_id bigint, chunk bigint, part int")
+    per = [r["n"] for r in tasks.groupBy("part").agg(F.count("*").alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) == 4 and max(per) < 40
+
+
+class _Task(V.Rule):
+    """The partition in which a group is handled."""
+
+    def finish(self):
+        from pyspark import TaskContext
+        return [(TaskContext.get().partitionId(),)]
+
+
+def test_tracking_nothing(spark):
+    assert V.track_faces(spark.createDataFrame([], FACE)).count() == 0
