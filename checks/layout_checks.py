@@ -178,6 +178,29 @@ def l9(spark, sf):
     return L.merge_overlaps(X.boxes(spark, sf))
 
 
+# a page's boxes with their labels: labels spread between overlapping boxes, then groups become their bounding boxes
+_HIT = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))::BIGINT * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_AREA = "((a.x2 - a.x1)::BIGINT * (a.y2 - a.y1) + (b.x2 - b.x1)::BIGINT * (b.y2 - b.y1))"
+COMPONENTS = f"""mc AS (
+ SELECT page_id, list({{'no': box_no, 'x1': x, 'y1': y, 'x2': x + w, 'y2': y + h, 'n': 1::BIGINT, 'l': box_no}} ORDER BY box_no) AS bs, false AS fin FROM boxes GROUP BY 1
+ UNION ALL
+ SELECT page_id, CASE WHEN list_transform(now, lambda b: b.l) = list_transform(bs, lambda b: b.l) THEN
+   list_transform(list_sort(list_distinct(list_transform(now, lambda b: b.l))), lambda k: {{'no': k,
+    'x1': list_min(list_transform(list_filter(now, lambda b: b.l = k), lambda b: b.x1)), 'y1': list_min(list_transform(list_filter(now, lambda b: b.l = k), lambda b: b.y1)),
+    'x2': list_max(list_transform(list_filter(now, lambda b: b.l = k), lambda b: b.x2)), 'y2': list_max(list_transform(list_filter(now, lambda b: b.l = k), lambda b: b.y2)),
+    'n': list_sum(list_transform(list_filter(now, lambda b: b.l = k), lambda b: b.n))::BIGINT, 'l': k}}) ELSE now END,
+  list_transform(now, lambda b: b.l) = list_transform(bs, lambda b: b.no)
+ FROM (SELECT page_id, bs, list_transform(bs, lambda a: {{'no': a.no, 'x1': a.x1, 'y1': a.y1, 'x2': a.x2, 'y2': a.y2, 'n': a.n,
+   'l': list_min(list_transform(list_filter(bs, lambda b: a.no = b.no OR {_HIT} > 0 AND {_HIT}::DOUBLE / ({_AREA} - {_HIT}) > 0.1), lambda b: b.l))}}) AS now
+  FROM mc WHERE NOT fin)),
+parts AS (SELECT page_id, unnest(bs) AS b FROM mc WHERE fin)"""
+
+
+@query("l9c_merge_components", f"WITH RECURSIVE {BOXES}, {COMPONENTS} SELECT page_id, b.no AS box_no, b.x1 AS x, b.y1 AS y, b.x2 - b.x1 AS w, b.y2 - b.y1 AS h, b.n AS n_merged FROM parts")
+def l9c(spark, sf):
+    return L.merge_components(X.boxes(spark, sf))
+
+
 @query("l9p_overlap_pairs", f"""WITH {BOXES}
 SELECT a.page_id, a.box_no AS a_box_no, b.box_no AS b_box_no, {iou_sql('a.', 'b.')} AS iou FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_no < b.box_no WHERE {iou_sql('a.', 'b.')} > 0.1""")
 def l9p(spark, sf):

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from docketry import catalog as C
 from docketry.functions import geometry as G
+from docketry.operators.graph import components
 from docketry.operators.ordered import Rule, fold_sorted, ordered_scan
+from docketry.sources.readers import stored
 
 # --- lines of words ----------------------------------------------------------------------------
 
@@ -241,45 +243,115 @@ class _MergeOverlaps(Rule):
             yield (self.ids[i], region[0], region[1], region[2] - region[0], region[3] - region[1], n)
 
 
+#: Pieces of a page with more boxes are cut again, as long as a cut separates anything.
+PIECE = 256
+
+
+def _over(df: DataFrame, keys: Sequence[str], most: int) -> bool:
+    """Whether any key has more than ``most`` rows."""
+    return not df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).isEmpty()
+
+
+def _apart(threshold: float) -> Column:
+    """A box number where equal rectangles do not overlap enough to be one: those without an area, or none can."""
+    return F.when((F.col("w") <= 0) | (F.col("h") <= 0) | F.lit(threshold >= 1), F.col("box_no")).alias("_apart")
+
+
+def split_pieces(boxes: DataFrame, keys: Sequence[str], out: str = "piece", large: int = PIECE) -> DataFrame:
+    """Adds ``out``: boxes of different pieces are apart by an empty strip, found by cuts in both directions, again and again.
+
+    The first two cuts are made everywhere; after that only pieces of more than ``large`` boxes are cut, and only while that
+    helps, so the rounds grow with the depth of the layout and not with the number of boxes.
+    """
+    keys = list(keys)
+
+    def cut(df: DataFrame) -> DataFrame:
+        df = split_strips(df, [*keys, out], "y", "h", "_row")
+        df = split_strips(df, [*keys, out, "_row"], "x", "w", "_col")
+        return df.withColumn(out, F.xxhash64(out, "_row", "_col")).drop("_row", "_col")
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys, out).agg(F.count("*").alias("_n"))
+
+    pieces = cut(boxes.withColumn(out, F.lit(0).cast("bigint")))
+    if not _over(boxes, keys, large):
+        return pieces
+    pieces = stored(pieces, "pieces")
+    done = None
+    while True:
+        crowded = stored(counted(pieces).filter(F.col("_n") > large), "crowded-pieces")
+        small = pieces.join(crowded.drop("_n"), [*keys, out], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if crowded.isEmpty():
+            return done
+        before = crowded.count()
+        again = stored(cut(pieces.join(crowded.drop("_n"), [*keys, out], "left_semi")), "pieces")
+        if again.select(*keys, out).distinct().count() == before:
+            return done.unionByName(again)
+        pieces = again
+
+
 def merge_overlaps(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFrame:
     """(page_id, box_no, x, y, w, h, n_merged): seed-greedy union of overlapping boxes, in box order."""
-    pieces = split_strips(boxes, ["page_id"], "y", "h", "row_strip")
-    pieces = split_strips(pieces, ["page_id", "row_strip"], "x", "w", "col_strip")
     merged = fold_sorted(
-        pieces, ["page_id", "row_strip", "col_strip"], ["box_no"], ["box_no", *BOX], lambda: _MergeOverlaps(threshold),
-        "page_id bigint, row_strip int, col_strip int, box_no bigint, x int, y int, w int, h int, n_merged int",
+        split_pieces(boxes.select("page_id", "box_no", *BOX), ["page_id"]), ["page_id", "piece"], ["box_no"], ["box_no", *BOX],
+        lambda: _MergeOverlaps(threshold),
+        "page_id bigint, piece bigint, box_no bigint, x int, y int, w int, h int, n_merged int",
     )
-    return merged.drop("row_strip", "col_strip")
+    return merged.drop("piece")
+
+
+def merge_components(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFrame:
+    """(page_id, box_no, x, y, w, h, n_merged): bounding boxes of all boxes that overlaps connect, until no two overlap.
+
+    A round merges every connected component of the overlap graph into its bounding box, known by its least box number;
+    bounding boxes may overlap again, so rounds follow until there is no pair left.  The order of boxes plays no part.
+    """
+    now = stored(boxes.select("page_id", "box_no", *BOX, F.lit(1).cast("bigint").alias("n_merged")), "merged-boxes")
+    while True:
+        # equal rectangles are one before anything is compared
+        shapes = stored(
+            now.groupBy("page_id", *BOX, _apart(threshold)).agg(F.min("box_no").alias("box_no"), F.sum("n_merged").alias("n_merged")).drop("_apart"),
+            "distinct-boxes")
+        pairs = stored(
+            _touching(shapes, shapes, ["box_no"], threshold, _CELL).filter(F.col("a_box_no") < F.col("b_box_no"))
+            .select("page_id", "a_box_no", "b_box_no"), "overlaps")
+        if pairs.isEmpty():
+            return shapes.select("page_id", "box_no", *BOX, "n_merged")
+        root = components(pairs, ["page_id"], "a_box_no", "b_box_no")
+        grown = shapes.join(root.withColumnRenamed("node", "box_no"), ["page_id", "box_no"], "left")
+        x2, y2 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+        grown = grown.groupBy("page_id", F.coalesce("root", "box_no").alias("box_no")).agg(
+            F.min("x").alias("x"), F.min("y").alias("y"), (x2 - F.min("x")).alias("w"), (y2 - F.min("y")).alias("h"),
+            F.sum("n_merged").alias("n_merged"))
+        now = stored(grown, "merged-boxes")
 
 
 class _MergeAdjacent(Rule):
-    """Boxes by (y, x); a box close to the last region extends it."""
+    """Boxes by (y, x); one that begins before the last region's end plus the gap, in both directions, widens that region."""
 
     def __init__(self, gap):
         self.gap = gap
 
     def start(self):
-        self.last, self.made = None, 0
+        self.corners, self.count, self.number = None, 0, 0
 
     def row(self, x, y, w, h):
-        if self.last is not None:
-            mx, my, mw, mh, n = self.last
-            if x < mx + mw + self.gap and y < my + mh + self.gap:
-                nx, ny = min(mx, x), min(my, y)
-                self.last = (nx, ny, max(mx + mw, x + w) - nx, max(my + mh, y + h) - ny, n + 1)
-                return ()
-            done = self.last
-            self.last = (x, y, w, h, 1)
-            return [self._out(done)]
-        self.last = (x, y, w, h, 1)
-        return ()
-
-    def _out(self, region):
-        self.made += 1
-        return (self.made, *region)
+        box = (x, y, x + w, y + h)
+        if self.corners and all(low < high + self.gap for low, high in zip(box[:2], self.corners[2:])):
+            self.corners = (*map(min, box[:2], self.corners[:2]), *map(max, box[2:], self.corners[2:]))
+            self.count += 1
+            return ()
+        closed = self.finish()
+        self.corners, self.count = box, 1
+        return closed
 
     def finish(self):
-        return [self._out(self.last)]
+        if not self.corners:
+            return []
+        self.number += 1
+        left, top, right, bottom = self.corners
+        return [(self.number, left, top, right - left, bottom - top, self.count)]
 
 
 def merge_adjacent(boxes: DataFrame, gap: int = C.ADJACENT_GAP) -> DataFrame:
@@ -319,17 +391,74 @@ class _Suppress(Rule):
         return [(box_no,)]
 
 
-def nms(boxes: DataFrame, keys: Sequence[str] = ("page_id", "kind"), threshold: float = C.NMS_IOU) -> DataFrame:
+#: A strip with more boxes is thinned in parallel rounds before the rest is gone through in order.
+STRIP = 2000
+#: Rounds go on while they decide at least one box in so many.
+WORTH = 16
+
+
+def _fold_nms(pieces: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    types = dict(pieces.dtypes)
+    ddl = ", ".join(f"{k} {types[k]}" for k in keys) + f", piece bigint, box_no {types['box_no']}"
+    return fold_sorted(pieces, [*keys, "piece"], ["rank", "box_no"], ["box_no", *BOX], lambda: _Suppress(threshold), ddl).drop("piece")
+
+
+def _nms_round(boxes: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """``boxes`` with ``verdict``: true for those better than all that they may overlap, false for those these suppress.
+
+    A box is at home in the cell of its centre, which every box covers that shares more than half with it (below that, in
+    all cells it touches).  If it is the best of all boxes at home in the cells that it covers, nothing can suppress it.
+    """
+    cell = _Suppress.CELL
+    place = [*keys, "_cx", "_cy"]
+    order = F.struct("rank", "box_no")
+    if threshold >= 0.5:
+        middle = lambda at, size: F.floor(F.floor((2 * F.col(at) + F.col(size)) / 2) / cell)
+        home = boxes.withColumn("_cx", middle("x", "w")).withColumn("_cy", middle("y", "h"))
+    else:
+        home = _cells(boxes, cell)
+    covered = _cells(boxes, cell)
+    best = home.groupBy(*place).agg(F.min(order).alias("_best"))
+    top = covered.join(best, place).groupBy(*keys, "box_no").agg(F.min("_best").alias("_best")).filter("_best.box_no = box_no")
+    kept = stored(boxes.join(top.select(*keys, "box_no"), [*keys, "box_no"], "left_semi"), "kept-boxes")
+    near = _cells(kept.select(*keys, *[F.col(c).alias(f"k_{c}") for c in ("box_no", *BOX)], *BOX), cell).drop(*BOX)
+    hit = home.join(near, place).filter((F.col("box_no") != F.col("k_box_no")) & (G.iou(_box(), _box("k_")) > threshold))
+    gone = hit.select(*keys, "box_no").distinct().withColumn("_gone", F.lit(True))
+    known = kept.select(*keys, "box_no", F.lit(True).alias("_kept"))
+    return boxes.join(known, [*keys, "box_no"], "left").join(gone, [*keys, "box_no"], "left").withColumn(
+        "verdict", F.when(F.col("_kept"), True).when(F.col("_gone"), False)).drop("_kept", "_gone")
+
+
+def nms(boxes: DataFrame, keys: Sequence[str] = ("page_id", "kind"), threshold: float = C.NMS_IOU, strip: int = STRIP) -> DataFrame:
     """Greedy non-maximum suppression per key: keys and box_no of the boxes that stay.
 
-    Input: keys, box_no, x, y, w, h, score.  Boxes in different strips cannot suppress each other.
+    Input: keys, box_no (unique within the keys), x, y, w, h, score.  Of equal rectangles only the best can stay.  Boxes in
+    different pieces of a page cannot suppress each other, so pieces are gone through in order of score, all at once.  A
+    piece of more than ``strip`` boxes is first thinned in rounds: every box that is the best around is kept and suppresses
+    its neighbours, everywhere at the same time, by joins over grid cells; only undecided boxes go on, and what is left falls
+    into smaller pieces.  Where scores fall steadily along a chain of boxes a round decides little; then the rest is gone
+    through in order, by one task a piece, which holds the boxes it keeps.
     """
     keys = list(keys)
-    pieces = split_strips(boxes.withColumn("_rank", -F.col("score")), keys, "y", "h", "strip")
-    types = dict(boxes.dtypes)
-    ddl = ", ".join(f"{k} {types[k]}" for k in keys) + f", strip int, box_no {types['box_no']}"
-    kept = fold_sorted(pieces, [*keys, "strip"], ["_rank", "box_no"], ["box_no", *BOX], lambda: _Suppress(threshold), ddl)
-    return kept.drop("strip")
+    best = F.min(F.struct((-F.col("score")).alias("rank"), "box_no")).alias("b")
+    shapes = boxes.groupBy(*keys, *BOX, _apart(threshold)).agg(best).select(*keys, "b.rank", "b.box_no", *BOX)
+    pieces = split_pieces(shapes, keys)
+    if not _over(boxes, keys, strip):
+        return _fold_nms(pieces, keys, threshold)
+    sizes = pieces.groupBy(*keys, "piece").agg(F.count("*").alias("_n")).filter(F.col("_n") > strip)
+    large = stored(sizes.select(*keys, "piece"), "large-pieces")
+    kept = _fold_nms(pieces.join(large, [*keys, "piece"], "left_anti"), keys, threshold)
+    left = stored(pieces.join(large, [*keys, "piece"], "left_semi").drop("piece"), "undecided")
+    waiting = left.count()
+    while waiting:
+        judged = stored(_nms_round(left, keys, threshold), "judged-boxes")
+        kept = kept.unionByName(judged.filter("verdict").select(*keys, "box_no"))
+        left = stored(judged.filter("verdict IS NULL").drop("verdict"), "undecided")
+        before, waiting = waiting, left.count()
+        if waiting <= strip or before - waiting < before // WORTH:
+            kept = kept.unionByName(_fold_nms(split_pieces(left, keys), keys, threshold))
+            break
+    return kept
 
 
 # --- overlaps ----------------------------------------------------------------------------------
@@ -344,21 +473,76 @@ def _cells(boxes: DataFrame, cell: int) -> DataFrame:
     return boxes.select("*", F.explode(across).alias("_cx")).select("*", F.explode(down).alias("_cy"))
 
 
-def _touching(a: DataFrame, b: DataFrame, carry: Sequence[str], threshold: float, cell: int) -> DataFrame:
-    """Pairs of one page above an IoU, each exactly once: in the cell of the intersection's corner."""
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return _cells(df.select("page_id", *[F.col(c).alias(p + c) for c in (*carry, *BOX)], *BOX), cell).drop(*BOX)
+#: A cell in which more boxes meet is split into sixteen, down to a side of FINE.
+CROWD = 512
+FINE = 8
+
 
-    pairs = side(a, "a_").join(side(b, "b_"), ["page_id", "_cx", "_cy"])
-    corner = (F.col("_cx") == F.floor(F.greatest("a_x", "b_x") / cell)) & (F.col("_cy") == F.floor(F.greatest("a_y", "b_y") / cell))
-    pairs = pairs.filter(corner).withColumn("iou", G.iou(_box("a_"), _box("b_")))
-    return pairs.filter(F.col("iou") > threshold).drop("_cx", "_cy")
+def _touching(a: DataFrame, b: DataFrame, carry: Sequence[str], threshold: float, cell: int, crowd: int = CROWD) -> DataFrame:
+    """Pairs of one page above an IoU, each exactly once: in the cell of the intersection's corner.
+
+    Cells are as fine as the boxes in them are many: where more than ``crowd`` meet, by count, the cell is split.
+    """
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select("page_id", *[F.col(c).alias(p + c) for c in (*carry, *BOX)])
+
+    def within(df: DataFrame, p: str, size: int, parent: int | None) -> DataFrame:
+        """A row for each cell that a box touches; inside a cell that was split, for each of its parts."""
+        def span(at: str, length: str, big: str) -> Column:
+            low = F.floor(F.col(p + at) / size)
+            high = F.floor((F.col(p + at) + F.greatest(F.col(p + length), F.lit(1)) - 1) / size)
+            if parent:
+                low, high = F.greatest(low, F.col(big) * (parent // size)), F.least(high, (F.col(big) + 1) * (parent // size) - 1)
+            return F.explode(F.sequence(low, high))
+
+        df = df.select("*", span("x", "w", "_cx").alias("_nx")).select("*", span("y", "h", "_cy").alias("_ny"))
+        return df.drop("_cx", "_cy").withColumnsRenamed({"_nx": "_cx", "_ny": "_cy"})
+
+    place = ["page_id", "_cx", "_cy"]
+    dense = _over(a, ["page_id"], crowd) or (b is not a and _over(b, ["page_id"], crowd))
+    left, right = within(side(a, "a_"), "a_", cell, None), within(side(b, "b_"), "b_", cell, None)
+    found = None
+    while True:
+        more = dense and cell // 4 >= FINE
+        if more:
+            n = lambda df: df.groupBy(*place).agg(F.count("*").alias("_n"))
+            crowded = n(left).join(n(right).withColumnRenamed("_n", "_m"), place).filter(F.greatest("_n", "_m") > crowd)
+            crowded = stored(crowded.select(*place), "crowded-cells")
+            more = not crowded.isEmpty()
+        here = (left.join(crowded, place, "left_anti"), right.join(crowded, place, "left_anti")) if more else (left, right)
+        corner = (F.col("_cx") == F.floor(F.greatest("a_x", "b_x") / cell)) & (F.col("_cy") == F.floor(F.greatest("a_y", "b_y") / cell))
+        pairs = here[0].join(here[1], place).filter(corner).withColumn("iou", G.iou(_box("a_"), _box("b_")))
+        pairs = pairs.filter(F.col("iou") > threshold).drop("_cx", "_cy")
+        found = pairs if found is None else found.unionByName(pairs)
+        if not more:
+            return found
+        left = within(left.join(crowded, place, "left_semi"), "a_", cell // 4, cell)
+        right = within(right.join(crowded, place, "left_semi"), "b_", cell // 4, cell)
+        cell //= 4
+
+
+def overlap_classes(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int = _CELL, crowd: int = CROWD) -> DataFrame:
+    """(page_id, a_box_no, b_box_no, a_count, b_count, iou): overlapping distinct rectangles, each known by its least box number.
+
+    A rectangle that several boxes share also forms a row with itself, so n equal boxes are one row with their count, and
+    the pairs of boxes between two rectangles are a_count * b_count (of one with itself, a_count * (a_count - 1) / 2).
+    """
+    shapes = boxes.groupBy("page_id", *BOX).agg(F.min("box_no").alias("box_no"), F.count("*").alias("count"))
+    near = _touching(shapes, shapes, ["box_no", "count"], threshold, cell, crowd)
+    near = near.filter((F.col("a_box_no") < F.col("b_box_no")) | ((F.col("a_box_no") == F.col("b_box_no")) & (F.col("a_count") > 1)))
+    return near.select("page_id", "a_box_no", "b_box_no", "a_count", "b_count", "iou")
 
 
 def overlap_pairs(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int = _CELL) -> DataFrame:
-    """(page_id, a_box_no, b_box_no, iou) of overlapping boxes; only boxes sharing a grid cell meet."""
-    near = _touching(boxes, boxes, ["box_no"], threshold, cell).filter(F.col("a_box_no") < F.col("b_box_no"))
-    return near.select("page_id", "a_box_no", "b_box_no", "iou")
+    """(page_id, a_box_no, b_box_no, iou) of all pairs of overlapping boxes, spelled out from ``overlap_classes``."""
+    classes = overlap_classes(boxes, threshold, cell)
+    member = boxes.select("page_id", *BOX, "box_no")
+    first = member.groupBy("page_id", *BOX).agg(F.min("box_no").alias("_first"))
+    named = stored(member.join(first, ["page_id", *BOX]).select("page_id", "_first", "box_no"), "box-classes")
+    of = lambda p: named.select("page_id", F.col("_first").alias(f"{p}_box_no"), F.col("box_no").alias(f"_{p}"))
+    pairs = classes.join(of("a"), ["page_id", "a_box_no"]).join(of("b"), ["page_id", "b_box_no"])
+    pairs = pairs.filter((F.col("a_box_no") != F.col("b_box_no")) | (F.col("_a") < F.col("_b")))
+    return pairs.select("page_id", F.least("_a", "_b").alias("a_box_no"), F.greatest("_a", "_b").alias("b_box_no"), "iou")
 
 
 def suppress_overlaps(texts: DataFrame, tables: DataFrame, threshold: float = C.SUPPRESS_IOU, cell: int = _CELL) -> DataFrame:

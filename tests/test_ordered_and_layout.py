@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import geometry as G
 from docketry.operators import layout as L
+from docketry.operators.graph import components
 from docketry.operators import ocr as O
 from docketry.operators.ordered import Rule, fold_sorted, ordered_scan
 
@@ -230,6 +231,117 @@ def test_overlap_pairs_any_grid(spark, pages, cell):
     assert got == want
 
 
+def naive_components(bs, t):
+    """Bounding boxes of connected boxes, again and again."""
+    now = [(n, (x, y, x + w, y + h), 1) for n, x, y, w, h in bs]
+    while True:
+        root = {n: n for n, _, _ in now}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for i, (n, r, _) in enumerate(now):
+            for m, q, _ in now[i + 1:]:
+                if iou(r, q) > t:
+                    a, b = find(n), find(m)
+                    root[max(a, b)] = min(a, b)
+        groups = {}
+        for n, r, k in now:
+            g = groups.setdefault(find(n), [r, 0])
+            g[0] = (min(g[0][0], r[0]), min(g[0][1], r[1]), max(g[0][2], r[2]), max(g[0][3], r[3]))
+            g[1] += k
+        if len(groups) == len(now):
+            return sorted((n, r[0], r[1], r[2] - r[0], r[3] - r[1], k) for n, r, k in now)
+        now = [(n, g[0], g[1]) for n, g in groups.items()]
+
+
+@pytest.mark.parametrize("threshold", [0.02, 0.3])
+def test_merge_components(spark, pages, threshold):
+    few = {p: b for p, b in pages.items() if p % 3 == 0 or p >= 100}
+    got = {}
+    for r in L.merge_components(page_df(spark, few), threshold).collect():
+        got.setdefault(r["page_id"], []).append((r["box_no"], r["x"], r["y"], r["w"], r["h"], r["n_merged"]))
+    assert {p: sorted(v) for p, v in got.items()} == {p: naive_components(b, threshold) for p, b in few.items()}
+
+
+def test_components_of_chains_and_random_graphs(spark):
+    rng = random.Random(3)
+    order = rng.sample(range(1000), 300)
+    edges = [(1, a, b) for a, b in zip(order, order[1:])] + [(1, 2000 + i, 2001 + i) for i in range(0, 40)]
+    edges += [(2, rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    got = {(r.k, r.node): r.root for r in components(spark.createDataFrame(edges, "k int, a long, b long"), ["k"], "a", "b").collect()}
+    root = {(k, n): (k, n) for k, a, b in edges for n in (a, b)}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for k, a, b in edges:
+        a, b = find((k, a)), find((k, b))
+        root[max(a, b)] = min(a, b)
+    assert got == {n: find(n)[1] for n in root}
+
+
+def big_page(n, width, seed=1, step=9):
+    """One connected strip: boxes along a line, each overlapping the next ones, in random order of score."""
+    rng = random.Random(seed)
+    return [(i, i * step, rng.randint(0, 5), width, 40) for i in range(n)]
+
+
+@pytest.mark.parametrize("scores", ["random", "falling"])
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_nms_of_one_connected_strip(spark, scores, threshold):
+    bs = big_page(600, 60)
+    score = {b[0]: random.Random(b[0]).random() if scores == "random" else 1 - b[0] / 1000 for b in bs}
+    df = spark.createDataFrame([(1, *b, "text", score[b[0]]) for b in bs], page_df(spark, {}).schema)
+    got = L.nms(df, threshold=threshold, strip=20).collect()
+    assert sorted(r["box_no"] for r in got) == naive_nms(bs, score, threshold)
+
+
+def test_nms_of_a_hundred_thousand_boxes(spark):
+    n = F.col("id")
+    df = spark.range(100_000).select(
+        F.lit(1).cast("bigint").alias("page_id"), n.alias("box_no"), (n * 9).cast("int").alias("x"), (n % 5).cast("int").alias("y"),
+        F.lit(60).alias("w"), F.lit(40).alias("h"), F.lit("text").alias("kind"), (F.xxhash64("id") % 100003 / 100003).alias("score"))
+    kept = L.nms(df).count()
+    assert 100_000 / 5 < kept < 100_000 / 1.5
+
+
+def test_ten_thousand_equal_boxes(spark):
+    rows = spark.range(10_000).select(
+        F.lit(1).cast("bigint").alias("page_id"), F.col("id").alias("box_no"), *[F.lit(v).alias(c) for c, v in zip(L.BOX, (5, 5, 300, 300))])
+    more = spark.createDataFrame([(1, 20_000, 5, 5, 300, 290), (1, 20_001, 900, 900, 5, 5)], rows.schema)
+    got = [tuple(r) for r in L.overlap_classes(rows.unionByName(more)).select("a_box_no", "b_box_no", "a_count", "b_count").collect()]
+    assert sorted(got) == [(0, 0, 10_000, 10_000), (0, 20_000, 10_000, 1)]
+    merged = L.merge_components(rows.unionByName(more)).collect()
+    assert sorted((r["box_no"], r["n_merged"]) for r in merged) == [(0, 10_001), (20_001, 1)]
+
+
+def test_crowded_cells_are_split(spark):
+    rng = random.Random(6)
+    bs = [(n, rng.randint(100, 140), rng.randint(100, 140), rng.randint(1, 12), rng.randint(1, 12)) for n in range(300)] + [(300, 0, 0, 500, 500)]
+    df = page_df(spark, {1: bs})
+    split = {(r[0], r[1]) for r in L.overlap_classes(df, 0.1, 128, crowd=20).select("a_box_no", "b_box_no").collect()}
+    assert split == {(r[0], r[1]) for r in L.overlap_classes(df, 0.1, 4000).select("a_box_no", "b_box_no").collect()} and len(split) > 100
+
+
+def test_pieces_are_cut_until_nothing_separates(spark):
+    # columns of rows of columns: every cut separates only the next level
+    bs, n = [], 0
+    for i in range(3):
+        for j in range(3):
+            for k in range(4):
+                bs.append((n, 200 * i + (50 * k if j % 2 else 0), 300 * i + 60 * j + (0 if j % 2 else 14 * k), 40, 10))
+                n += 1
+    df = page_df(spark, {1: bs}).select("page_id", "box_no", *L.BOX)
+    fine = L.split_pieces(df, ["page_id"], large=1).groupBy("piece").count().count()
+    assert fine == len(bs) >= L.split_pieces(df, ["page_id"]).groupBy("piece").count().count()
+    assert by_page(L.merge_overlaps(page_df(spark, {1: bs})).collect()) == {1: naive_merge(bs)}
+
+
 def test_suppress_is_the_complement(spark, pages):
     df = page_df(spark, pages)
     tables, texts = df.filter("box_no % 3 = 0"), df.filter("box_no % 3 <> 0")

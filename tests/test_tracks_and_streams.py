@@ -305,3 +305,103 @@ class _Task(V.Rule):
 
 def test_tracking_nothing(spark):
     assert V.track_faces(spark.createDataFrame([], FACE)).count() == 0
+
+
+TIMED = FACE + ", ear double, mouth_w_ratio double, mouth_open_ratio double, is_fake boolean, at timestamp"
+
+
+def timed_row(camera, frame, cx, second=None, det=0):
+    import datetime as dt
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=frame if second is None else second)
+    return (camera, frame, det, cx, 0, 60, 0.4, 0.1, 0.1, True, at)
+
+
+def fed(spark, base, batches, make, schema=TIMED):
+    """Run a stream once after each batch of rows; (rows written, state rows after each run)."""
+    sizes = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = make(spark.readStream.schema(schema).parquet(f"{base}/in"))
+        q = ST.write_events(stream, f"{base}/out", f"{base}/cp")
+        q.awaitTermination()
+        sizes.append(sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]))
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").collect(), sizes
+
+
+def test_frames_out_of_order_wait_for_the_watermark(spark):
+    """Frames of 20 seconds in any order, over micro-batches, give the tracks of the ordered frames."""
+    rng = random.Random(1)
+    rows = [timed_row(c, f, 10 * ((f // 9) % 3) * 8) for c in (1, 2) for f in range(1, 120) if f % 40 < 25]
+    late_by = sorted(rows, key=lambda r: r[1] + rng.random() * 18)
+    cut = [late_by[i:i + 30] for i in range(0, len(late_by), 30)] + [[timed_row(9, 1, 0, second=400)]]
+    got, sizes = fed(spark, shared_folder(spark, "order"), cut, lambda s: ST.track_timeout(s, "at", "20 seconds", "60 seconds"))
+    want = []
+    for c in (1, 2):
+        t = V.Tracker()
+        t.start()
+        seen = {}
+        for r in [r for r in rows if r[0] == c]:
+            (f, _, track, _, _), = t.row(r[1], 0, r[3], 0, 60)
+            seen.setdefault(track, []).append(f)
+        want += [(c, track, f[0], f[-1], len(f)) for track, f in seen.items()]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 8
+    # all of cameras 1 and 2 is gone; camera 9 has its value, its waiting frame and a timer, at most
+    assert sizes[-1] <= 6 < max(sizes)
+
+
+def test_state_does_not_grow_with_the_stream(spark):
+    """Tracks come and go; the state holds the live ones only, and nothing of cameras that went away."""
+    batches = [[timed_row(b, 100 * b + f, 100 * (f % 30)) for f in range(1, 90)] for b in range(1, 7)]
+    got, sizes = fed(spark, shared_folder(spark, "grow"), batches, lambda s: ST.track_timeout(s, "at", "1 second", "30 seconds"))
+    assert len({(r.camera_id, r.track_id) for r in got}) > 100
+    assert max(sizes[1:]) <= 2 * min(sizes) and max(sizes) < 60
+
+
+def test_time_to_live_without_event_time(spark):
+    """Without an event time an absent camera's state goes by the clock; its tracks then start over."""
+    import time
+    base, schema = shared_folder(spark, "ttl"), TIMED.rpartition(",")[0]
+    spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    events = ST.stream_tracks(spark.readStream.schema(schema).parquet(f"{base}/in"), forget="3 seconds")
+    # by the clock, batches also run without rows, so the stream is watched by its output
+    q = events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(
+        processingTime="1 second").start()
+
+    def feed(rows, n):
+        spark.createDataFrame([r[:-1] for r in rows], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        for _ in range(40):
+            try:
+                got = spark.read.schema(ST.EVENT_DDL).parquet(f"{base}/out").collect()
+            except Exception:  # nothing has been written yet
+                got = []
+            if len(got) >= n:
+                return got
+            time.sleep(0.5)
+        return got
+
+    try:
+        feed([timed_row(1, 100, 0), timed_row(1, 130, 300)], 2)
+        time.sleep(4)
+        got = feed([timed_row(1, 20, 0)], 3)  # late for a camera that is still known
+    finally:
+        q.stop()
+    assert sorted((r.frame_idx, r.track_id) for r in got) == [(20, 0), (100, 0), (130, 1)]
+
+
+def test_one_micro_batch_of_many_frames_in_any_order(spark):
+    """Rows of a camera in one micro-batch, shuffled, in several Arrow batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [timed_row(1, f, 40 * ((f // 7) % 5)) for f in range(1, 700) if f % 50 < 30]
+        random.Random(2).shuffle(rows)
+        got, _ = fed(spark, shared_folder(spark, "any"), [rows], lambda s: ST.track_timeout(s))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    t = V.Tracker()
+    t.start()
+    seen, last = {}, max(r[1] for r in rows)
+    for r in sorted(rows, key=lambda r: r[1]):
+        (f, _, track, _, _), = t.row(r[1], 0, r[3], 0, 60)
+        seen.setdefault(track, []).append(f)
+    assert sorted(map(tuple, got)) == sorted((1, k, f[0], f[-1], len(f)) for k, f in seen.items() if last - f[-1] > 12)
