@@ -13,6 +13,7 @@ a pair goes to the Arrow function for its LCS only when r1 can still matter.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,54 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _codes(texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in one row, and where each text begins."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size
+
+
+def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """LCS lengths of many pairs at once: bit rows of all pairs advance together, one numpy step a character column.
+
+    The shorter text of a pair is its row of bits, up to 64 of them; pairs of two longer texts go one by one.
+    """
+    out = np.zeros(len(left), np.int64)
+    short = [a if len(a) <= len(b) else b for a, b in zip(left, right)]
+    long = [b if len(a) <= len(b) else a for a, b in zip(left, right)]
+    bits, size = (np.array([len(t) for t in x], np.int64) for x in (short, long))
+    for i in np.flatnonzero(bits > 64).tolist():
+        out[i] = _lcs(short[i], long[i])
+    at = np.flatnonzero((bits > 0) & (bits <= 64))
+    at = at[np.argsort(-size[at], kind="stable")]  # pairs still at work are the first ones
+    if not len(at):
+        return out
+    distinct, which = np.unique(np.array([short[i] for i in at], object), return_inverse=True)
+    lengths = np.array([len(t) for t in distinct])
+    points, _ = _codes(list(distinct), lengths)
+    letters, letter = np.unique(points, return_inverse=True)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # by distinct text and letter: at which places it stands; the last column is for letters that stand nowhere
+    masks = np.zeros((len(distinct), len(letters) + 1), np.uint64)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(distinct)), lengths), letter), np.uint64(1) << place.astype(np.uint64))
+    points, begin = _codes([long[i] for i in at], size[at])
+    column = np.searchsorted(letters, points)
+    column[(column == len(letters)) | (letters[np.minimum(column, len(letters) - 1)] != points)] = len(letters)
+    full = np.where(bits[at] == 64, ~np.uint64(0), (np.uint64(1) << (bits[at] % 64).astype(np.uint64)) - np.uint64(1))
+    row = full.copy()
+    for step in range(int(size[at[0]])):
+        n = int(np.searchsorted(-size[at], -step))  # texts with more than ``step`` characters
+        hit = row[:n] & masks[which[:n], column[begin[:n] + step]]
+        row[:n] = ((row[:n] + hit) | (row[:n] - hit)) & full[:n]
+    out[at] = bits[at] - np.bitwise_count(row)
+    return out
+
+
 @pandas_udf(IntegerType())
 def lcs_length(x: pd.Series, y: pd.Series) -> pd.Series:
     """LCS length per pair; null inputs cost nothing and give null."""
-    return pd.Series(
-        [None if a is None or b is None else _lcs(a, b) for a, b in zip(x, y)], dtype="Int32"
-    )
+    there = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+    out = pd.Series(pd.NA, index=range(len(x)), dtype="Int32")
+    out.iloc[there] = lcs_lengths([x.iloc[i] for i in there], [y.iloc[i] for i in there])
+    return out
 
 
 # not moved or repeated by the optimizer: a filter on the result must not run the function again
@@ -90,6 +133,23 @@ def _parts(a: Column, b: Column) -> Column:
     return once(once(F.struct(F.array_intersect(a, b).alias("s")), lengths), bounds)
 
 
+def candidate(a: Column, b: Column) -> Column:
+    """What is known of a pair, and the two strings to compare if that can improve it."""
+    def asked(p: Column) -> Column:
+        ask = p["bound"] > p["known"]
+        return F.struct(
+            F.when(ask, F.array_join(F.array_except(a, p["s"]), " ")).alias("x"), F.when(ask, F.array_join(F.array_except(b, p["s"]), " ")).alias("y"),
+            p["known"].alias("known"), p["bound"].alias("bound"), p["apart"].alias("apart"), p["total"].alias("total"))
+
+    return once(_parts(a, b), asked)
+
+
+def settled(c: Column) -> Column:
+    """The token-set ratio of a ``candidate``."""
+    lcs = _lcs_once(c["x"], c["y"])
+    return F.greatest(c["known"], F.when(lcs.isNotNull(), _pct(c["apart"] - 2 * lcs, c["total"])))
+
+
 def with_similarity(
     df: DataFrame, a: str, b: str, out: str, threshold: float | None = None, always: Column | None = None
 ) -> DataFrame:

@@ -25,7 +25,7 @@ from docketry.functions.detectors import (
     required_number,
 )
 from docketry.functions.patterns import may_hold, unicode_regex
-from docketry.functions.similarity import joined_length, token_set, with_similarity
+from docketry.functions.similarity import candidate, joined_length, settled, token_set, with_similarity
 from docketry.functions.text import has_text, match_lines, norm_space, plain_pattern
 
 _FULL_TEXT = 2**31 - 1
@@ -120,19 +120,33 @@ def _line_pieces(lines: Column, text: Column) -> Column:
 
 
 def _similar(rows: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
-    """(keep, line_no, line, todo) -> candidate pairs at or above the threshold.
+    """(keep, line_no, line, todo) -> pairs at or above the threshold: (keep, line_no, line, whole, pattern_ord, similarity).
 
-    Rows with ``line_no`` = -1 stand for the document itself and pass through with ``pattern_ord`` = -1.
+    A line is compared with its candidate patterns inside its row; only the patterns that lengths and shared words leave
+    make rows of their own, with the one or two strings still to compare.  The whole text is in ``whole``, and where no string
+    is left to compare only the first of its patterns carries it.  Rows with ``line_no`` = -1 stand for the document
+    itself and pass through with ``pattern_ord`` = -1.
     """
     rows = rows.withColumn("b", token_set(F.col("line")))
     ords = F.array_intersect(_candidate_ords(F.col("b"), joined_length(F.col("b")), threshold), "todo")
-    ords = F.when(F.col("line_no") == _DOCUMENT, F.array(F.lit(_DOCUMENT))).otherwise(ords)
-    rows = rows.select(*keep, "line_no", "line", "b", F.explode_outer(ords).alias("pattern_ord"))
-    rows = rows.filter("pattern_ord IS NOT NULL")
-    tokens = "array(" + ", ".join("array(" + ", ".join(map(_sql_text, ws)) + ")" for ws in _pattern_tokens()) + ")"
-    rows = rows.withColumn("a", F.get(F.expr(tokens), F.greatest("pattern_ord", F.lit(0))))
-    rows = with_similarity(rows, "a", "b", "similarity", threshold, always=F.col("line_no") == _DOCUMENT)
-    return rows.select(*keep, "line_no", "line", "pattern_ord", "similarity")
+    tokens = F.expr("array(" + ", ".join("array(" + ", ".join(map(_sql_text, ws)) + ")" for ws in _pattern_tokens()) + ")")
+    pair = F.transform(ords, lambda n: F.struct(n.alias("pattern_ord"), candidate(F.get(tokens, n), F.col("b")).alias("c")))
+    pair = F.filter(pair, lambda p: F.greatest(p["c"]["known"], p["c"]["bound"]) >= threshold)
+    itself = F.expr(f"array(struct({_DOCUMENT} AS pattern_ord, CAST(NULL AS {_CANDIDATE}) AS c))")
+    pair = F.when(F.col("line_no") == _DOCUMENT, itself).otherwise(pair)
+    # a generator's output is computed once; a plain column would be inlined into every later use
+    rows = rows.select(*keep, "line_no", "line", F.explode(F.array(F.struct(pair.alias("p")))).alias("o"))
+    last = F.col("line_no") == _FULL_TEXT
+    open_ = F.exists("o.p", lambda p: p["c"]["x"].isNotNull())
+    rows = rows.filter(F.size("o.p") > 0).select(
+        *keep, "line_no", F.when(~last, F.col("line")).alias("line"), F.when(last, F.col("line")).alias("whole"),
+        (last & ~open_).alias("once"), F.posexplode("o.p").alias("n", "p"))
+    whole = F.when(~F.col("once") | (F.col("n") == 0), F.col("whole"))
+    rows = rows.select(*keep, "line_no", "line", whole.alias("whole"), "p.pattern_ord", settled(F.col("p.c")).alias("similarity"))
+    return rows.filter((F.col("line_no") == _DOCUMENT) | (F.col("similarity") >= threshold))
+
+
+_CANDIDATE = "struct<x:string,y:string,known:double,bound:double,apart:int,total:int>"
 
 
 def fuzzy_hits(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFrame:
@@ -143,7 +157,10 @@ def fuzzy_hits(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFra
     """
     rows = docs.select("doc_id", "todo", F.explode_outer(_line_pieces(F.col("lines"), F.col("text"))).alias("p"))
     rows = _similar(rows.select("doc_id", "todo", "p.*"), threshold, ["doc_id"])
-    return rows.groupBy("doc_id", "pattern_ord").agg(_first_line().alias("hit"))
+    hits = rows.groupBy("doc_id", "pattern_ord").agg(_first_line().alias("hit"), F.first("whole", ignorenulls=True).alias("whole"))
+    per = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pattern_ord", "hit")).alias("hits"), F.first("whole", ignorenulls=True).alias("whole"))
+    hit = F.struct(F.col("h.hit.line_no"), F.col("h.hit.similarity"), F.coalesce("h.hit.line", "whole").alias("line"))
+    return per.select("doc_id", "whole", F.explode("hits").alias("h")).select("doc_id", "h.pattern_ord", hit.alias("hit"))
 
 
 def _first_line() -> Column:
@@ -264,25 +281,25 @@ def classify(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD, split_short:
     )
     rows = _similar(rows, threshold, ["doc_id", "about"])
     hits = rows.groupBy("doc_id", "pattern_ord").agg(
-        _first_line().alias("hit"), F.first("about", ignorenulls=True).alias("about")
+        _first_line().alias("hit"), F.first("about", ignorenulls=True).alias("about"), F.first("whole", ignorenulls=True).alias("whole")
     )
     # at most one row per catalogue pattern is left of each document
     near = F.when(F.col("pattern_ord") >= 0, F.struct("pattern_ord", "hit"))
     df = hits.groupBy("doc_id").agg(
-        F.first("about", ignorenulls=True).alias("about"), F.collect_list(near).alias("fuzzy")
-    ).select("doc_id", "about.*", "fuzzy")
+        F.first("about", ignorenulls=True).alias("about"), F.first("whole", ignorenulls=True).alias("whole"), F.collect_list(near).alias("fuzzy")
+    ).select("doc_id", "about.*", "whole", "fuzzy")
     ords = F.concat(_matched_ords(F.col("found")), F.transform("fuzzy", lambda f: f["pattern_ord"]))
     df = df.withColumn("ords", ords)
     df = df.withColumn("scores", _type_scores(F.col("ords"), F.col("numbers"), C.TEMPLATES, C.BONUSES))
     df = df.withColumn("best_type", _select_eligible(F.col("scores")))
     return df.select(
-        "doc_id", "best_type", "scores", _matched(F.col("found"), F.col("fuzzy"), F.col("numbers")).alias("matched"),
+        "doc_id", "best_type", "scores", _matched(F.col("found"), F.col("fuzzy"), F.col("numbers"), F.col("whole")).alias("matched"),
         "numbers", required_number(F.col("numbers"), F.col("best_type")).alias("required"),
         "components", id_side(F.col("components")).alias("side"),
     )
 
 
-def _matched(found: Column, fuzzy: Column, numbers: Column) -> Column:
+def _matched(found: Column, fuzzy: Column, numbers: Column, whole: Column) -> Column:
     """Matched patterns in catalogue order, each type's detector bonus behind its patterns."""
     info = _pattern_info()
 
@@ -296,7 +313,7 @@ def _matched(found: Column, fuzzy: Column, numbers: Column) -> Column:
     regex = F.transform(found, lambda m, i: F.when(m.isNotNull(), row(F.get(info, i), m, "regex", none)))
     near = F.transform(
         fuzzy,
-        lambda f: row(F.get(info, f["pattern_ord"]), f["hit"]["line"], "fuzzy", F.floor(f["hit"]["similarity"]).cast("int")),
+        lambda f: row(F.get(info, f["pattern_ord"]), F.coalesce(f["hit"]["line"], whole), "fuzzy", F.floor(f["hit"]["similarity"]).cast("int")),
     )
     bonus = []
     for type_ord, doc_type in enumerate(C.TEMPLATES):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docketry import catalog as C
 from docketry import fixtures as X
-from docketry.functions.similarity import _lcs, token_set, with_similarity
+from docketry.functions.similarity import _lcs, lcs_lengths, token_set, with_similarity
 from docketry.operators import classify as K
 from docketry.plans import documents as P
 
@@ -220,3 +220,31 @@ def test_whole_documents_are_classified(spark):
         want = naive_hits(seen, text, patterns)
         assert {m["pattern_ord"]: (m["match"], m["score"]) for m in rows[i]["matched"] if m["method"] == "fuzzy"} == want
     assert len([m for m in rows[1]["matched"] if m["method"] == "fuzzy"]) >= 2 and rows[3]["best_type"] == C.UNKNOWN
+
+
+def test_lcs_of_many_pairs_at_once():
+    """The batch kernel agrees with the one for a pair, over word borders, strange letters and empty texts."""
+    rng = random.Random(12)
+    letters = "abcde é中\U0001f389\ud800"
+    text = lambda: "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 30, 63, 64, 65, 130])))
+    pairs = [(text(), text()) for _ in range(1500)] + [("a" * 64, "a" * 64), ("ab" * 32, "ba" * 100), ("", "")]
+    assert lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [_lcs(a, b) for a, b in pairs]
+    assert lcs_lengths([], []).tolist() == []
+
+
+@pytest.mark.parametrize("threshold", [60, 75, 90])
+def test_whole_text_travels_once(spark, threshold):
+    """Patterns found only in the whole text, over line ends, have it as their match, however many they are."""
+    from docketry.operators import classify as K
+
+    words = [K.plain_words(p) for _, _, _, p in C.pattern_rows()]
+    rest = "quite ordinary prose without the phrases looked for"
+    broken = "\n".join(f"{w} {rest}" for p in words for w in p.split())
+    docs = spark.createDataFrame([(1, broken), (2, "nothing of it"), (3, None)], "doc_id bigint, text string")
+    rows = [r for r in K.pattern_hits(docs, threshold).collect() if r.method == "fuzzy"]
+    whole = " ".join(broken.split())
+    assert {r.doc_id for r in rows} == {1} and any(r.match == whole for r in rows)
+    todo = list(range(len(words)))
+    asked = docs.select("doc_id", "text", F.array(*map(F.lit, todo)).alias("todo"), F.split("text", "\n").alias("lines"))
+    hits = K.fuzzy_hits(asked, threshold).collect()
+    assert all((r.hit.line == whole) == (r.hit.line_no == 2**31 - 1) for r in hits if r.pattern_ord >= 0) and sum(r.hit.line == whole for r in hits) > 5
