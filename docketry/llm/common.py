@@ -59,6 +59,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+#: No piece of a hot key has more than one in so many of all rows, and no more keys than that are hot.
+PIECES = 4096
+
+
+def hot_join(rows: DataFrame, counts: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot_of: DataFrame | None = None) -> DataFrame:
+    """Join of ``rows`` with ``counts``, a stored table with a row a key and its number of rows in ``n``.
+
+    A key that has more than one in ``PIECES`` of all rows is dealt out by a hash of the columns ``by``, and its row of
+    ``counts`` is repeated for every piece.  There are fewer than ``PIECES`` such keys whatever the data, and only their list
+    is sent to all tasks.  ``hot_of`` is the table to find them in, if ``counts`` is a part of one without ``n``.
+    """
+    whole = counts if hot_of is None else hot_of
+    total = whole.agg(F.sum("n")).first()[0] or 1
+    hot = whole.filter(F.col("n") * PIECES > total).select(*keys, F.ceil(F.col("n") * PIECES / total).cast("int").alias("_pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_pieces")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece).drop("_pieces")
+    every = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    spread = counts.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.explode(every)).drop("_pieces")
+    return dealt.join(spread, [*keys, "_piece"], how).drop("_piece")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that links reach, for every node of ``edges``.
 

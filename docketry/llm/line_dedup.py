@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD, let, stored, stripped
+from docketry.llm.common import WORD, hot_join, let, stored, stripped
 
 #: Boilerplate of a young or rare kind stands on few sites.
 MIN_SITES = 5
@@ -30,7 +30,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int =
     at their ends; blank lines are no lines and stay in place.
 
     A first aggregation finds the lines with more than one site (least and greatest site hash differ), so only their
-    occurrences go on.  Their spread is a HyperLogLog sketch per line hash, merged over partial aggregates; lines whose
+    occurrences go on, those of a very frequent line dealt over many tasks.  Their spread is a HyperLogLog sketch per line hash, merged over partial aggregates; lines whose
     estimate lies within ``MARGIN`` of the threshold are counted exactly.  Texts meet their removed positions once.
 
     Edge cases: null texts stay null and have no lines; a null site is one site; rows with a null key never keep a shared
@@ -47,20 +47,21 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int =
     line = line.withColumn("line", stripped(F.col("line"))).filter("line <> ''").select(
         "key", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
         F.when(F.regexp_count("line", F.lit(WORD)) <= SHORT_WORDS, short_sites).otherwise(min_sites).alias("need"))
-    shared = line.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("key").alias("keeper"), F.max("need").alias("need"))
-    shared = stored(shared.filter("lo <> hi").select("h1", "h2", "keeper", "need"), "shared-lines")
-    met = stored(line.drop("need").join(shared, ["h1", "h2"]), "line-occurrences")
+    shared = line.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("key").alias("keeper"), F.max("need").alias("need"), F.count("*").alias("n"))
+    shared = stored(shared.filter("lo <> hi").select("h1", "h2", "keeper", "need", "n"), "shared-lines")
+    by = ["key", "text_hash", "pos"]
+    met = stored(hot_join(line.drop("need"), shared, ["h1", "h2"], by).drop("n"), "line-occurrences")
 
     spread = stored(
         met.groupBy("h1", "h2", "need").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
         .select("h1", "h2", "need", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
     least, most = F.col("need") * (1 - MARGIN), F.col("need") * (1 + MARGIN)
     near = spread.filter(F.col("sites").between(least, most)).select("h1", "h2")
-    exact = met.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "need", "site").distinct().groupBy("h1", "h2", "need").agg(
+    exact = hot_join(met, near, ["h1", "h2"], by, "left_semi", shared).select("h1", "h2", "need", "site").distinct().groupBy("h1", "h2", "need").agg(
         F.count("*").alias("sites"))
     wide = spread.filter(F.col("sites") > most).unionByName(exact.filter(F.col("sites") >= F.col("need")))
 
-    out = met.join(wide.select("h1", "h2"), ["h1", "h2"], "left_semi").filter("NOT (key <=> keeper)")
+    out = hot_join(met, wide.select("h1", "h2"), ["h1", "h2"], by, "left_semi", shared).filter("NOT (key <=> keeper)")
     out = out.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     hit = F.expr("key <=> k AND text_hash = h")
     both = rows.select("row", ident.alias("k"), F.xxhash64(own).alias("h")).join(out, hit, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.cells import BUCKET, LINKED, cells, column, in_cells, linked, matrix, neighbours, resolved
-from docketry.llm.common import lean, stored
+from docketry.llm.common import hot_join, lean, stored
 from docketry.llm.hashing import Powers, chunks, mixed, shingle_sets
 
 SIZE = 5
@@ -68,7 +68,8 @@ def summaries(text: Column, size: int, n_tokens: int) -> Column:
 def buckets(sets: DataFrame, runs: int, depth: int = DEPTH, most: int = BUCKET) -> DataFrame:
     """(idx, run, leaf, n): the bucket of two or more sets in which each run ends for a set, if any.
 
-    A bucket of at most ``most`` sets is a leaf; a larger one is split on the next sampled token, until ``depth``.
+    A bucket of at most ``most`` sets is a leaf; a larger one is split on the next sampled token, until ``depth``.  The rows of
+    a very large bucket are dealt over many tasks on the way.
     """
     keys, key = [], F.col("run").cast("long")
     for d in range(depth):
@@ -77,8 +78,8 @@ def buckets(sets: DataFrame, runs: int, depth: int = DEPTH, most: int = BUCKET)
     rows = sets.select("idx", "tokens", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("idx", "run", *keys)
     found = None
     for d in range(depth):
-        sizes = rows.groupBy(f"k{d}").agg(F.count("*").alias("n")).filter("n > 1")
-        level = stored(rows.join(sizes, f"k{d}"), f"split-{d}")
+        sizes = stored(rows.groupBy(f"k{d}").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes-{d}")
+        level = stored(hot_join(rows, sizes, [f"k{d}"], ["idx", "run"]), f"split-{d}")
         leaf = level if d == depth - 1 else level.filter(F.col("n") <= most)
         leaf = leaf.select("idx", "run", F.col(f"k{d}").alias("leaf"), "n")
         found = leaf if found is None else found.unionByName(leaf)

@@ -198,3 +198,19 @@ def test_chat_keeps_columns_of_its_own_names(spark):
     assert sorted(out.columns) == ["formatted", "loss_spans", "parts", "row", "turns"]
     r = out.first()
     assert (r.parts, r.row) == (7, 1) and r.formatted.startswith("<|im_start|>user") and len(r.loss_spans) == 1
+
+
+def test_hot_join_is_a_join(spark, monkeypatch):
+    """Keys of any weight meet as in a plain join, and one that holds most rows is dealt over pieces."""
+    from docketry.llm import common
+
+    monkeypatch.setattr(common, "PIECES", 16)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 40).alias("k"))
+    counts = common.stored(rows.filter("k <> 5").groupBy("k").agg(F.count("*").alias("n")), "counts")
+    want = sorted(map(tuple, rows.join(counts, "k").select("k", "id", "n").collect()))
+    got = common.hot_join(rows, counts, ["k"], ["id"])
+    assert sorted(map(tuple, got.select("k", "id", "n").collect())) == want and len(want) > 2900
+    some = counts.filter("k % 2 = 1").select("k")
+    semi = common.hot_join(rows, some, ["k"], ["id"], "left_semi", counts)
+    assert sorted(r.id for r in semi.collect()) == sorted(i for k, i, _ in want if k % 2)
+    assert common.hot_join(rows.limit(0), counts.limit(0), ["k"], ["id"]).count() == 0
