@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -12,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.cells import LINKED, cells, column, in_cells, linked, matrix, neighbours, resolved
-from docketry.llm.common import lean, stored
+from docketry.llm.common import hot_join, lean, stored
 
 THRESHOLD = 0.93
-#: Tables, hashes a table, and buckets probed a table.  At the default threshold a table misses a pair with probability
-#: 0.15 in 64 dimensions, so six tables miss about one pair in 100,000 of those at the threshold.
-TABLES, HASHES, PROBES = 6, 2, 4
+#: Hashes a table and buckets probed a table; the number of tables follows from dimension and threshold.
+HASHES, PROBES = 2, 4
 NEXT = 3
+#: Share of the pairs at the threshold that the tables must bring together, and pairs by which that is estimated.
+TARGET = 0.99998
+TRIALS = 4000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -32,8 +36,27 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def probes(x: np.ndarray) -> np.ndarray:
-    """(rows, TABLES, PROBES) bucket numbers: the nearest vertices of the cross-polytope, and the likeliest other choices.
+@lru_cache
+def tables_needed(d: int, threshold: float, target: float = TARGET) -> int:
+    """Tables that bring a pair of ``d`` dimensions at the threshold together with probability ``target``.
+
+    How often one table does is measured on random pairs with just that cosine, always the same ones.
+    """
+    if d < 2 or threshold >= 1:
+        return 1
+    rng = np.random.default_rng(17)
+    a, b = rng.standard_normal((2, TRIALS, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    low = max(threshold, -1.0)
+    x, y = probes(a, 1)[:, 0], probes(low * a + np.sqrt(1 - low * low) * b, 1)[:, 0]
+    met = (x[:, :, None] == y[:, None, :]).any((1, 2)).mean()
+    return max(1, math.ceil(math.log(1 - target) / math.log(max(1 - met, 1e-9)))) if met else 1 << 10
+
+
+def probes(x: np.ndarray, tables: int) -> np.ndarray:
+    """(rows, tables, PROBES) bucket numbers: the nearest vertices of the cross-polytope, and the likeliest other choices.
 
     Each hash rotates by three rounds of random signs and a Hadamard transform; its choices are the coordinates of the
     largest magnitude with their signs, and a probe's cost is what it gives up in magnitude.
@@ -43,8 +66,8 @@ def probes(x: np.ndarray) -> np.ndarray:
     x = np.pad(x, ((0, 0), (0, size - d)))
     rng = np.random.default_rng(5)
     ways = np.array(list(product(range(NEXT), repeat=HASHES)))
-    out = np.empty((n, TABLES, PROBES), np.int64)
-    for t in range(TABLES):
+    out = np.empty((n, tables, PROBES), np.int64)
+    for t in range(tables):
         cost, code = np.zeros((n, len(ways))), np.zeros((n, len(ways)), np.int64)
         for k in range(HASHES):
             y = x
@@ -60,7 +83,7 @@ def probes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashed(vector: Column) -> Column:
+def hashed(vector: Column, threshold: float) -> Column:
     """struct of ``raw`` (doubles) and ``codes`` (probes of all tables) of each vector."""
 
     @F.pandas_udf("raw binary, codes array<int>")
@@ -77,7 +100,7 @@ def hashed(vector: Column) -> Column:
                     scale = np.abs(x).max(1, keepdims=True)
                     unit = x / scale
                     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                    for i, c in zip(part, probes(unit).reshape(len(x), -1).astype(np.int32)):
+                    for i, c in zip(part, probes(unit, tables_needed(x.shape[1], threshold)).reshape(len(x), -1).astype(np.int32)):
                         raw[i], codes[i] = rows[i].tobytes(), c
             yield pd.DataFrame({"raw": raw, "codes": codes})
 
@@ -95,7 +118,7 @@ def close(members: DataFrame, threshold: float) -> DataFrame:
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
             own = table.take(at)
-            x, ways = matrix(own, "raw", np.float64), matrix(own, "ways", np.int32).reshape(len(at), TABLES, PROBES)
+            x, ways = matrix(own, "raw", np.float64), matrix(own, "ways", np.int32).reshape(len(at), -1, PROBES)
             x = x / np.abs(x).max(1, keepdims=True)
             norm = np.sqrt((x * x).sum(1))
             for i, j in neighbours(cell[at], side[at], cross[at], 16384):
@@ -104,7 +127,7 @@ def close(members: DataFrame, threshold: float) -> DataFrame:
                 flip = idx[at[i]] > idx[at[j]]
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
                 # of the probes of the lower one, in order, the first that the other has in the same table too
-                first = (ways[i][:, :, :, None] == ways[j][:, :, None, :]).any(3).reshape(len(i), TABLES * PROBES).argmax(1)
+                first = (ways[i][:, :, :, None] == ways[j][:, :, None, :]).any(3).reshape(len(i), ways.shape[1] * PROBES).argmax(1)
                 ok = first == run[at[i]]
                 left.append(at[i[ok]])
                 right.append(at[j[ok]])
@@ -129,7 +152,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     able = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("v")).filter(
         F.col("key").isNotNull() & F.col("label").isNotNull() & v.isNotNull()
         & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0))
-    able = able.select("key", "label", hashed(v).alias("h")).select("key", "label", "h.*")
+    able = able.select("key", "label", hashed(v, threshold).alias("h")).select("key", "label", "h.*")
     able = stored(able.withColumn("h1", F.xxhash64("raw")).withColumn("h2", F.xxhash64(F.lit(1), "raw")), "vectors")
     same = ["label", "h1", "h2"]
     classes = stored(
@@ -142,8 +165,8 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     place = one.select("idx", "label", F.octet_length("raw").alias("size"), F.posexplode("codes").alias("pos", "code"))
     run = F.floor(F.col("pos") / PROBES).cast("int")
     place = place.select("idx", (F.col("pos")).alias("pos"), run.alias("table"), F.xxhash64("label", "size", run, "code").alias("leaf"))
-    sizes = place.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    leaves = place.join(sizes, "leaf").select("idx", F.col("pos").alias("run"), "leaf", "n")
+    sizes = stored(place.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    leaves = hot_join(place, sizes, ["leaf"], ["idx", "pos"]).select("idx", F.col("pos").alias("run"), "leaf", "n")
     ways = F.unhex(F.array_join(F.transform("codes", lambda c: F.right(F.concat(F.lit("0000000"), F.hex(c)), F.lit(8))), ""))
     known = one.select("idx", "raw", ways.alias("ways"))
     compared = cells(leaves).join(known, "idx").join(classes.select("idx", "size"), "idx")

@@ -328,3 +328,16 @@ def test_label_model_against_plain_em():
     for row, p in list(zip(votes, post))[:50]:
         odds = np.log(prior / (1 - prior)) + sum(np.log(model.tables[j, v + 1, 1] / model.tables[j, v + 1, 0]) for j, v in enumerate(row))
         assert abs(1 / (1 + np.exp(-odds)) - p) < 0.02
+
+
+@pytest.mark.parametrize("d,threshold", [(8, 0.9), (64, 0.8), (300, 0.9)])
+def test_tables_follow_from_dimension_and_threshold(d, threshold):
+    """Pairs just at the threshold share a bucket, whatever the dimension."""
+    rng = np.random.default_rng(d)
+    a, b = rng.standard_normal((2, 1500, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = threshold * a + np.sqrt(1 - threshold ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    n = embedding_dedup.tables_needed(d, threshold)
+    x, y = embedding_dedup.probes(a, n), embedding_dedup.probes(b, n)
+    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() > 0.998
