@@ -297,6 +297,19 @@ def s5(spark, sf):
     return S.route_results(k).select("doc_id", "route", "out_name")
 
 
+@query("s5_route_under_minimum", f"""WITH {SCORES},
+r AS (SELECT doc_id, arg_max(doc_type, score * 10 - type_ord) AS top_type, max(score) AS score FROM scores GROUP BY doc_id)
+SELECT doc_id, top_type AS best_type, score, CASE WHEN score >= CASE top_type WHEN 'BANK_STATEMENT' THEN 4 ELSE 3 END THEN 'main' ELSE 'Others' END AS route,
+ CASE WHEN score >= CASE top_type WHEN 'BANK_STATEMENT' THEN 4 ELSE 3 END THEN '' ELSE 'other_' END || 'scan_' || doc_id || '.v1.json' AS out_name FROM r""")
+def s5m(spark, sf):
+    """Documents under the type of their highest score, acceptable or not, so that the minimum decides their route."""
+    k = K.classify(X.scans(spark, sf))
+    top = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["type_ord"]).alias("o"), s["doc_type"].alias("doc_type"))))
+    k = k.select("doc_id", top.alias("t")).select("doc_id", F.col("t.doc_type").alias("best_type"), F.col("t.score").alias("score"))
+    k = k.withColumn("file_name", F.concat(F.lit("scan "), F.col("doc_id").cast("string"), F.lit(".v1.png")))
+    return S.route_results(k).select("doc_id", "best_type", "score", "route", "out_name")
+
+
 @query("s9_label_rows", """SELECT l_orderkey, l_linenumber, l_partkey, 'img_' || l_orderkey || '.jpg' AS image, CAST(l_partkey % 600 AS INTEGER) AS x0, CAST(l_suppkey % 800 AS INTEGER) AS y0,
  CAST(l_partkey % 600 + 50 AS INTEGER) AS x1, CAST(l_suppkey % 800 + 40 AS INTEGER) AS y1, 640 AS width, CASE WHEN l_linenumber = 3 THEN NULL ELSE 480 END AS height FROM lineitem""")
 def s9(spark, sf):

@@ -372,18 +372,19 @@ RX = "rx AS (" + " UNION ALL ".join(
     f"SELECT doc_id, {n} AS pattern_ord, {_regex_sql(p)} AS match FROM scans" for _, _, n, p in C.pattern_rows()) + ")"
 
 
-def fuzzy_ctes(split: str, every: bool) -> str:
+def fuzzy_ctes(split: str, every: bool, threshold: int = 75) -> str:
     cond = "" if every else "JOIN rx ON rx.doc_id = lines.doc_id AND rx.pattern_ord = pats.pattern_ord AND rx.match IS NULL"
     return f"""{SCANS}, {PATS}, {RX}, {_lines(split)},
 cand AS (SELECT lines.doc_id, pats.pattern_ord, line_no, line, string_split(ptoks, ' ') AS a, {tokens_sql('line')} AS b
    FROM lines CROSS JOIN pats {cond}),
-{ratio_ctes('cand', 'doc_id, pattern_ord, line_no, line', 75)},
+{ratio_ctes('cand', 'doc_id, pattern_ord, line_no, line', threshold)},
 fz AS (SELECT doc_id, pattern_ord, min(line_no) AS line_no, arg_min(line, line_no) AS line, arg_min(sim, line_no) AS sim FROM rsims GROUP BY ALL)"""
 
 
-def _all_fuzzy(spark, sf, split_short=True):
+def _all_fuzzy(spark, sf, split_short=True, threshold=C.FUZZY_THRESHOLD):
     d = X.scans(spark, sf)
-    return K.fuzzy_hits(d.select("doc_id", "text", T.match_lines(F.col("text"), split_short).alias("lines"), K._every_pattern().alias("todo")))
+    asked = d.select("doc_id", "text", T.match_lines(F.col("text"), split_short).alias("lines"), K._every_pattern().alias("todo"))
+    return K.fuzzy_hits(asked, threshold)
 
 
 @query("f2_first_line_match", f"""WITH {fuzzy_ctes(_SPLIT, True)}
@@ -393,6 +394,18 @@ def f2(spark, sf):
     return h.select("doc_id", "pattern_ord", "hit.line_no", "hit.line", F.round("hit.similarity", 6).alias("sim"))
 
 
+def _at_threshold(threshold: int):
+    @query(f"f5_threshold_{threshold}", f"""WITH {fuzzy_ctes(_SPLIT, True, threshold)}
+SELECT doc_id, CAST(pattern_ord AS INTEGER) AS pattern_ord, line_no, line, round(sim, 6) AS sim FROM fz""")
+    def f5(spark, sf):
+        h = _all_fuzzy(spark, sf, threshold=threshold)
+        return h.select("doc_id", "pattern_ord", "hit.line_no", "hit.line", F.round("hit.similarity", 6).alias("sim"))
+
+
+for _threshold in (60, 90):
+    _at_threshold(_threshold)
+
+
 _BROKEN = SCANS.replace("scans AS", "whole AS", 1) + """, scans AS (SELECT doc_id, replace(text, ' ', ' quixotic rigmarole' || chr(10) || 'zanzibar ') AS text FROM whole)"""
 
 

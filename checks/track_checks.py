@@ -342,8 +342,7 @@ def v19(spark, sf):
 life AS (SELECT camera_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames, avg(CAST(is_fake AS DOUBLE)) AS fake_share FROM frames GROUP BY ALL)
 SELECT life.*, (SELECT count(*) FROM counted e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id) AS blink_count, {', '.join(f"(SELECT count(*) FROM fused e WHERE e.camera_id = life.camera_id AND e.track_id = life.track_id AND event_kind = '{k}') AS n_{k}" for k in ('blink', 'smile', 'motion', 'fake_face'))} FROM life""")
 def v20(spark, sf):
-    f = X.frames(spark, sf)
-    return V.track_summary(f, V.fused_events(f))
+    return V.track_summary(X.frames(spark, sf))
 
 
 REPORTED = f"""RECURSIVE {FACES}, {track_sql(0.6, 20)},

@@ -516,12 +516,24 @@ def coupled_blinks(frames: DataFrame, gap: int = C.COOLDOWN_FRAMES, chunk_frames
     event is the movement itself or a smile.  A fake face reported first keeps movement back.
     """
     found = event_candidates(frames, chunk_frames)
-    kept = cooldown(found.select(*TRACK, "frame_idx", "event_kind"), gap, True, chunk_frames)
+    return _hidden_blinks_out(found, cooldown(found.select(*TRACK, "frame_idx", "event_kind"), gap, True, chunk_frames))
+
+
+def _hidden_blinks_out(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Blinks among the candidates ``found``, without those on frames where ``kept`` events let a movement through."""
     kept = kept.filter(F.col("event_kind").isin("motion", "smile")).select(*TRACK, "frame_idx", F.lit(True).alias("_through"))
     rows = found.filter("is_blink").select(*TRACK, "frame_idx", "is_move").join(kept, [*TRACK, "frame_idx"], "left")
     return rows.filter(~(F.col("is_move") & F.coalesce("_through", F.lit(False)))).select(*TRACK, "frame_idx")
 
 
+def events_and_blinks(frames: DataFrame, gap: int = C.COOLDOWN_FRAMES, chunk_frames: int = CHUNK_FRAMES) -> tuple[DataFrame, DataFrame]:
+    """(``fused_events``, ``coupled_blinks``) from one pass over the frames: candidates and kept events are stored."""
+    found = stored(
+        event_candidates(frames, chunk_frames).select(*TRACK, "frame_idx", "event_kind", "is_blink", "is_move"), "event-candidates")
+    kept = stored(cooldown(found.select(*TRACK, "frame_idx", "event_kind"), gap, True, chunk_frames), "kept-events")
+    return kept, _hidden_blinks_out(found, kept)
+
+
 def smile_label(teeth: Column, squint: Column) -> Column:
     """Visible teeth are real; hidden teeth with squinting eyes are fake; anything else is real."""
     return F.when(teeth, "REAL_SMILE").when(squint, "FAKE_SMILE").otherwise("REAL_SMILE")
@@ -541,8 +553,14 @@ def route_events(events: DataFrame) -> DataFrame:
     return events.withColumn("event_kind", F.explode(F.coalesce(also, F.array("event_kind"))))
 
 
-def track_summary(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per track: life span, frames seen, events of each kind, share of fake frames, and all blinks that count."""
+def track_summary(frames: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row per track: life span, frames seen, events of each kind, share of fake frames, and all blinks that count.
+
+    Events that are not given are found in the same pass as the blinks.
+    """
+    blinks = None
+    if events is None:
+        events, blinks = events_and_blinks(frames)
     seen = frames.groupBy(*TRACK).agg(
         F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("n_frames"),
         F.avg(F.col("is_fake").cast("double")).alias("fake_share"),
@@ -550,7 +568,8 @@ def track_summary(frames: DataFrame, events: DataFrame) -> DataFrame:
     kinds = events.groupBy(*TRACK).agg(
         *[F.count_if(F.col("event_kind") == k).alias(f"n_{k}") for k in ("blink", "smile", "motion", "fake_face")]
     )
-    blinks = coupled_blinks(frames).groupBy(*TRACK).agg(F.count("*").alias("_blinks"))
+    blinks = coupled_blinks(frames) if blinks is None else blinks
+    blinks = blinks.groupBy(*TRACK).agg(F.count("*").alias("_blinks"))
     zero = F.lit(0).cast("bigint")
     return seen.join(kinds, list(TRACK), "left").join(blinks, list(TRACK), "left").select(
         *TRACK, "first_frame", "last_frame", "n_frames", "fake_share", F.coalesce("_blinks", zero).alias("blink_count"),
