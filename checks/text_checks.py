@@ -476,7 +476,9 @@ def shown(k):
 # --- the same over scans and whole documents -----------------------------------------------------
 
 _TEXTS = SCANS.replace("scans AS", "whole AS", 1) + """, scans AS (SELECT 2 * doc_id + 1 AS doc_id, text FROM whole UNION ALL SELECT 2 * doc_id, text FROM documents)"""
-_BROKEN_TEXTS = _TEXTS.replace("+ 1 AS doc_id, text", "+ 1 AS doc_id, replace(text, ' ', ' quixotic rigmarole' || chr(10) || 'zanzibar ') AS text")
+_BROKEN_TEXTS = _TEXTS.replace("+ 1 AS doc_id, text", "+ 1 AS doc_id, replace(text, ' ', ' quixotic rigmarole' || chr(10) || 'zanzibar ') AS text").replace(
+    "SELECT 2 * doc_id, text FROM documents", """SELECT 2 * doc_id, CASE WHEN doc_id % 5 = 0 THEN
+ 'quixotic rigmarole permanent' || chr(10) || 'account zanzibar rigmarole' || chr(10) || 'number quixotic zanzibar' || chr(10) || text ELSE text END FROM documents""")
 
 
 def classified_texts(spark, sf):
@@ -498,9 +500,11 @@ def f2_texts(spark, sf):
 
 
 def f3_texts(spark, sf):
-    """Scans with broken phrases, as in f3_full_text_fallback, and whole documents as they are."""
+    """Scans with broken phrases, as in f3_full_text_fallback, and whole documents, some with a phrase broken over three lines."""
     broken = F.replace("text", F.lit(" "), F.lit(" quixotic rigmarole\nzanzibar "))
-    d = classified_texts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 2 == 1, broken).otherwise(F.col("text")))
+    phrase = F.lit("quixotic rigmarole permanent\naccount zanzibar rigmarole\nnumber quixotic zanzibar\n")
+    long = F.when(F.col("doc_id") % 10 == 0, F.concat(phrase, "text")).otherwise(F.col("text"))
+    d = classified_texts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 2 == 1, broken).otherwise(long))
     h = K.fuzzy_hits(d.select("doc_id", "text", T.match_lines(F.col("text"), True).alias("lines"), K._every_pattern().alias("todo")))
     h = h.filter("hit.line_no = 2147483647")
     return h.select("doc_id", "pattern_ord", "hit.line", F.round("hit.similarity", 6).alias("sim"))
