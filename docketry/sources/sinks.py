@@ -1,8 +1,15 @@
-"""Writers.  Each run has its own ``run_id`` folder: repeating a run replaces it, other runs are not touched."""
+"""Writers.  Each run has its own ``run_id`` folder: repeating a run replaces it, other runs are not touched.
+
+A run is first written whole beside the folder, under a name that readers skip, and only then put in its place: by renames,
+which move no data, so a reader sees the old run or the new one.  A job that fails or is killed leaves the old run as it is; one
+that is killed between the renames is set right by the next write of that run, or by ``recover``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import catalog as C
@@ -13,6 +20,51 @@ def _run(path: str, run_id: str) -> str:
     return f"{path.rstrip('/')}/run_id={run_id}"
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, function from a name to its path) of a folder."""
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _aside(path: str, run_id: str) -> str:
+    return f"{path.rstrip('/')}/_replaced/run-{run_id}"
+
+
+def recover(spark: SparkSession, path: str, run_id: str) -> bool:
+    """Put back a run that a killed rewrite had already moved aside; whether there was one."""
+    fs, at = _files(spark, path)
+    aside, run = at(_aside(path, run_id)), at(_run(path, run_id))
+    if not fs.exists(aside):
+        return False
+    if fs.exists(run):  # the new run was already in its place
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, run)
+
+
+def _put(writer: DataFrameWriter, kind: str, path: str, run_id: str) -> None:
+    """Write a run in the format ``kind`` and put it in the place of the one before."""
+    spark = writer._spark
+    recover(spark, path, run_id)
+    staging = f"{path.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    fs, at = _files(spark, path)
+    try:
+        getattr(writer.mode("errorifexists"), kind)(staging)
+    except Exception:
+        fs.delete(at(staging), True)
+        raise
+    run, aside = at(_run(path, run_id)), at(_aside(path, run_id))
+    if fs.exists(run):
+        fs.mkdirs(aside.getParent())
+        if not fs.rename(run, aside):
+            raise OSError(f"{run.toString()} can't be moved")
+    if not fs.rename(at(staging), run):
+        recover(spark, path, run_id)
+        raise OSError(f"{staging} can't be moved to {run.toString()}")
+    fs.delete(aside, True)
+
+
 def bucket_of(name: Column, buckets: int = 64) -> Column:
     """A folder number, so that many names share few folders."""
     return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
@@ -30,7 +82,7 @@ def results_to_write(classified: DataFrame) -> DataFrame:
 
 
 def write_results_json(classified: DataFrame, path: str, run_id: str) -> None:
-    results_to_write(classified).write.mode("overwrite").json(_run(path, run_id))
+    _put(results_to_write(classified).write, "json", path, run_id)
 
 
 def route_results(results: DataFrame) -> DataFrame:
@@ -49,7 +101,7 @@ def route_results(results: DataFrame) -> DataFrame:
 
 
 def write_routed(results: DataFrame, path: str, run_id: str) -> None:
-    route_results(results).write.mode("overwrite").partitionBy("route").json(_run(path, run_id))
+    _put(route_results(results).write.partitionBy("route"), "json", path, run_id)
 
 
 def document_text(lines: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -64,20 +116,18 @@ def write_sorted_text(lines: DataFrame, path: str, run_id: str, keep_empty: bool
     documents in order and a very large document may span several files."""
     rows = lines if keep_empty else lines.filter(F.length(T.strip(F.col("text"))) > 0)
     rows = rows.repartitionByRange("doc_id", "line_ord").sortWithinPartitions("doc_id", "line_ord")
-    rows.select("doc_id", "line_ord", "text").write.mode("overwrite").option("sep", "\t").csv(_run(path, run_id))
+    _put(rows.select("doc_id", "line_ord", "text").write.option("sep", "\t"), "csv", path, run_id)
 
 
 def write_text_files(documents: DataFrame, path: str, run_id: str) -> None:
     """Texts with their ids as JSON lines, in folders by a hash of the id."""
     rows = documents.select("doc_id", "content", bucket_of(F.col("doc_id")).alias("bucket"))
-    rows.write.mode("overwrite").partitionBy("bucket").json(_run(path, run_id))
+    _put(rows.write.partitionBy("bucket"), "json", path, run_id)
 
 
 def write_tables_csv(rows: DataFrame, path: str, run_id: str) -> None:
     """Table rows (filename, segment, row) as CSV in folders by a hash of the file name; tables without rows leave nothing."""
-    rows.withColumn("bucket", bucket_of(F.col("filename"))).write.mode("overwrite").partitionBy("bucket").option(
-        "header", True
-    ).csv(_run(path, run_id))
+    _put(rows.withColumn("bucket", bucket_of(F.col("filename"))).write.partitionBy("bucket").option("header", True), "csv", path, run_id)
 
 
 def build_manifest(segments: DataFrame) -> DataFrame:
@@ -89,9 +139,9 @@ def build_manifest(segments: DataFrame) -> DataFrame:
 
 
 def write_manifest(segments: DataFrame, path: str, run_id: str) -> None:
-    build_manifest(segments).write.mode("overwrite").json(_run(path, run_id))
+    _put(build_manifest(segments).write, "json", path, run_id)
 
 
 def write_events(events: DataFrame, path: str, run_id: str) -> None:
     """Face events in one folder per kind (already routed, see ``tracks.route_events``)."""
-    events.write.mode("overwrite").partitionBy("event_kind").json(_run(path, run_id))
+    _put(events.write.partitionBy("event_kind"), "json", path, run_id)

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docketry import fixtures as X
@@ -119,3 +121,27 @@ def test_entry_and_registry(spark):
     rows = entry.entry(spark).collect()
     assert sum(r["n_docs"] for r in rows) == X.scans(spark, SF).count()
     json.dumps(sorted(q))
+
+
+def test_a_failed_rewrite_leaves_the_old_run(spark, tmp_path):
+    """A rewrite that dies in the middle changes nothing; one that dies between the renames is set right."""
+    out = str(tmp_path / "runs")
+    events = spark.range(100).select(F.col("id").alias("frame_idx"), F.when(F.col("id") % 2 == 0, "blink").otherwise("smile").alias("event_kind"))
+    S.write_events(events, out, "r1")
+    S.write_events(events.limit(10), out, "r2")
+    count = lambda: {r["run_id"]: r["count"] for r in spark.read.json(out).groupBy("run_id").count().collect()}
+    assert count() == {"r1": 100, "r2": 10}
+    dies = events.repartition(4).withColumn("frame_idx", F.when(F.col("frame_idx") == 77, F.raise_error("killed").cast("long")).otherwise(F.col("frame_idx")))
+    with pytest.raises(Exception, match="killed"):
+        S.write_events(dies, out, "r1")
+    assert count() == {"r1": 100, "r2": 10}
+    # killed after the old run was moved aside
+    os.makedirs(tmp_path / "runs" / "_replaced", exist_ok=True)
+    os.rename(tmp_path / "runs" / "run_id=r1", tmp_path / "runs" / "_replaced" / "run-r1")
+    assert count() == {"r2": 10}
+    with pytest.raises(Exception, match="killed"):
+        S.write_events(dies, out, "r1")
+    assert count() == {"r1": 100, "r2": 10}
+    S.write_events(events.limit(30), out, "r1")
+    assert count() == {"r1": 30, "r2": 10} and not S.recover(spark, out, "r1")
+    assert not os.listdir(tmp_path / "runs" / "_staging") and not os.listdir(tmp_path / "runs" / "_replaced")
