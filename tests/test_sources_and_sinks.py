@@ -145,3 +145,13 @@ def test_a_failed_rewrite_leaves_the_old_run(spark, tmp_path):
     S.write_events(events.limit(30), out, "r1")
     assert count() == {"r1": 30, "r2": 10} and not S.recover(spark, out, "r1")
     assert not os.listdir(tmp_path / "runs" / "_staging") and not os.listdir(tmp_path / "runs" / "_replaced")
+
+
+def test_scratch_tables_go(spark):
+    from docketry.operators import tracks as V
+
+    faces = X.faces(spark, SF)
+    with R.scratch(spark) as folder:
+        n = V.track_faces(faces).count()
+        assert n == faces.count() and os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and R.shared_folder(spark, "x").count("scratch") == 0
