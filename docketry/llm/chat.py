@@ -128,6 +128,31 @@ def canonical(records: DataFrame, fields: Sequence[str], layouts: Sequence[Layou
     return rows.select("row.*", "layout", renamed.alias("turns"))
 
 
+def running_sums(sizes: Column, block: int = 64) -> Column:
+    """The sum of all entries before each one: sums of whole blocks, and of the entries before it in its own block."""
+    def add(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def of(n: Column) -> Column:
+        # no block at all for an empty array
+        return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: b < n)
+
+    def within(arrays: Column) -> Column:
+        whole, before = arrays["sizes"], arrays["before"]
+        return F.transform(whole, lambda x, i: F.get(before, F.floor(i / block).cast("int")) + add(
+            F.slice(whole, F.floor(i / block).cast("int") * block + 1, i % block)))
+
+    def blocks(arrays: Column) -> Column:
+        before = F.transform(arrays["sums"], lambda x, b: add(F.slice(arrays["sums"], F.lit(1), b)))
+        return let(F.struct(arrays["sizes"].alias("sizes"), before.alias("before")), within)
+
+    def sums(whole: Column) -> Column:
+        total = F.transform(of(F.ceil(F.size(whole) / block).cast("int")), lambda b: add(F.slice(whole, b * block + 1, F.lit(block))))
+        return let(F.struct(whole.alias("sizes"), total.alias("sums")), blocks)
+
+    return let(sizes, sums)
+
+
 def formatted(records: DataFrame, learn: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``loss_spans`` (start and length in code points of the texts to learn) to records with ``turns``.
 
@@ -140,13 +165,14 @@ def formatted(records: DataFrame, learn: str = "assistant") -> DataFrame:
     parts = F.transform("row.turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn")))
     rows = rows.withColumn("parts", parts)
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END))), "")
-    step = F.aggregate(
-        "parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(TURN_END)).alias("at"),
-            F.when(p["learn"], F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans")))
-    return rows.withColumn("formatted", text).withColumn("loss_spans", step["spans"]).select("row.*", "formatted", "loss_spans")
+    sizes = F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(TURN_END))
+
+    def spans(starts: Column) -> Column:
+        found = F.transform("parts", lambda p, i: F.when(p["learn"], F.struct(
+            (F.get(starts, i) + F.length(p["head"])).cast("int").alias("start"), F.length(p["body"]).alias("length"))))
+        return F.filter(found, lambda s: s.isNotNull())
+
+    return rows.withColumn("formatted", text).withColumn("loss_spans", let(running_sums(sizes), spans)).select("row.*", "formatted", "loss_spans")
 
 
 def read_turns(text: Column) -> Column:

@@ -214,3 +214,18 @@ def test_hot_join_is_a_join(spark, monkeypatch):
     semi = common.hot_join(rows, some, ["k"], ["id"], "left_semi", counts)
     assert sorted(r.id for r in semi.collect()) == sorted(i for k, i, _ in want if k % 2)
     assert common.hot_join(rows.limit(0), counts.limit(0), ["k"], ["id"]).count() == 0
+
+
+def test_running_sums_over_blocks(spark):
+    for n in (0, 1, 3, 4, 5, 16, 17, 200):
+        row = spark.range(1).select(F.array(*[F.lit(7 * i % 11) for i in range(n)]).cast("array<int>").alias("a"))
+        want = [sum(7 * k % 11 for k in range(i)) for i in range(n)]
+        assert list(row.select(chat.running_sums(F.col("a"), 4).alias("s")).first().s) == want
+
+
+def test_chat_of_many_turns(spark):
+    turns = [("user" if i % 2 else "assistant", f"t{i} ü" * (i % 4)) for i in range(700)]
+    df = spark.createDataFrame([(turns,), (None,), ([],)], "turns array<struct<role:string,text:string>>")
+    r = chat.formatted(df).withColumn("m", chat.masked_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert r[0].m == "".join(t for role, t in turns if role == "assistant") and len(r[0].loss_spans) == 350
+    assert r[1].formatted is None and r[1].loss_spans is None and r[2].formatted == "" and r[2].loss_spans == []
