@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import IntegerType
 
 from docketry.functions.patterns import WORD
@@ -95,7 +96,7 @@ def lcs_length(x: pd.Series, y: pd.Series) -> pd.Series:
     """LCS length per pair; null inputs cost nothing and give null."""
     there = np.flatnonzero((x.notna() & y.notna()).to_numpy())
     out = pd.Series(pd.NA, index=range(len(x)), dtype="Int32")
-    out.iloc[there] = lcs_lengths([x.iloc[i] for i in there], [y.iloc[i] for i in there])
+    out.iloc[there] = lcs_lengths(x.to_numpy()[there].tolist(), y.to_numpy()[there].tolist())
     return out
 
 
@@ -133,21 +134,116 @@ def _parts(a: Column, b: Column) -> Column:
     return once(once(F.struct(F.array_intersect(a, b).alias("s")), lengths), bounds)
 
 
-def candidate(a: Column, b: Column) -> Column:
-    """What is known of a pair, and the two strings to compare if that can improve it."""
-    def asked(p: Column) -> Column:
-        ask = p["bound"] > p["known"]
-        return F.struct(
-            F.when(ask, F.array_join(F.array_except(a, p["s"]), " ")).alias("x"), F.when(ask, F.array_join(F.array_except(b, p["s"]), " ")).alias("y"),
-            p["known"].alias("known"), p["bound"].alias("bound"), p["apart"].alias("apart"), p["total"].alias("total"))
+def _overlaps(joined: list[str], patterns: list[str]) -> np.ndarray:
+    """By line and pattern: how many characters both have, each as often as in the poorer one; no LCS is longer."""
+    letters = {c: i for i, c in enumerate(sorted(set("".join(patterns))))}
+    known = np.array(sorted(map(ord, letters)), np.uint32)
+    size = np.array([len(t) for t in joined], np.int64)
+    points, _ = _codes(joined, size)
+    at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+    here = known[at] == points
+    line = np.repeat(np.arange(len(joined)), size)
+    counts = np.bincount((line * len(known) + at)[here], minlength=len(joined) * len(known)).reshape(len(joined), len(known))
+    out = np.empty((len(joined), len(patterns)), np.int64)
+    for n, p in enumerate(patterns):
+        out[:, n] = np.minimum(counts, np.bincount([letters[c] for c in p], minlength=len(known))).sum(axis=1)
+    return out
+
+
+def similar_pairs(lines: list[str], patterns: list[list[str]], threshold: float) -> dict[int, list[tuple[int, float]]]:
+    """By line number the (pattern, token-set ratio) at or above the threshold, for cleaned lower-case lines.
 
-    return once(_parts(a, b), asked)
+    Pairs without a shared word go through numpy together: lengths, then common characters, leave few for an LCS.
+    """
+    whole = [" ".join(words) for words in patterns]
+    postings: dict[str, list[int]] = {}
+    for n, words in enumerate(patterns):
+        for w in words:
+            postings.setdefault(w, []).append(n)
+    tokens = [sorted(set(line.split(" ")) - {""}) for line in lines]
+    joined = [" ".join(t) for t in tokens]
+    pairs: list[tuple[int, int, float, int, int, str, str]] = []  # line, pattern, known, apart, total, x, y
+    out: dict[int, list[tuple[int, float]]] = {}
+    shares = np.zeros((len(lines), len(patterns)), bool)
+    for i, b in enumerate(tokens):
+        shared: dict[int, set[str]] = {}
+        for w in postings.keys() & b if len(b) > len(postings) else b:
+            for n in postings.get(w, ()):
+                shared.setdefault(n, set()).add(w)
+        nb = len(joined[i])
+        for n, s in shared.items():
+            shares[i, n] = True
+            a, na = patterns[n], len(whole[n])
+            if len(s) == len(a) or len(s) == len(b):
+                if threshold <= 100.0:
+                    out.setdefault(i, []).append((n, 100.0))
+                continue
+            ns = sum(map(len, s)) + len(s) - 1
+            nx, ny = na - ns - 1, nb - ns - 1
+            known = max(100.0 - 100.0 * (1 + nx) / (ns + na), 100.0 - 100.0 * (1 + ny) / (ns + nb))
+            bound = 100.0 - 100.0 * abs(nx - ny) / (na + nb)
+            if max(known, bound) < threshold:
+                continue
+            if bound > known:
+                x, y = (" ".join(w for w in t if w not in s) for t in (a, b))
+                pairs.append((i, n, known, nx + ny, na + nb, x, y))
+            else:
+                out.setdefault(i, []).append((n, known))
+    na, nb = np.array([len(p) for p in whole], np.int64)[None, :], np.array([len(t) for t in joined], np.int64)[:, None]
+    total = np.maximum(na + nb, 1)
+    bound = np.where((na > 0) & (nb > 0), 100.0 - 100.0 * np.abs(na - nb) / total, 0.0)
+    if threshold <= 0:
+        for i, n in zip(*(v.tolist() for v in np.nonzero(~shares & (bound <= 0)))):
+            out.setdefault(i, []).append((n, 0.0))
+    asked = ~shares & (bound > 0) & (bound >= threshold)
+    near = np.flatnonzero(asked.any(axis=1))
+    if len(near):
+        reach = 100.0 - 100.0 * (na + nb[near] - 2 * _overlaps([joined[i] for i in near], whole)) / total[near]
+        for k, n in zip(*(v.tolist() for v in np.nonzero(asked[near] & (reach >= threshold)))):
+            i = int(near[k])
+            apart = len(whole[n]) + len(joined[i])
+            pairs.append((i, n, 0.0, apart, apart, whole[n], joined[i]))
+    for (i, n, known, apart, size, _, _), lcs in zip(pairs, lcs_lengths([p[5] for p in pairs], [p[6] for p in pairs]).tolist()):
+        ratio = max(known, 100.0 - 100.0 * (apart - 2 * lcs) / size)
+        if ratio >= threshold:
+            out.setdefault(i, []).append((n, ratio))
+    return out
 
 
-def settled(c: Column) -> Column:
-    """The token-set ratio of a ``candidate``."""
-    lcs = _lcs_once(c["x"], c["y"])
-    return F.greatest(c["known"], F.when(lcs.isNotNull(), _pct(c["apart"] - 2 * lcs, c["total"])))
+def first_similar(pieces: Column, todo: Column, patterns: list[list[str]], threshold: float) -> Column:
+    """[(pattern_ord, piece, similarity)]: per pattern in ``todo`` the first piece at or above the threshold.
+
+    ``pieces``: cleaned lower-case lines in order.  ``patterns``: sorted distinct words of each pattern.  A null piece is like nothing.
+    """
+    @arrow_udf("array<struct<pattern_ord:int,piece:int,similarity:double>>")
+    def firsts(pieces: pa.Array, todo: pa.Array) -> pa.Array:
+        size = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        found = similar_pairs(coded.dictionary.to_pylist(), patterns, threshold)
+        which = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        some = np.zeros(len(coded.dictionary) + 1, bool)
+        some[list(found)] = True
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(size)), size)
+        hits: dict[int, dict[int, tuple[int, float]]] = {}
+        for at in np.flatnonzero(some[which]).tolist():
+            first = hits.setdefault(int(row[at]), {})
+            for n, ratio in found[int(which[at])]:
+                first.setdefault(n, (at - int(begin[row[at]]), ratio))
+        counts, ords, places, ratios = np.zeros(len(size), np.int64), [], [], []
+        asked = todo.take(pa.array(list(hits), pa.int64())).to_pylist()
+        for (r, first), ns in zip(hits.items(), asked):
+            kept = sorted(set(first).intersection(ns or ()))
+            counts[r] = len(kept)
+            ords += kept
+            places += [first[n][0] for n in kept]
+            ratios += [first[n][1] for n in kept]
+        values = pa.StructArray.from_arrays(
+            [pa.array(ords, pa.int32()), pa.array(places, pa.int32()), pa.array(ratios, pa.float64())], ["pattern_ord", "piece", "similarity"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    # not moved or repeated by the optimizer
+    return firsts.asNondeterministic()(pieces, todo)
 
 
 def with_similarity(

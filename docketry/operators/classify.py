@@ -1,8 +1,8 @@
 """Template matching, scoring and selection of document types.
 
 The catalogue is a fixed, 31-row table, so it enters plans as literals inside the row: no cross join.
-One pass over a document yields its regex hits, its detector results and its candidate lines; only
-candidate (line, pattern) pairs leave the scan stage, and they meet again per document in one
+One pass over a document yields its regex hits, its detector results and its similar lines; only
+the first similar line per pattern leaves the scan stage, and they meet again per document in one
 aggregation whose partial step runs before the shuffle.
 """
 
@@ -24,8 +24,8 @@ from docketry.functions.detectors import (
     id_side,
     required_number,
 )
-from docketry.functions.patterns import may_hold, unicode_regex
-from docketry.functions.similarity import candidate, joined_length, settled, token_set, with_similarity
+from docketry.functions.patterns import WORD, may_hold, unicode_regex
+from docketry.functions.similarity import first_similar, token_set, with_similarity
 from docketry.functions.text import has_text, match_lines, norm_space, plain_pattern
 
 _FULL_TEXT = 2**31 - 1
@@ -76,77 +76,47 @@ def regex_matches(text: Column, templates=C.TEMPLATES) -> Column:
     return F.array(*out)
 
 
-def _candidate_ords(tokens: Column, length: Column, threshold: float) -> Column:
-    """Catalogue patterns a line can still reach ``threshold`` with.
+def _cleaned(line: Column) -> Column:
+    """Lower-case words of a line, one blank between two."""
+    return F.lower(F.regexp_replace(line, f"[^{WORD}]+", " "))
 
-    Without a shared word only the indel ratio counts, and it is bounded by the two lengths; so a
-    candidate shares a word with the pattern or has a comparable length.
-    """
-    tokens_of = _pattern_tokens()
-    postings: dict[str, list[int]] = {}
-    for n, words in enumerate(tokens_of):
-        for w in words:
-            postings.setdefault(w, []).append(n)
-    lengths = [len(" ".join(words)) for words in tokens_of]
-    slack = (1 - threshold / 100) + 1e-9
-    # below a threshold of 1 no length rules a pattern out, so one entry serves all lengths
-    longest = int(max(lengths) * (200 - threshold) / threshold) + 1 if threshold >= 1 else 0
-    by_length = [
-        [n for n, a in enumerate(lengths) if threshold < 1 or abs(a - b) <= slack * (a + b)] for b in range(longest + 1)
-    ]
-    if threshold < 1:
-        length = F.lit(0)
-
-    def ints(xs: list[int]) -> str:
-        return f"CAST(array({', '.join(map(str, xs))}) AS ARRAY<INT>)"
-
-    vocabulary = F.expr("array(" + ", ".join(_sql_text(w) for w in postings) + ")")
-    posting_map = F.expr("map(" + ", ".join(f"{_sql_text(w)}, {ints(ns)}" for w, ns in postings.items()) + ")")
-    length_lists = F.expr("array(" + ", ".join(ints(ns) for ns in by_length) + ")")
-    shared = F.flatten(F.transform(F.array_intersect(tokens, vocabulary), lambda w: F.element_at(posting_map, w)))
-    near = F.coalesce(F.get(length_lists, length), F.expr("CAST(array() AS ARRAY<INT>)"))
-    return F.array_union(shared, near)
-
-
-def _line_pieces(lines: Column, text: Column) -> Column:
-    """(line_no, line) entries: the lines in order, then the white-space-normalised whole text."""
-    return F.concat(
-        F.transform(
-            F.coalesce(lines, F.array().cast("array<string>")),
-            lambda s, i: F.struct(i.cast("int").alias("line_no"), s.alias("line")),
-        ),
-        F.array(F.struct(F.lit(_FULL_TEXT).alias("line_no"), norm_space(text).alias("line"))),
-    )
 
+def _similar(docs: DataFrame, threshold: float, todo: Column, about: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, lines, text, columns of ``todo``) -> (doc_id, line_no, line, whole, pattern_ord, similarity), first line per pattern of a row.
 
-def _similar(rows: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
-    """(keep, line_no, line, todo) -> pairs at or above the threshold: (keep, line_no, line, whole, pattern_ord, similarity).
-
-    A line is compared with its candidate patterns inside its row; only the patterns that lengths and shared words leave
-    make rows of their own, with the one or two strings still to compare.  The whole text is in ``whole``, and where no string
-    is left to compare only the first of its patterns carries it.  Rows with ``line_no`` = -1 stand for the document
-    itself and pass through with ``pattern_ord`` = -1.
+    A document stays one row until its hits are known: its lines and, behind them, its whole text go to the task's
+    function together, and only what is similar makes rows.  The white-space-normalised whole text is in ``whole``, and only
+    the first of its patterns carries it.  With ``about`` a row with ``line_no`` and ``pattern_ord`` = -1 stands for the
+    document itself and carries those columns; each is a column of its own, so that one nobody reads is not computed.
     """
-    rows = rows.withColumn("b", token_set(F.col("line")))
-    ords = F.array_intersect(_candidate_ords(F.col("b"), joined_length(F.col("b")), threshold), "todo")
-    tokens = F.expr("array(" + ", ".join("array(" + ", ".join(map(_sql_text, ws)) + ")" for ws in _pattern_tokens()) + ")")
-    pair = F.transform(ords, lambda n: F.struct(n.alias("pattern_ord"), candidate(F.get(tokens, n), F.col("b")).alias("c")))
-    pair = F.filter(pair, lambda p: F.greatest(p["c"]["known"], p["c"]["bound"]) >= threshold)
-    itself = F.expr(f"array(struct({_DOCUMENT} AS pattern_ord, CAST(NULL AS {_CANDIDATE}) AS c))")
-    pair = F.when(F.col("line_no") == _DOCUMENT, itself).otherwise(pair)
-    # a generator's output is computed once; a plain column would be inlined into every later use
-    rows = rows.select(*keep, "line_no", "line", F.explode(F.array(F.struct(pair.alias("p")))).alias("o"))
-    last = F.col("line_no") == _FULL_TEXT
-    open_ = F.exists("o.p", lambda p: p["c"]["x"].isNotNull())
-    rows = rows.filter(F.size("o.p") > 0).select(
-        *keep, "line_no", F.when(~last, F.col("line")).alias("line"), F.when(last, F.col("line")).alias("whole"),
-        (last & ~open_).alias("once"), F.posexplode("o.p").alias("n", "p"))
-    whole = F.when(~F.col("once") | (F.col("n") == 0), F.col("whole"))
-    rows = rows.select(*keep, "line_no", "line", whole.alias("whole"), "p.pattern_ord", settled(F.col("p.c")).alias("similarity"))
-    return rows.filter((F.col("line_no") == _DOCUMENT) | (F.col("similarity") >= threshold))
-
-
-_CANDIDATE = "struct<x:string,y:string,known:double,bound:double,apart:int,total:int>"
+    lines = F.coalesce("lines", F.array().cast("array<string>"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "lines")]
+    df = docs.select("doc_id", "text", lines.alias("lines"), norm_space(F.col("text")).alias("whole"), *others)
+    # a generator's input is computed once; plain columns would be inlined into every later use
+    df = df.select("doc_id", "text", F.explode(F.array(F.struct("lines", "whole", *others))).alias("o")).select("doc_id", "text", "o.*")
+    pieces = F.concat(F.transform("lines", _cleaned), F.array(_cleaned(F.col("whole"))))
+    df = df.select(
+        "doc_id", "lines", "whole", F.size("lines").alias("last"), *about,
+        first_similar(pieces, todo, _pattern_tokens(), threshold).alias("found_in"))
+    first_whole = F.array_position(F.transform("found_in", lambda h: h["piece"] == F.col("last")), F.lit(True)) - 1
+
+    def row(h: Column, i: Column) -> Column:
+        behind = h["piece"] == F.col("last")
+        return F.struct(
+            F.when(behind, _FULL_TEXT).otherwise(h["piece"]).alias("line_no"), F.get("lines", h["piece"]).alias("line"),
+            F.when(i == first_whole, F.col("whole")).alias("whole"), h["pattern_ord"].alias("pattern_ord"), h["similarity"].alias("similarity"))
+
+    rows = F.transform("found_in", row)
+    if not about:
+        return df.select("doc_id", F.explode(rows).alias("h")).select("doc_id", "h.*")
+    nothing = F.lit(None)
+    names = [c for c in df.columns if c not in ("doc_id", "lines", "whole", "last", "found_in")]
+    itself = F.struct(
+        F.lit(_DOCUMENT).alias("line_no"), nothing.cast("string").alias("line"), nothing.cast("string").alias("whole"),
+        F.lit(_DOCUMENT).alias("pattern_ord"), nothing.cast("double").alias("similarity"))
+    df = df.select("doc_id", *names, F.explode(F.concat(F.array(itself), rows)).alias("h"))
+    # the document's own results ride on its first row only
+    return df.select("doc_id", "h.*", *[F.when(F.col("h.line_no") == _DOCUMENT, F.col(c)).alias(c) for c in names])
 
 
 def fuzzy_hits(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFrame:
@@ -155,8 +125,7 @@ def fuzzy_hits(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD) -> DataFra
     Input: doc_id, lines (array), text, todo (array of pattern ordinals).  Lines are scanned in order;
     the white-space-normalised text stands behind them, so it is used only when no line is similar.
     """
-    rows = docs.select("doc_id", "todo", F.explode_outer(_line_pieces(F.col("lines"), F.col("text"))).alias("p"))
-    rows = _similar(rows.select("doc_id", "todo", "p.*"), threshold, ["doc_id"])
+    rows = _similar(docs, threshold, F.col("todo"))
     hits = rows.groupBy("doc_id", "pattern_ord").agg(_first_line().alias("hit"), F.first("whole", ignorenulls=True).alias("whole"))
     per = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pattern_ord", "hit")).alias("hits"), F.first("whole", ignorenulls=True).alias("whole"))
     hit = F.struct(F.col("h.hit.line_no"), F.col("h.hit.similarity"), F.coalesce("h.hit.line", "whole").alias("line"))
@@ -255,39 +224,29 @@ def classify_regex(docs: DataFrame) -> DataFrame:
     )
 
 
+_OWN = ("found", "numbers", "components", "whole")
 _ENTRY = "struct<type_ord:int,pattern_ord:int,doc_type:string,pattern:string,match:string,method:string,score:int>"
 
 
 def classify(docs: DataFrame, threshold: float = C.FUZZY_THRESHOLD, split_short: bool = False) -> DataFrame:
     """One row per document: numbers, scores per type, matched patterns, best type, card side.
 
-    The text is read once.  Each document becomes one row for itself plus one per line; lines that can
-    match a still missing pattern survive, and all of them meet in an aggregation by document.
+    The text is read once.  Each document becomes one row for itself plus one per pattern that a line or the whole text
+    resembles, and all of them meet in an aggregation by document.
     """
-    docs = _with_lines(docs, split_short).withColumn("found", regex_matches(F.col("text")))
+    docs = _with_lines(docs, split_short)
+    docs = docs.select("doc_id", "text", "lines", regex_matches(F.col("text")).alias("found"))
     text = F.col("text")
-    about = F.struct("found", id_numbers(text).alias("numbers"), id_components(text).alias("components"))
-    none = F.lit(None)
-    itself = F.struct(F.lit(_DOCUMENT).alias("line_no"), none.cast("string").alias("line"))
-    rows = docs.select(
-        "doc_id", _unmatched(F.col("found")).alias("todo"), about.alias("about"),
-        F.concat(F.array(itself), _line_pieces(F.col("lines"), text)).alias("pieces"),
-    )
-    # the document's own results ride on its first row only
-    rows = rows.select(
-        "doc_id", "todo", "about", F.explode_outer("pieces").alias("p")
-    ).select(
-        "doc_id", "todo", "p.*", F.when(F.col("p.line_no") == _DOCUMENT, F.col("about")).alias("about")
-    )
-    rows = _similar(rows, threshold, ["doc_id", "about"])
+    about = (F.col("found"), id_numbers(text).alias("numbers"), id_components(text).alias("components"))
+    rows = _similar(docs, threshold, _unmatched(F.col("found")), about)
     hits = rows.groupBy("doc_id", "pattern_ord").agg(
-        _first_line().alias("hit"), F.first("about", ignorenulls=True).alias("about"), F.first("whole", ignorenulls=True).alias("whole")
+        _first_line().alias("hit"), *[F.first(c, ignorenulls=True).alias(c) for c in _OWN]
     )
     # at most one row per catalogue pattern is left of each document
     near = F.when(F.col("pattern_ord") >= 0, F.struct("pattern_ord", "hit"))
     df = hits.groupBy("doc_id").agg(
-        F.first("about", ignorenulls=True).alias("about"), F.first("whole", ignorenulls=True).alias("whole"), F.collect_list(near).alias("fuzzy")
-    ).select("doc_id", "about.*", "whole", "fuzzy")
+        *[F.first(c, ignorenulls=True).alias(c) for c in _OWN], F.collect_list(near).alias("fuzzy")
+    )
     ords = F.concat(_matched_ords(F.col("found")), F.transform("fuzzy", lambda f: f["pattern_ord"]))
     df = df.withColumn("ords", ords)
     df = df.withColumn("scores", _type_scores(F.col("ords"), F.col("numbers"), C.TEMPLATES, C.BONUSES))

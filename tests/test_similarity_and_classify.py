@@ -248,3 +248,41 @@ def test_whole_text_travels_once(spark, threshold):
     asked = docs.select("doc_id", "text", F.array(*map(F.lit, todo)).alias("todo"), F.split("text", "\n").alias("lines"))
     hits = K.fuzzy_hits(asked, threshold).collect()
     assert all((r.hit.line == whole) == (r.hit.line_no == 2**31 - 1) for r in hits if r.pattern_ord >= 0) and sum(r.hit.line == whole for r in hits) > 5
+
+
+@pytest.mark.parametrize("threshold", [0, 0.5, 60, 75, 100])
+def test_lines_against_all_patterns_at_once(threshold):
+    """The batch form has exactly the pairs at or above the threshold, with the ratio as defined."""
+    from docketry.functions.similarity import similar_pairs
+
+    rng = random.Random(13)
+    patterns = [sorted(set(K.plain_words(p).lower().split())) for _, _, _, p in C.pattern_rows()] + [[]]
+    words = sorted({w for p in patterns for w in p}) + ["acount", "numbr", "é", "中", "x" * 70]
+    lines = [" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(150)] + ["", " a ", "acount numbr", "date  of brth"]
+    got = {(i, n): r for i, found in similar_pairs(lines, patterns, threshold).items() for n, r in found}
+    want = {(i, n): ratio(" ".join(p), line) for i, line in enumerate(lines) for n, p in enumerate(patterns)}
+    assert got == pytest.approx({k: r for k, r in want.items() if r >= threshold})
+
+
+def test_a_document_is_one_row_until_its_lines_are_compared(spark):
+    """Rows that wait for Python are documents, not pairs of lines and patterns, whose queue filled the disk.
+
+    The one generator below makes a row of a row.
+    """
+    docs = X.scans(spark, SF).select("doc_id", "text", F.split("text", "\n").alias("lines"), K._every_pattern().alias("todo"))
+    plan = K.fuzzy_hits(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    python = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    below = [line for line in plan[python[0]:] if "Generate" in line]
+    assert len(python) == 1 and len(below) == 1 and "explode(array(struct(lines" in below[0]
+
+
+def test_repeated_and_missing_ids_meet_as_before(spark):
+    """Rows with one id, or without any, are one document whose hits are each pattern's first."""
+    rows = [(1, "Date of Birth"), (1, "x\nDate of Birth\nAccount Numbr"), (None, "Acount Number"), (None, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in K.classify(docs).collect()}
+    assert set(got) == {1, 2, None} and not got[2].matched
+    asked = docs.select("doc_id", "text", F.split("text", "\n").alias("lines"), K._every_pattern().alias("todo"))
+    hits = {(r.doc_id, r.pattern_ord): r.hit for r in K.fuzzy_hits(asked).collect()}
+    birth = next(n for _, _, n, p in C.pattern_rows() if K.plain_words(p).lower() == "date of birth")
+    assert hits[1, birth].line_no == 0 and {i for i, _ in hits} == {1, None}
