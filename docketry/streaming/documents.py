@@ -19,9 +19,13 @@ def stream_documents(
 ) -> StreamingQuery:
     """Full classification, one micro-batch at a time, into Parquet under ``out``.
 
-    Each batch owns a folder named by its id, so a batch that is repeated after a failure replaces itself.
+    Each batch owns a folder named by its id, so a batch that is repeated after a failure replaces itself.  A batch of
+    fewer partitions than cores, such as one file that no split size divides, is spread over all of them.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        if batch.rdd.getNumPartitions() < cores:
+            batch = batch.repartition(cores)
         K.classify(batch, threshold).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -405,3 +405,13 @@ def test_one_micro_batch_of_many_frames_in_any_order(spark):
         (f, _, track, _, _), = t.row(r[1], 0, r[3], 0, 60)
         seen.setdefault(track, []).append(f)
     assert sorted(map(tuple, got)) == sorted((1, k, f[0], f[-1], len(f)) for k, f in seen.items() if last - f[-1] > 12)
+
+
+def test_a_stream_of_one_file_uses_all_cores(spark, monkeypatch):
+    """A batch read from one file of one row group is spread before it is classified."""
+    from docketry.operators import classify as K
+
+    base, seen, classify = shared_folder(spark, "wide"), [], K.classify
+    monkeypatch.setattr(K, "classify", lambda batch, t: seen.append(batch.rdd.getNumPartitions()) or classify(batch, t))
+    SD.stream_documents(X.scan_stream(spark, SF), f"{base}/out", f"{base}/cp").awaitTermination()
+    assert seen == [spark.sparkContext.defaultParallelism]
