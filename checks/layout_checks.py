@@ -91,9 +91,9 @@ _OUT = "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page O
 @query("l4_order_in_line", f"WITH {LINES}, {_LT.format(order='x_left, y_center, word_id', src='geo JOIN placed USING (doc_id, page, y_center)')} SELECT doc_id, page, line_key, text FROM lt")
 def l4(spark, sf):
     g = L.group_lines(geo(spark, sf))
-    w = F.array_sort(F.collect_list(F.struct("x_left", "y_center", "word_id", "text")))
+    w = F.sort_array(F.collect_list(F.struct("x_left", "y_center", "word_id", "text")))
     lines = g.groupBy("doc_id", "page", "line_key").agg(w.alias("ws"))
-    return lines.select("doc_id", "page", "line_key", F.trim(F.array_join(F.transform("ws", lambda e: e["text"]), " ")).alias("text"))
+    return lines.select("doc_id", "page", "line_key", F.trim(F.array_join(F.col("ws")["text"], " ")).alias("text"))
 
 
 @query("l5_baseline_order", f"""WITH {LINES},

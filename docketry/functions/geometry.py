@@ -91,20 +91,27 @@ def polygons_from_string(s: Column) -> Column:
 
 # --- words -------------------------------------------------------------------------------------
 
-def word_geometry(vertices: Column) -> Column:
-    """struct(x_left, y_top, y_bottom, y_center, height, cx, cy) of a polygon."""
+def word_extent(vertices: Column) -> Column:
+    """struct(x_left, y_top, y_bottom) of a polygon."""
     xs, ys = vertices["x"], vertices["y"]
+    return F.struct(
+        F.array_min(xs).cast("double").alias("x_left"), F.array_min(ys).cast("double").alias("y_top"),
+        F.array_max(ys).cast("double").alias("y_bottom"),
+    )
+
 
+def word_geometry(extent: Column, vertices: Column) -> list[Column]:
+    """x_left, y_top, y_bottom, y_center, height, cx, cy of a polygon with its ``word_extent``."""
     def mean(values: Column) -> Column:
         total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
         return total / F.size(values)
 
-    top, bottom = F.array_min(ys).cast("double"), F.array_max(ys).cast("double")
-    return F.struct(
-        F.array_min(xs).cast("double").alias("x_left"), top.alias("y_top"), bottom.alias("y_bottom"),
+    top, bottom = extent["y_top"], extent["y_bottom"]
+    return [
+        extent["x_left"].alias("x_left"), top.alias("y_top"), bottom.alias("y_bottom"),
         ((top + bottom) / 2).alias("y_center"), F.greatest(F.lit(1.0), bottom - top).alias("height"),
-        mean(xs).alias("cx"), mean(ys).alias("cy"),
-    )
+        mean(vertices["x"]).alias("cx"), mean(vertices["y"]).alias("cy"),
+    ]
 
 
 # --- boxes -------------------------------------------------------------------------------------

@@ -3,8 +3,8 @@
 Two facts keep the order-dependent rules parallel and exact.
 
 * Words with one and the same vertical centre always join the same line, so line building only needs
-  the distinct centres of a page ("levels") with their counts.  Coordinates are pixels, so a page has
-  at most twice its height in levels however many words it holds.
+  the distinct centres of a page ("levels") with their counts.  Centres are taken top to bottom, so one
+  line is open at a time: a stream of words sorted by page and centre needs no more state than that.
 * Boxes separated by an empty strip can never merge, whatever has merged before; so a page is cut at
   its empty strips and the pieces are handled independently.
 """
@@ -12,8 +12,10 @@ Two facts keep the order-dependent rules parallel and exact.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ from docketry.sources.readers import stored
 
 def word_boxes(words: DataFrame) -> DataFrame:
     """Words with vertices -> (doc_id, page, word_id, text, x_left, y_top, ..., cx, cy)."""
-    w = words.filter(F.size("vertices") > 0)
-    return w.select("doc_id", "page", "word_id", "text", F.explode(F.array(G.word_geometry(F.col("vertices")))).alias("g")).select(
-        "doc_id", "page", "word_id", "text", "g.*"
-    )
+    # corners come from a generator, so that no later test on them is repeated in front of it; the rest is computed if used
+    corners = F.explode(F.when(F.size("vertices") > 0, F.array(G.word_extent(F.col("vertices"))))).alias("g")
+    w = words.select("doc_id", "page", "word_id", "text", "vertices", corners)
+    return w.select("doc_id", "page", "word_id", "text", *G.word_geometry(F.col("g"), F.col("vertices")))
 
 
 def line_tolerance(
@@ -43,48 +45,115 @@ def line_tolerance(
     return per_page.withColumn("tolerance", tol)
 
 
-def _levels(boxes: DataFrame, multiplier: float, minimum: int) -> DataFrame:
-    """(doc_id, page, y_center, n, tolerance): the page's distinct centres."""
-    counts = boxes.groupBy("doc_id", "page", "height", "y_center").agg(F.count("*").alias("n"))
-    # the median comes from the same small table: (height, centre) pairs with their counts
-    tol = counts.groupBy("doc_id", "page").agg(F.percentile("height", 0.5, F.col("n")).alias("median_height"))
-    tol = tol.select(
-        "doc_id", "page",
-        F.greatest(F.lit(minimum), F.bround(F.col("median_height") * multiplier).cast("int")).alias("tolerance"),
-    )
-    levels = counts.groupBy("doc_id", "page", "y_center").agg(F.sum("n").alias("n"))
-    return levels.join(tol, ["doc_id", "page"])
+_PAGE = ["doc_id", "page"]
 
 
-class _LineRule(Rule):
-    """Levels top to bottom; a level joins the first open line whose mean centre is near enough."""
+def _with_tolerance(boxes: DataFrame, multiplier: float, minimum: int) -> DataFrame:
+    """Boxes by page and centre with their page's ``tolerance``; those without a page or a centre are in no line."""
+    rows = boxes.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    # ordered like the scans behind it, so that they share its shuffle and its sort
+    page = Window.partitionBy(*_PAGE).orderBy("y_center").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    median = F.percentile("height", F.lit(0.5)).over(page)
+    tol = F.greatest(F.lit(minimum), F.bround(median * multiplier).cast("int"))
+    return rows.withColumn("tolerance", tol).filter(F.col("y_center").isNotNull())
 
-    def start(self):
-        self.lines, self.made = [], 0
 
-    def row(self, y, n, tolerance):
-        # centres only grow, so a line left behind by more than the tolerance stays behind
-        self.lines = [ln for ln in self.lines if y - ln[1] / ln[2] <= tolerance]
-        for ln in self.lines:
-            if abs(y - ln[1] / ln[2]) <= tolerance:
-                ln[1] += y * n
-                ln[2] += n
-                return [(y, ln[0])]
-        self.lines.append([self.made, y * n, n])
-        self.made += 1
-        return [(y, self.made - 1)]
+class _LineRule:
+    """Levels top to bottom; a level joins the open line if the line's mean centre is near enough, else it opens the next.
+
+    Centres only grow, so a line left behind by more than the tolerance stays behind: one line is open at a time, and a
+    line is a stretch of levels.  Holds a page's distinct centres and heights with their counts, never its words.
+    """
+
+    def __init__(self, multiplier, minimum):
+        self.multiplier, self.minimum = multiplier, minimum
+        self.heights, self.levels = {}, {}
+
+    @staticmethod
+    def count(held, values):
+        for value, n in zip(*(c.tolist() for c in np.unique(values, return_counts=True))):
+            held[value] = held.get(value, 0) + n
+
+    def take(self, centers, heights):
+        """Some words of the page: their centres, and the heights of all that have one."""
+        self.count(self.heights, heights)
+        self.count(self.levels, centers)
+
+    def tolerance(self):
+        if not self.heights:
+            return self.minimum
+        values = sorted(self.heights)
+        upto = np.cumsum([self.heights[v] for v in values])
+        low, high = (values[int(np.searchsorted(upto, at, "right"))] for at in ((upto[-1] - 1) // 2, upto[-1] // 2))
+        return max(self.minimum, round((low + high) / 2 * self.multiplier))
+
+    def starts(self):
+        """The first centre of each line."""
+        out, total, count, tolerance = [], 0.0, 0, self.tolerance()
+        for y, n in sorted(self.levels.items()):
+            if not count or not abs(y - total / count) <= tolerance:
+                out.append(y)
+                total, count = 0.0, 0
+            total += y * n
+            count += n
+        return out
+
+
+def _line_starts(boxes: DataFrame, multiplier: float, minimum: int) -> DataFrame:
+    """(doc_id, page, y_center, line_key): the first centre of each line."""
+    names = [*_PAGE, "y_center", "line_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, pages = None, {}
+
+        def lines() -> list[tuple]:
+            return [(doc, page, y, key) for page, rule in pages.items() for key, y in enumerate(rule.starts())]
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found) if found else [[]] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.int32()))], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            known = [batch.column(i).is_valid().to_numpy(zero_copy_only=False) for i in (2, 3)]
+            values = [batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False) for i in (2, 3)]
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+            at, found = 0, []
+            for end in [*cuts.tolist(), len(ids)]:
+                if ids[at] != doc:
+                    found += lines()
+                    doc, pages = int(ids[at]), {}
+                rule = pages.setdefault(int(numbers[at]), _LineRule(multiplier, minimum))
+                rule.take(*(v[at:end][k[at:end]] for v, k in zip(values, known)))
+                at = end
+            yield rows(found)
+        yield rows(lines())
+
+    narrow = boxes.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select(*_PAGE, "y_center", "height")
+    # sorted by one whole number, which is done without comparing rows; centres are sorted by the rule, a page at a time
+    return narrow.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(
+        run, "doc_id bigint, page int, y_center double, line_key int")
 
 
 def group_lines(
     boxes: DataFrame, multiplier: float = C.LINE_TOLERANCE_MULTIPLIER, minimum: int = C.MIN_LINE_TOLERANCE
 ) -> DataFrame:
-    """Adds ``line_key``, the page's lines in order of creation: nearest running mean within tolerance."""
-    levels = _levels(boxes, multiplier, minimum)
-    placed = fold_sorted(
-        levels, ["doc_id", "page"], ["y_center"], ["y_center", "n", "tolerance"], _LineRule,
-        "doc_id bigint, page int, y_center double, line_key int",
-    )
-    return boxes.join(placed, ["doc_id", "page", "y_center"])
+    """Adds ``line_key``, the page's lines in order of creation: nearest running mean within tolerance.
+
+    Lines are stretches of centres, so a word's line is the last one that starts at its centre or above.  Words and line
+    starts meet in one shuffle by page, which aggregations by page or line behind it share.
+    """
+    rows = boxes.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    starts = _line_starts(boxes, multiplier, minimum).withColumn("_word", F.lit(0))
+    rows = rows.withColumn("_word", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    above = Window.partitionBy(*_PAGE).orderBy("y_center", "_word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("line_key", F.max("line_key").over(above))
+    rest = [c for c in boxes.columns if c not in (*_PAGE, "y_center")]
+    # after the window: put in front of it, the test would repeat the geometry of each word
+    return rows.filter("_word = 1 AND y_center IS NOT NULL").select(*_PAGE, "y_center", *rest, "line_key")
 
 
 def group_lines_gap(
@@ -94,12 +163,15 @@ def group_lines_gap(
 
     A chain of small steps stays one line here; ``group_lines`` may cut it.
     """
-    levels = _levels(boxes, multiplier, minimum)
-    by_page = Window.partitionBy("doc_id", "page").orderBy("y_center")
-    opens = F.col("y_center") - F.lag("y_center").over(by_page) > F.col("tolerance")
-    levels = levels.withColumn("_new", F.coalesce(opens, F.lit(False)).cast("int"))
-    levels = levels.select("doc_id", "page", "y_center", F.sum("_new").over(by_page).cast("int").alias("line_key"))
-    return boxes.join(levels, ["doc_id", "page", "y_center"])
+    by_page = Window.partitionBy(*_PAGE).orderBy("y_center")
+    last = F.lag("y_center").over(by_page)
+    rows = _with_tolerance(boxes, multiplier, minimum)
+    opens = (F.col("y_center") != last) & (F.col("y_center") - last > F.col("tolerance"))
+    rows = rows.withColumn("_new", F.coalesce(opens, F.lit(False)).cast("int"))
+    upto = by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("line_key", F.sum("_new").over(upto).cast("int"))
+    rest = [c for c in boxes.columns if c not in (*_PAGE, "y_center")]
+    return rows.select(*_PAGE, "y_center", *rest, "line_key")
 
 
 def line_agreement(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -118,13 +190,13 @@ def sorted_lines(grouped: DataFrame, baseline: bool = False, keep_empty: bool =
     ``baseline``, words are ordered by their projection on the line fitted through their centroids.
     """
     word = F.struct("x_left", "y_center", "word_id", "text", *(["cx", "cy"] if baseline else []))
-    aggs = [F.avg("y_center").alias("center"), F.array_sort(F.collect_list(word)).alias("ws")]
+    aggs = [F.avg("y_center").alias("center"), F.sort_array(F.collect_list(word)).alias("ws")]
     if by == "top":
         aggs.append(F.bround(F.min("y_top")).alias("top"))
     if baseline:
         aggs += [F.coalesce(F.regr_slope("cy", "cx"), F.lit(0.0)).alias("m"), F.stddev_pop("cx").alias("spread")]
     lines = grouped.groupBy("doc_id", "page", "line_key").agg(*aggs)
-    texts = F.transform("ws", lambda w: w["text"])
+    texts = F.col("ws")["text"]
     if baseline:
         norm = F.sqrt(1 + F.col("m") * F.col("m"))
 
@@ -133,7 +205,7 @@ def sorted_lines(grouped: DataFrame, baseline: bool = False, keep_empty: bool =
             return F.struct(proj.alias("proj"), w["y_center"].alias("y_center"), w["word_id"].alias("word_id"), w["text"].alias("text"))
 
         flat = (F.size("ws") < 2) | (F.col("spread") <= 1e-8)
-        sloped = F.transform(F.array_sort(F.transform("ws", along)), lambda w: w["text"])
+        sloped = F.sort_array(F.transform("ws", along))["text"]
         texts = F.when(flat, texts).otherwise(sloped)
     lines = lines.select("doc_id", "page", "line_key", "center", F.col(by).alias("_by"), F.trim(F.array_join(texts, " ")).alias("text"))
     # lines of a page are bounded by its height, so the page is a fair window

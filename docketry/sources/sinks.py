@@ -107,8 +107,8 @@ def write_routed(results: DataFrame, path: str, run_id: str) -> None:
 def document_text(lines: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per document: its lines joined in order.  ``lines``: doc_id, line_ord, text."""
     rows = lines if keep_empty else lines.filter(F.length(T.strip(F.col("text"))) > 0)
-    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "text"))).alias("l"))
-    return rows.select("doc_id", F.array_join(F.transform("l", lambda e: e["text"]), "\n").alias("content"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_ord", "text"))).alias("l"))
+    return rows.select("doc_id", F.array_join(F.col("l")["text"], "\n").alias("content"))
 
 
 def write_sorted_text(lines: DataFrame, path: str, run_id: str, keep_empty: bool = False) -> None:

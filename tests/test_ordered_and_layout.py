@@ -401,3 +401,24 @@ def test_engine_choice(spark):
     df = spark.createDataFrame(rows, "doc_id int, engine string, priority int, full_text string")
     assert {r["doc_id"]: r["engine"] for r in O.engine_fallback(df).collect()} == {1: "b", 2: None, 3: "a"}
     assert {r["doc_id"]: r["engine"] for r in O.engine_fallback(df, 1).collect()} == {1: "a", 2: None, 3: "a"}
+
+
+def test_words_of_lines_are_shuffled_once(spark):
+    """Besides the narrow rows that lines are found from, words move once, by page; lines and texts need no further shuffle."""
+    df = boxes_df(spark, {1: [(0, 0.0, 10.0), (1, 100.0, 10.0)]})
+    for baseline in (False, True):
+        plan = L.sorted_lines(L.group_lines(df), baseline)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+    plan = L.group_lines_gap(df).select("word_id", "line_key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_lines_of_pages_with_nulls(spark):
+    """Pages of one document are apart; a word without a centre is in no line but its height counts; no page, no line."""
+    rows = [(1, 1, 0, 5.0, 10.0), (1, 2, 1, 90.0, 10.0), (1, 1, 2, 5.0, 10.0), (1, 1, 3, 40.0, 10.0), (1, 1, 4, None, 1.0),
+            (1, None, 5, 5.0, 10.0), (None, 1, 6, 5.0, 10.0), (2, 1, 7, 14.0, None), (2, 1, 8, 24.0, None), (2, 1, 9, 31.0, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page int, word_id bigint, y_center double, height double")
+    exact = {r["word_id"]: r["line_key"] for r in L.group_lines(df).collect()}
+    gap = {r["word_id"]: r["line_key"] for r in L.group_lines_gap(df).collect()}
+    assert exact == {0: 0, 2: 0, 3: 1, 1: 0, 7: 0, 8: 0, 9: 1}
+    assert gap == {0: 0, 2: 0, 3: 1, 1: 0, 7: 0, 8: 0, 9: 0}
