@@ -150,10 +150,15 @@ def landmark_pixel(landmarks: Column, index: int, w: Column, h: Column) -> Colum
 
 
 def landmark_box(landmarks: Column, w: Column, h: Column) -> Column:
-    """struct(x, y, w, h, cx, cy) around all landmarks, in truncated pixels."""
-    xs = F.transform(landmarks, lambda p: (p["x"] * w).cast("int"))
-    ys = F.transform(landmarks, lambda p: (p["y"] * h).cast("int"))
-    x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+    """struct(x, y, w, h, cx, cy) around all landmarks, in truncated pixels.
+
+    Scaling and truncation keep the order of coordinates (a negative scale turns it round), so only the outermost are scaled.
+    """
+    def span(values: Column, scale: Column) -> tuple[Column, Column]:
+        ends = [(end * scale).cast("int") for end in (F.array_min(values), F.array_max(values))]
+        return F.least(*ends), F.greatest(*ends)
+
+    (x1, x2), (y1, y2) = span(landmarks["x"], w), span(landmarks["y"], h)
     return F.struct(
         x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"),
         F.floor((x1 + x2) / 2).cast("int").alias("cx"), F.floor((y1 + y2) / 2).cast("int").alias("cy"),

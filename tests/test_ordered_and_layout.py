@@ -422,3 +422,14 @@ def test_lines_of_pages_with_nulls(spark):
     gap = {r["word_id"]: r["line_key"] for r in L.group_lines_gap(df).collect()}
     assert exact == {0: 0, 2: 0, 3: 1, 1: 0, 7: 0, 8: 0, 9: 1}
     assert gap == {0: 0, 2: 0, 3: 1, 1: 0, 7: 0, 8: 0, 9: 0}
+
+
+def test_landmark_box_scales_outermost_points_only(spark):
+    """The box of the earlier rule, point by point, for either sign of the scale and with points missing."""
+    points = [(0.5, 0.25), (0.1, 0.9), None, (0.75, None)]
+    rows = [(points, 100, 200), (points, -100, 200), ([], 100, 200), (None, 100, 200)]
+    df = spark.createDataFrame(rows, "l array<struct<x:double,y:double>>, w int, h int")
+    box = df.select(G.landmark_box(F.col("l"), F.col("w"), F.col("h")).alias("b")).select("b.*")
+    assert "lambda" not in box._jdf.queryExecution().executedPlan().toString()
+    none = (None,) * 6
+    assert [tuple(r) for r in box.collect()] == [(10, 50, 65, 130, 42, 115), (-75, 50, 65, 130, -43, 115), none, none]
