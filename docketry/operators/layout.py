@@ -373,12 +373,88 @@ def merge_overlaps(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFram
     return merged.drop("piece")
 
 
-def merge_components(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFrame:
+class _MergeComponents(Rule):
+    """The boxes of one page, merged round by round as ``merge_components`` does."""
+
+    def __init__(self, threshold):
+        self.threshold = threshold
+
+    def start(self):
+        self.boxes = []
+
+    def row(self, box_no, x, y, w, h):
+        self.boxes.append((box_no, x, y, x + w, y + h, 1))
+        return ()
+
+    def finish(self):
+        now = self.boxes
+        while True:
+            shapes = {}
+            for no, *box, n in now:
+                key = (*box, no if box[2] <= box[0] or box[3] <= box[1] or self.threshold >= 1 else None)
+                least, total = shapes.get(key, (no, 0))
+                shapes[key] = min(no, least), total + n
+            now = [(no, *key[:4], n) for key, (no, n) in shapes.items()]
+            root = {b[0]: b[0] for b in now}
+            merging = len(root) < len(now)
+
+            def top(no):
+                while root[no] != no:
+                    no = root[no]
+                return no
+
+            for i, a in enumerate(now):
+                for b in now[:i]:
+                    if a[0] != b[0] and _overlap(a[1:5], b[1:5]) > self.threshold:
+                        merging = True
+                        low, high = sorted((top(a[0]), top(b[0])))
+                        root[high] = low
+            if not merging:
+                return [(no, x1, y1, x2 - x1, y2 - y1, n) for no, x1, y1, x2, y2, n in now]
+            parts = {}
+            for b in now:
+                parts.setdefault(top(b[0]), []).append(b[1:])
+            now = []
+            for no, members in parts.items():
+                x1, y1, x2, y2, n = zip(*members)
+                now.append((no, min(x1), min(y1), max(x2), max(y2), sum(n)))
+
+
+#: A page of at most so many boxes is merged by one task in memory.
+SMALL_PAGE = 64
+
+
+def merge_components(boxes: DataFrame, threshold: float = C.MERGE_IOU, small: int = SMALL_PAGE) -> DataFrame:
     """(page_id, box_no, x, y, w, h, n_merged): bounding boxes of all boxes that overlaps connect, until no two overlap.
 
     A round merges every connected component of the overlap graph into its bounding box, known by its least box number;
     bounding boxes may overlap again, so rounds follow until there is no pair left.  The order of boxes plays no part.
+
+    Pages do not touch each other.  One of up to ``small`` boxes goes through its rounds in a task, with one shuffle of its
+    boxes; those with more, or with anything null, go through them together, by joins.
     """
+    boxes = boxes.select("page_id", "box_no", *BOX)
+    types = dict(boxes.dtypes)
+    if threshold < 0 or any(types[c] != "int" for c in BOX):
+        return _merge_components_by_joins(boxes, threshold)
+    unknown = F.col("page_id").isNull()
+    for c in ("box_no", *BOX):
+        unknown = unknown | F.col(c).isNull()
+    pages = boxes.groupBy("page_id").agg(F.count("*").alias("_n"), F.count_if(unknown).alias("_unknown"))
+    large = stored(pages.filter((F.col("_n") > small) | (F.col("_unknown") > 0)).select("page_id"), "large-pages")
+    none = large.isEmpty()
+    simple = boxes if none else boxes.filter(F.col("page_id").isNotNull()).join(large, "page_id", "left_anti")
+    merged = fold_sorted(
+        simple, ["page_id"], ["box_no"], ["box_no", *BOX], lambda: _MergeComponents(threshold),
+        f"page_id {types['page_id']}, box_no {types['box_no']}, x int, y int, w int, h int, n_merged bigint")
+    if none:
+        return merged
+    same = boxes["page_id"].eqNullSafe(large["page_id"])
+    return merged.unionByName(_merge_components_by_joins(boxes.join(large, same, "left_semi"), threshold, True))
+
+
+def _merge_components_by_joins(boxes: DataFrame, threshold: float, unite: bool = False) -> DataFrame:
+    """``merge_components`` of pages of any size.  Each round makes one box of those with one number, ``unite`` without any overlap too."""
     now = stored(boxes.select("page_id", "box_no", *BOX, F.lit(1).cast("bigint").alias("n_merged")), "merged-boxes")
     while True:
         # equal rectangles are one before anything is compared
@@ -389,8 +465,12 @@ def merge_components(boxes: DataFrame, threshold: float = C.MERGE_IOU) -> DataFr
             _touching(shapes, shapes, ["box_no"], threshold, _CELL).filter(F.col("a_box_no") < F.col("b_box_no"))
             .select("page_id", "a_box_no", "b_box_no"), "overlaps")
         if pairs.isEmpty():
-            return shapes.select("page_id", "box_no", *BOX, "n_merged")
-        root = components(pairs, ["page_id"], "a_box_no", "b_box_no")
+            if not unite:
+                return shapes.select("page_id", "box_no", *BOX, "n_merged")
+            root = pairs.select("page_id", F.col("a_box_no").alias("node"), F.col("a_box_no").alias("root"))
+        else:
+            root = components(pairs, ["page_id"], "a_box_no", "b_box_no")
+        unite = False
         grown = shapes.join(root.withColumnRenamed("node", "box_no"), ["page_id", "box_no"], "left")
         x2, y2 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
         grown = grown.groupBy("page_id", F.coalesce("root", "box_no").alias("box_no")).agg(

@@ -424,6 +424,16 @@ def test_lines_of_pages_with_nulls(spark):
     assert gap == {0: 0, 2: 0, 3: 1, 1: 0, 7: 0, 8: 0, 9: 0}
 
 
+def test_small_and_large_pages_merge_alike(spark):
+    """A page goes through the same rounds in one task as by joins; pages with nulls and repeated numbers as well."""
+    rng = random.Random(5)
+    rows = [(p, n, rng.randint(0, 90), rng.randint(0, 90), rng.randint(0, 40), rng.randint(0, 40)) for p in range(40) for n in range(rng.randint(1, 12))]
+    rows += [(3, 2, 200, 200, 5, 5), (None, 1, 0, 0, 9, 9), (None, 2, 1, 0, 9, 9), (50, 1, None, 0, 9, 9), (50, None, 0, 0, 9, 9), (50, None, 4, 0, 9, 9)]
+    df = spark.createDataFrame(rows, "page_id bigint, box_no bigint, x int, y int, w int, h int")
+    results = [sorted(map(str, L.merge_components(df, small=n).collect())) for n in (0, 6, 64)]
+    assert results[0] == results[1] == results[2] and len(results[0]) < len(rows)
+
+
 def test_landmark_box_scales_outermost_points_only(spark):
     """The box of the earlier rule, point by point, for either sign of the scale and with points missing."""
     points = [(0.5, 0.25), (0.1, 0.9), None, (0.75, None)]
