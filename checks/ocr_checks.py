@@ -13,6 +13,7 @@ from docketry.operators import classify as K
 from docketry.operators import lines as L
 from docketry.operators import ocr as O
 from docketry.plans import documents as P
+from docketry.schemas import ANNOTATION, ANNOTATION_TEXTS
 from docketry.sources import readers as R
 from docketry.sources import sinks as S
 
@@ -63,8 +64,8 @@ def s2r(spark, sf):
     return O.rejected(O.read_annotations(X.annotations(spark, sf))).select("doc_id")
 
 
-def _fta(spark, sf):
-    return O.read_annotations(X.annotations(spark, sf)).filter("fta IS NOT NULL").select("doc_id", "fta")
+def _fta(spark, sf, schema=ANNOTATION):
+    return O.read_annotations(X.annotations(spark, sf), schema=schema).filter("fta IS NOT NULL").select("doc_id", "fta")
 
 
 _PNUM = """pn AS (SELECT *, CAST(CASE WHEN shape = 4 THEN 1 ELSE dense_rank() OVER (PARTITION BY doc_id ORDER BY b) END AS INTEGER) AS block_no,
@@ -121,7 +122,7 @@ t AS (SELECT doc_id, string_agg(printf('--- paragraph_%03d (page 1 block %d) ---
 SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN nullif(d.text, '') END, plain, '') AS full_text, coalesce(transcript, '') AS transcript
 FROM documents d LEFT JOIN t USING (doc_id) WHERE d.doc_id % 24 <> 23""")
 def o15(spark, sf):
-    return O.combined_text(_fta(spark, sf))
+    return O.combined_text(_fta(spark, sf, ANNOTATION_TEXTS))
 
 
 @query("o1_zip_word_arrays", f"""WITH {WORD_CELLS},

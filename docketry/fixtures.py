@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,8 +305,133 @@ def engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
 
 
+_CONTROL = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+
+
+def _escaped(texts: pa.Array) -> pa.Array:
+    """What stands between the quotes of a JSON string."""
+    for plain, code in (("\\", "\\\\"), ('"', '\\"')):
+        texts = pc.replace_substring(texts, plain, code)
+    if pc.any(pc.match_substring_regex(texts, r"[\x00-\x1f]")).as_py():
+        for i in range(32):
+            texts = pc.replace_substring(texts, chr(i), _CONTROL.get(i, f"\\u{i:04X}"))
+    return texts
+
+
+def _strings(*parts) -> pa.Array:
+    """Row by row concatenation of arrays of strings, numpy integers and fixed strings."""
+    cast = [pc.cast(pa.array(p), pa.string()) if isinstance(p, np.ndarray) else p for p in parts]
+    return pc.binary_join_element_wise(*cast, "")
+
+
+def _listed(items: pa.Array, counts: np.ndarray, separator: str = ",") -> pa.Array:
+    """Each next ``counts`` items joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), items), separator)
+
+
+def _box_json(x1, y1, x2, y2) -> list:
+    parts = ['"boundingBox":{"vertices":[']
+    for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2)):
+        parts += ['{"x":', x, ',"y":', y, "},"]
+    return [*parts[:-1], "}]}}"]
+
+
+def _chosen(rule: np.ndarray, text: str) -> pa.Array:
+    return pa.array(["", text]).take(pa.array(rule.astype(np.int8)))
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Elements of all lists, the list of each, and its place there."""
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(lists)), counts)
+    return lists.flatten(), owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _words_json(ids: np.ndarray, i: np.ndarray, j: np.ndarray, words: pa.Array) -> pa.Array:
+    """A word each, of document ``ids``, line ``i`` and place ``j``; ``words`` are escaped."""
+    y = 100 + 40 * i + np.fmod(ids * 7 + i * 3 + j * 5, 9)
+    of_symbols = pc.replace_substring_regex(words.filter(pa.array(j % 7 == 0)), r"(?s)\\u[0-9A-F]{4}|\\.|.", r',{"text":"\0","confidence":0.5}')
+    body = pc.replace_with_mask(
+        _strings('"text":"', words, '",'), pa.array(j % 7 == 0), _strings('"symbols":[', pc.utf8_slice_codeunits(of_symbols, 1), "],"))
+    shares = pa.array([f'"confidence":{n / 128},' for n in range(-127, 128)] + [""])
+    share = shares.take(pa.array(np.where(j % 5 != 0, np.fmod(ids + j, 128) + 127, 255)))
+    return _strings("{", body, share, *_box_json(10 + 60 * j, y, 60 + 60 * j, y + 20 + np.fmod(j * 3 + ids, 7)))
+
+
+def _annotations_json(ids: np.ndarray, texts: pa.Array) -> pa.Array:
+    """The annotation of each text; ``annotations`` says how they differ."""
+    shape = np.fmod(ids, 6)
+    lines, doc, i = _flat(pc.split_pattern(texts, "\n"))
+    lines = _escaped(lines)
+    words, line, j = _flat(pc.split_pattern(lines, " "))
+    last = np.bincount(line, minlength=len(lines)) - 1
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    n_words = np.bincount(line[full], minlength=len(lines))
+    worded, texted = np.isin(shape, (0, 2, 4))[doc], np.isin(shape, (1, 3))[doc]
+
+    pick = full & worded[line]
+    line, j = line[pick], j[pick]
+    listed = _listed(_words_json(ids[doc[line]], i[line], j, words.filter(pa.array(pick))), np.where(worded, n_words, 0))
+    kept = n_words > 0
+    lines, listed = lines.filter(pa.array(kept)), listed.filter(pa.array(kept))
+    doc, i, last, worded, texted = doc[kept], i[kept], last[kept], worded[kept], texted[kept]
+    text = pc.if_else(pa.array(texted), _strings('"text":"', lines, '",'), "")
+    listed = pc.if_else(pa.array(worded), _strings('"words":[', listed, "],"), "")
+    top = 100 + 40 * i
+    paragraphs = _strings("{", text, _chosen(i % 5 == 0, '"confidence":0.9,'), listed, *_box_json("10", top, 60 + 60 * last, top + 30))
+
+    # a block is up to three lines of a document
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (i[1:] // 3 != i[:-1] // 3))[: len(doc)])
+    sizes, of, y = np.diff(np.append(first, len(doc))), shape[doc[first]], i[first] // 3 * 120
+    inside = pc.if_else(pa.array(of == 5), _listed(lines, sizes, "\\n"), _listed(paragraphs, sizes))
+    keys = ['"paragraphs":[', '"lines":[', '"text":"', ""]
+    kind = np.select([np.isin(of, (0, 1)), np.isin(of, (2, 3)), of == 5], [0, 1, 2], 3)
+    inside = pc.if_else(pa.array(kind == 3), "", inside)
+    ends = pa.array(["],", "],", '",', ""])
+    blocks = _strings("{", pa.array(keys).take(pa.array(kind)), inside, ends.take(pa.array(kind)), *_box_json("0", y, "900", y + 119))
+
+    whole = pc.if_else(pa.array(np.fmod(ids, 3) == 0), _strings('"text":"', _escaped(texts), '",'), "")
+    paged = _listed(blocks, np.bincount(doc[first], minlength=len(ids)))
+    bare = _listed(paragraphs, np.bincount(doc, minlength=len(ids)))
+    body = pc.if_else(pa.array(shape == 4), _strings('"paragraphs":[', bare, "]"), _strings('"pages":[{"blocks":[', paged, "]}]"))
+    return _strings("{", whole, body, "}")
+
+
+def _responses(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """A response per row; rows without id or text are rare and made one by one."""
+    known = pc.and_(ids.is_valid(), texts.is_valid())
+    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+    place = np.full(len(ids), -1)
+    place[at] = np.arange(len(at))
+    made = _annotations_json(numbers[at], texts.filter(known))
+    heads = ['{"fullTextAnnotation":', '{"data":{"fullTextAnnotation":', '{"results":[{"Data":{"responses":[{"fullTextAnnotation":', '{"items":[{"odd":']
+    tails = ["}", "}}", "}]}}]}", "}]}"]
+    head, tail, other = [], [], []
+    for row, valid in enumerate(ids.is_valid().to_pylist()):
+        n, text = int(numbers[row]), place[row] >= 0
+        kind = int(np.fmod(n, 4)) if valid else 3
+        kind = kind if kind >= 0 else 3
+        alone = None
+        if valid and np.fmod(n, 24) == 23:
+            if n % 72 == 23:
+                alone = '{"status": "failed"}'
+            elif n % 72 == 47:
+                cut = '"text":"' + _escaped(texts[row : row + 1])[0].as_py() + '"}' if text else "}"
+                alone = '{"data": ' + ('{"t":""}' if text else "{}") + ', "cut": "' + cut
+            else:
+                alone = "[" * 60_000 + "]" * 60_000
+        listed = valid and np.fmod(n, 48) == 7
+        head.append('{"data": [{"note": {"text": "x"}}, {"fullTextAnnotation":' if listed else heads[kind])
+        tail.append("}]}" if listed else tails[kind])
+        empty = '{"pages":[{}]}' if valid and np.fmod(n, 6) != 4 else "{}"
+        other.append(alone if alone is not None else None if text else head[-1] + empty + tail[-1])
+    made = made.take(pa.array(np.where(place < 0, None, place), pa.int64()))
+    return pc.coalesce(pa.array(other, pa.string()), _strings(pa.array(head), made, pa.array(tail)))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON responses of a page reader, one per document, built inside the row from the whole text.
+    """JSON responses of a page reader, one per document, built in Arrow batches from the whole text.
 
     ``doc_id % 6`` picks the shape: 0 paragraphs with words, 1 paragraphs with text only, 2 block lines
     with words, 3 block lines with text only, 4 top-level paragraphs without pages, 5 blocks with text
@@ -313,52 +439,20 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     annotation at all: none in the response, a response cut off, or one nested 60,000 deep.  ``doc_id % 48 = 7`` has a list as wrapper, whose first item only looks like one.  Words with ``word_no % 7 = 0`` carry only symbols, words with
     ``word_no % 5 = 0`` no confidence, lines with ``line_no % 5 = 0`` a confidence of their own.
     """
-    def box(x1: str, y1: str, x2: str, y2: str) -> str:
-        pts = ", ".join(f"struct({x} AS x, {y} AS y)" for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2)))
-        return f"struct(array({pts}) AS vertices)"
-
-    top = "(100 + 40 * i + (doc_id * 7 + i * 3 + j * 5) % 9)"
-    word_box = box("10 + 60 * j", top, "60 + 60 * j", f"{top} + 20 + (j * 3 + doc_id) % 7")
-    line_box = box("10", "100 + 40 * x.i", "60 + 60 * x.last", "130 + 40 * x.i")
-    d = documents(spark, sf_dir).withColumn(
-        "ls",
-        F.expr(f"""
-        filter(transform(split(text, '\n'), (l, i) -> struct(i AS i, l AS l, size(split(l, ' ')) - 1 AS last,
-          filter(transform(split(l, ' '), (w, j) -> struct(w AS w,
-             if(j % 7 <> 0, w, NULL) AS text,
-             if(j % 7 = 0, transform(filter(split(w, ''), c -> c <> ''), c -> struct(c AS text, 0.5D AS confidence)), NULL) AS symbols,
-             if(j % 5 <> 0, ((doc_id + j) % 128) / 128.0D, NULL) AS confidence,
-             {word_box} AS boundingBox)), t -> t.w <> '') AS toks)), x -> size(x.toks) > 0)"""),
-    )
-    words = "transform(x.toks, t -> struct(t.text AS text, t.symbols AS symbols, t.confidence AS confidence, t.boundingBox AS boundingBox))"
-    d = d.withColumn(
-        "ps",
-        F.expr(f"""
-        transform(ls, x -> struct(
-          if(doc_id % 6 IN (1, 3), x.l, NULL) AS text, if(x.i % 5 = 0, 0.9D, NULL) AS confidence,
-          if(doc_id % 6 IN (0, 2, 4), {words}, NULL) AS words, {line_box} AS boundingBox))"""),
-    )
-    d = d.withColumn(
-        "bs",
-        F.expr(f"""
-        transform(filter(sequence(0, size(split(text, '\n')) div 3), b -> exists(ls, x -> x.i div 3 = b)), b -> struct(
-          if(doc_id % 6 IN (0, 1), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS paragraphs,
-          if(doc_id % 6 IN (2, 3), filter(transform(ls, (x, k) -> if(x.i div 3 = b, ps[k], NULL)), p -> p IS NOT NULL), NULL) AS lines,
-          if(doc_id % 6 = 5, array_join(transform(filter(ls, x -> x.i div 3 = b), x -> x.l), '\n'), NULL) AS text, {box('0', 'b * 120', '900', 'b * 120 + 119')} AS boundingBox))"""),
-    )
-    d = d.withColumn(
-        "fta",
-        F.expr("""struct(if(doc_id % 3 = 0, text, NULL) AS text,
-          if(doc_id % 6 <> 4, array(struct(bs AS blocks)), NULL) AS pages, if(doc_id % 6 = 4, ps, NULL) AS paragraphs)"""),
-    )
-    payload = F.expr("""CASE WHEN doc_id % 24 = 23 THEN CASE doc_id % 72 WHEN 23 THEN '{"status": "failed"}'
-         WHEN 47 THEN concat('{"data": ', to_json(struct(substring(text, 1, 0) AS t)), ', "cut": "', substring(to_json(struct(text)), 2))
-         ELSE concat(repeat('[', 60000), repeat(']', 60000)) END
-       WHEN doc_id % 48 = 7 THEN concat('{"data": [{"note": {"text": "x"}}, ', to_json(struct(fta AS fullTextAnnotation)), ']}') ELSE CASE doc_id % 4
-       WHEN 0 THEN to_json(struct(fta AS fullTextAnnotation)) WHEN 1 THEN to_json(struct(struct(fta AS fullTextAnnotation) AS data))
-       WHEN 2 THEN to_json(struct(array(struct(struct(array(struct(fta AS fullTextAnnotation)) AS responses) AS Data)) AS results))
-       ELSE to_json(struct(array(struct(fta AS odd)) AS items)) END END""")
-    return d.select("doc_id", payload.alias("payload"))
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    batch_bytes = 1 << 20  # a response is up to 30 times its text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ids, texts = whole.columns
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 16)
+            cuts = np.flatnonzero(np.diff(size // batch_bytes, prepend=0)) if len(size) else []
+            for at, end in zip([0, *cuts], [*cuts, len(size)]):
+                if end > at:
+                    part = ids.slice(at, end - at), texts.slice(at, end - at)
+                    yield pa.RecordBatch.from_arrays([part[0], _responses(*part)], ["doc_id", "payload"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, payload string")
 
 
 def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from docketry.functions import geometry as G
 from docketry.functions import text as T
 from docketry.operators.ordered import ordered_scan
-from docketry.schemas import ANNOTATION, BLOCK, PARAGRAPH, PIXEL, WRAPPERS
+from docketry.schemas import ANNOTATION, PIXEL, WRAPPERS
 
 # --- responses ---------------------------------------------------------------------------------
 
@@ -62,11 +62,12 @@ def _search_json(payload: pd.Series) -> pd.Series:
     return payload.map(one).astype(object)
 
 
-def read_annotations(responses: DataFrame, payload: str = "payload") -> DataFrame:
+def read_annotations(responses: DataFrame, payload: str = "payload", schema: str = ANNOTATION) -> DataFrame:
     """Adds ``wrapper`` (where the annotation was found) and ``fta`` (the annotation), null if there is none.
 
     The usual places are reached by one typed parse.  Only responses that match none of them are
-    searched node by node.
+    searched node by node.  ``schema`` may leave out what is not read later: ``ANNOTATION_TEXTS`` has no boxes
+    and confidences.
     """
     # one map-stage value per row: the parse is not repeated for each place looked at
     df = responses.select("*", F.explode(F.array(F.from_json(payload, WRAPPERS))).alias("_w"))
@@ -88,7 +89,7 @@ def read_annotations(responses: DataFrame, payload: str = "payload") -> DataFram
     df = df.withColumn("_deep", _search_json(F.when(F.col("_usual").isNull(), F.col(payload))))
     text = F.coalesce("_usual.doc", "_deep")
     wrapper = F.coalesce("_usual.wrapper", F.when(F.col("_deep").isNotNull(), F.lit("search")))
-    fta = F.explode_outer(F.array(F.from_json(text, ANNOTATION)))
+    fta = F.explode_outer(F.array(F.from_json(text, schema)))
     return df.select(*responses.columns, wrapper.alias("wrapper"), fta.alias("fta"))
 
 
@@ -99,8 +100,8 @@ def rejected(annotations: DataFrame) -> DataFrame:
 
 # --- paragraphs and words ----------------------------------------------------------------------
 
-def _list(c: Column, element: str) -> Column:
-    return F.coalesce(c, F.array().cast(f"array<{element}>"))
+def _list(c: Column) -> Column:
+    return F.coalesce(c, F.array())
 
 
 def _own_text(node: Column) -> Column:
@@ -147,13 +148,13 @@ def _paragraph_array() -> Column:
         return F.struct((page + 1).alias("page_no"), (block + 1).alias("block_no"), (no + 1).alias("para_no"), para.alias("para"))
 
     def in_block(block: Column, pi: Column, bi: Column) -> Column:
-        return F.transform(_list(block["paragraphs"], PARAGRAPH), lambda q, qi: place(pi, bi, qi, q))
+        return F.transform(_list(block["paragraphs"]), lambda q, qi: place(pi, bi, qi, q))
 
     def in_page(page: Column, pi: Column) -> Column:
-        return F.transform(_list(page["blocks"], BLOCK), lambda b, bi: in_block(b, pi, bi))
+        return F.transform(_list(page["blocks"]), lambda b, bi: in_block(b, pi, bi))
 
     zero = F.lit(0)
-    direct = F.transform(_list(F.col("fta.paragraphs"), PARAGRAPH), lambda q, qi: place(zero, zero, qi, q))
+    direct = F.transform(_list(F.col("fta.paragraphs")), lambda q, qi: place(zero, zero, qi, q))
     return F.when(F.size("fta.pages") > 0, F.flatten(F.flatten(F.transform("fta.pages", in_page)))).otherwise(direct)
 
 
@@ -186,7 +187,7 @@ def explode_words(annotations: DataFrame, compat: str | None = None) -> DataFram
         return F.when(F.size(group["words"]) > 0, by_word).otherwise(alone)
 
     def of_block(page: Column, block: Column) -> Column:
-        lines = F.when(F.size(block["lines"]) > 0, block["lines"]).otherwise(_list(block["words"], PARAGRAPH))
+        lines = F.when(F.size(block["lines"]) > 0, block["lines"]).otherwise(_list(block["words"]))
         groups = F.when(F.size(block["paragraphs"]) > 0, block["paragraphs"]).otherwise(lines)
         return F.flatten(F.transform(groups, lambda g: of_group(page, g, True)))
 
@@ -215,7 +216,7 @@ def simplified_paragraphs(annotations: DataFrame, compat: str | None = None) ->
         return F.struct(text.alias("text"), node_vertices(node, compat).alias("bounding_box"))
 
     def of_block(block: Column) -> Column:
-        lines = F.when(F.size(block["lines"]) > 0, block["lines"]).otherwise(_list(block["words"], PARAGRAPH))
+        lines = F.when(F.size(block["lines"]) > 0, block["lines"]).otherwise(_list(block["words"]))
         groups = F.when(F.size(block["paragraphs"]) > 0, block["paragraphs"]).otherwise(lines)
         alone = F.filter(F.array(entry(_own_text(block), block)), lambda e: e["text"].isNotNull())
         return F.when(F.size(groups) > 0, F.transform(groups, lambda g: entry(paragraph_text(g), g))).otherwise(alone)

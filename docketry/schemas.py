@@ -14,6 +14,14 @@ BLOCK = (
 )
 ANNOTATION = f"struct<text:string,pages:array<struct<blocks:array<{BLOCK}>>>,paragraphs:array<{PARAGRAPH}>>"
 
+# the texts alone
+_OWN = "text:string,description:string"
+_TEXT_PARAGRAPH = f"struct<{_OWN},words:array<struct<{_OWN},symbols:array<struct<text:string>>>>>"
+ANNOTATION_TEXTS = (
+    f"struct<text:string,pages:array<struct<blocks:array<struct<paragraphs:array<{_TEXT_PARAGRAPH}>>>>>,"
+    f"paragraphs:array<{_TEXT_PARAGRAPH}>>"
+)
+
 # one parse of a response reaches every usual place; the annotation itself stays JSON text
 WRAPPERS = (
     "struct<results:array<struct<fullTextAnnotation:string,"

@@ -386,6 +386,77 @@ def test_annotation_places(spark):
     assert {r["doc_id"] for r in O.rejected(O.read_annotations(df)).collect()} == {8, 9, 10}
 
 
+def test_responses_from_batches(spark, tmp_path):
+    """Responses are made in Arrow batches, of a text that is null, empty or blank, has quotes, escapes or wide characters alike."""
+    import json
+    from docketry import fixtures as X
+
+    texts = ['say "hi" \\ there\n\n  two  blanks \U0001f600 z\u00e9\x01\nfour five six seven eight nine ten \t"\\x\nlast', "", " \n ", None]
+    rows = [(n, t, "en", "s") for n in (0, 1, 2, 3, 4, 5, 7, 10, 15, 23, 47, 71, -2, None) for t in texts]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = X.annotations(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "to_json" not in plan
+    rem = lambda a, b: -(-a % b) if a < 0 else a % b
+
+    def box(x1, y1, x2, y2):
+        return {"vertices": [{"x": x, "y": y} for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]}
+
+    def annotation(n, text):
+        def word(i, j, w):
+            y = 100 + 40 * i + rem(n * 7 + i * 3 + j * 5, 9)
+            own = {"text": w} if j % 7 else {"symbols": [{"text": c, "confidence": 0.5} for c in w]}
+            own |= {"confidence": rem(n + j, 128) / 128} if j % 5 else {}
+            return own | {"boundingBox": box(10 + 60 * j, y, 60 + 60 * j, y + 20 + rem(j * 3 + n, 7))}
+
+        paged, shape = n is not None and rem(n, 6) != 4, rem(n, 6) if n is not None else None
+        if n is None or text is None:
+            return {"pages": [{}]} if paged else {}
+        ps, groups = [], {}
+        for i, line in enumerate(text.split("\n")):
+            parts = line.split(" ")
+            if any(parts):
+                p = ({"text": line} if shape in (1, 3) else {}) | ({"confidence": 0.9} if i % 5 == 0 else {})
+                p |= {"words": [word(i, j, w) for j, w in enumerate(parts) if w]} if shape in (0, 2, 4) else {}
+                ps.append(p | {"boundingBox": box(10, 100 + 40 * i, 60 * len(parts), 130 + 40 * i)})
+                groups.setdefault(i // 3, []).append((line, ps[-1]))
+        key = {0: "paragraphs", 1: "paragraphs", 2: "lines", 3: "lines"}.get(shape)
+        blocks = [
+            ({key: [p for _, p in g]} if key else {"text": "\n".join(x for x, _ in g)} if shape == 5 else {})
+            | {"boundingBox": box(0, b * 120, 900, b * 120 + 119)} for b, g in groups.items()]
+        return ({"text": text} if n % 3 == 0 else {}) | ({"pages": [{"blocks": blocks}]} if paged else {"paragraphs": ps})
+
+    def wrapped(n, fta):
+        if n is None or n % 48 == 7:
+            return {"items": [{"odd": fta}]} if n is None else {"data": [{"note": {"text": "x"}}, {"fullTextAnnotation": fta}]}
+        held = {"fullTextAnnotation": fta}
+        return {0: held, 1: {"data": held}, 2: {"results": [{"Data": {"responses": [held]}}]}}.get(rem(n, 4), {"items": [{"odd": fta}]})
+
+    key = lambda x: (str(x[0]), x[1])
+    plain = lambda x: json.dumps(x, sort_keys=True)
+    got = [(r["doc_id"], r["payload"]) for r in df.collect()]
+    assert len(got) == len(rows)
+    whole = sorted(((n, plain(json.loads(p))) for n, p in got if n not in (23, 47, 71)), key=key)
+    assert whole == sorted(((n, plain(wrapped(n, annotation(n, t)))) for n, t, _, _ in rows if n not in (23, 47, 71)), key=key)
+    assert {p for n, p in got if n == 23} == {'{"status": "failed"}'} and {p for n, p in got if n == 71} == {"[" * 60_000 + "]" * 60_000}
+    assert {'{"data": {}, "cut": "}', '{"data": {"t":""}, "cut": ""text":""}'} <= {p for n, p in got if n == 47}
+
+
+def test_texts_are_read_without_boxes(spark):
+    """A transcript is the same from an annotation read without boxes, and its query reads it that way."""
+    import __spark_entry__ as entry
+    from docketry.schemas import ANNOTATION_TEXTS
+
+    word = '{"text": %s, "symbols": [{"text": "s", "confidence": 1}], "boundingBox": {"vertices": [{"x": 1, "y": 2}]}}'
+    payloads = ['{"fullTextAnnotation": {"pages": [{"blocks": [{"paragraphs": [{"words": [%s, %s]}, {"description": "d"}]}, {}]}]}}' % (word % '"w"', word % "null"),
+                '{"data": {"fullTextAnnotation": {"text": "own", "paragraphs": [{"text": "p"}, null]}}}', '{"text": "t", "pages": null}', "{}", None]
+    df = spark.createDataFrame(list(enumerate(payloads)), "doc_id int, payload string")
+    rows = [sorted(map(tuple, O.combined_text(O.read_annotations(df, **how).filter("fta IS NOT NULL")).collect()), key=str) for how in ({}, {"schema": ANNOTATION_TEXTS})]
+    assert rows[0] == rows[1] and rows[0][0][2].startswith("--- paragraph_001 (page 1 block 1) ---\nw s\n\n")
+    plan = entry.queries()["o15_combined_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "boundingBox" not in plan
+
+
 def test_polygon_shapes(spark):
     df = spark.createDataFrame([("[1 2]\n[3 -4]", [0.5, 1.5, 2.5, 3.5])], "s string, n array<double>")
     poly = lambda c: [(p["x"], p["y"]) for p in df.select(c).first()[0]]
