@@ -13,7 +13,7 @@ _NO_POINTS = f"array<{PIXEL}>"
 
 def pixel(x: Column, y: Column) -> Column:
     """Rounded (half to even) integer point."""
-    return F.struct(F.bround(x.cast("double")).cast("int").alias("x"), F.bround(y.cast("double")).cast("int").alias("y"))
+    return F.struct(F.rint(x.cast("double")).cast("int").alias("x"), F.rint(y.cast("double")).cast("int").alias("y"))
 
 
 def rectangle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

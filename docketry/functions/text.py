@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from docketry import catalog as C
 from docketry.functions.patterns import SPACE, unicode_regex
 
-_EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
+# the characters of SPACE
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _ANY_SPACE = rf"[{SPACE}]+"
 
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def norm_space(c: Column) -> Column:

@@ -457,6 +457,17 @@ def test_texts_are_read_without_boxes(spark):
     assert "boundingBox" not in plan
 
 
+def test_words_are_trimmed_and_rounded_without_patterns(spark):
+    """Corners at half a pixel go to the even one and white space of any kind is cut, by expressions that need no pattern or decimal."""
+    box = '"boundingBox": {"vertices": [{"x": 0.5, "y": 1.5}, {"x": -2.5, "y": 2.4999}, {"x": 3}]}'
+    payload = '{"fullTextAnnotation": {"pages": [{"blocks": [{"words": [{"text": "\\u2003 a b\\u0085\\n", %s}, {"text": "\\u00a0", %s}]}]}]}}' % (box, box)
+    df = O.explode_words(O.read_annotations(spark.createDataFrame([(1, payload)], "doc_id int, payload string")))
+    r = df.collect()
+    assert [(x["word_no"], x["text"], [tuple(p) for p in x["vertices"]]) for x in r] == [(0, "a b", [(0, 2), (-2, 2)])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "bround" not in plan and "regexp_replace" not in plan
+
+
 def test_polygon_shapes(spark):
     df = spark.createDataFrame([("[1 2]\n[3 -4]", [0.5, 1.5, 2.5, 3.5])], "s string, n array<double>")
     poly = lambda c: [(p["x"], p["y"]) for p in df.select(c).first()[0]]
