@@ -440,7 +440,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``word_no % 5 = 0`` no confidence, lines with ``line_no % 5 = 0`` a confidence of their own.
     """
     d = documents(spark, sf_dir).select("doc_id", "text")
-    batch_bytes = 1 << 20  # a response is up to 30 times its text
+    batch_bytes = 1 << 18  # a response is up to 30 times its text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

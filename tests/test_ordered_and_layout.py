@@ -442,6 +442,15 @@ def test_responses_from_batches(spark, tmp_path):
     assert {'{"data": {}, "cut": "}', '{"data": {"t":""}, "cut": ""text":""}'} <= {p for n, p in got if n == 47}
 
 
+def test_batches_to_search_are_cut_by_payload(spark):
+    """Every payload is sent, so that the bytes of a batch bound the rows that wait for it; only unusual ones are searched."""
+    payloads = ['{"data": {"fullTextAnnotation": {"text": "a"}}}', '{"odd": [{"text": "b"}]}', "{", None]
+    df = O.read_annotations(spark.createDataFrame(list(enumerate(payloads)), "doc_id int, payload string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "_search_json(payload#" in plan
+    assert {r["doc_id"]: (r["wrapper"], r["fta"] and r["fta"]["text"]) for r in df.collect()} == {0: ("data", "a"), 1: ("search", "b"), 2: (None, None), 3: (None, None)}
+
+
 def test_texts_are_read_without_boxes(spark):
     """A transcript is the same from an annotation read without boxes, and its query reads it that way."""
     import __spark_entry__ as entry
