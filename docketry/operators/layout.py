@@ -324,6 +324,18 @@ def _over(df: DataFrame, keys: Sequence[str], most: int) -> bool:
     return not df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).isEmpty()
 
 
+def _large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Keys of more than ``most`` rows, stored.
+
+    Counted by the first key, and by all of them where that has more: a row a page is moved, not one a kind of every page.
+    """
+    def over(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        return stored(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by), "large-pages")
+
+    found = over(df, keys[:1])
+    return found if len(keys) == 1 or found.isEmpty() else over(df.join(found, keys[:1], "left_semi"), keys)
+
+
 def _apart(threshold: float) -> Column:
     """A box number where equal rectangles do not overlap enough to be one: those without an area, or none can."""
     return F.when((F.col("w") <= 0) | (F.col("h") <= 0) | F.lit(threshold >= 1), F.col("box_no")).alias("_apart")
@@ -685,8 +697,32 @@ def overlap_classes(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int
     return near.select("page_id", "a_box_no", "b_box_no", "a_count", "b_count", "iou")
 
 
-def overlap_pairs(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int = _CELL) -> DataFrame:
-    """(page_id, a_box_no, b_box_no, iou) of all pairs of overlapping boxes, spelled out from ``overlap_classes``."""
+def overlap_pairs(boxes: DataFrame, threshold: float = C.MERGE_IOU, cell: int = _CELL, small: int = SMALL_PAGE) -> DataFrame:
+    """(page_id, a_box_no, b_box_no, iou) of all pairs of overlapping boxes.
+
+    Boxes of a page that has up to ``small`` move once and are compared with each other; pairs of a larger page are spelled
+    out from ``overlap_classes``.
+    """
+    boxes = boxes.select("page_id", "box_no", *BOX)
+    if threshold < 0:
+        return _pairs_of_classes(boxes, threshold, cell)
+    large = _large_keys(boxes, ["page_id"], small)
+    if large.isEmpty():
+        return _pairs_of_pages(boxes, threshold)
+    few, many = (boxes.join(large, "page_id", how) for how in ("left_anti", "left_semi"))
+    return _pairs_of_pages(few, threshold).unionByName(_pairs_of_classes(many, threshold, cell))
+
+
+def _pairs_of_pages(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Each box beside those of its page that have a larger number; both sides read one shuffle."""
+    rows = boxes.dropna().repartition("page_id")
+    a, b = (rows.select("page_id", *[F.col(c).alias(p + c) for c in ("box_no", *BOX)]) for p in ("a_", "b_"))
+    pairs = a.join(b, "page_id").filter(F.col("a_box_no") < F.col("b_box_no"))
+    pairs = pairs.withColumn("iou", G.iou(_box("a_"), _box("b_"))).filter(F.col("iou") > threshold)
+    return pairs.select("page_id", "a_box_no", "b_box_no", "iou")
+
+
+def _pairs_of_classes(boxes: DataFrame, threshold: float, cell: int) -> DataFrame:
     classes = overlap_classes(boxes, threshold, cell)
     member = boxes.select("page_id", *BOX, "box_no")
     first = member.groupBy("page_id", *BOX).agg(F.min("box_no").alias("_first"))

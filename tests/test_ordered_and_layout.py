@@ -534,3 +534,25 @@ def test_landmark_box_scales_outermost_points_only(spark):
     assert "lambda" not in box._jdf.queryExecution().executedPlan().toString()
     none = (None,) * 6
     assert [tuple(r) for r in box.collect()] == [(10, 50, 65, 130, 42, 115), (-75, 50, 65, 130, -43, 115), none, none]
+
+
+def odd_boxes(spark):
+    """Small and larger pages with equal rectangles, repeated rows, boxes without an area, and nulls."""
+    rng = random.Random(8)
+    rows = [(p, n, rng.randint(0, 70), rng.randint(0, 70), rng.randint(0, 40), rng.randint(0, 40), rng.choice("ab"), rng.randint(0, 3) / 4)
+            for p in range(30) for n in range(rng.randint(1, 25))]
+    rows += rows[::7] + [(p, n + 100, *box, k, s) for p, n, *box, k, s in rows[::5]]
+    rows += [(None, 1, 0, 0, 9, 9, "a", 0.5), (None, 2, 0, 0, 9, 9, "a", 0.5), (40, 1, None, 0, 9, 9, "a", 0.5), (40, 2, 0, 0, 9, 9, None, 0.5),
+             (40, 3, 0, 0, 9, 9, "a", None), (40, 4, 0, 0, 9, 8, "a", 0.9), (40, None, 60, 60, 9, 9, "b", 0.1), (40, 5, 61, 60, 9, 9, "b", 0.2)]
+    return spark.createDataFrame(rows, "page_id bigint, box_no bigint, x int, y int, w int, h int, kind string, score double")
+
+
+def test_pairs_of_small_pages_need_one_shuffle(spark):
+    """Pages compared box by box and by grid cells give the same pairs; on small pages boxes move once and are not put into cells."""
+    df = odd_boxes(spark)
+    results = [sorted(map(str, L.overlap_pairs(df, small=n).collect())) for n in (0, 12, 64)]
+    assert results[0] == results[1] == results[2] and len(results[0]) > 100
+    pairs = L.overlap_pairs(df)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "Generate" not in plan
