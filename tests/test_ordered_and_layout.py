@@ -556,3 +556,20 @@ def test_pairs_of_small_pages_need_one_shuffle(spark):
     pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 1.0])
+def test_small_groups_are_suppressed_by_one_shuffle(spark, threshold):
+    """Groups gone through whole and those cut into pieces keep the same boxes; boxes of small groups move once."""
+    df = odd_boxes(spark)
+    results = [sorted(map(str, L.nms(df, threshold=threshold, strip=n).collect())) for n in (0, 6, 64)]
+    assert results[0] == results[1] == results[2] and len(results[0]) > 100
+    plan = L.nms(df, threshold=threshold)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_large_groups_are_found_by_all_keys(spark):
+    rows = [(1, "a")] * 3 + [(1, "b")] * 2 + [(2, "a")] * 2 + [(3, "c")] * 4
+    df = spark.createDataFrame(rows, "page_id bigint, kind string")
+    assert sorted(map(tuple, L._large_keys(df, ["page_id", "kind"], 2).collect())) == [(1, "a"), (3, "c")]
+    assert sorted(map(tuple, L._large_keys(df, ["page_id"], 4).collect())) == [(1,)]
