@@ -573,3 +573,20 @@ def test_large_groups_are_found_by_all_keys(spark):
     df = spark.createDataFrame(rows, "page_id bigint, kind string")
     assert sorted(map(tuple, L._large_keys(df, ["page_id", "kind"], 2).collect())) == [(1, "a"), (3, "c")]
     assert sorted(map(tuple, L._large_keys(df, ["page_id"], 4).collect())) == [(1,)]
+
+
+def test_agreement_moves_no_word_again(spark):
+    """Words are matched by number with all their repeats, where both groupings have put them: by page, even if that is one value."""
+    points = [F.struct(F.lit(x).alias("x"), (F.col("y") + y).alias("y")) for x, y in ((0, 0), (9, 0), (9, 10), (0, 10))]
+    rows = [(1, i, i * 8) for i in range(6)] + [(1, 3, 24), (1, 4, 0), (1, None, 0), (2, 7, 0), (None, 8, 0)]
+    words = spark.createDataFrame(rows, "doc_id bigint, word_id bigint, y int").select(
+        "doc_id", F.lit(0).alias("page"), "word_id", F.lit("t").alias("text"), F.array(*points).alias("vertices"))
+    boxes = L.word_boxes(words)
+    exact, gap = L.group_lines(boxes), L.group_lines_gap(boxes)
+    agreement = L.line_agreement(exact, gap)
+    pairs = [(a["doc_id"], a["line_key"] == b["line_key"]) for a in exact.collect() for b in gap.collect()
+             if a["doc_id"] is not None and a["word_id"] is not None and (a["doc_id"], a["word_id"]) == (b["doc_id"], b["word_id"])]
+    want = {d: (sum(p[0] == d for p in pairs), sum(p == (d, True) for p in pairs)) for d in (1, 2)}
+    assert {r["doc_id"]: (r["n_words"], r["n_same"]) for r in agreement.collect()} == want and want[1][0] == 12 > want[1][1]
+    plan = agreement._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
