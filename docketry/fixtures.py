@@ -463,9 +463,9 @@ def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.expr("transform(t, e -> concat(e.text, ' '))").alias("rec_texts"),
         F.expr(
-            f"""transform(slice(t, 1, size(t) - if(doc_id % 3 = 0, 1, 0)), e -> transform(array(struct(
+            f"""transform(slice(t, 1, greatest(0, size(t) - if(doc_id % 3 = 0, 1, 0))), e -> transform(array(struct(
               10.5D + 60 * e.word_no AS x, 100.5D + 40 * e.line_no AS y, 20.0D + doc_id % 7 AS h)), g ->
               {poly.replace("x,", "g.x,").replace("x +", "g.x +").replace("y)", "g.y)").replace("y +", "g.y +").replace(" h)", " g.h)")})[0])"""
         ).alias("rec_polys"),
-        F.expr("transform(slice(t, 1, size(t) - if(doc_id % 2 = 0, 1, 0)), e -> ((doc_id + e.word_no) % 128) / 128.0D)").alias("rec_scores"),
+        F.expr("transform(slice(t, 1, greatest(0, size(t) - if(doc_id % 2 = 0, 1, 0))), e -> ((doc_id + e.word_no) % 128) / 128.0D)").alias("rec_scores"),
     )

@@ -590,3 +590,13 @@ def test_agreement_moves_no_word_again(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_same"]) for r in agreement.collect()} == want and want[1][0] == 12 > want[1][1]
     plan = agreement._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+
+
+def test_word_arrays_of_texts_without_words(spark, tmp_path):
+    """A text without words has no polygon or score to leave out."""
+    from docketry import fixtures as X
+
+    rows = [(i, t, "en", "s") for i, t in enumerate(["", " ", "\n \n", None, "a", "", "b c"])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["word_no"], r["text"], r["confidence"]) for r in O.zip_word_arrays(X.word_arrays(spark, str(tmp_path))).collect())
+    assert got == [(4, 0, "a", None), (6, 0, "b", 6 / 128)]
